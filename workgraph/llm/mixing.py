@@ -87,6 +87,21 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int = 17) -> DataFrame:
     return nodes.groupBy("shard").applyInPandas(expand(depth - upper, upper), shape)
 
 
+def _fill(block: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a source's last block that make up what is left of its target: in hashed order, each that still
+    fits; then the smallest other one, if the mix comes nearer with it."""
+    block = block.sort_values(["hash", "id", "mark"], kind="stable").reset_index(drop=True)
+    left, size = float(block["left"].iloc[0]), block["size"].to_numpy()
+    fits = np.zeros(len(block), bool)
+    for i, n in enumerate(size):
+        if n <= left:
+            fits[i], left = True, left - n
+    rest = np.nonzero(~fits)[0]
+    if len(rest) and size[least := rest[np.argmin(size[rest])]] < 2 * left:
+        fits[least] = True
+    return block.assign(fits=fits)
+
+
 def draw_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 2_000_000, block_docs: int = 64, most_blocks: int = 65536) -> DataFrame:
     """One row for each row of docs: id, mark, size, source, source_size, target and draws, an array of (shard, epoch).
 
@@ -130,10 +145,11 @@ def draw_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     )
     placed = drawn.select("rank", "block", "left", "words", "epochs", F.explode_outer(spots).alias("spot")).select("rank", "block", "left", "words", "epochs", "spot.epoch", "spot.seat")
     placed = placed.join(seats, ["rank", "seat"], "left").groupBy("rank", "block").agg(F.first("left").alias("left"), F.first("words").alias("words"), F.first("epochs").alias("epochs"), F.sort_array(F.collect_list(F.when(F.col("seat").isNotNull(), F.struct("epoch", "shard")))).alias("spots"))
-    inside = Window.partitionBy("rank", "block").orderBy(F.xxhash64(F.lit(seed + 3), "hash"), "id", "mark")
-    out = dealt.join(placed, ["rank", "block"]).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    fits = (F.col("left") >= F.col("words")) | (F.col("upto") - F.col("size") / 2 <= F.col("left"))
-    out = out.withColumn("draws", F.filter("spots", lambda s: (s["epoch"] < F.col("epochs")) | fits))
+    placed = written(placed.withColumn("partly", (F.col("left") > 0) & (F.col("left") < F.col("words"))))
+    out = dealt.join(placed, ["rank", "block"])
+    cut = out.filter("partly").groupBy("rank", "block").applyInPandas(_fill, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", fits boolean")
+    out = out.filter("not partly").withColumn("fits", F.col("left") >= F.col("words")).unionByName(cut)
+    out = out.withColumn("draws", F.filter("spots", lambda s: (s["epoch"] < F.col("epochs")) | F.col("fits")))
     out = out.join(sources.select("rank", "source_size", "target"), "rank")
     return out.select("id", "mark", "source", "size", "source_size", "target", F.transform("draws", lambda s: F.struct(s["shard"].alias("shard"), s["epoch"].alias("epoch"))).alias("draws"))
 
