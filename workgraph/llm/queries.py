@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, linedup, mixing, neardup, pii, quality
+from . import htmltext, langid, linedup, mixing, neardup, pii, quality, subword, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.count_tokens(docs).withColumn("edits", tokencount.masking_edits())
+    out = tokencount.recount(counted, "edits")
+    return out.select("doc_id", "tokens.n_pretokens", "tokens.n_tokens", "recounted.n_edits", "recounted.n_encoded", F.col("recounted.n_tokens").alias("n_tokens_after"))
+
+
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = subword.decode(subword.encode(docs))
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.quality(docs).drop("text", "lang")
@@ -57,7 +70,9 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
+    "op2_edit_aware_counts": op2_edit_aware_counts,
     "op3_minhash_forest": op3_minhash_forest,
+    "op4_merge_dropout": op4_merge_dropout,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_personal_data": op7_personal_data,
