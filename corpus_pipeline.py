@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workgraph.llm import linedup, mixing, neardup, quality, subword
-from workgraph.llm._shared import fresh, shared_dir
+from workgraph.llm._shared import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    kept, mark = fresh(docs, "kept_", "mark_")
-    inner = docs.select(F.struct(*docs.columns).alias(mark), F.col("text"), F.col("lang"))
-    return quality.quality(inner).filter("kept").select(f"{mark}.*")
+    return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

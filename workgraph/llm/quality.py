@@ -141,3 +141,14 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     d = d.withColumn("common_distance", F.when(F.col(line).isNotNull(), jensen_shannon(shares(F.col(found)), F.col(f"{ref}.common_ref"))))
     ok = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= max_class) & (F.coalesce(F.col("common_distance"), F.lit(0.0)) <= max_common)
     return d.withColumn("kept", good & ok).select(*keep, *new)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
+    """The rows of docs that quality() keeps, with the columns of docs, whatever their names.
+
+    A row number next to the verdict keeps Spark from pushing the filter down: it would put the verdict's whole
+    expression, many times over, in place of its column.
+    """
+    whole, text, lang, row = fresh(docs, "_whole", "_text_", "_lang_", "_row")
+    judged = quality(docs.select(F.struct(*docs.columns).alias(whole), F.col(text_col).alias(text), F.col(lang_col).alias(lang)), text, lang, **how)
+    return judged.select(whole, "kept", F.monotonically_increasing_id().alias(row)).filter(F.col("kept") & (F.col(row) >= 0)).select(f"{whole}.*")
