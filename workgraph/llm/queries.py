@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, linedup, mixing, neardup, pii, quality, subword, tokencount
+from . import htmltext, images, langid, linedup, mixing, neardup, pii, quality, subword, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), langs, logp).drop("text")
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.find_copies(images.media_of_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = mixing.draw_plan(docs)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_mix_sources": op8_mix_sources,
+    "op9_image_copies": op9_image_copies,
     "op10_language_mixture": op10_language_mixture,
 }
 
