@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters that part words: \x20 and \x09-\x0D (fixed by the contract of the word-based operators).
 WHITE = " \t\n\x0b\x0c\r"
@@ -64,3 +68,24 @@ def word_array(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """How many words a text has (null: 0), without building them."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def with_column(df: DataFrame, name: str, kind: str, inputs: list[str], make: Callable[..., list], rows: int = 256) -> DataFrame:
+    """df with a column of type kind that make computes in Python from so many rows' inputs at a time.
+
+    Arrow batches are cut into pieces, and each piece's result goes back before the next is made: memory follows the
+    piece and not the batch. make gets the inputs as Arrow arrays and returns a list of values.
+    """
+    schema = T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
+    arrow = to_arrow_type(schema[name].dataType)
+    kept = [i for i, c in enumerate(df.columns) if c != name]
+    at = [df.columns.index(c) for c in inputs]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                part = batch.slice(start, rows)
+                made = pa.array(make(*[part.column(i) for i in at]), arrow)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], made], schema.names)
+
+    return df.mapInArrow(run, schema)

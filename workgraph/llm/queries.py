@@ -27,8 +27,7 @@ def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokencount.count_tokens(docs).withColumn("edits", tokencount.masking_edits())
-    out = tokencount.recount(counted, "edits")
+    out = tokencount.recount(tokencount.count_tokens(tokencount.masking_edits(docs)), "edits")
     return out.select("doc_id", "tokens.n_pretokens", "tokens.n_tokens", "recounted.n_edits", "recounted.n_encoded", F.col("recounted.n_tokens").alias("n_tokens_after"))
 
 

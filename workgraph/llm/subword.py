@@ -8,10 +8,10 @@ from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import fresh, with_column
 from ._words import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -136,9 +136,9 @@ class Vocabulary:
             self.cached = 0
         return np.array(ids, np.int32)
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         out = self.out
-        return b"".join([out[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+        return b"".join([out[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
 _MASK = 2**32 - 1
@@ -168,20 +168,21 @@ def encode(docs: DataFrame, rate: float = 0.1, seed: int = 41, variants: int = 4
     Null text: null. Empty text: no ids. Null id: hashed as 0. Repeated rows get equal ids. Other columns pass unchanged.
     """
 
-    @F.pandas_udf("array<int>")
-    def run(key, texts):
+    key = fresh(docs, "_key")[0]
+
+    def run(keys, texts):
         v = vocabulary(model)
-        return pd.Series([None if t is None else v.encode(t, int(k), rate, seed, variants) for k, t in zip(key, texts, strict=True)], dtype=object)
+        return [None if t is None else v.encode(t, k, rate, seed, variants) for k, t in zip(keys.to_pylist(), texts.to_pylist(), strict=True)]
 
-    return docs.withColumn(out, run(F.coalesce(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(0)), F.col(text_col)))
+    keyed = docs.withColumn(key, F.coalesce(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(0)))
+    return with_column(keyed, out, "array<int>", [key, text_col], run).drop(key)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """df with the text of each array of ids in column out. Null ids: null."""
 
-    @F.pandas_udf("string")
     def run(ids):
         v = vocabulary(model)
-        return pd.Series([None if x is None else v.decode(x) for x in ids], dtype=object)
+        return [None if x is None else v.decode(x) for x in ids.to_pylist()]
 
-    return df.withColumn(out, run(F.col(ids_col)))
+    return with_column(df, out, "string", [ids_col], run)

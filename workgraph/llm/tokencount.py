@@ -5,11 +5,10 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from ._shared import with_column
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that goes with the rank file (a fixed value).
@@ -223,20 +222,18 @@ def count_tokens(docs: DataFrame, text_col: str = "text", out: str = "tokens", r
     Null or empty text: zeros and empty arrays. Repeated rows get equal counts.
     """
 
-    @F.pandas_udf("struct<n_pretokens:long,n_tokens:long,chars:array<int>,tokens:array<int>>")
     def run(column):
-        c = counter(ranks)
-        rows = []
-        for t in column:
+        c, rows = counter(ranks), []
+        for t in column.to_pylist():
             p = pretokens(t) if t else []
             n = [c.count(x) for x in p]
-            rows.append((len(p), sum(n), np.fromiter(map(len, p), np.int32, len(p)), np.array(n, np.int32)))
-        return pd.DataFrame(rows, columns=["n_pretokens", "n_tokens", "chars", "tokens"])
+            rows.append({"n_pretokens": len(p), "n_tokens": sum(n), "chars": [len(x) for x in p], "tokens": n})
+        return rows
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    return with_column(docs, out, "struct<n_pretokens:long,n_tokens:long,chars:array<int>,tokens:array<int>>", [text_col], run)
 
 
-def recount(counted: DataFrame, edits: str | Column, text_col: str = "text", tokens_col: str = "tokens", out: str = "recounted", ranks: str = RANKS) -> DataFrame:
+def recount(counted: DataFrame, edits: str, text_col: str = "text", tokens_col: str = "tokens", out: str = "recounted", ranks: str = RANKS) -> DataFrame:
     """counted (from count_tokens) with a struct column out: the edited text, its leaves, n_edits, n_encoded and n_tokens.
 
     edits is an array column of (start, end, new), in code points of the text as it was, ends exclusive. They are applied
@@ -244,41 +241,36 @@ def recount(counted: DataFrame, edits: str | Column, text_col: str = "text", tok
     encoded again; n_encoded says how many. Null text or edits: as if empty.
     """
 
-    @F.pandas_udf("struct<text:string,chars:array<int>,tokens:array<int>,n_edits:long,n_encoded:long,n_tokens:long>")
     def run(texts, leaves, changes):
-        c = counter(ranks)
-        rows = []
-        for t, chars, tokens, todo in zip(texts, leaves["chars"], leaves["tokens"], changes, strict=True):
+        c, rows = counter(ranks), []
+        for i, (t, todo) in enumerate(zip(texts.to_pylist(), changes.to_pylist(), strict=True)):
             t = t or ""
-            n_edits = n_encoded = 0
-            todo = sorted(((e["start"], e["end"], e["new"]) for e in ([] if todo is None else todo)), key=lambda e: e[:2])
-            if todo:
-                tree = Tree.build(list(zip(chars.tolist(), tokens.tolist(), strict=True)))
-                good, free, size = [], 0, len(t)
-                for a, b, new in todo:
-                    if free <= a <= b <= size:
-                        good.append((a, b, new or ""))
-                        free = b
+            got = leaves[i].as_py() or {"chars": [], "tokens": [], "n_tokens": 0}
+            good, free, n_encoded, total = [], 0, 0, got["n_tokens"]
+            for e in sorted(todo or [], key=lambda e: (e["start"], e["end"])):
+                if free <= e["start"] <= e["end"] <= len(t):
+                    good.append((e["start"], e["end"], e["new"] or ""))
+                    free = e["end"]
+            if good:
+                tree = Tree.build(list(zip(got["chars"], got["tokens"], strict=True)))
                 for a, b, new in reversed(good):
                     t, tree, n = edit(t, tree, a, b, new, c)
                     n_encoded += n
-                n_edits = len(good)
-                kept = tree.leaves()
-                chars, tokens = np.array([x[0] for x in kept], np.int32), np.array([x[1] for x in kept], np.int32)
-            rows.append((t, chars, tokens, n_edits, n_encoded, int(np.sum(tokens))))
-        return pd.DataFrame(rows, columns=["text", "chars", "tokens", "n_edits", "n_encoded", "n_tokens"])
+                kept, total = tree.leaves(), tree.tokens
+                got = {"chars": [x[0] for x in kept], "tokens": [x[1] for x in kept]}
+            rows.append({"text": t, "chars": got["chars"], "tokens": got["tokens"], "n_edits": len(good), "n_encoded": n_encoded, "n_tokens": total})
+        return rows
 
-    return counted.withColumn(out, run(F.col(text_col), F.col(tokens_col), F.col(edits) if isinstance(edits, str) else edits))
+    return with_column(counted, out, "struct<text:string,chars:array<int>,tokens:array<int>,n_edits:long,n_encoded:long,n_tokens:long>", [text_col, tokens_col, edits], run)
 
 
 _MASKED = regex.compile(r"[0-9]{4,}|[A-Z]{4,}")
 
 
-def masking_edits(text_col: str = "text") -> Column:
-    """Edits that a cleaning step would make: long digit runs become 0, shouted words lower case."""
+def masking_edits(docs: DataFrame, text_col: str = "text", out: str = "edits") -> DataFrame:
+    """docs with the edits that a cleaning step would make: long digit runs become 0, shouted words lower case."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,new:string>>")
     def run(column):
-        return pd.Series([[{"start": m.start(), "end": m.end(), "new": "0" if m[0][0] <= "9" else m[0].lower()} for m in _MASKED.finditer(t or "")] for t in column], dtype=object)
+        return [[{"start": m.start(), "end": m.end(), "new": "0" if m[0][0] <= "9" else m[0].lower()} for m in _MASKED.finditer(t or "")] for t in column.to_pylist()]
 
-    return run(F.col(text_col))
+    return with_column(docs, out, "array<struct<start:int,end:int,new:string>>", [text_col], run)
