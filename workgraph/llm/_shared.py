@@ -76,7 +76,7 @@ def with_column(df: DataFrame, name: str, kind: str, inputs: list[str], make: Ca
     Arrow batches are cut into pieces, and each piece's result goes back before the next is made: memory follows the
     piece and not the batch. make gets the inputs as Arrow arrays and returns a list of values.
     """
-    schema = T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != name], *T.StructType.fromDDL(f"`{name}` {kind}").fields])
     arrow = to_arrow_type(schema[name].dataType)
     kept = [i for i, c in enumerate(df.columns) if c != name]
     at = [df.columns.index(c) for c in inputs]
