@@ -201,8 +201,9 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 400, seed: int
 
     examples: list[tuple[str, list[Span]]] = []
     for part in (datum, ~datum):
-        least = have.filter(part).select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-        few = have.filter(part).filter(order <= F.lit(least if least is not None else 0)).limit(2 * sample)  # more than sample only where hashes tie
+        some = have.filter(part).select(order.alias("h"), "t")
+        least = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        few = some.filter(F.col("h") <= F.lit(least if least is not None else 0)).dropDuplicates(["h"])  # sample texts; copies count once
         for r in few.select(F.explode(snippets("t")).alias("e")).select("e.*").collect():
             examples.append((r["text"], [(r["kind"], r["a"], r["b"])] if r["kind"] else []))
     return fit(examples)
