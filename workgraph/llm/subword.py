@@ -42,6 +42,10 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[p], self.score[p] = i, model.get_score(i)
                 self.out[i] = p.replace(SPACE, " ").encode()
+        # merging order: the better score first, equal scores as one rank
+        scores = sorted({*self.score.values()}, reverse=True)
+        place = {x: i for i, x in enumerate(scores)}
+        self.rank = {p: place[x] for p, x in self.score.items()}
         # units end before a space and around a newline; that is exact as long as no piece crosses such a place
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece of this model crosses a unit's edge")
@@ -51,7 +55,9 @@ class Vocabulary:
     def merge(self, unit: str, key: int, rate: float) -> tuple[int, ...]:
         """The pieces of one unit. Candidate merges stand in an agenda by score, then place; each is skipped where a
         hash of the key, its place and its piece falls under rate, and comes back only when a neighbour's merge makes it anew."""
-        part: list[str | None] = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
+        part: list[str | None] = [LITERAL if c == SPACE else c for c in unit] if SPACE in unit else list(unit)
+        if part[0] == " ":
+            part = [SPACE if c == " " else c for c in part]
         if len(part) > MOST_UNIT:
             self._merge_long(part, key, int(rate * 2**32))
         else:
@@ -66,25 +72,24 @@ class Vocabulary:
         return tuple(out)
 
     def _merge_short(self, part: list[str], key: int, threshold: int) -> None:
-        """The agenda as a list with an entry for each pair of neighbours; the best is looked up."""
-        score, worst = self.score, float("-inf")
-        at = list(range(len(part)))  # where each part starts
-        agenda = [score.get(a + b, worst) for a, b in zip(part, part[1:], strict=False)]
+        """The agenda as a list with the rank of each pair of neighbours; the best is looked up."""
+        get, last = self.rank.get, 1 << 40
+        agenda = [get(a + b, last) for a, b in zip(part, part[1:], strict=False)]
         while agenda:
-            best = max(agenda)
-            if best == worst:
+            best = min(agenda)
+            if best == last:
                 return
             k = agenda.index(best)
-            merged = part[k] + part[k + 1]
-            if threshold and _draw(key, at[k], self.ids[merged]) < threshold:
-                agenda[k] = worst
+            if threshold and ((key ^ best * 0x9E3779B1 ^ (k << 40)) * 0x2545F4914F6CDD1D & _MASK64) >> 32 < threshold:
+                agenda[k] = last
                 continue
-            part[k] = merged
-            del part[k + 1], at[k + 1], agenda[k]
+            p = part[k] + part[k + 1]
+            part[k : k + 2] = (p,)
+            del agenda[k]
             if k:
-                agenda[k - 1] = score.get(part[k - 1] + merged, worst)
+                agenda[k - 1] = get(part[k - 1] + p, last)
             if k < len(agenda):
-                agenda[k] = score.get(merged + part[k + 1], worst)
+                agenda[k] = get(p + part[k + 1], last)
 
     def _merge_long(self, part: list[str | None], key: int, threshold: int) -> None:
         """The agenda as a heap, for units of any length; merged-away parts become None."""
@@ -103,7 +108,7 @@ class Vocabulary:
             _, a, b, p = heapq.heappop(agenda)
             if part[a] is None or part[b] is None or right[a] != b or part[a] + part[b] != p:
                 continue
-            if threshold and _draw(key, a, self.ids[p]) < threshold:
+            if threshold and ((key ^ self.rank[p] * 0x9E3779B1 ^ (a << 40)) * 0x2545F4914F6CDD1D & _MASK64) >> 32 < threshold:
                 continue
             part[a], part[b] = p, None
             right[a] = right[b]
@@ -125,7 +130,8 @@ class Vocabulary:
         for unit, v in zip(units, which, strict=True):
             got = tables[v].get(unit)
             if got is None:
-                got = self.merge(unit, crc32(unit.encode(), seed + 7919 * v & _MASK), rate)
+                b = unit.encode()
+                got = self.merge(unit, crc32(b, seed + 7919 * v & _MASK) << 32 | crc32(b, v), rate)
                 if len(unit) <= MOST_UNIT:
                     tables[v][unit] = got
                     self.cached += 1
@@ -141,15 +147,7 @@ class Vocabulary:
         return b"".join([out[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-_MASK = 2**32 - 1
-
-
-def _draw(key: int, at: int, piece: int) -> int:
-    """32 hashed bits for one candidate merge."""
-    x = (key ^ piece * 0x9E3779B1 ^ at * 0x85EBCA77) & _MASK
-    x = (x ^ x >> 15) * 0x2C1B3C6D & _MASK
-    x = (x ^ x >> 12) * 0x297A2D39 & _MASK
-    return x ^ x >> 15
+_MASK, _MASK64 = 2**32 - 1, 2**64 - 1
 
 
 @lru_cache(maxsize=2)
