@@ -19,7 +19,38 @@ SPACE = "▁"
 #: Marks a U+2581 of the text itself, which is written as bytes so that it is not read back as a space.
 LITERAL = "\0" + SPACE
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
-MOST_CACHED, MOST_UNIT = 400_000, 48
+MOST_CACHED, MOST_UNIT, MOST_WIDE = 400_000, 48, 32
+_MASK, _MASK64 = 2**32 - 1, 2**64 - 1
+
+
+class PairTable:
+    """Ranks of pairs of ids, looked up for whole arrays in an open hash table."""
+
+    SIZE, NONE = 1 << 21, 1 << 40
+
+    def __init__(self, ranks: dict[tuple[int, int], int]) -> None:
+        self.keys = np.full(self.SIZE, -1, np.int64)
+        self.ranks = np.full(self.SIZE, self.NONE, np.int64)
+        for (a, b), r in ranks.items():
+            k = a << 21 | b
+            i = (k * 0x9E3779B97F4A7C15 & _MASK64) >> 43
+            while self.keys[i] >= 0:
+                i = (i + 1) % self.SIZE
+            self.keys[i], self.ranks[i] = k, r
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        k = a << 21 | b
+        i = ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        found = self.keys[i]
+        out = np.where(found == k, self.ranks[i], self.NONE)
+        todo = np.nonzero((found != k) & (found >= 0))
+        while len(todo[0]):
+            i[todo] = (i[todo] + 1) % self.SIZE
+            found = self.keys[i[todo]]
+            out[todo] = np.where(found == k[todo], self.ranks[i[todo]], self.NONE)
+            more = (found != k[todo]) & (found >= 0)
+            todo = tuple(t[more] for t in todo)
+        return out
 
 
 class Vocabulary:
@@ -46,6 +77,15 @@ class Vocabulary:
         scores = sorted({*self.score.values()}, reverse=True)
         place = {x: i for i, x in enumerate(scores)}
         self.rank = {p: place[x] for p, x in self.score.items()}
+        self.of_rank = np.zeros(len(scores), np.int64)
+        for p, r in self.rank.items():
+            self.of_rank[r] = self.ids[p]
+        self.chars = np.arange(0x110000, dtype=np.int64) + n  # a character without a piece stands for itself, above all ids
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
+        self.chars[32], self.chars[ord(SPACE)] = self.chars[ord(SPACE)], n + ord(SPACE)
+        self.pairs = PairTable({(self.ids[p[:i]], self.ids[p[i:]]): r for p, r in self.rank.items() for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids})
         # units end before a space and around a newline; that is exact as long as no piece crosses such a place
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece of this model crosses a unit's edge")
@@ -117,38 +157,111 @@ class Vocabulary:
             offer(left[a], a)
             offer(a, right[a])
 
-    def encode(self, text: str, key: int, rate: float, seed: int, variants: int) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        units = _UNIT.findall(" " + text)
-        if rate > 0:
-            which = (mix(np.arange(len(units), dtype=np.uint64) + mix(np.array([key & (2**64 - 1)], np.uint64))) % np.uint64(variants)).tolist()
-        else:
-            which = [0] * len(units)
-        tables = [self.cache.setdefault((seed, v, rate), {}) for v in range(variants if rate > 0 else 1)]
-        ids: list[int] = []
-        for unit, v in zip(units, which, strict=True):
-            got = tables[v].get(unit)
-            if got is None:
-                b = unit.encode()
-                got = self.merge(unit, crc32(b, seed + 7919 * v & _MASK) << 32 | crc32(b, v), rate)
-                if len(unit) <= MOST_UNIT:
-                    tables[v][unit] = got
-                    self.cached += 1
-            ids += got
+    def merge_many(self, units: list[str], keys: list[int], rate: float) -> list[tuple[int, ...]]:
+        """merge() for many units: the agendas of all are rows of one array, and each round takes the best of every row."""
+        out: list = [None] * len(units)
+        short = [i for i, u in enumerate(units) if len(u) <= MOST_WIDE and "  " not in u]
+        for i in set(range(len(units))).difference(short):
+            out[i] = self.merge(units[i], keys[i], rate)
+        short.sort(key=lambda i: len(units[i]))
+        for at in range(0, len(short), 8192):
+            some = short[at : at + 8192]
+            self._merge_rows([units[i] for i in some], np.array([keys[i] for i in some], np.uint64), int(rate * 2**32), some, out)
+        return out
+
+    def _merge_rows(self, units: list[str], key: np.ndarray, threshold: int, where: list[int], out: list) -> None:
+        size = np.array([len(u) for u in units])
+        wide = int(size.max())
+        ids = np.full((len(units), wide), (1 << 21) - 1, np.int64)
+        ids[np.arange(wide) < size[:, None]] = self.chars[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        rank = np.full((len(units), wide), PairTable.NONE, np.int64)
+        if wide > 1:
+            rank[:, :-1] = self.pairs.get(ids[:, :-1], ids[:, 1:])
+        row, columns = np.array(where), np.arange(wide)
+        while len(row):
+            k = rank.argmin(axis=1)
+            best = rank[np.arange(len(row)), k]
+            live = best < PairTable.NONE
+            if not live.all():
+                for i in np.nonzero(~live)[0].tolist():
+                    got = ids[i, : size[i]].tolist()
+                    out[row[i]] = tuple(got) if max(got) < len(self.pieces) else tuple(self._spelled(got))
+                row, ids, rank, size, key, k, best = (x[live] for x in (row, ids, rank, size, key, k, best))
+                if not len(row):
+                    return
+            go = np.arange(len(row))
+            if threshold:
+                draw = ((key ^ best.astype(np.uint64) * np.uint64(0x9E3779B1) ^ k.astype(np.uint64) << np.uint64(40)) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)
+                skip = draw < np.uint64(threshold)
+                rank[go[skip], k[skip]] = PairTable.NONE
+                go = go[~skip]
+                k, best = k[go], best[go]
+            if not len(go):
+                continue
+            source = np.minimum(columns + (columns > k[:, None]), wide - 1)
+            new = np.take_along_axis(ids[go], source, 1)
+            new[:, -1] = np.where(k + 1 < wide, (1 << 21) - 1, new[:, -1])
+            ranks = np.take_along_axis(rank[go], source, 1)
+            ranks[:, -1] = PairTable.NONE
+            every, piece = np.arange(len(go)), self.of_rank[best]
+            new[every, k] = piece
+            size[go] -= 1
+            ranks[every, k] = np.where(k + 1 < wide, self.pairs.get(piece, new[every, np.minimum(k + 1, wide - 1)]), PairTable.NONE)
+            left = np.nonzero(k > 0)[0]
+            ranks[left, k[left] - 1] = self.pairs.get(new[left, k[left] - 1], piece[left])
+            ids[go], rank[go] = new, ranks
+
+    def _spelled(self, ids: list[int]):
+        """Ids, with characters that have no piece as their bytes."""
+        n = len(self.pieces)
+        for i in ids:
+            if i < n:
+                yield i
+            else:
+                yield from (self.byte[x] for x in chr(i - n).encode())
+
+    def encode_all(self, texts: list[str | None], keys: list[int], rate: float, seed: int, variants: int) -> list[np.ndarray | None]:
+        """Ids of each text (null for null); words not met before are merged together, all texts' at once."""
+        count = variants if rate > 0 else 1
+        tables = [self.cache.setdefault((seed, v, rate), {}) for v in range(count)]
         if self.cached > MOST_CACHED:
             for t in self.cache.values():
                 t.clear()
             self.cached = 0
-        return np.array(ids, np.int32)
+        cut: list[tuple[list[str], list[int]]] = []
+        new: dict[tuple[str, int], None] = {}
+        for text, key in zip(texts, keys, strict=True):
+            units = _UNIT.findall(" " + text) if text else []
+            which = [0] * len(units)
+            if count > 1 and units:
+                which = (mix(np.arange(len(units), dtype=np.uint64) + mix(np.array([key & _MASK64], np.uint64))) % np.uint64(count)).tolist()
+            new.update(((u, v), None) for u, v in zip(units, which, strict=True) if u not in tables[v])
+            cut.append((units, which))
+        fresh_ = list(new)
+        raw = [u.encode() for u, _ in fresh_]
+        made = self.merge_many([u for u, _ in fresh_], [crc32(b, seed + 7919 * v & _MASK) << 32 | crc32(b, v) for b, (_, v) in zip(raw, fresh_, strict=True)], rate)
+        for (u, v), ids in zip(fresh_, made, strict=True):
+            tables[v][u] = ids
+        self.cached += len(fresh_)
+        out: list[np.ndarray | None] = []
+        for text, (units, which) in zip(texts, cut, strict=True):
+            ids = []
+            for u, v in zip(units, which, strict=True):
+                ids += tables[v][u]
+            out.append(None if text is None else np.array(ids, np.int32))
+        for u, v in fresh_:
+            if len(u) > MOST_UNIT:
+                del tables[v][u]
+        return out
+
+    def encode(self, text: str, key: int, rate: float, seed: int, variants: int) -> np.ndarray:
+        return self.encode_all([text], [key], rate, seed, variants)[0]
 
     def decode(self, ids: list[int]) -> str:
         out = self.out
         return b"".join([out[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-_MASK, _MASK64 = 2**32 - 1, 2**64 - 1
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -170,7 +283,7 @@ def encode(docs: DataFrame, rate: float = 0.1, seed: int = 41, variants: int = 4
 
     def run(keys, texts):
         v = vocabulary(model)
-        return [None if t is None else v.encode(t, k, rate, seed, variants) for k, t in zip(keys.to_pylist(), texts.to_pylist(), strict=True)]
+        return v.encode_all(texts.to_pylist(), keys.to_pylist(), rate, seed, variants)
 
     keyed = docs.withColumn(key, F.coalesce(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(0)))
     return with_column(keyed, out, "array<int>", [key, text_col], run).drop(key)
