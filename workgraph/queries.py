@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import binary, lint, registry, telemetry
+from .functions import scalars
+from .operators import binary, declarations, lint, registry, telemetry
+from .plans import builtin
+from .streaming import jobs
 from .views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -501,3 +504,74 @@ def _(t):
     lines = lint.lines(t("v_sources"))
     words = t("part").select(F.explode(F.split("p_name", " ")).alias("name")).groupBy("name").agg(F.count("*").alias("ord"))
     return binary.plan_call_sites(lines, words.select("name", "ord", F.lit("").alias("path"), F.lit(0).alias("line_no")))
+
+
+@_q("b14_class_members", "v_symbols", "select 'CGame' \"class\", count(*) n_members, min(ordinal) first_ordinal from v_symbols where name like '%\\_\\_5CGameFv' escape '\\'")
+def _(t):
+    m = declarations.class_members(t("v_symbols"))
+    return m.select("class", F.size("members").cast("long").alias("n_members"), F.get("members", 0)["ordinal"].alias("first_ordinal"))
+
+
+@_q("b19_declarations", "v_sources", None)
+def _(t):
+    return declarations.extract_decls(t("v_sources"))
+
+
+@_q("b20_definitions", "v_sources", None)
+def _(t):
+    return declarations.extract_defs(t("v_sources"))
+
+
+@_q("b22_conversion_plan", "v_sources v_symbols", None)
+def _(t):
+    return declarations.conversion_plan(t("v_sources"), t("v_symbols"))
+
+
+@_q("b23_fake_members", "v_sources", None)
+def _(t):
+    return declarations.fake_members(lint.lines(t("v_sources")), "CGame")
+
+
+@_q("l09_class_clones", "v_sources", None)
+def _(t):
+    units = declarations.extract_units(t("v_sources"))
+    return lint.class_clones(units.filter("kind = 'class'"), [], ["path", "line_no"]).unionByName(lint.clone_findings(units.filter("kind = 'function'"), [], ["path", "line_no"]))
+
+
+@_q("l19_outside_asm", "v_sources", f'with {_HITS} select path, line_no, "rule" from h where "rule" = \'digit\'')
+def _(t):
+    return declarations.drop_asm_findings(_hits(t).select("path", "line_no", "rule").filter("rule = 'digit'"), t("v_sources"))
+
+
+@_q("r18_map_summary", "", """select o_orderkey pos, concat('o', o_orderkey) id, case when o_orderkey % 2 = 0 then o_orderpriority else '' end status, o_orderkey % 2 = 0 and o_orderstatus = 'F' accepted from orders""")
+def _(t):
+    o = t("orders")
+    entries = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("o"), "o_orderkey").alias("target_id"), F.col("o_orderpriority").alias("status"), (F.col("o_orderstatus") == "F").alias("accepted"))
+    return registry.map_summary(o.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("o"), "o_orderkey").alias("id")), entries)
+
+
+@_q("t03_run_spans", "v_events", "select seq from v_events where run_id = 'run4' and type = 'click'")
+def _(t):
+    spans = t("v_events").filter("type = 'click'").select(F.col("seq").alias("id"), "seq", "run_id", F.col("ts").alias("started_at"), F.col("ts").alias("ended_at"), F.col("data").alias("attrs"))
+    return telemetry.run_spans(spans, "run4").select("seq")
+
+
+@_q("t04_latest_transcript", "v_events", "select run_id, work_item_id worker, max(seq) id from v_events where type = 'view' group by run_id, work_item_id")
+def _(t):
+    a = t("v_events").select(F.col("seq").alias("id"), "run_id", F.when(F.col("type") == "view", "transcript").otherwise("log").alias("kind"), F.col("work_item_id").alias("worker_seq"), F.lit("{}").alias("meta"), F.col("seq").alias("created_at"))
+    return telemetry.latest_transcript(a).select("run_id", "worker", "id")
+
+
+@_q("s03_lease_outcomes", "v_leases", None)
+def _(t):
+    return jobs.lease_outcomes(t("v_leases"))
+
+
+@_q("f05_split_names", "v_symbols", "select ordinal, case when name like '%\\_\\_5CGameFv' escape '\\' then 'CGame' end \"class\" from v_symbols")
+def _(t):
+    return t("v_symbols").select("ordinal", scalars.split_name(F.col("name"))["class"].alias("class"))
+
+
+@_q("u03_match_plan", "v_items", "select id, cast(floor((row_number() over (order by size nulls first, id) - 1) / 5) as bigint) batch from (select id, size from v_items where status = 'NOT_STARTED' order by size nulls first, id limit 100) x")
+def _(t):
+    return builtin.match_plan(t("v_items")).select("id", F.col("batch").cast("long").alias("batch"))
