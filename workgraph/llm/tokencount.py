@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import regex
@@ -224,9 +225,10 @@ def count_tokens(docs: DataFrame, text_col: str = "text", out: str = "tokens", r
 
     def run(column):
         c, rows = counter(ranks), []
+        known = c.known
         for t in column.to_pylist():
             p = pretokens(t) if t else []
-            n = [c.count(x) for x in p]
+            n = [known[x] if x in known else c.count(x) for x in p]
             rows.append({"n_pretokens": len(p), "n_tokens": sum(n), "chars": [len(x) for x in p], "tokens": n})
         return rows
 
@@ -238,33 +240,36 @@ def recount(counted: DataFrame, edits: str, text_col: str = "text", tokens_col:
 
     edits is an array column of (start, end, new), in code points of the text as it was, ends exclusive. They are applied
     by start; one that overlaps an earlier one, or lies outside the text, is left out. Only pre-tokens around edits are
-    encoded again; n_encoded says how many. Null text or edits: as if empty.
+    encoded again; n_encoded says how many. A row without edits keeps what it has: text and leaves are null in out, and
+    only n_tokens is filled in. Null text or edits: as if empty.
     """
 
     def run(texts, leaves, changes):
         c, rows = counter(ranks), []
-        for i, (t, todo) in enumerate(zip(texts.to_pylist(), changes.to_pylist(), strict=True)):
-            t = t or ""
-            got = leaves[i].as_py() or {"chars": [], "tokens": [], "n_tokens": 0}
-            good, free, n_encoded, total = [], 0, 0, got["n_tokens"]
-            for e in sorted(todo or [], key=lambda e: (e["start"], e["end"])):
+        totals = [n or 0 for n in leaves.field("n_tokens").to_pylist()]
+        for i, (total, todo) in enumerate(zip(totals, changes.to_pylist(), strict=True)):
+            if not todo:
+                rows.append({"n_edits": 0, "n_encoded": 0, "n_tokens": total})
+                continue
+            t = texts[i].as_py() or ""
+            got = leaves[i].as_py() or {"chars": [], "tokens": []}
+            good, free, n_encoded = [], 0, 0
+            for e in sorted(todo, key=lambda e: (e["start"], e["end"])):
                 if free <= e["start"] <= e["end"] <= len(t):
                     good.append((e["start"], e["end"], e["new"] or ""))
                     free = e["end"]
-            if good:
-                tree = Tree.build(list(zip(got["chars"], got["tokens"], strict=True)))
-                for a, b, new in reversed(good):
-                    t, tree, n = edit(t, tree, a, b, new, c)
-                    n_encoded += n
-                kept, total = tree.leaves(), tree.tokens
-                got = {"chars": [x[0] for x in kept], "tokens": [x[1] for x in kept]}
-            rows.append({"text": t, "chars": got["chars"], "tokens": got["tokens"], "n_edits": len(good), "n_encoded": n_encoded, "n_tokens": total})
+            tree = Tree.build(list(zip(got["chars"], got["tokens"], strict=True)))
+            for a, b, new in reversed(good):
+                t, tree, n = edit(t, tree, a, b, new, c)
+                n_encoded += n
+            kept = tree.leaves()
+            rows.append({"text": t, "chars": [x[0] for x in kept], "tokens": [x[1] for x in kept], "n_edits": len(good), "n_encoded": n_encoded, "n_tokens": tree.tokens})
         return rows
 
     return with_column(counted, out, "struct<text:string,chars:array<int>,tokens:array<int>,n_edits:long,n_encoded:long,n_tokens:long>", [text_col, tokens_col, edits], run)
 
 
-_MASKED = regex.compile(r"[0-9]{4,}|[A-Z]{4,}")
+_MASKED = re.compile(r"[0-9]{4,}|[A-Z]{4,}")
 
 
 def masking_edits(docs: DataFrame, text_col: str = "text", out: str = "edits") -> DataFrame:
