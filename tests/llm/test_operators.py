@@ -1,0 +1,421 @@
+"""The training-data operators against brute force, and their defined results for nulls, empty tables, ties and repeats."""
+
+import hashlib
+import math
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from workgraph.llm import htmltext, images, langid, linedup, mixing, neardup, pii, quality, subword, tokencount
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, _h1 string, kept string, _lines int"
+
+
+def corpus(n=60, seed=4):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghiou") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    base = text(120).split()
+    rows = []
+    for i in range(n):
+        kind = i % 6
+        if kind == 0:
+            words = base[:]
+            for _ in range(rng.randint(0, 6)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            t = " ".join(words)
+        elif kind == 1:
+            t = "Shared line of many texts\n" + text(40) + "\n  SHARED line of many texts \n" + text(5)
+        elif kind == 2:
+            t = "\n".join([text(9)] * 3 + [text(30)])
+        elif kind == 3:
+            t = text(rng.randint(1, 12))
+        elif kind == 4:
+            t = text(50) + f" joe{i}@mail{i}.example.com 10.0.{i}.255 4539 1488 0343 6467 +1 (555) 010-{1000 + i} 300.1.1.1"
+        else:
+            t = " ".join(w + "%%% " for w in text(150).split())
+        rows.append((i + 1, t, "en" if i % 5 else "fr", f"s{i % 4}", "x", "y", 1))
+    odd = [(1001, None), (1002, ""), (1003, " \t\n "), (1004, "one"), (1005, "a" * 5000), (1006, "\n\n"), (1007, rows[0][1]), (1007, rows[0][1]), (1008, rows[0][1].upper()), (None, rows[2][1]), (1009, "\x0b x\x0c"), (1010, "日本 語 é ▁ ﬁ")]
+    rows += [(i, t, None, None, None, None, None) for i, t in odd]
+    rows.append((1011, " ".join([text(4)] * 2000), "en", "s0", "x", "y", 1))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- 6 line dedup ---
+
+
+def test_line_dedup(docs, rows, nothing):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holders = defaultdict(set)
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 10 and i is not None:
+                holders[key(line)].add(i)
+    want = []
+    for i, t, *_ in rows:
+        kept = [x for x in (t or "").split("\n") if not (i is not None and len(holders.get(key(x), ())) > 1 and i != min(holders[key(x)]))]
+        n = len((t or "").split("\n"))
+        want.append((i, "\n".join(kept), n, n - len(kept)))
+    got = linedup.dedup_lines(docs, counts=("n_lines", "n_dropped"))
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()], key=order) == sorted(want, key=order)
+    assert linedup.dedup_lines(nothing).count() == 0
+
+
+def test_line_dedup_over_three_documents(spark):
+    d = spark.createDataFrame([(1, "same line here"), (2, "same line here"), (3, "same line here\nx"), (4, "other line here"), (5, "other line here")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(d, min_docs=3).collect()}
+    assert got == {1: "same line here", 2: "", 3: "x", 4: "other line here", 5: "other line here"}
+
+
+# --- 5 quality ---
+
+
+def test_quality_base(docs, rows, nothing):
+    want = []
+    for i, t, *_ in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        at = defaultdict(list)
+        for k in range(len(w) - 7):
+            at[tuple(w[k : k + 8])].append(k)
+        covered = {x for v in at.values() if len(v) > 1 for k in v for x in range(k, k + 8)}
+        lines, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in lines
+                lines.add(line)
+        want.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)))
+    got = quality.quality(docs)
+    assert got.columns[:5] == ["doc_id", "text", "lang", "source", "_h1"]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got.collect()], key=order) == sorted(want, key=order)
+    assert quality.quality(nothing).count() == 0
+    assert quality.keep_good(docs).columns == docs.columns
+    assert quality.keep_good(docs).count() == got.filter("kept").count()
+
+
+def test_quality_divergence(spark):
+    rng = random.Random(1)
+    words = ["the", "of", "and", "to"] + ["".join(rng.choice("abcdeiou") for _ in range(6)) for _ in range(300)]
+    good = lambda: " ".join(rng.choice(words[:4]) if rng.random() < 0.3 else rng.choice(words) for _ in range(150))
+    rows = [(i, good(), "en") for i in range(80)]
+    rows += [(100 + i, good().replace(" ", "%%% "), "en") for i in range(3)] + [(200, " ".join("zq" * 3 + str(i) for i in range(150)), "en")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(80))
+    assert not any(got[100 + i].kept for i in range(3)) and not got[200].kept
+
+
+def test_jensen_shannon(spark):
+    p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x)
+    got = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(quality.jensen_shannon(F.col("p"), F.col("q"))).first()[0]
+    assert got == pytest.approx(math.sqrt((kl(p, m) + kl(q, m)) / 2))
+
+
+# --- 3 near-duplicates ---
+
+
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(rows):
+    by_id = defaultdict(list)
+    for i, t, *_ in rows:
+        if i is not None:
+            by_id[i].append(shingles(t))
+    up = {i: i for i in by_id}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(by_id)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in by_id[a] for y in by_id[b]):
+                u, v = root(a), root(b)
+                up[max(u, v)] = min(u, v)
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_docs": 4, "block_shingles": 300}])
+def test_near_duplicates(docs, rows, nothing, blocks):
+    want = brute_components(rows)
+    got = neardup.near_duplicates(docs, **blocks).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == (None if r.id is None else want[r.id]) for r in got)
+    assert {(r.id, r.n_shingles) for r in got} == {(i, len(shingles(t))) for i, t, *_ in rows}
+    assert neardup.near_duplicates(nothing).count() == 0
+
+
+def test_large_region_of_near_copies(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for i in range(260):
+        words = base[:] if i % 3 else (rows[-1][1].split() if rows else base[:])
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(150)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    want = brute_components(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=32).collect()
+    assert {r.id: r.component_id for r in got} == want
+
+
+# --- 8 mixing ---
+
+
+def test_mixing(docs, rows, nothing):
+    plan = mixing.draw_plan(docs, shard_words=500).collect()
+    assert len(plan) == len(rows)
+    size = lambda t: len(WORD.findall(t or ""))
+    total = sum(size(r[1]) for r in rows)
+    names = sorted({r[3] for r in rows if r[3] is not None}) + [None]
+    cap = {s: 3 * sum(size(r[1]) for r in rows if r[3] == s) for s in names}
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    target, free, left = {}, set(names), float(total)
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > cap[s]}
+        if not over:
+            target |= {s: weight[s] * level for s in free}
+            break
+        for s in over:
+            target[s] = float(cap[s])
+            left -= cap[s]
+        free -= over
+    taken = defaultdict(int)
+    for r in plan:
+        assert len(r.draws) <= 3 and r.target == pytest.approx(target[r.source]) and r.source_size * 3 == cap[r.source]
+        assert len({d.epoch for d in r.draws}) == len(r.draws)
+        taken[r.source] += r.size * len(r.draws)
+    for s in names:
+        assert abs(taken[s] - target[s]) <= max(20, 0.05 * target[s]), s
+    again = mixing.draw_plan(docs.repartition(3), shard_words=500).collect()
+    assert sorted(map(str, again)) == sorted(map(str, plan))
+    mixed = mixing.mix(docs, shard="shard", order="place", shard_words=500)
+    assert mixed.columns == [*docs.columns, "shard", "place"]
+    assert mixed.count() == sum(len(r.draws) for r in plan)
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_splitting_tree_is_exact(spark):
+    quotas = spark.createDataFrame([(1, 1000), (2, 37), (3, 0), (4, 500)], "rank long, quota long")
+    leaves = mixing.splitting_tree(quotas, 5).collect()
+    for rank, quota in ((1, 1000), (2, 37), (4, 500)):
+        seats = sorted((r.lo, r.hi) for r in leaves if r.rank == rank)
+        assert seats[0][0] == 0 and seats[-1][1] == quota and all(a[1] == b[0] for a, b in zip(seats, seats[1:], strict=False))
+    per = defaultdict(int)
+    for r in leaves:
+        per[r.shard] += r.hi - r.lo
+    assert len(per) == 32 and max(per.values()) - min(per.values()) <= 1
+
+
+# --- 4 subword pieces ---
+
+
+def test_pieces(docs, rows, nothing):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=subword.MODEL)
+    plain = subword.encode(docs, rate=0.0).collect()
+    assert all((r.ids is None) == (r.text is None) for r in plain)
+    assert all(r.ids == model.encode(r.text) for r in plain if r.text is not None and "▁" not in r.text)
+    out = subword.decode(subword.encode(docs, rate=0.3)).collect()
+    assert all(r.decoded == r.text for r in out) and len(out) == len(rows)
+    assert any(r.ids != q.ids for r, q in zip(out, plain, strict=True))
+    assert subword.encode(nothing).count() == 0
+
+
+def test_pieces_vary_and_repeat():
+    v = subword.vocabulary(subword.MODEL)
+    text = "interesting segmentations of interesting words " * 8
+    a, b = v.encode(text, 1, 0.3, 5, 4).tolist(), v.encode(text, 1, 0.3, 5, 4).tolist()
+    assert a == b and a != v.encode(text, 2, 0.3, 5, 4).tolist()
+    units = ["word", " the", "日本é", "▁x", "abcabc" * 4]
+    assert v.merge_many(units, [7] * 5, 0.4) == [v.merge(u, 7, 0.4) for u in units]
+    assert v.decode(v.encode("x" * 70000, 1, 0.2, 5, 4).tolist()) == "x" * 70000
+
+
+# --- 2 token counts ---
+
+
+def test_edits_equal_a_full_count():
+    c = tokencount.counter(tokencount.RANKS)
+    rng = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "1", "23", "'s", "!", "é", "日", "\t", " \n ", "word", "don't", " x"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) for _ in range(rng.choice([0, 5, 60, 700])))
+        tree = tokencount.Tree.build([(len(p), c.count(p)) for p in tokencount.pretokens(t)])
+        for _ in range(4):
+            a = rng.randint(0, len(t))
+            b = min(len(t), a + rng.choice([0, 1, 4, 50]))
+            t, tree, _ = tokencount.edit(t, tree, a, b, "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 5, 80]))), c)
+            assert tree.leaves() == [(len(p), c.count(p)) for p in tokencount.pretokens(t)]
+            assert tree.tokens == len(c.bpe.encode_ordinary(t)) and tree.chars == len(t)
+
+
+def test_recount(docs, nothing):
+    out = tokencount.recount(tokencount.count_tokens(tokencount.masking_edits(docs)), "edits").collect()
+    c = tokencount.counter(tokencount.RANKS)
+    for r in out:
+        after = tokencount._MASKED.sub(lambda m: "0" if m[0][0] <= "9" else m[0].lower(), r.text or "")
+        assert r.tokens.n_tokens == len(c.bpe.encode_ordinary(r.text or ""))
+        assert r.recounted.n_tokens == len(c.bpe.encode_ordinary(after)) and (r.recounted.text or r.text or "") == after
+    assert any(r.recounted.n_edits for r in out)
+    assert tokencount.recount(tokencount.count_tokens(tokencount.masking_edits(nothing)), "edits").count() == 0
+
+
+# --- 7 personal data ---
+
+
+def brute_base(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_base_spans():
+    rng = random.Random(2)
+    for _ in range(3000):
+        t = "".join(rng.choice("a1 2.@-+()9.@a%\n") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(t) == brute_base(t)
+    long = "1" * 200_000 + "." * 1000 + "a" * 200_000 + "@"
+    assert pii.base_spans(long) == []
+
+
+def test_personal_data(docs, rows, nothing):
+    got = pii.find_spans(docs).collect()
+    for r in got:
+        base = brute_base(r.text or "")
+        assert r.pii.base == pii.written_spans(base)
+        assert set(r.pii.base.split(",")) <= set(r.pii.spans.split(","))
+        assert (r.pii.n_email, r.pii.n_ip, r.pii.n_card, r.pii.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS)
+    assert pii.find_spans(nothing).count() == 0
+
+
+def test_field_learns_spans():
+    rng = random.Random(8)
+    examples = []
+    for _ in range(150):
+        n = "".join(rng.choice("0123456789") for _ in range(10))
+        for t in pii._examples(f"call +1 ({n[:3]}) {n[3:6]}-{n[6:]} or write joe{n[:2]}@mail.example.com today"):
+            examples.append((t[0], [t[1:]] if t[1] else []))
+        examples.append((f"in {rng.randint(1900, 2100)} there were {rng.randint(1, 900)} of them", []))
+    w = pii.fit(examples, epochs=30)
+    text = "reach me at (415) 555-0134 in 1999"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text, w, 0.5)[1]] == [("phone", "(415) 555-0134")]
+    assert pii.find("in 1999 there were 12 of them", w, 0.5)[1] == []
+
+
+# --- 10 languages ---
+
+
+def test_languages(spark, nothing):
+    rng = random.Random(6)
+    sounds = {"aa": "abcde", "bb": "mnopq", "cc": "uvwxy"}
+    text = lambda k, n: " ".join("".join(rng.choice(sounds[k]) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    learn = spark.createDataFrame([(i, text(k, 60), k) for i, k in enumerate(list(sounds) * 20)], "doc_id long, text string, lang string")
+    langs, logp = langid.train(learn)
+    assert langs == ["aa", "bb", "cc"]
+    asked = [(1, text("bb", 30), "bb"), (2, None, "und"), (3, "123 --", "und"), (4, "", "und"), (5, text("aa", 90) + " " + text("cc", 30), "aa")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(asked, "doc_id long, text string, want string"), langs, logp).collect()}
+    assert all(got[i].lang_pred == w for i, _, w in asked)
+    assert set(got[5].lang_shares) == {"aa", "cc"} and 0.6 < got[5].score < 0.85
+    none, table = langid.train(nothing)
+    assert none == [] and langid.identify(spark.createDataFrame(asked, "doc_id long, text string, want string"), none, table).filter("lang_pred <> 'und' or score <> 0").count() == 0
+
+
+# --- 1 pages ---
+
+
+def test_pages(spark):
+    page = lambda i, extra="": f"<html><head><title>t</title></head><body><div><p>Same banner</p><ul><li>Home<li>News</ul></div><div id=content><h1>T{i} &amp; x</h1><p>Text  {i}\n here<br>more<p>second {i}</p>{extra}</div><p>All rights kept</body>"
+    rows = [(i, "http://a.example/x", page(i)) for i in range(6)] + [(10, None, None), (11, "http://b.example", ""), (12, "http://b.example", "<p>only < one &lt;b&gt;"), (13, "//b.example", "<article><p>a</article><div class='ad'>buy</div>")]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"T{i} & x\n\nText {i} here more\n\nsecond {i}" for i in range(6)]
+    assert got[10] == got[11] == "" and got[12] == "only < one <b>" and got[13] == "a"
+    text = lambda h: htmltext.main_text(h, "", set())
+    assert text("<article><h1>H</h1><aside>s</aside><p>x<b>y</b>z</p><section class='comments'><p>c</p></section><form>f</form></article><footer>f</footer>") == "H\n\nxyz"
+    assert text("<nav>a</nav><script>var x='</p><p>no';</script><!-- <p>no</p> --><main><p>yes</main>") == "yes"
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- 9 images ---
+
+
+def test_image_copies(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=64).tolist()) for i in range(60)] + [(60, None), (61, [])]
+    media = images.media_of_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    out = images.find_copies(media).collect()
+    member = {r.image_id: r.class_id for r in out if r.kind == "member"}
+    found = {(r.image_id, r.class_id) for r in out if r.kind == "match"}
+    asked = {c for i, c in member.items() if i % 20 == 0}
+    want = {(member[i], member[j]) for i in member for j in member if member[i] in asked and i // 4 == j // 4 and member[i] != member[j]}
+    assert found <= want and len(found & want) >= 0.9 * len(want) > 0
+    broken = spark.createDataFrame([(1, None, 4), (2, b"abc", 2), (3, b"", None), (None, b"abcd", 2)], "image_id long, pixels binary, width int")
+    assert {(r.kind, r.image_id) for r in images.find_copies(broken).collect()} == {("member", 1), ("member", 2), ("member", 3)}
+
+
+# --- pipeline ---
+
+
+def test_pipeline(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+
+    docs.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = d.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, d, str(tmp_path))
+        if k < 4:
+            assert out.columns == columns
+            if k == 0:
+                assert out.count() == quality.quality(d).filter("kept").count()
+            if k == 2:
+                before = d.collect()
+                want = brute_components([tuple(r) for r in before])
+                assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in before if r.doc_id is None or want[r.doc_id] == r.doc_id)
+            out.write.parquet(f"{tmp_path}/{k}")
+            d = spark.read.parquet(f"{tmp_path}/{k}")
+        else:
+            assert out.filter("not round_trip").count() == 0 and out.count() == d.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == d.count()
+
+
+def test_sha_of_kept(docs):
+    r = linedup.dedup_lines(docs).filter("doc_id = 1").select("text", F.sha2("text", 256).alias("h")).first()
+    assert r.h == hashlib.sha256(r.text.encode()).hexdigest()

@@ -87,19 +87,22 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int = 17) -> DataFrame:
     return nodes.groupBy("shard").applyInPandas(expand(depth - upper, upper), shape)
 
 
-def _fill(block: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a source's last block that make up what is left of its target: in hashed order, each that still
-    fits; then the smallest other one, if the mix comes nearer with it."""
+def _fill(block: pd.DataFrame, most: int) -> pd.DataFrame:
+    """How often each document of a source's last block makes up what is left of its target: in hashed order, each that
+    still fits, again in further rounds where long documents leave a gap; then the smallest other one, if the mix comes
+    nearer with it."""
     block = block.sort_values(["hash", "id", "mark"], kind="stable").reset_index(drop=True)
     left, size = float(block["left"].iloc[0]), block["size"].to_numpy()
-    fits = np.zeros(len(block), bool)
-    for i, n in enumerate(size):
-        if n <= left:
-            fits[i], left = True, left - n
-    rest = np.nonzero(~fits)[0]
+    times = np.zeros(len(block), np.int64)
+    for _ in range(most - int(block["epochs"].iloc[0])):
+        for i, n in enumerate(size):
+            if 0 < n <= left:
+                times[i] += 1
+                left -= n
+    rest = np.nonzero((times == 0) & (size > 0))[0]
     if len(rest) and size[least := rest[np.argmin(size[rest])]] < 2 * left:
-        fits[least] = True
-    return block.assign(fits=fits)
+        times[least] = 1
+    return block.assign(times=times)
 
 
 def draw_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 2_000_000, block_docs: int = 64, most_blocks: int = 65536) -> DataFrame:
@@ -147,9 +150,12 @@ def draw_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     placed = placed.join(seats, ["rank", "seat"], "left").groupBy("rank", "block").agg(F.first("left").alias("left"), F.first("words").alias("words"), F.first("epochs").alias("epochs"), F.sort_array(F.collect_list(F.when(F.col("seat").isNotNull(), F.struct("epoch", "shard")))).alias("spots"))
     placed = written(placed.withColumn("partly", (F.col("left") > 0) & (F.col("left") < F.col("words"))))
     out = dealt.join(placed, ["rank", "block"])
-    cut = out.filter("partly").groupBy("rank", "block").applyInPandas(_fill, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", fits boolean")
-    out = out.filter("not partly").withColumn("fits", F.col("left") >= F.col("words")).unionByName(cut)
-    out = out.withColumn("draws", F.filter("spots", lambda s: (s["epoch"] < F.col("epochs")) | F.col("fits")))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", times long"
+    cut = out.filter("partly").groupBy("rank", "block").applyInPandas(lambda block: _fill(block, most), shape)
+    out = out.filter("not partly").withColumn("times", (F.col("left") >= F.col("words")).cast("long")).unionByName(cut)
+    whole = F.filter("spots", lambda s: s["epoch"] < F.col("epochs"))
+    last = F.when(F.col("times") > 0, F.flatten(F.transform(F.filter("spots", lambda s: s["epoch"] == F.col("epochs")), lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.col("times"), F.lit(1)) - 1), lambda j: F.struct((s["epoch"] + j).alias("epoch"), s["shard"].alias("shard"))))))
+    out = out.withColumn("draws", F.concat(whole, F.coalesce(last, F.filter("spots", lambda s: F.lit(False)))))
     out = out.join(sources.select("rank", "source_size", "target"), "rank")
     return out.select("id", "mark", "source", "size", "source_size", "target", F.transform("draws", lambda s: F.struct(s["shard"].alias("shard"), s["epoch"].alias("epoch"))).alias("draws"))
 

@@ -92,13 +92,19 @@ def features(span: str, n_tokens: int) -> np.ndarray:
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of neighbouring tokens that a candidate may lie in: each has a digit, @, bracket or plus. Tokens lose edge
     punctuation; text outside regions can hold no candidate, so leaving it out changes no decision."""
+    spelled: list[tuple[int, int]] = []
     if "at)" in text or "at]" in text:  # an address with its @ spelled out is one token
         for m in _SPELLED.finditer(text):
+            spelled.append(m.span())
             yield [(m.start(), m.end() - (text[m.end() - 1] in _EDGE))]
     run: list[tuple[int, int]] = []
-    last = -1
+    last, k = -1, 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
+        while k < len(spelled) and spelled[k][1] <= a:
+            k += 1
+        if k < len(spelled) and spelled[k][0] < b:
+            continue
         if run and not (a - last <= 2 and "\n" not in text[last:a]):
             yield run
             run = []
@@ -151,7 +157,8 @@ def fit(examples: list[tuple[str, list[Span]]], epochs: int = 60, rate: float =
                 continue
             want = {(s, e): KINDS.index(k) for k, s, e in spans}
             c = _candidates(text, tokens)
-            if c:
+            # an example's labels say nothing about other data near it
+            if c and (not spans or any((tokens[i][0], tokens[j - 1][1]) in want for i, j, _ in c)):
                 data.append((len(tokens), [(i, j) for i, j, _ in c], np.array([f for *_, f in c]), [want.get((tokens[i][0], tokens[j - 1][1])) for i, j, _ in c]))
     w = np.zeros((len(KINDS), len(FEATURES)))
     w[:, 0] = -2
@@ -236,7 +243,7 @@ def find(text: str | None, weights: np.ndarray, margin: float) -> tuple[list[Spa
         if k and reach[k - 1] >= hi:
             continue  # all of it lies in base spans
         for s in decode(text, tokens, weights, margin):
-            if free(s[1], s[2]) and not any(a < s[2] and s[1] < b for _, a, b in added[-2:]):
+            if free(s[1], s[2]):
                 added.append(s)
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
