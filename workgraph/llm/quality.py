@@ -105,7 +105,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     return written(langs.join(common, "lang", "left"))
 
 
-def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_class: float = 0.32, max_common: float = 0.42, min_chars: int = 200, min_words: int = 100, references: DataFrame | None = None) -> DataFrame:
+def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_class: float = 0.32, max_common: float = 0.42, min_chars: int = 200, min_words: int = 40, references: DataFrame | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance, kept.
 
     The base fails texts of under 20 words, or with over 30 % of their words in repeated windows of 8. The others are
