@@ -26,7 +26,9 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 #: Elements that, inside the article, are text even where pages share them.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dd dt table tbody tr td th figcaption".split())
 #: Words of class, id, role or aria-label values that mark what is not the article.
-_NOT_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|sidebar|side|widget|related|recommend(?:ed|ations)?|trending|popular|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|footer|header|masthead|topbar|search|form|complementary|contentinfo|dialog|skip|toc|tags|byline-links)(?:$|[\s_-])", re.I)
+_NOT_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|adsbygoogle|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|sidebar|widget|related|recommend(?:ed|ations)?|trending|popular|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|footer|search|form|complementary|contentinfo|skip|toc|tags)(?:$|[\s_-])", re.I)
+#: Words that mark a page's head, which inside an article is a part of it.
+_HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?:$|[\s_-])", re.I)
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>|[!?][^>]*(?:>|\Z))""", re.S)
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -34,7 +36,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true
 
 
 class Node:
-    __slots__ = ("tag", "mark", "hidden", "kids", "code", "holds")
+    __slots__ = ("tag", "mark", "hidden", "kids", "code", "holds", "h1", "size")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag = tag
@@ -42,7 +44,9 @@ class Node:
         self.hidden = bool(attrs) and bool(_HIDDEN.search(attrs))
         self.kids: list = []
         self.code = 0
-        self.holds = tag in ("article", "main", "h1")  # it, or what is in it, may be the article
+        self.holds = tag in ("article", "main") and not _NOT_TEXT.search(self.mark)  # it is, or holds, an article
+        self.h1 = tag == "h1"  # it is, or holds, a title
+        self.size = 0  # characters of text inside
 
 
 def parse(page: str) -> Node:
@@ -124,7 +128,10 @@ def hash_subtrees(root: Node, site: str) -> None:
         h = blake2b(f"{site}\0{x.tag}\0{x.mark}".encode("utf-8", "surrogatepass"), digest_size=8)
         for k in x.kids:
             h.update(k.code.to_bytes(8, "big", signed=True) if isinstance(k, Node) else " ".join(k.split()).encode("utf-8", "surrogatepass"))
-            x.holds |= isinstance(k, Node) and k.holds
+            if isinstance(k, Node):
+                x.holds, x.h1, x.size = x.holds or k.holds, x.h1 or k.h1, x.size + k.size
+            else:
+                x.size += len(k)
         x.code = int.from_bytes(h.digest(), "big", signed=True)
 
 
@@ -133,8 +140,21 @@ def subtree_codes(root: Node) -> set[int]:
     return {x.code for x in _walk(root) if x.tag in BLOCK and x.tag not in ("html", "body") and any(isinstance(k, Node) or k.strip() for k in x.kids)}
 
 
-def _outside(x: Node) -> bool:
-    return x.tag in DROP or x.hidden or (bool(x.mark) and x.tag not in ("html", "body", "main") and bool(_NOT_TEXT.search(x.mark)))
+#: A repeated subtree with a title and so much text is a page that was published more than once.
+LONG = 400
+
+
+def _outside(x: Node, within: bool, articles: bool) -> bool:
+    """Whether an element is marked as something other than the article. What holds the article is not, whatever its
+    name says; a head is, unless it stands in the article, or has the title of a page without an article element."""
+    if x.hidden or x.tag in ("html", "body", "main"):
+        return x.hidden
+    if x.holds and not within:
+        return False
+    if x.tag in DROP or (x.mark and _NOT_TEXT.search(x.mark)):
+        return True
+    head = x.tag == "header" or (x.mark and _HEAD.search(x.mark))
+    return bool(head) and not within and not (x.h1 and not articles)
 
 
 def _prune(x: Node, templates: set[int], inside: bool) -> None:
@@ -146,8 +166,9 @@ def _prune(x: Node, templates: set[int], inside: bool) -> None:
         kept = []
         for k in node.kids:
             if isinstance(k, Node):
-                repeated = k.code in templates and not k.holds and not (within and k.tag in TEXTUAL)
-                if repeated or _outside(k) or (k.tag == "header" and not within):
+                whole = k.holds or (k.h1 and k.size >= LONG)
+                repeated = k.code in templates and not whole and not (within and k.tag in TEXTUAL)
+                if repeated or _outside(k, within, x.holds):
                     kept.append(" ") if k.tag in INLINE else kept.append(Node("hr"))
                     continue
                 todo.append((k, within or k.tag in ("article", "main")))
