@@ -367,7 +367,11 @@ def _long(m):
     return m.select("path", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in ("void_ptr", "asm_code", "goto_count", "init_side_effect")])).alias("e")).select("path", "e.metric", "e.n")
 
 
-@_q("l02_regressions", "v_sources", None)
+_EACH = " union all ".join(f"select path, '{c}' metric, {c} n from m" for c in ("void_ptr", "asm_code", "goto_count", "init_side_effect"))
+
+
+@_q("l02_regressions", "v_sources", f"""with {_METRIC}, c as ({_EACH}), b as (select path, metric, case when metric = 'asm_code' then n - 1 else n end n from c), k as (select * from b where n > 0)
+select c.path, c.metric, coalesce(k.n, 0) before, c.n after from c left join k on k.path = c.path and k.metric = c.metric where c.metric in (select metric from k) and c.path in (select path from k) and c.n > coalesce(k.n, 0)""")
 def _(t):
     before = _long(_metrics(t)).withColumn("n", F.when(F.col("metric") == "asm_code", F.col("n") - 1).otherwise(F.col("n"))).filter("n > 0")
     return lint.regressions(_long(_metrics(t)), before)
@@ -419,7 +423,7 @@ def _(t):
     return lint.matched_name_findings(lint.lines(t("v_sources")), items)
 
 
-@_q("l21_all_findings", "v_sources", None)
+@_q("l21_all_findings", "v_sources", f'with {_HITS} select path, line_no, "rule" from h')
 def _(t):
     src = lint.lines(t("v_sources"))
     cols = ["path", "line_no", "rule"]
@@ -502,7 +506,7 @@ def _(t):
 @_q("b07_plan_call_sites", "v_sources", None)
 def _(t):
     lines = lint.lines(t("v_sources"))
-    words = t("part").select(F.explode(F.split("p_name", " ")).alias("name")).groupBy("name").agg(F.count("*").alias("ord"))
+    words = t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[a-z]{8,}\b"), 0)).alias("name"), "item_id").groupBy("name").agg(F.min("item_id").alias("ord"))
     return binary.plan_call_sites(lines, words.select("name", "ord", F.lit("").alias("path"), F.lit(0).alias("line_no")))
 
 
