@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 SCALES = (1.0, 0.75, 0.5)
-BITS, POINTS, RADIUS, TURNS = 128, 16, 7, 32
-TABLES, TABLE_BITS = 8, 24
+BITS, POINTS, RADIUS, TURNS = 128, 12, 7, 32
+TABLES, TABLE_BITS = 4, 22
 _rng = np.random.Generator(np.random.Philox(key=[9, 64]))
 _tests = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 4)), -RADIUS, RADIUS)
 _angles = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -133,11 +133,17 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     classes = written(seen.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("image_id").alias("class_id"), F.bool_or(F.col("image_id") % query_every == 0).alias("asks")))
     members = seen.select("image_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "class_id"), ["h1", "h2"], "left").select("image_id", F.coalesce("class_id", "image_id").alias("class_id"))
     reps = classes.join(seen.withColumnRenamed("image_id", "class_id"), ["h1", "h2", "class_id"]).dropDuplicates(["h1", "h2", "class_id"]).select("class_id", "asks", "points")
-    corner = reps.select("class_id", "asks", F.posexplode("points").alias("k", "p")).select("class_id", "asks", "k", "p", F.posexplode("p.keys").alias("t", "key"))
-    corner = written(corner.select("class_id", "asks", "k", "t", "key", *[F.col(f"p.{c}").alias(c) for c in ("x", "y", "level", "turn", "hi", "lo")]))
-    side = lambda d, s: d.select("t", "key", *[F.col(c).alias(c + s) for c in ("class_id", "k", "x", "y", "level", "turn", "hi", "lo")])
-    met = side(corner.filter("asks"), "_q").join(side(corner, "_m"), ["t", "key"]).filter("class_id_q <> class_id_m")
+    # one row for each corner and table, of five numbers: the table and key, the class, where the corner is, its bits
+    at = F.shiftleft(F.round(F.col("p.x") * 4).cast("long"), 40) + F.shiftleft(F.round(F.col("p.y") * 4).cast("long"), 20) + F.shiftleft(F.col("p.level").cast("long"), 16) + F.shiftleft(F.col("p.turn").cast("long"), 8) + F.col("k")
+    corner = reps.select("class_id", "asks", F.posexplode("points").alias("k", "p")).select("class_id", "asks", at.alias("at"), F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), F.posexplode("p.keys").alias("t", "key"))
+    corner = corner.withColumn("key", F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).drop("t")
+    side = lambda d, s: d.select("key", *[F.col(c).alias(c + s) for c in ("class_id", "at", "hi", "lo")])
+    met = side(corner.filter("asks"), "_q").join(side(corner, "_m"), "key").filter("class_id_q <> class_id_m")
     met = met.filter(F.bit_count(F.col("hi_q").bitwiseXOR(F.col("hi_m"))) + F.bit_count(F.col("lo_q").bitwiseXOR(F.col("lo_m"))) <= most_distance)
+    bits = lambda c, low, wide: F.shiftright(c, low).bitwiseAND((1 << wide) - 1)
+    for s in ("_q", "_m"):
+        a = F.col("at" + s)
+        met = met.withColumns({"x" + s: bits(a, 40, 20) / 4, "y" + s: bits(a, 20, 20) / 4, "level" + s: bits(a, 16, 4).cast("int"), "turn" + s: bits(a, 8, 8), "k" + s: bits(a, 0, 8)})
     scale = F.array(*[F.lit(float(s)) for s in SCALES])
     ratio = F.log2(F.get(scale, F.col("level_q")) / F.get(scale, F.col("level_m")))  # of the copy's size to the query's
     turn = F.pmod(F.col("turn_m") - F.col("turn_q"), F.lit(TURNS))
@@ -192,4 +198,5 @@ def media_of_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     rows.append((i * 4 + i % 4, edited(img, i % 4)))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([np.ascontiguousarray(m).tobytes() for _, m in rows], pa.binary()), pa.array([m.shape[1] for _, m in rows], pa.int32())], ["image_id", "pixels", "width"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "image_id long, pixels binary, width int")
+    spread = 2 * vectors.sparkSession.sparkContext.defaultParallelism  # drawing takes long for what the rows weigh
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).repartition(spread).mapInArrow(run, "image_id long, pixels binary, width int")
