@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 SCALES = (1.0, 0.75, 0.5)
-BITS, POINTS, RADIUS, TURNS = 128, 12, 7, 32
-TABLES, TABLE_BITS = 4, 22
+BITS, POINTS, RADIUS, TURNS = 128, 16, 7, 32
+#: Side of the cells whose own strongest corners are kept besides the POINTS strongest of the image, and how many a cell.
+CELL, CELL_POINTS = 32, 4
+TABLES, TABLE_BITS = 8, 24
 _rng = np.random.Generator(np.random.Philox(key=[9, 64]))
 _tests = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 4)), -RADIUS, RADIUS)
 _angles = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -28,6 +30,8 @@ def _turned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 _FIRST, _SECOND = _turned(_tests[:, 0], _tests[:, 1]), _turned(_tests[:, 2], _tests[:, 3])
 #: Bits of the descriptor that make the key of each table.
 _KEYS = np.stack([_rng.permutation(BITS)[:TABLE_BITS] for _ in range(TABLES)])
+#: The same as masks of the descriptor's two words.
+_MASKS = [[int(w) for w in np.packbits(np.isin(np.arange(BITS), k)).view(">i8")] for k in _KEYS]
 _disc = [(dy, dx) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS, RADIUS + 1) if dx * dx + dy * dy <= RADIUS * RADIUS]
 _DY, _DX = np.array(_disc).T
 
@@ -52,7 +56,8 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
 
 
 def describe_image(pixels: np.ndarray) -> list[tuple[float, float, int, int, int, int]]:
-    """(x, y, scale step, turn, first and last 64 descriptor bits) of up to POINTS corners of a grey image at each scale."""
+    """(x, y, scale step, turn, first and last 64 descriptor bits) of corners of a grey image: at each scale the POINTS
+    strongest, and the CELL_POINTS strongest of every cell, so that a small part of a large image has its own."""
     out = []
     for level, scale in enumerate(SCALES):
         a = _resized(pixels.astype(float), scale)
@@ -70,8 +75,14 @@ def describe_image(pixels: np.ndarray) -> list[tuple[float, float, int, int, int
                     top &= strong > n if (dy, dx) < (1, 1) else strong >= n
         top &= strong > max(1.0, 0.001 * float(strong.max()))
         y, x = np.nonzero(top)
-        best = np.argsort(-strong[y, x], kind="stable")[:POINTS]
+        best = np.argsort(-strong[y, x], kind="stable")
         y, x = y[best], x[best]
+        cell = (y // CELL) * (strong.shape[1] // CELL + 1) + x // CELL
+        by = np.argsort(cell, kind="stable")  # strongest first in each cell
+        place = np.arange(len(by)) - np.searchsorted(cell[by], cell[by])
+        keep = np.arange(len(by)) < POINTS
+        keep[by[place < CELL_POINTS]] = True
+        y, x = y[keep], x[keep]
         if not len(y):
             continue
         s = np.pad(_box(a, 1), 2 * RADIUS, mode="edge")
@@ -121,8 +132,8 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     class, named by its smallest id. A 'match' row says that the class image_id, which holds a query, has an edited or
     cropped copy in class class_id, with so many corners that agree on one turn, scale and shift.
 
-    Queries are the images whose id query_every divides; they are held against all classes. Corners meet in hash tables
-    of TABLE_BITS bits of their descriptors, count within most_distance differing bits, and vote for a turn, scale and
+    Queries are the images whose id query_every divides; they are held against all classes. Corners meet in TABLES hash
+    tables of TABLE_BITS bits of their descriptors, count within most_distance differing bits, and vote for a turn, scale and
     shift of the query in bins that overlap by half; least corners or more must agree. All of it are equi-joins and
     counts: no image meets every other. A key that many corners share is split by Spark's skew join.
 
@@ -133,17 +144,26 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     classes = written(seen.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("image_id").alias("class_id"), F.bool_or(F.col("image_id") % query_every == 0).alias("asks")))
     members = seen.select("image_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "class_id"), ["h1", "h2"], "left").select("image_id", F.coalesce("class_id", "image_id").alias("class_id"))
     reps = classes.join(seen.withColumnRenamed("image_id", "class_id"), ["h1", "h2", "class_id"]).dropDuplicates(["h1", "h2", "class_id"]).select("class_id", "asks", "points")
-    # one row for each corner and table, of five numbers: the table and key, the class, where the corner is, its bits
-    at = F.shiftleft(F.round(F.col("p.x") * 4).cast("long"), 40) + F.shiftleft(F.round(F.col("p.y") * 4).cast("long"), 20) + F.shiftleft(F.col("p.level").cast("long"), 16) + F.shiftleft(F.col("p.turn").cast("long"), 8) + F.col("k")
-    corner = reps.select("class_id", "asks", F.posexplode("points").alias("k", "p")).select("class_id", "asks", at.alias("at"), F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), F.posexplode("p.keys").alias("t", "key"))
+    reps = written(reps)
+    # the index: one row for each corner and table, with the class, the corner's place in it, and its bits
+    corner = reps.select("class_id", "asks", F.posexplode("points").alias("k", "p")).select("class_id", "asks", "k", F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), F.posexplode("p.keys").alias("t", "key"))
     corner = corner.withColumn("key", F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).drop("t")
-    side = lambda d, s: d.select("key", *[F.col(c).alias(c + s) for c in ("class_id", "at", "hi", "lo")])
+    side = lambda d, s: d.select("key", *[F.col(c).alias(c + s) for c in ("class_id", "k", "hi", "lo")])
     met = side(corner.filter("asks"), "_q").join(side(corner, "_m"), "key").filter("class_id_q <> class_id_m")
-    met = met.filter(F.bit_count(F.col("hi_q").bitwiseXOR(F.col("hi_m"))) + F.bit_count(F.col("lo_q").bitwiseXOR(F.col("lo_m"))) <= most_distance)
-    bits = lambda c, low, wide: F.shiftright(c, low).bitwiseAND((1 << wide) - 1)
+    met = met.withColumns({c: F.col(c + "_q").bitwiseXOR(F.col(c + "_m")) for c in ("hi", "lo")}).filter(F.bit_count("hi") + F.bit_count("lo") <= most_distance)
+    # corners that meet in several tables count in the first
+    alike = lambda t: (F.col("hi").bitwiseAND(_MASKS[t][0]) == 0) & (F.col("lo").bitwiseAND(_MASKS[t][1]) == 0)
+    first = F.coalesce(*[F.when(alike(t), t) for t in range(TABLES)])
+    met = met.filter(first == F.shiftright("key", 32)).select("class_id_q", "class_id_m", (F.shiftleft(F.col("k_q").cast("long"), 32) + F.col("k_m")).alias("k"))
+    # two classes with fewer than least different corners that match cannot have least that agree
+    met = met.repartition("class_id_q", "class_id_m").groupBy("class_id_q", "class_id_m").agg(F.collect_list("k").alias("ks"))
+    left, right = lambda k: F.shiftright(k, 32).cast("int"), lambda k: k.bitwiseAND((1 << 32) - 1).cast("int")
+    met = met.filter(F.least(*[F.size(F.array_distinct(F.transform("ks", f))) for f in (left, right)]) >= least)
     for s in ("_q", "_m"):
-        a = F.col("at" + s)
-        met = met.withColumns({"x" + s: bits(a, 40, 20) / 4, "y" + s: bits(a, 20, 20) / 4, "level" + s: bits(a, 16, 4).cast("int"), "turn" + s: bits(a, 8, 8), "k" + s: bits(a, 0, 8)})
+        met = met.join(reps.select(F.col("class_id").alias("class_id" + s), F.col("points").alias("points" + s)), "class_id" + s)
+    pair = lambda k: F.struct(left(k).alias("k_q"), right(k).alias("k_m"), F.get("points_q", left(k)).alias("q"), F.get("points_m", right(k)).alias("m"))
+    met = met.select("class_id_q", "class_id_m", F.explode(F.transform("ks", pair)).alias("p"))
+    met = met.select("class_id_q", "class_id_m", "p.k_q", "p.k_m", *[F.col(f"p.{s}.{c}").alias(f"{c}_{s}") for s in ("q", "m") for c in ("x", "y", "level", "turn")])
     scale = F.array(*[F.lit(float(s)) for s in SCALES])
     ratio = F.log2(F.get(scale, F.col("level_q")) / F.get(scale, F.col("level_m")))  # of the copy's size to the query's
     turn = F.pmod(F.col("turn_m") - F.col("turn_q"), F.lit(TURNS))
