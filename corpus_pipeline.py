@@ -29,8 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest id. Documents without an id stay."""
-    found = neardup.near_duplicates(docs)
+    """One document of each group of near-duplicates, linked at a Jaccard of 0.8: the one of smallest id. Documents without
+    an id stay."""
+    found = neardup.near_duplicates(docs, percent=80, shallow=3, loose=0.375)
     gone = found.filter("id <> component_id").select(F.col("id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
 

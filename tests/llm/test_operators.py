@@ -402,6 +402,21 @@ def test_image_crop_of_a_large_image(spark):
     assert got == {21, 22, 23}
 
 
+def test_pipeline_drops_near_copies_at_80(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(80), []
+    for i in range(60):
+        words = [f"w{i}x{k}" for k in range(204)]  # 200 shingles
+        copy = words[:]
+        for at in sorted(rng.sample(range(10, 190, 12), 4)):
+            copy[at] = f"new{i}x{at}"  # 20 of them change: 180 / 220 = 0.818
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    assert all(0.8 <= len(shingles(a[1]) & shingles(b[1])) / len(shingles(a[1]) | shingles(b[1])) < 0.85 for a, b in zip(rows[::2], rows[1::2], strict=True))
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [r[0] for r in rows[::2]]
+
+
 def test_image_tables_meet():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2, (4000, 128), dtype=np.uint8)

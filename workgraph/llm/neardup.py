@@ -51,8 +51,8 @@ def _binary(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(len(column), width // 2)
 
 
-def _neighbours(window: int, least: float):
-    """Sorted rows (tree, key, id, sketch) -> edges between rows at most window apart that share SHALLOW values of the
+def _neighbours(window: int, least: float, shallow: int):
+    """Sorted rows (tree, key, id, sketch) -> edges between rows at most window apart that share shallow values of the
     order and so much of the sketch. How deep the shared prefix is follows the region: in a dense one the nearest rows
     share many values, in a thin one few."""
 
@@ -61,7 +61,7 @@ def _neighbours(window: int, least: float):
         for batch in batches:
             if not len(batch):
                 continue
-            rows = [batch.column(0).to_numpy(zero_copy_only=False), _binary(batch.column(1), 2 * DEPTH)[:, :SHALLOW], batch.column(2).to_numpy(zero_copy_only=False), _binary(batch.column(3), 48)]
+            rows = [batch.column(0).to_numpy(zero_copy_only=False), _binary(batch.column(1), 2 * DEPTH)[:, :shallow], batch.column(2).to_numpy(zero_copy_only=False), _binary(batch.column(3), 48)]
             if held is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
             tree, key, ids, sketch = rows
@@ -166,13 +166,14 @@ def _against(wide: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, wide: int = 5, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 128, block_shingles: int = 400_000, window: int = 3, orders: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, wide: int = 5, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 128, block_shingles: int = 400_000, window: int = 3, orders: int = 3, shallow: int = SHALLOW, loose: float = 0.5) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs.
 
     Texts are linked when 100 * intersection >= percent * union of their sets of shingles of wide words.
     1. Rows of equal shingle sets are one class (by size and 128 bits of hash); its smallest id stands for it.
     2. Every class stands in TREES sorted orders of its MinHash signature. Neighbours by longest common prefix, with a
-       loose check of a sketch, make edges; their components are regions, wider than any component of real links.
+       loose check of a sketch, make edges if they share shallow values and so much of the sketch; a lower percent needs
+       both to be lower; their components are regions, wider than any component of real links.
     3. In a region of up to block_docs all pairs are compared on full sets in one task. A larger region is cut into
        blocks along some of the sorted orders; what they link is merged. Then the documents outside the region's
        largest component are the queries, compared on full sets with all its documents, in blocks: whatever the
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, wide: int = 5, id_col: s
     key = lambda order: F.concat(*[F.substring("sig", 2 * v + 1, 2) for v in order])
     trees = reps.select("id", F.substring("sig", 1, 48).alias("sketch"), F.posexplode(F.array(*[key(o) for o in ORDERS])).alias("tree", "key")).select("tree", "key", "id", "sketch")
     spread = trees.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    regions = components(spread.mapInArrow(_neighbours(window, 0.5), "a long, b long")).withColumnRenamed("component", "region")
+    regions = components(spread.mapInArrow(_neighbours(window, loose, shallow), "a long, b long")).withColumnRenamed("component", "region")
     regions = written(regions.join(reps, "id").select("id", "region", "n", *[key(o).alias(f"k{i}") for i, o in enumerate(ORDERS[:orders])]))
     sizes = written(regions.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")))
     big = (F.col("docs") > block_docs) | (F.col("shingles") > block_shingles)
