@@ -264,6 +264,20 @@ def test_pieces_vary_and_repeat():
     assert v.decode(v.encode("x" * 70000, 1, 0.2, 5, 4).tolist()) == "x" * 70000
 
 
+def test_every_occurrence_has_draws_of_its_own():
+    v = subword.vocabulary(subword.MODEL)
+    word = "interesting"
+    cuts = {tuple(v.encode(word, k, 0.3, 5).tolist()) for k in range(400)}
+    assert len(cuts) > 20
+    ids = v.encode(" ".join([word] * 400), 1, 0.3, 5).tolist()
+    assert v.decode(ids) == " ".join([word] * 400)
+    units = [" the", " representation", " x", "日本é", " 2026-11", " of"] * 50
+    keys = v._keys(units, 9, 5, None)
+    assert v._encode_units(units, [keys], 0.1) == [v.merge(u, k, 0.1) for u, k in zip(units, keys.tolist(), strict=True)]
+    unskipped = sum(v.merge(u, k, 0.1) == v.merge(u, 0, 0.0) for u, k in zip(units, keys.tolist(), strict=True))
+    assert 0 < unskipped < len(units)
+
+
 # --- 2 token counts ---
 
 

@@ -19,8 +19,16 @@ SPACE = "▁"
 #: Marks a U+2581 of the text itself, which is written as bytes so that it is not read back as a space.
 LITERAL = "\0" + SPACE
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
-MOST_CACHED, MOST_UNIT, MOST_WIDE = 400_000, 48, 32
-_MASK, _MASK64 = 2**32 - 1, 2**64 - 1
+MOST_CACHED, MOST_UNIT, MOST_WIDE, MOST_TOGETHER = 200_000, 48, 32, 50_000
+_MASK64 = 2**64 - 1
+
+
+_NO_STEPS = np.zeros(0, np.uint64)
+
+
+def _draw(key: np.ndarray) -> np.ndarray:
+    """32 bits of a key that already holds the merge: it is skipped where they are under the threshold."""
+    return (key * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)
 
 
 class PairTable:
@@ -89,8 +97,7 @@ class Vocabulary:
         # units end before a space and around a newline; that is exact as long as no piece crosses such a place
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece of this model crosses a unit's edge")
-        self.cache: dict[tuple[int, int, float], dict[str, tuple[int, ...]]] = {}
-        self.cached = 0
+        self.cache: dict[str, tuple[tuple[int, ...], np.ndarray]] = {}
 
     def merge(self, unit: str, key: int, rate: float) -> tuple[int, ...]:
         """The pieces of one unit. Candidate merges stand in an agenda by score, then place; each is skipped where a
@@ -157,8 +164,9 @@ class Vocabulary:
             offer(left[a], a)
             offer(a, right[a])
 
-    def merge_many(self, units: list[str], keys: list[int], rate: float) -> list[tuple[int, ...]]:
-        """merge() for many units: the agendas of all are rows of one array, and each round takes the best of every row."""
+    def merge_many(self, units: list[str], keys: list[int], rate: float, steps: list[list[int]] | None = None) -> list[tuple[int, ...]]:
+        """merge() for many units: the agendas of all are rows of one array, and each round takes the best of every row.
+        steps, a list for each unit of up to MOST_WIDE characters, gets what the draw of each merge is made from."""
         out: list = [None] * len(units)
         short = [i for i, u in enumerate(units) if len(u) <= MOST_WIDE and "  " not in u]
         for i in set(range(len(units))).difference(short):
@@ -166,10 +174,10 @@ class Vocabulary:
         short.sort(key=lambda i: len(units[i]))
         for at in range(0, len(short), 8192):
             some = short[at : at + 8192]
-            self._merge_rows([units[i] for i in some], np.array([keys[i] for i in some], np.uint64), int(rate * 2**32), some, out)
+            self._merge_rows([units[i] for i in some], np.array([keys[i] for i in some], np.uint64), int(rate * 2**32), some, out, steps)
         return out
 
-    def _merge_rows(self, units: list[str], key: np.ndarray, threshold: int, where: list[int], out: list) -> None:
+    def _merge_rows(self, units: list[str], key: np.ndarray, threshold: int, where: list[int], out: list, steps: list[list[int]] | None) -> None:
         size = np.array([len(u) for u in units])
         wide = int(size.max())
         ids = np.full((len(units), wide), (1 << 21) - 1, np.int64)
@@ -190,9 +198,13 @@ class Vocabulary:
                 if not len(row):
                     return
             go = np.arange(len(row))
+            if threshold or steps is not None:
+                step = best.astype(np.uint64) * np.uint64(0x9E3779B1) ^ k.astype(np.uint64) << np.uint64(40)
+            if steps is not None:
+                for i, x in zip(row.tolist(), step.tolist(), strict=True):
+                    steps[i].append(x)
             if threshold:
-                draw = ((key ^ best.astype(np.uint64) * np.uint64(0x9E3779B1) ^ k.astype(np.uint64) << np.uint64(40)) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)
-                skip = draw < np.uint64(threshold)
+                skip = _draw(key ^ step) < np.uint64(threshold)
                 rank[go[skip], k[skip]] = PairTable.NONE
                 go = go[~skip]
                 k, best = k[go], best[go]
@@ -220,41 +232,61 @@ class Vocabulary:
             else:
                 yield from (self.byte[x] for x in chr(i - n).encode())
 
-    def encode_all(self, texts: list[str | None], keys: list[int], rate: float, seed: int, variants: int) -> list[np.ndarray | None]:
-        """Ids of each text (null for null); words not met before are merged together, all texts' at once."""
-        count = variants if rate > 0 else 1
-        tables = [self.cache.setdefault((seed, v, rate), {}) for v in range(count)]
-        if self.cached > MOST_CACHED:
-            for t in self.cache.values():
-                t.clear()
-            self.cached = 0
-        cut: list[tuple[list[str], list[int]]] = []
-        new: dict[tuple[str, int], None] = {}
-        for text, key in zip(texts, keys, strict=True):
-            units = _UNIT.findall(" " + text) if text else []
-            which = [0] * len(units)
-            if count > 1 and units:
-                which = (mix(np.arange(len(units), dtype=np.uint64) + mix(np.array([key & _MASK64], np.uint64))) % np.uint64(count)).tolist()
-            new.update(((u, v), None) for u, v in zip(units, which, strict=True) if u not in tables[v])
-            cut.append((units, which))
-        fresh_ = list(new)
-        raw = [u.encode() for u, _ in fresh_]
-        made = self.merge_many([u for u, _ in fresh_], [crc32(b, seed + 7919 * v & _MASK) << 32 | crc32(b, v) for b, (_, v) in zip(raw, fresh_, strict=True)], rate)
-        for (u, v), ids in zip(fresh_, made, strict=True):
-            tables[v][u] = ids
-        self.cached += len(fresh_)
-        out: list[np.ndarray | None] = []
-        for text, (units, which) in zip(texts, cut, strict=True):
-            ids = []
-            for u, v in zip(units, which, strict=True):
-                ids += tables[v][u]
-            out.append(None if text is None else np.array(ids, np.int32))
-        for u, v in fresh_:
-            if len(u) > MOST_UNIT:
-                del tables[v][u]
+    def _undropped(self, units: list[str]) -> None:
+        """The cache's entries of units not met before: their ids, and what the draw of each of their merges is made from."""
+        if len(self.cache) > MOST_CACHED:
+            self.cache.clear()
+        new = [u for u in dict.fromkeys(units) if u not in self.cache and len(u) <= MOST_WIDE and "  " not in u]
+        steps: list[list[int]] = [[] for _ in new]
+        made = self.merge_many(new, [0] * len(new), 0.0, steps)
+        for u, ids, each in zip(new, made, steps, strict=True):
+            self.cache[u] = ids, np.array(each, np.uint64)
+
+    def encode_all(self, texts: list[str | None], keys: list[int], rate: float, seed: int, variants: int | None = None) -> list[np.ndarray | None]:
+        """Ids of each text (null for null). The draws of a word are keyed by its text's key and its place, or by one of so
+        many variants; where none of them skips a merge, the ids are those of the word without dropout, which are cached."""
+        cut = [_UNIT.findall(" " + text) if text else [] for text in texts]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (end == at or held + len(cut[end]) <= MOST_TOGETHER):
+                held += len(cut[end])
+                end += 1
+            units = [u for c in cut[at:end] for u in c]
+            ids = self._encode_units(units, [self._keys(c, k, seed, variants) for c, k in zip(cut[at:end], keys[at:end], strict=True)], rate)
+            place = 0
+            for i in range(at, end):
+                mine = ids[place : place + len(cut[i])]
+                place += len(cut[i])
+                out[i] = None if texts[i] is None else np.array([x for w in mine for x in w], np.int32)
+            at = end
+        return out
+
+    def _keys(self, units: list[str], key: int, seed: int, variants: int | None) -> np.ndarray:
+        at = mix(np.arange(len(units), dtype=np.uint64) + mix(np.array([key & _MASK64], np.uint64)))
+        if variants:
+            at = np.array([crc32(u.encode(), v) for u, v in zip(units, (at % np.uint64(variants)).tolist(), strict=True)], np.uint64)
+        return mix(at ^ mix(np.array([seed & _MASK64], np.uint64)))
+
+    def _encode_units(self, units: list[str], keys: list[np.ndarray], rate: float) -> list[tuple[int, ...]]:
+        if not units:
+            return []
+        key, threshold = np.concatenate(keys), int(rate * 2**32)
+        self._undropped(units)
+        known = [self.cache.get(u) for u in units]
+        out = [k[0] if k else None for k in known]
+        again = np.array([k is None for k in known])
+        if threshold:
+            steps = [k[1] if k else _NO_STEPS for k in known]
+            of = np.repeat(np.arange(len(units)), [len(x) for x in steps])
+            again[of[_draw(key[of] ^ np.concatenate(steps)) < np.uint64(threshold)]] = True
+        todo = np.nonzero(again)[0].tolist()
+        for i, ids in zip(todo, self.merge_many([units[i] for i in todo], key[todo].tolist(), rate), strict=True):
+            out[i] = ids
         return out
 
-    def encode(self, text: str, key: int, rate: float, seed: int, variants: int) -> np.ndarray:
+    def encode(self, text: str, key: int, rate: float, seed: int, variants: int | None = None) -> np.ndarray:
         return self.encode_all([text], [key], rate, seed, variants)[0]
 
     def decode(self, ids: list[int]) -> str:
@@ -268,12 +300,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, rate: float = 0.1, seed: int = 41, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, rate: float = 0.1, seed: int = 41, variants: int | None = None, id_col: str = "doc_id", text_col: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
     """docs with the piece ids of each text in column out (array<int>).
 
-    Every candidate merge of the agenda is skipped with probability rate, by a hash of the seed, the variant, the word and
-    the merge. A word's variant follows a hash of the document's id and the word's place, so one word is cut in up to
-    variants ways, and reruns agree. rate 0 is the model's own segmentation. decode() gives the text back whatever was
+    Every candidate merge of the agenda is skipped with probability rate, by a hash of the seed, the document's id, the
+    word's place and the merge. So each occurrence of a word has draws of its own, and reruns agree. Only where variants is
+    given is a word cut in up to so many ways. rate 0 is the model's own segmentation. decode() gives the text back whatever was
     skipped: characters without a piece, and U+2581, are written as bytes.
 
     Null text: null. Empty text: no ids. Null id: hashed as 0. Repeated rows get equal ids. Other columns pass unchanged.
