@@ -340,6 +340,12 @@ def test_personal_data(docs, rows, nothing):
     assert pii.find_spans(nothing).count() == 0
 
 
+@pytest.mark.parametrize("address", ["joe (AT) mail (DOT) com", "joe ( at ) mail.com", "joe[ At ]mail.com", "joe(at)mail.com"])
+def test_spelled_addresses_are_candidates(address):
+    text = f"Write to {address} today"
+    assert address in [text[a:b] for run in pii.regions(text) for a, b in run]
+
+
 def test_field_learns_spans():
     rng = random.Random(8)
     examples = []

@@ -69,6 +69,7 @@ def base_spans(text: str) -> list[Span]:
 MOST_TOKENS, MOST_CHARS = 6, 64
 _TOKEN = re.compile(r"(?<!\S)(?=[^\s0-9@\[(+]*+[0-9@\[(+])\S++")
 _SPELLED = re.compile(r"(?<!\S)[^\s@]{1,40} ?[\[(] ?at ?[\])] ?[^\s@]{1,40}(?: ?[\[(] ?dot ?[\])] ?[^\s@]{1,40})*", re.I)
+_BRACKET_AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
 _AT = re.compile(r"@|[\[(] ?at ?[\])]", re.I)
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+", re.I)
 _NUMBER = re.compile(r"\+?[0-9]{0,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}")
@@ -93,7 +94,7 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of neighbouring tokens that a candidate may lie in: each has a digit, @, bracket or plus. Tokens lose edge
     punctuation; text outside regions can hold no candidate, so leaving it out changes no decision."""
     spelled: list[tuple[int, int]] = []
-    if "at)" in text or "at]" in text:  # an address with its @ spelled out is one token
+    if _BRACKET_AT.search(text):  # an address with its @ spelled out is one token
         for m in _SPELLED.finditer(text):
             spelled.append(m.span())
             yield [(m.start(), m.end() - (text[m.end() - 1] in _EDGE))]
