@@ -309,3 +309,21 @@ def test_append_numbers_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.seq for r in spark.read.parquet(f"{tmp_path}/log").orderBy("k").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_leases_are_folded_batch_by_batch(spark):
+    rng, t0 = random.Random(4), 1_700_000_000
+    kinds = ["claim", "claim", "heartbeat", "release", "sweep"]
+    rows = [(i, t0 + i * 60, item, f"run{rng.randint(1, 2)}:1", "e0", rng.choice(kinds), 120_000) for i in range(300) for item in [rng.choice(["a", "a", "a", "b", None])]]
+    df = spark.createDataFrame(rows, "op_seq long, t long, work_item_id string, owner string, epoch string, op string, ttl_ms long").withColumn("ts", F.timestamp_seconds("t"))
+    held, want = {}, {}
+    for seq, t, item, owner, epoch, op, ttl in rows:
+        held[item], want[seq] = jobs.lease_step(held.get(item), op, owner, epoch, t * 1000, ttl)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = jobs.lease_outcomes(df)
+        assert {r.op_seq: r.ok for r in out.collect()} == want
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()  # no frame holds an item's whole history
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
