@@ -254,56 +254,113 @@ def test_pieces(docs, rows, nothing):
     assert subword.encode(nothing).count() == 0
 
 
+def naive_merge(v, unit, key, rate):
+    """The agenda of one unit, written plainly: look at all pairs of neighbours each time."""
+    part = [(c if c != " " or not unit.startswith(" ") else subword.SPACE, i) for i, c in enumerate(unit)]
+    gone = set()
+    while True:
+        pairs = [(v.rank[a[0] + b[0]], a[1], k) for k, (a, b) in enumerate(zip(part, part[1:], strict=False)) if a[0] + b[0] in v.rank and (a, b) not in gone]
+        if not pairs:
+            return [i for p, _ in part for i in ([v.ids[p]] if p in v.ids else [v.byte[x] for x in p.encode()])]
+        rank, place, k = min(pairs)
+        step = (place << 17 | rank) * subword._STEP % 2**64
+        if ((key ^ step) * subword._DRAW % 2**64) >> 32 < int(rate * 2**32):
+            gone.add((part[k], part[k + 1]))
+        else:
+            part[k : k + 2] = [(part[k][0] + part[k + 1][0], part[k][1])]
+
+
+def test_every_path_is_the_plain_agenda():
+    v, rng = subword.Vocabulary(subword.MODEL), random.Random(12)
+    units = [" " * (rng.random() < 0.9) + "".join(rng.choice("theraingonéß12") for _ in range(rng.randint(1, 200 if i % 3 else 9))) for i in range(240)]
+    units = (units + [" the", " interesting", " x", "\n", "   wide", " 日本é", " 2026-11"] * 30) * 2  # met once, met again, and remembered
+    keys = np.array([rng.getrandbits(64) for _ in units], np.uint64)
+    for rate in (0.0, 0.1, 0.4):
+        want = [naive_merge(v, u, k, rate) for u, k in zip(units, keys.tolist(), strict=True)]
+        for _ in range(2):
+            ids, n = v.encode_units(units, keys, int(rate * 2**32))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+        assert [v.merge(u, k, int(rate * 2**32)) for u, k in zip(units, keys.tolist(), strict=True)] == want
+
+
 def test_pieces_vary_and_repeat():
     v = subword.vocabulary(subword.MODEL)
     text = "interesting segmentations of interesting words " * 8
-    a, b = v.encode(text, 1, 0.3, 5, 4).tolist(), v.encode(text, 1, 0.3, 5, 4).tolist()
-    assert a == b and a != v.encode(text, 2, 0.3, 5, 4).tolist()
-    units = ["word", " the", "日本é", "▁x", "abcabc" * 4]
-    assert v.merge_many(units, [7] * 5, 0.4) == [v.merge(u, 7, 0.4) for u in units]
-    assert v.decode(v.encode("x" * 70000, 1, 0.2, 5, 4).tolist()) == "x" * 70000
+    a, b = v.encode(text, 1, 0.3, 5).tolist(), v.encode(text, 1, 0.3, 5).tolist()
+    assert a == b and a != v.encode(text, 2, 0.3, 5).tolist()
+    assert v.decode(v.encode("x" * 70000, 1, 0.2, 5).tolist()) == "x" * 70000
+    word = "interesting"
+    assert len({tuple(v.encode(word, k, 0.3, 5).tolist()) for k in range(400)}) > 20
+    assert v.decode(v.encode(" ".join([word] * 400), 1, 0.3, 5).tolist()) == " ".join([word] * 400)
+    many = [None, "", "a b", "\n\n", "c " * 90_000, "d"]
+    assert [None if x is None else v.decode(x.tolist()) if t else "" for t, x in zip(many, v.encode_all(many, range(6), 0.1, 5), strict=True)] == many
 
 
-def test_every_occurrence_has_draws_of_its_own():
-    v = subword.vocabulary(subword.MODEL)
-    word = "interesting"
-    cuts = {tuple(v.encode(word, k, 0.3, 5).tolist()) for k in range(400)}
-    assert len(cuts) > 20
-    ids = v.encode(" ".join([word] * 400), 1, 0.3, 5).tolist()
-    assert v.decode(ids) == " ".join([word] * 400)
-    units = [" the", " representation", " x", "日本é", " 2026-11", " of"] * 50
-    keys = v._keys(units, 9, 5, None)
-    assert v._encode_units(units, [keys], 0.1) == [v.merge(u, k, 0.1) for u, k in zip(units, keys.tolist(), strict=True)]
-    unskipped = sum(v.merge(u, k, 0.1) == v.merge(u, 0, 0.0) for u, k in zip(units, keys.tolist(), strict=True))
-    assert 0 < unskipped < len(units)
+def test_pieces_with_clashing_names(docs):
+    d = docs.select("doc_id", "text", F.lit(1).alias("IDS"), F.lit(2).alias("_key"), F.lit("x").alias("ok"))
+    out = subword.encode(d, check="ok")
+    assert out.columns == ["doc_id", "text", "_key", "ids", "ok"] and out.filter("ok and _key = 2").count() == d.count()
 
 
 # --- 2 token counts ---
 
 
+def sound(tree):
+    """Every node holds the sums of its kids, and no node is too wide."""
+    for (_, c, t), (kids, nc, nt) in zip(tree.levels, tree.levels[1:], strict=False):
+        assert kids.sum() == len(c) and kids.min() >= 1 and kids.max() <= 2 * tokencount.FAN
+        at = np.cumsum(kids) - kids
+        assert (np.add.reduceat(c, at) == nc).all() and (np.add.reduceat(t, at) == nt).all()
+    return len(tree.levels[-1][1]) <= 2 * tokencount.FAN
+
+
 def test_edits_equal_a_full_count():
     c = tokencount.counter(tokencount.RANKS)
     rng = random.Random(3)
     parts = ["a", "b", " ", "  ", "\n", "1", "23", "'s", "!", "é", "日", "\t", " \n ", "word", "don't", " x"]
+    some = lambda *n: "".join(rng.choice(parts) for _ in range(rng.choice(n)))
     for _ in range(300):
-        t = "".join(rng.choice(parts) for _ in range(rng.choice([0, 5, 60, 700])))
-        tree = tokencount.Tree.build([(len(p), c.count(p)) for p in tokencount.pretokens(t)])
+        t = some(0, 5, 60, 700, 5000)
+        p = tokencount.pretokens(t)
+        tree = tokencount.Tree.build([len(x) for x in p], [c.count(x) for x in p])
         for _ in range(4):
-            a = rng.randint(0, len(t))
-            b = min(len(t), a + rng.choice([0, 1, 4, 50]))
-            t, tree, _ = tokencount.edit(t, tree, a, b, "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 5, 80]))), c)
+            cuts = sorted(rng.randint(0, len(t)) for _ in range(2 * rng.choice([1, 1, 2, 6])))
+            edits = [(a, b, some(0, 1, 5, 80)) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            edits = [(a, b if rng.random() < 0.5 else min(b, a + 3), new) for a, b, new in edits]
+            want = t
+            for a, b, new in reversed(edits):
+                want = want[:a] + new + want[b:]
+            t, tree, _ = tokencount.edit(t, tree, edits, c)
+            assert t == want and sound(tree)
             assert tree.leaves() == [(len(p), c.count(p)) for p in tokencount.pretokens(t)]
             assert tree.tokens == len(c.bpe.encode_ordinary(t)) and tree.chars == len(t)
 
 
+def test_few_pretokens_are_encoded_again():
+    c = tokencount.counter(tokencount.RANKS)
+    t = "some words of a text " * 20_000
+    p = tokencount.pretokens(t)
+    tree = tokencount.Tree.build([len(x) for x in p], [c.count(x) for x in p])
+    assert len(tree.levels) == 4 and tokencount.edit(t, tree, [(1000, 1004, "other"), (300_000, 300_000, "x")], c)[2] <= 12
+
+
 def test_recount(docs, nothing):
-    out = tokencount.recount(tokencount.count_tokens(tokencount.masking_edits(docs)), "edits").collect()
+    d = docs.withColumn("recounted", F.lit(1)).withColumn("EDITS", F.lit(2))
+    out = tokencount.recount(tokencount.count_tokens(tokencount.masking_edits(d)), "edits")
+    assert out.columns == [*docs.columns, "edits", "tokens", "recounted"]
+    again = out.select("doc_id", "recounted", F.expr("array(named_struct('start', 0, 'end', 0, 'new', 'Oh, '))").alias("more"), "recounted.text")
+    again = {r.doc_id: r for r in tokencount.recount(again, "more", "text", "recounted", "twice").collect()}
     c = tokencount.counter(tokencount.RANKS)
-    for r in out:
+    rows = out.collect()
+    for r in rows:
         after = tokencount._MASKED.sub(lambda m: "0" if m[0][0] <= "9" else m[0].lower(), r.text or "")
         assert r.tokens.n_tokens == len(c.bpe.encode_ordinary(r.text or ""))
-        assert r.recounted.n_tokens == len(c.bpe.encode_ordinary(after)) and (r.recounted.text or r.text or "") == after
-    assert any(r.recounted.n_edits for r in out)
+        assert r.recounted.n_tokens == len(c.bpe.encode_ordinary(after)) and r.recounted.text == after
+        assert list(zip(r.recounted.chars, r.recounted.tokens, strict=True)) == [(len(p), c.count(p)) for p in tokencount.pretokens(after)]
+        assert r.recounted.n_pretokens == len(r.recounted.chars)
+        if r.doc_id not in (1007, None):
+            assert again[r.doc_id].twice.n_tokens == len(c.bpe.encode_ordinary("Oh, " + after))
+    assert any(r.recounted.n_edits for r in rows) and any(r.recounted.levels for r in rows)
     assert tokencount.recount(tokencount.count_tokens(tokencount.masking_edits(nothing)), "edits").count() == 0
 
 

@@ -33,8 +33,8 @@ def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = subword.decode(subword.encode(docs))
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = subword.encode(docs, check="round_trip")
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
