@@ -6,10 +6,12 @@ import base64
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._shared import with_column
+from ._shared import int_lists, with_columns
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that goes with the rank file (a fixed value).
@@ -49,224 +51,234 @@ def counter(path: str) -> Counter:
 
 
 class Tree:
-    """A sequence of pre-tokens under inner nodes that hold the sums of characters and tokens below them.
+    """A sequence of pre-tokens under levels of nodes that hold the sums of characters and tokens below them.
 
-    An inner node has up to 2 * FAN kids; a leaf is a pair (characters, tokens).
+    levels[0] has (None, characters, tokens) of the leaves; each level above has, for its nodes, (kids, characters,
+    tokens), where kids counts the entries of the level below. A node has 2 * FAN kids at most, the top level as many
+    nodes. All are arrays, so that a tree is read from and written to columns as it is.
     """
 
-    __slots__ = ("kids", "chars", "tokens", "flat")
-
-    def __init__(self, kids: list, flat: bool) -> None:
-        self.kids, self.flat = kids, flat
-        self.sum()
-
-    def sum(self) -> None:
-        if self.flat:
-            self.chars, self.tokens = sum(k[0] for k in self.kids), sum(k[1] for k in self.kids)
-        else:
-            self.chars, self.tokens = sum(k.chars for k in self.kids), sum(k.tokens for k in self.kids)
-
-    @staticmethod
-    def build(leaves: list[tuple[int, int]]) -> Tree:
-        level: list[Tree] = [Tree(leaves[i : i + FAN], True) for i in range(0, len(leaves), FAN)] or [Tree([], True)]
-        while len(level) > 1:
-            level = [Tree(level[i : i + FAN], False) for i in range(0, len(level), FAN)]
-        return level[0]
-
-    def leaves_from(self, at: int, back: int):
-        """(start, characters) of the leaves from the one at character at on, and of back leaves before it."""
-        path, node, start = [], self, 0
-        while not node.flat:
-            for i, k in enumerate(node.kids):
-                if at < start + k.chars or i == len(node.kids) - 1:
-                    break
-                start += k.chars
-            path.append((node, i))
-            node = node.kids[i]
-        i = 0
-        while i < len(node.kids) and at >= start + node.kids[i][0]:
-            start += node.kids[i][0]
-            i += 1
-        before = []
-        up, n, j = list(path), node, i
-        while len(before) < back:
-            if j == 0:
-                while up and up[-1][1] == 0:
-                    up.pop()
-                if not up:
-                    break
-                top, k = up.pop()
-                up.append((top, k - 1))
-                n = top.kids[k - 1]
-                while not n.flat:
-                    up.append((n, len(n.kids) - 1))
-                    n = n.kids[-1]
-                j = len(n.kids)
-                continue
-            j -= 1
-            before.append(n.kids[j][0])
-        first = start - sum(before)
-        for c in reversed(before):
-            yield first, c
-            first += c
-        while True:
-            while i < len(node.kids):
-                yield start, node.kids[i][0]
-                start += node.kids[i][0]
-                i += 1
-            while path and path[-1][1] == len(path[-1][0].kids) - 1:
-                path.pop()
-            if not path:
-                return
-            top, k = path.pop()
-            path.append((top, k + 1))
-            node = top.kids[k + 1]
-            while not node.flat:
-                path.append((node, 0))
-                node = node.kids[0]
-            i = 0
-
-    def splice(self, lo: int, hi: int, new: list[tuple[int, int]]) -> list[Tree]:
-        """Leaves between the characters lo and hi, which both are leaf edges, become new; sums change on the way only.
-        The nodes that take this node's place: more than one where it has grown too wide."""
-        out, start, placed = [], 0, False
-        for k in self.kids:
-            size = k[0] if self.flat else k.chars
-            end = start + size
-            if end <= lo and not (end == lo == hi and False) or start >= hi and placed:
-                out.append(k)
-            elif start >= hi:
-                if self.flat:
-                    out += new
-                    out.append(k)
-                else:
-                    out += k.splice(0, 0, new)
-                placed = True
-            elif self.flat:
-                if not placed:
-                    out += new
-                placed = True
-            else:
-                got = k.splice(max(0, lo - start), min(size, hi - start), [] if placed else new)
-                out += [g for g in got if g.kids]
-                placed = True
-            start = end
-        if not placed:
-            if self.flat or not out:
-                out += new if self.flat else [Tree(new, True)] if new else []
-            else:
-                last = out.pop()
-                size = last.chars
-                out += last.splice(size, size, new)
-        flat = self.flat or (bool(out) and isinstance(out[0], tuple))
-        if len(out) <= 2 * FAN:
-            self.kids, self.flat = out, flat
-            self.sum()
-            return [self]
-        return [Tree(out[i : i + FAN], flat) for i in range(0, len(out), FAN)]
+    __slots__ = ("levels",)
+
+    def __init__(self, levels: list[tuple]) -> None:
+        self.levels = levels
+        while len(levels[-1][1]) > 2 * FAN:
+            _, chars, tokens = levels[-1]
+            at = np.arange(0, len(chars), FAN)
+            levels.append((np.diff(at, append=len(chars)).astype(np.int32), np.add.reduceat(chars, at, dtype=np.int32), np.add.reduceat(tokens, at, dtype=np.int32)))
+
+    @classmethod
+    def build(cls, chars, tokens) -> Tree:
+        return cls([(None, np.asarray(chars, np.int32), np.asarray(tokens, np.int32))])
+
+    @property
+    def chars(self) -> int:
+        return int(self.levels[-1][1].sum())
+
+    @property
+    def tokens(self) -> int:
+        return int(self.levels[-1][2].sum())
+
+    def find(self, at: int) -> tuple[int, int]:
+        """(leaf, its first character) of the leaf that holds character at; past the end: (leaves, characters)."""
+        lo, hi, start = 0, len(self.levels[-1][1]), 0
+        for k in range(len(self.levels) - 1, -1, -1):
+            kids, chars, _ = self.levels[k]
+            upto = np.cumsum(chars[lo:hi])
+            i = int(np.searchsorted(upto, at - start, "right"))
+            if lo + i == hi:
+                return len(self.levels[0][1]), self.chars
+            start += int(upto[i] - chars[lo + i])
+            if k == 0:
+                return lo + i, start
+            lo, hi = int(kids[: lo + i].sum()), int(kids[: lo + i + 1].sum())
+        return 0, 0
+
+    def splice(self, parts: list[tuple[int, int, list[int], list[int]]]) -> Tree:
+        """The tree in which leaves lo to hi are new ones (characters, tokens), for parts in order that do not overlap.
+        Only sums over changed kids are taken again; a node that has grown too wide is split, an empty one goes."""
+        _, chars, tokens = self.levels[0]
+        out = [(None, _replaced(chars, [(lo, hi, c) for lo, hi, c, _ in parts]), _replaced(tokens, [(lo, hi, t) for lo, hi, _, t in parts]))]
+        spans = [(lo, hi, len(c)) for lo, hi, c, _ in parts]
+        for kids, chars, tokens in self.levels[1:]:
+            upto, count, changed = np.cumsum(kids), kids.copy(), np.zeros(len(kids), bool)
+            for lo, hi, n in spans:
+                p = min(int(np.searchsorted(upto, lo, "right")), len(kids) - 1)
+                q = int(np.searchsorted(upto, hi - 1, "right")) if hi > lo else p
+                count[p : q + 1] -= np.maximum(np.minimum(upto[p : q + 1], hi) - np.maximum(upto[p : q + 1] - kids[p : q + 1], lo), 0)
+                count[p] += n
+                changed[p : q + 1] = True
+            below, end = out[-1], np.cumsum(count)
+            edge = np.diff(changed.astype(np.int8), prepend=0, append=0)
+            spans, new = [], ([], [], [])
+            for p, q in zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True):
+                sizes = [n for i in range(p, q) for n in _widths(int(count[i]))]
+                at, each = int(end[p] - count[p]), ([], [], [])
+                for n in sizes:
+                    for held, x in zip(each, (n, int(below[1][at : at + n].sum()), int(below[2][at : at + n].sum())), strict=True):
+                        held.append(x)
+                    at += n
+                for held, x in zip(new, each, strict=True):
+                    held.append((p, q, x))
+                spans.append((p, q, len(sizes)))
+            out.append(tuple(_replaced(old, held) for old, held in zip((kids, chars, tokens), new, strict=True)))
+        while len(out) > 1 and not len(out[-1][1]):
+            out.pop()
+        return Tree(out)
 
     def leaves(self) -> list[tuple[int, int]]:
-        if self.flat:
-            return list(self.kids)
-        return [x for k in self.kids for x in k.leaves()]
+        return list(zip(self.levels[0][1].tolist(), self.levels[0][2].tolist(), strict=True))
 
 
-def grown(nodes: list[Tree]) -> Tree:
-    while len(nodes) > 1:
-        nodes = [Tree(nodes[i : i + FAN], False) for i in range(0, len(nodes), FAN)]
-    return nodes[0]
+def _widths(n: int) -> list[int]:
+    """How many kids the nodes get that take the place of one with n."""
+    if n <= 2 * FAN:
+        return [n] if n else []
+    parts = -(-n // FAN)
+    return [n // parts + (i < n % parts) for i in range(parts)]
+
+
+def _replaced(old: np.ndarray, parts: list[tuple[int, int, list[int]]]) -> np.ndarray:
+    """old with the entries lo to hi of each part replaced."""
+    out, at = [], 0
+    for lo, hi, new in parts:
+        out += [old[at:lo], np.array(new, np.int32)]
+        at = hi
+    return np.concatenate([*out, old[at:]]) if out else old
 
 
 def pretokens(text: str) -> list[str]:
     return _SPLIT.findall(text)
 
 
-def edit(text: str, tree: Tree, start: int, end: int, new: str, count: Counter) -> tuple[str, Tree, int]:
-    """(text, tree, pre-tokens encoded) after text[start:end] became new.
+def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], count: Counter) -> tuple[str, Tree, int]:
+    """(text, tree, pre-tokens encoded) after text[start:end] became new, for edits in order that do not overlap.
 
-    Old pre-tokens that end LOOK characters before the edit stand. From there the new text is split again until an edge
-    falls on an old edge behind the edit: the text from there on is the old one, and the pattern never looks back.
+    Old pre-tokens that end LOOK characters before an edit stand. From there the new text is split again until an edge
+    falls on an old edge behind the edit, and before what the next edit touches: the text from there on is the old one,
+    and the pattern never looks back.
     """
-    after = text[:start] + new + text[end:]
-    shift = len(new) - (end - start)
-    begin, edges = None, []  # where splitting starts; old edges behind the edit
-    ahead = tree.leaves_from(max(0, start - LOOK), LOOK + 1)
-    for a, n in ahead:
-        if begin is None or a + n + LOOK <= start:
-            begin = a
-        if a + n + LOOK > start:
-            edges.append(a + n)
-            break
-    begin = begin or 0
-    done, at, stop = [], begin, None
-    old = edges[-1] if edges else len(text)
-    while at < len(after):
-        m = _SPLIT.match(after, at)
-        at = m.end()
-        done.append((at - m.start(), count.count(m[0])))
-        if at - shift >= end:
-            while old < at - shift:
-                nxt = next(ahead, None)
-                if nxt is None:
+    pieces_, at = [], 0
+    for start, end, new in edits:
+        pieces_ += [text[at:start], new]
+        at = end
+    after = "".join([*pieces_, text[at:]])
+    old, n_leaves = tree.levels[0][1], len(tree.levels[0][1])
+    first = [tree.find(max(0, start - LOOK)) for start, _, _ in edits]
+    parts, shift, i, encoded = [], 0, 0, 0
+    while i < len(edits):
+        lo, begin = first[i]
+        if parts and lo < parts[-1][1]:
+            lo, begin = parts[-1][1], parts[-1][4]
+        at, leaf, edge = begin + shift, lo, begin  # the next old leaf, and the old edge before it
+        chars, tokens = [], []
+        need = edits[i][1]
+        shift += len(edits[i][2]) - (edits[i][1] - edits[i][0])
+        i += 1
+        hi = n_leaves
+        while at < len(after):
+            m = _SPLIT.match(after, at)
+            at = m.end()
+            chars.append(at - m.start())
+            tokens.append(count.count(m[0]))
+            while i < len(edits) and at - shift > edits[i][0]:
+                need = edits[i][1]
+                shift += len(edits[i][2]) - (edits[i][1] - edits[i][0])
+                i += 1
+            if at - shift >= need:
+                while edge < at - shift and leaf < n_leaves:
+                    edge += int(old[leaf])
+                    leaf += 1
+                if edge == at - shift and edge >= need and (i == len(edits) or first[i][1] >= edge):
+                    hi = leaf
                     break
-                old = nxt[0] + nxt[1]
-            if old == at - shift and old >= end:
-                stop = old
-                break
-    stop = len(text) if stop is None else stop
-    return after, grown(tree.splice(begin, stop, done)), len(done)
+        if hi == n_leaves:
+            edge = len(text)
+        encoded += len(chars)
+        parts.append((lo, hi, chars, tokens, edge))
+    return after, tree.splice([p[:4] for p in parts]) if parts else tree, encoded
+
+
+TREE = "chars:array<int>,tokens:array<int>,kids:array<int>,node_chars:array<int>,node_tokens:array<int>,levels:array<int>"
+_PARTS = ("chars", "tokens", "kids", "node_chars", "node_tokens", "levels")
+
+
+def _columns(trees: list[Tree]) -> dict[str, pa.Array]:
+    """Trees as list arrays: the leaves, and the nodes of all levels above them from the lowest up."""
+    upper = lambda t, k: np.concatenate([x[k] for x in t.levels[1:]]) if len(t.levels) > 1 else np.zeros(0, np.int32)
+    rows = [(t.levels[0][1], t.levels[0][2], upper(t, 0), upper(t, 1), upper(t, 2), np.array([len(x[1]) for x in t.levels[1:]], np.int32)) for t in trees]
+    return {name: int_lists([r[k] for r in rows]) for k, name in enumerate(_PARTS)}
+
+
+def _trees(column: pa.Array) -> list[Tree]:
+    """The trees of a struct column; a null one is empty."""
+    good = column.is_valid().to_pylist()
+    lists = []
+    for name in _PARTS:
+        a = column.field(name)
+        ends, values = a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+        lists.append([values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+    out = []
+    for i, ok in enumerate(good):
+        if not ok:
+            out.append(Tree.build([], []))
+            continue
+        levels, at = [(None, lists[0][i], lists[1][i])], 0
+        for n in lists[5][i].tolist():
+            levels.append(tuple(lists[k][i][at : at + n] for k in (2, 3, 4)))
+            at += n
+        out.append(Tree(levels))
+    return out
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", out: str = "tokens", ranks: str = RANKS) -> DataFrame:
-    """docs with a struct column out: n_pretokens, n_tokens, and the leaves of the text's tree (chars and tokens arrays).
+    """docs with a struct column out: n_pretokens, n_tokens, and the text's tree (TREE).
 
-    Null or empty text: zeros and empty arrays. Repeated rows get equal counts.
+    Null or empty text: zeros and an empty tree. Very long text: whole, its tree grows by levels. Repeated rows get equal
+    counts. Empty table: empty result. Other columns pass unchanged; one named as out is replaced and stands last.
     """
 
-    def run(column):
-        c, rows = counter(ranks), []
-        known = c.known
+    def run(column: pa.Array) -> list[pa.Array]:
+        c = counter(ranks)
+        known, trees = c.known, []
         for t in column.to_pylist():
             p = pretokens(t) if t else []
-            n = [known[x] if x in known else c.count(x) for x in p]
-            rows.append({"n_pretokens": len(p), "n_tokens": sum(n), "chars": [len(x) for x in p], "tokens": n})
-        return rows
+            trees.append(Tree.build(np.fromiter(map(len, p), np.int32, len(p)), np.fromiter([known[x] if x in known else c.count(x) for x in p], np.int32, len(p))))
+        n = [len(t.levels[0][1]) for t in trees]
+        made = {"n_pretokens": pa.array(n, pa.int64()), "n_tokens": pa.array([t.tokens for t in trees], pa.int64())} | _columns(trees)
+        return [pa.StructArray.from_arrays(list(made.values()), list(made))]
 
-    return with_column(docs, out, "struct<n_pretokens:long,n_tokens:long,chars:array<int>,tokens:array<int>>", [text_col], run)
+    return with_columns(docs, {out: f"struct<n_pretokens:long,n_tokens:long,{TREE}>"}, [text_col], run)
 
 
 def recount(counted: DataFrame, edits: str, text_col: str = "text", tokens_col: str = "tokens", out: str = "recounted", ranks: str = RANKS) -> DataFrame:
-    """counted (from count_tokens) with a struct column out: the edited text, its leaves, n_edits, n_encoded and n_tokens.
+    """counted (from count_tokens) with a struct column out: the edited text, n_edits, n_encoded, n_pretokens, n_tokens and
+    the text's tree, so that recount() can follow again with text_col and tokens_col inside it.
 
     edits is an array column of (start, end, new), in code points of the text as it was, ends exclusive. They are applied
-    by start; one that overlaps an earlier one, or lies outside the text, is left out. Only pre-tokens around edits are
-    encoded again; n_encoded says how many. A row without edits keeps what it has: text and leaves are null in out, and
-    only n_tokens is filled in. Null text or edits: as if empty.
+    by start, then end; one that overlaps an earlier one, or lies outside the text, is left out. Only pre-tokens around
+    edits are encoded again (n_encoded says how many), and only the nodes above them are summed again. Null text,
+    tree or edits: as if empty. Very long texts: the text is put together once for all edits. Empty table: empty result.
+    Other columns pass unchanged; one named as out is replaced and stands last.
     """
 
-    def run(texts, leaves, changes):
-        c, rows = counter(ranks), []
-        totals = [n or 0 for n in leaves.field("n_tokens").to_pylist()]
-        for i, (total, todo) in enumerate(zip(totals, changes.to_pylist(), strict=True)):
-            if not todo:
-                rows.append({"n_edits": 0, "n_encoded": 0, "n_tokens": total})
-                continue
-            t = texts[i].as_py() or ""
-            got = leaves[i].as_py() or {"chars": [], "tokens": []}
-            good, free, n_encoded = [], 0, 0
-            for e in sorted(todo, key=lambda e: (e["start"], e["end"])):
+    def run(texts: pa.Array, leaves: pa.Array, changes: pa.Array) -> list[pa.Array]:
+        c, trees, after, told = counter(ranks), [], [], []
+        for t, tree, todo in zip(texts.to_pylist(), _trees(leaves), changes.to_pylist(), strict=True):
+            t, good, free, n = t or "", [], 0, 0
+            for e in sorted(todo or [], key=lambda e: (e["start"], e["end"])):
                 if free <= e["start"] <= e["end"] <= len(t):
                     good.append((e["start"], e["end"], e["new"] or ""))
                     free = e["end"]
-            tree = Tree.build(list(zip(got["chars"], got["tokens"], strict=True)))
-            for a, b, new in reversed(good):
-                t, tree, n = edit(t, tree, a, b, new, c)
-                n_encoded += n
-            kept = tree.leaves()
-            rows.append({"text": t, "chars": [x[0] for x in kept], "tokens": [x[1] for x in kept], "n_edits": len(good), "n_encoded": n_encoded, "n_tokens": tree.tokens})
-        return rows
+            if good:
+                t, tree, n = edit(t, tree, good, c)
+            trees.append(tree)
+            after.append(t)
+            told.append((len(good), n, len(tree.levels[0][1]), tree.tokens))
+        made = {"text": pa.array(after, pa.string())} | {k: pa.array([x[i] for x in told], pa.int64()) for i, k in enumerate(("n_edits", "n_encoded", "n_pretokens", "n_tokens"))} | _columns(trees)
+        return [pa.StructArray.from_arrays(list(made.values()), list(made))]
 
-    return with_column(counted, out, "struct<text:string,chars:array<int>,tokens:array<int>,n_edits:long,n_encoded:long,n_tokens:long>", [text_col, tokens_col, edits], run)
+    return with_columns(counted, {out: f"struct<text:string,n_edits:long,n_encoded:long,n_pretokens:long,n_tokens:long,{TREE}>"}, [text_col, tokens_col, edits], run)
 
 
 _MASKED = re.compile(r"[0-9]{4,}|[A-Z]{4,}")
@@ -275,7 +287,8 @@ _MASKED = re.compile(r"[0-9]{4,}|[A-Z]{4,}")
 def masking_edits(docs: DataFrame, text_col: str = "text", out: str = "edits") -> DataFrame:
     """docs with the edits that a cleaning step would make: long digit runs become 0, shouted words lower case."""
 
-    def run(column):
-        return [[{"start": m.start(), "end": m.end(), "new": "0" if m[0][0] <= "9" else m[0].lower()} for m in _MASKED.finditer(t or "")] for t in column.to_pylist()]
+    def run(column: pa.Array) -> list[pa.Array]:
+        found = [[{"start": m.start(), "end": m.end(), "new": "0" if m[0][0] <= "9" else m[0].lower()} for m in _MASKED.finditer(t or "")] for t in column.to_pylist()]
+        return [pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())])))]
 
-    return with_column(docs, out, "array<struct<start:int,end:int,new:string>>", [text_col], run)
+    return with_columns(docs, {out: "array<struct<start:int,end:int,new:string>>"}, [text_col], run)
