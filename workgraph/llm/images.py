@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 SCALES = (1.0, 0.75, 0.5)
-BITS, POINTS, RADIUS, TURNS = 128, 16, 7, 32
+BITS, POINTS, RADIUS, TURNS = 128, 16, 12, 32
 #: Side of the cells whose own strongest corners are kept besides the POINTS strongest of the image, and how many a cell.
 CELL, CELL_POINTS = 32, 4
-TABLES, TABLE_BITS = 8, 24
+TABLES, TABLE_BITS = 4, 40
+#: Pixels of a bin of shifts.
+SHIFT = 16
+#: A described corner: descriptor bits, place in pixels of its scale, step of SCALES and orientation.
+CORNER = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("x", "<u2"), ("y", "<u2"), ("level", "u1"), ("turn", "u1")])
 _rng = np.random.Generator(np.random.Philox(key=[9, 64]))
 _tests = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 4)), -RADIUS, RADIUS)
 _angles = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -30,8 +35,6 @@ def _turned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 _FIRST, _SECOND = _turned(_tests[:, 0], _tests[:, 1]), _turned(_tests[:, 2], _tests[:, 3])
 #: Bits of the descriptor that make the key of each table.
 _KEYS = np.stack([_rng.permutation(BITS)[:TABLE_BITS] for _ in range(TABLES)])
-#: The same as masks of the descriptor's two words.
-_MASKS = [[int(w) for w in np.packbits(np.isin(np.arange(BITS), k)).view(">i8")] for k in _KEYS]
 _disc = [(dy, dx) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS, RADIUS + 1) if dx * dx + dy * dy <= RADIUS * RADIUS]
 _DY, _DX = np.array(_disc).T
 
@@ -55,8 +58,8 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     return (b[y0][:, x0] * (1 - fx) + b[y0][:, x1] * fx) * (1 - fy) + (b[y1][:, x0] * (1 - fx) + b[y1][:, x1] * fx) * fy
 
 
-def describe_image(pixels: np.ndarray) -> list[tuple[float, float, int, int, int, int]]:
-    """(x, y, scale step, turn, first and last 64 descriptor bits) of corners of a grey image: at each scale the POINTS
+def describe_image(pixels: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(first and last 64 descriptor bits, x, y, scale step, turn) of corners of a grey image: at each scale the POINTS
     strongest, and the CELL_POINTS strongest of every cell, so that a small part of a large image has its own."""
     out = []
     for level, scale in enumerate(SCALES):
@@ -93,88 +96,130 @@ def describe_image(pixels: np.ndarray) -> list[tuple[float, float, int, int, int
         f, g = _FIRST[turn], _SECOND[turn]
         bits = s[py[:, None] + f[..., 0], px[:, None] + f[..., 1]] < s[py[:, None] + g[..., 0], px[:, None] + g[..., 1]]
         words = np.packbits(bits, axis=1).view(">i8")
-        out += [((xx_ + 0.5) / scale, (yy_ + 0.5) / scale, level, int(t), int(w[0]), int(w[1])) for xx_, yy_, t, w in zip(x.tolist(), y.tolist(), turn.tolist(), words, strict=True)]
+        out += [(int(w[0]), int(w[1]), xx_, yy_, level, int(t)) for xx_, yy_, t, w in zip(x.tolist(), y.tolist(), turn.tolist(), words, strict=True)]
     return out
 
 
-POINT = "array<struct<x:float,y:float,level:int,turn:int,hi:long,lo:long,keys:array<int>>>"
-
+def packed(pixels: np.ndarray) -> np.ndarray:
+    """The corners of describe_image() as rows of CORNER."""
+    return np.array(describe_image(pixels), CORNER)
+
+
+def places(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, scale) of corners in the pixels of their image."""
+    scale = np.array(SCALES)[c["level"]]
+    return (c["x"] + 0.5) / scale, (c["y"] + 0.5) / scale, scale
+
+
+def table_keys(c: np.ndarray) -> np.ndarray:
+    """Each corner's key [corner, table]: the table's number above the bits it looks at."""
+    words = np.stack([c["hi"], c["lo"]], 1).astype(">i8")
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(c), BITS // 8), axis=1).astype(np.int64)
+    return np.stack([bits[:, k] @ (1 << np.arange(TABLE_BITS)) + (t << TABLE_BITS) for t, k in enumerate(_KEYS)], 1)
+
+
+def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class_id, corners) -> a row for each corner and table."""
+    for batch in batches:
+        for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            c = np.frombuffer(blob or b"", CORNER)
+            if len(c):
+                keys = table_keys(c)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.full(keys.size, i, np.int64)), pa.array(np.repeat(np.arange(len(c), dtype=np.int32), TABLES))], ["key", "class_id", "k"])
+
+
+def consensus(q: np.ndarray, m: np.ndarray, pairs: np.ndarray, most_distance: int) -> int:
+    """How many corners agree at most on one turn, scale and shift of q, among pairs (place in q, place in m) that differ in
+    at most most_distance bits. Bins overlap by half."""
+    a, b = q[pairs[:, 0]], m[pairs[:, 1]]
+    near = np.bitwise_count(a["hi"] ^ b["hi"]).astype(int) + np.bitwise_count(a["lo"] ^ b["lo"]) <= most_distance
+    a, b, pairs = a[near], b[near], pairs[near]
+    turn = (b["turn"].astype(int) - a["turn"]) % TURNS
+    (xq, yq, sq), (xm, ym, sm) = places(a), places(b)
+    angle, zoom = turn * (2 * np.pi / TURNS), sq / sm
+    dx = xm - zoom * (np.cos(angle) * xq - np.sin(angle) * yq)
+    dy = ym - zoom * (np.sin(angle) * xq + np.cos(angle) * yq)
+    two = lambda v, wide: np.stack([np.floor(v / wide), np.floor(v / wide + 0.5) + 0.5], 1).tolist()
+    turns = np.stack([turn // 4, (turn + 2) // 4 % (TURNS // 4) + 100], 1).tolist()
+    seen: dict[tuple, tuple[set[int], set[int]]] = {}
+    for (i, j), bt, bs, bx, by in zip(pairs.tolist(), turns, np.round(np.log2(zoom)).tolist(), two(dx, SHIFT), two(dy, SHIFT), strict=True):
+        for bin_ in itertools.product(bt, bx, by):
+            left, right = seen.setdefault((bs, *bin_), (set(), set()))
+            left.add(i)
+            right.add(j)
+    return max((min(len(x), len(y)) for x, y in seen.values()), default=0)
+
+
+def _votes(most_distance: int, least: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, m, ks, left, right = (c.to_pylist() for c in batch.columns)
+            n = [consensus(np.frombuffer(a, CORNER), np.frombuffer(b, CORNER), np.array([(k >> 32, k & 0xFFFFFFFF) for k in sorted(k)]), most_distance) for k, a, b in zip(ks, left, right, strict=True)]
+            good = [i for i, x in enumerate(n) if x >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.int64()) for v in (q, m, n)], ["class_id_q", "class_id_m", "agreeing"])
 
-def _keys(hi: int, lo: int) -> list[int]:
-    bits = np.unpackbits(np.array([hi, lo], ">i8").view(np.uint8))
-    return (bits[_KEYS] << np.arange(TABLE_BITS)).sum(axis=1).tolist()
+    return run
 
 
 def describe(media: DataFrame, id_col: str = "image_id", pixels_col: str = "pixels", width_col: str = "width") -> DataFrame:
-    """(image_id, h1, h2, points): two hashes of the pixels and the described corners of each grey image (one byte a pixel).
+    """(image_id, h1, h2, corners): two hashes of the pixels, and the described corners (CORNER) of each grey image of one
+    byte a pixel.
 
-    Null or empty pixels, or a width that does not divide them: no points, hashes null.
+    Null or empty pixels, or a width that does not divide them: no corners; null or empty pixels have null hashes.
     """
 
-    @F.pandas_udf(POINT)
+    @F.pandas_udf("binary")
     def run(pixels, widths):
         import pandas as pd
 
         rows = []
         for p, w in zip(pixels, widths, strict=True):
             good = p is not None and len(p) and w == w and w and len(p) % int(w) == 0
-            found = describe_image(np.frombuffer(p, np.uint8).reshape(-1, int(w))) if good else []
-            rows.append([{"x": a, "y": b, "level": c, "turn": d, "hi": e, "lo": f, "keys": _keys(e, f)} for a, b, c, d, e, f in found])
+            rows.append(packed(np.frombuffer(p, np.uint8).reshape(-1, int(w))).tobytes() if good else b"")
         return pd.Series(rows, dtype=object)
 
+    return _hashed(media, id_col, pixels_col, width_col).select("image_id", "h1", "h2", run(F.col(pixels_col), F.col(width_col)).alias("corners"))
+
+
+def _hashed(media: DataFrame, id_col: str, pixels_col: str, width_col: str) -> DataFrame:
     full = F.length(pixels_col) > 0
     h = [F.when(full, F.xxhash64(F.lit(i), pixels_col, width_col)).alias(f"h{i}") for i in (1, 2)]
-    return media.select(F.col(id_col).cast("long").alias("image_id"), *h, run(F.col(pixels_col), F.col(width_col)).alias("points"))
+    return media.select(F.col(id_col).cast("long").alias("image_id"), *h, F.col(pixels_col), F.col(width_col)).filter("image_id is not null")
 
 
-def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22, least: int = 5, **names) -> DataFrame:
+def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22, least: int = 5, id_col: str = "image_id", pixels_col: str = "pixels", width_col: str = "width") -> DataFrame:
     """(kind, image_id, class_id, agreeing). A 'member' row says which class an image is in: images of equal pixels are one
     class, named by its smallest id. A 'match' row says that the class image_id, which holds a query, has an edited or
     cropped copy in class class_id, with so many corners that agree on one turn, scale and shift.
 
     Queries are the images whose id query_every divides; they are held against all classes. Corners meet in TABLES hash
-    tables of TABLE_BITS bits of their descriptors, count within most_distance differing bits, and vote for a turn, scale and
-    shift of the query in bins that overlap by half; least corners or more must agree. All of it are equi-joins and
-    counts: no image meets every other. A key that many corners share is split by Spark's skew join.
-
-    Null id: left out. No pixels: a class of its own without matches. Rows of one id and pixels count once. Empty table:
-    empty result.
+    tables of TABLE_BITS bits of their descriptors: equi-joins of small rows. Two classes where least different corners
+    of either have met go on; their descriptors are fetched, and corners within most_distance differing bits vote for a
+    turn, scale and shift of the query. least corners or more must agree. No image meets every other; a key that many
+    classes share is split by Spark's skew join.
+
+    Null id: left out. No pixels: a class of its own without matches. Rows of one id and pixels count once; an id with two
+    different pixels is in two classes. Very large images: corners follow the area, CELL by CELL pixels; widths up to
+    65,535. Ties: the strongest corner first in row order. Empty table: empty result. Other columns are left out.
     """
-    seen = written(describe(media, **names).filter("image_id is not null"))
-    classes = written(seen.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("image_id").alias("class_id"), F.bool_or(F.col("image_id") % query_every == 0).alias("asks")))
-    members = seen.select("image_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "class_id"), ["h1", "h2"], "left").select("image_id", F.coalesce("class_id", "image_id").alias("class_id"))
-    reps = classes.join(seen.withColumnRenamed("image_id", "class_id"), ["h1", "h2", "class_id"]).dropDuplicates(["h1", "h2", "class_id"]).select("class_id", "asks", "points")
-    reps = written(reps)
-    # the index: one row for each corner and table, with the class, the corner's place in it, and its bits
-    corner = reps.select("class_id", "asks", F.posexplode("points").alias("k", "p")).select("class_id", "asks", "k", F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), F.posexplode("p.keys").alias("t", "key"))
-    corner = corner.withColumn("key", F.shiftleft(F.col("t").cast("long"), 32) + F.col("key")).drop("t")
-    side = lambda d, s: d.select("key", *[F.col(c).alias(c + s) for c in ("class_id", "k", "hi", "lo")])
-    met = side(corner.filter("asks"), "_q").join(side(corner, "_m"), "key").filter("class_id_q <> class_id_m")
-    met = met.withColumns({c: F.col(c + "_q").bitwiseXOR(F.col(c + "_m")) for c in ("hi", "lo")}).filter(F.bit_count("hi") + F.bit_count("lo") <= most_distance)
-    # corners that meet in several tables count in the first
-    alike = lambda t: (F.col("hi").bitwiseAND(_MASKS[t][0]) == 0) & (F.col("lo").bitwiseAND(_MASKS[t][1]) == 0)
-    first = F.coalesce(*[F.when(alike(t), t) for t in range(TABLES)])
-    met = met.filter(first == F.shiftright("key", 32)).select("class_id_q", "class_id_m", (F.shiftleft(F.col("k_q").cast("long"), 32) + F.col("k_m")).alias("k"))
-    # two classes with fewer than least different corners that match cannot have least that agree
-    met = met.repartition("class_id_q", "class_id_m").groupBy("class_id_q", "class_id_m").agg(F.collect_list("k").alias("ks"))
-    left, right = lambda k: F.shiftright(k, 32).cast("int"), lambda k: k.bitwiseAND((1 << 32) - 1).cast("int")
-    met = met.filter(F.least(*[F.size(F.array_distinct(F.transform("ks", f))) for f in (left, right)]) >= least)
+    names = (id_col, pixels_col, width_col)
+    found = describe(media, *names).filter("h1 is not null").groupBy("h1", "h2")
+    reps = written(found.agg(F.min("image_id").alias("class_id"), F.bool_or(F.col("image_id") % query_every == 0).alias("asks"), F.first("corners").alias("corners")))
+    ids = _hashed(media, *names).select("image_id", "h1", "h2").distinct()
+    members = ids.join(reps.select("h1", "h2", "class_id"), ["h1", "h2"], "left").select("image_id", F.coalesce("class_id", "image_id").alias("class_id"))
+    shape = "key long, class_id long, k int"
+    side = lambda d, s: d.select("class_id", "corners").mapInArrow(_index, shape).select("key", F.col("class_id").alias("class_id" + s), F.col("k").alias("k" + s))
+    met = side(reps.filter("asks"), "_q").join(side(reps, "_m"), "key").filter("class_id_q <> class_id_m")
+    met = met.groupBy("class_id_q", "class_id_m").agg(F.collect_set((F.shiftleft(F.col("k_q").cast("long"), 32) + F.col("k_m"))).alias("ks"))
+    # two classes with fewer than least different corners that met cannot have least that agree
+    left, right = lambda k: F.shiftright(k, 32), lambda k: k.bitwiseAND((1 << 32) - 1)
+    met = written(met.filter(F.least(*[F.size(F.array_distinct(F.transform("ks", f))) for f in (left, right)]) >= least))
+    named = written(met.select(F.explode(F.array("class_id_q", "class_id_m")).alias("class_id")).distinct())
+    few = written(reps.select("class_id", "corners").join(named, "class_id"))
     for s in ("_q", "_m"):
-        met = met.join(reps.select(F.col("class_id").alias("class_id" + s), F.col("points").alias("points" + s)), "class_id" + s)
-    pair = lambda k: F.struct(left(k).alias("k_q"), right(k).alias("k_m"), F.get("points_q", left(k)).alias("q"), F.get("points_m", right(k)).alias("m"))
-    met = met.select("class_id_q", "class_id_m", F.explode(F.transform("ks", pair)).alias("p"))
-    met = met.select("class_id_q", "class_id_m", "p.k_q", "p.k_m", *[F.col(f"p.{s}.{c}").alias(f"{c}_{s}") for s in ("q", "m") for c in ("x", "y", "level", "turn")])
-    scale = F.array(*[F.lit(float(s)) for s in SCALES])
-    ratio = F.log2(F.get(scale, F.col("level_q")) / F.get(scale, F.col("level_m")))  # of the copy's size to the query's
-    turn = F.pmod(F.col("turn_m") - F.col("turn_q"), F.lit(TURNS))
-    a, z = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), ratio)
-    votes = met.select("class_id_q", "class_id_m", "k_q", "k_m", turn.alias("turn"), ratio.alias("ratio"), (F.col("x_m") - z * (F.cos(a) * F.col("x_q") - F.sin(a) * F.col("y_q"))).alias("dx"), (F.col("y_m") - z * (F.sin(a) * F.col("x_q") + F.cos(a) * F.col("y_q"))).alias("dy"))
-    both = lambda c, wide: F.array(F.floor(c / wide), F.floor(c / wide + 0.5) + 1_000_000)  # noqa: E731  bins, and bins shifted by half
-    votes = votes.withColumn("bt", F.explode(F.array(F.floor(F.col("turn") / 4), F.pmod(F.floor((F.col("turn") + 2) / 4), F.lit(TURNS // 4)) + 100)))
-    votes = votes.withColumn("bx", F.explode(both(F.col("dx"), 16))).withColumn("by", F.explode(both(F.col("dy"), 16))).withColumn("bs", F.round("ratio"))
-    pairs = votes.groupBy("class_id_q", "class_id_m", "bt", "bs", "bx", "by").agg(F.count_distinct("k_q").alias("n"), F.count_distinct("k_m").alias("m"))
-    found = pairs.groupBy("class_id_q", "class_id_m").agg(F.max(F.least("n", "m")).alias("agreeing")).filter(F.col("agreeing") >= least)
-    match = found.select(F.lit("match").alias("kind"), F.col("class_id_q").alias("image_id"), F.col("class_id_m").alias("class_id"), "agreeing")
+        met = met.join(few.select(F.col("class_id").alias("class_id" + s), F.col("corners").alias("corners" + s)), "class_id" + s)
+    match = met.select("class_id_q", "class_id_m", "ks", "corners_q", "corners_m").mapInArrow(_votes(most_distance, least), "class_id_q long, class_id_m long, agreeing long")
+    match = match.select(F.lit("match").alias("kind"), F.col("class_id_q").alias("image_id"), F.col("class_id_m").alias("class_id"), "agreeing")
     return members.select(F.lit("member").alias("kind"), "image_id", "class_id", F.lit(None).cast("long").alias("agreeing")).unionByName(match)
 
 
@@ -187,10 +232,10 @@ def draw(vector: np.ndarray) -> np.ndarray:
     """A grey image of sixteen crossing waves, each given by four of the vector's numbers: a texture without repeats."""
     v = np.abs(np.asarray(vector, float)) * 53.0
     v = np.resize(v - np.floor(v), 64).reshape(16, 4)
-    y, x = np.mgrid[0:SIDE, 0:SIDE]
-    turn, pace = v[:, 0] * np.pi, 0.25 + 1.0 * v[:, 1]
-    phase = (np.cos(turn) * pace)[:, None, None] * x + (np.sin(turn) * pace)[:, None, None] * y + (2 * np.pi * v[:, 2])[:, None, None]
-    waves = ((0.4 + v[:, 3])[:, None, None] * np.sin(phase)).sum(axis=0)
+    turn, pace, at = v[:, 0] * np.pi, 0.25 + 1.0 * v[:, 1], np.arange(SIDE)
+    # sin(a x + b y + c) is the imaginary part of a product of one factor a column and one a row
+    rows = np.exp(1j * (np.outer(at, np.sin(turn) * pace) + 2 * np.pi * v[:, 2])) * (0.4 + v[:, 3])
+    waves = (rows @ np.exp(1j * np.outer(np.cos(turn) * pace, at))).imag
     return np.clip(128 + 26 * waves, 0, 255).astype(np.uint8)
 
 
