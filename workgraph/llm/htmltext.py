@@ -5,17 +5,18 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh, written
+from ._shared import fresh, pieces, written
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg object canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that never belong to the article.
 DROP = frozenset("nav aside footer form menu dialog button select option input label fieldset head".split())
@@ -25,26 +26,43 @@ SCOPE = frozenset("table ul ol dl select body article section div main".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Elements that, inside the article, are text even where pages share them.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dd dt table tbody tr td th figcaption".split())
-#: Words of class, id, role or aria-label values that mark what is not the article.
-_NOT_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|adsbygoogle|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|sidebar|widget|related|recommend(?:ed|ations)?|trending|popular|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|footer|search|form|complementary|contentinfo|skip|toc|tags)(?:$|[\s_-])", re.I)
-#: Words that mark a page's head, which inside an article is a part of it.
-_HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?:$|[\s_-])", re.I)
+# Words of class, id, role or aria-label values. A name counts only if all its parts are among these.
+STRONG = frozenset("ad ads adsbygoogle advert adverts advertisement advertisements sponsor sponsored cookie cookies consent gdpr newsletter subscribe subscription paywall menu navbar nav navigation breadcrumb breadcrumbs pagination pager sidebar related comment comments commentlist disqus replies reply respond footer complementary contentinfo popup modal".split())
+#: Names that may as well be a subject: inside an article they need other pages that repeat the element.
+WEAK = frozenset("notice notices alert overlay promo promos promotion promotions advertising signup login widget recommend recommended recommendations trending popular share sharing social search form skip toc tags".split())
+HEADS = frozenset("header masthead topbar banner".split())
+NEUTRAL = frozenset("site page main left right top bottom inner outer wrap wrapper container content box block bar area section list item items link links panel region module zone unit slot holder row col column group post posts article articles entry global primary secondary desktop mobile sticky fixed small large js blog story news web inline body text icon icons button buttons btn head to this on".split())
+_PART = re.compile(r"[A-Za-z]+")
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>|[!?][^>]*(?:>|\Z))""", re.S)
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_MARK = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARK = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 
 
+@lru_cache(maxsize=4096)
+def name_level(mark: str) -> int:
+    """What names say about an element: 3 not the article, 2 the page's head, 1 perhaps not the article, 0 nothing. Each
+    name counts as a whole: one with any other part, as in popular-science, says nothing."""
+    level = 0
+    for name in mark.split():
+        parts = {p.lower() for p in _PART.findall(name)}
+        if parts and parts <= STRONG | WEAK | HEADS | NEUTRAL:
+            level = max(level, 3 if parts & STRONG else 2 if parts & HEADS else 1 if parts & WEAK else 0)
+    return level
+
+
 class Node:
     __slots__ = ("tag", "mark", "hidden", "kids", "code", "holds", "h1", "size")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag = tag
-        self.mark = " ".join(next(v for v in m if v) for m in _MARK.findall(attrs) if any(m)) if "=" in attrs else ""
+        found = _MARK.findall(attrs) if "=" in attrs else []
+        # a label is one name, however many words it has
+        self.mark = " ".join("-".join(v.split()) if name.lower() == "aria-label" else v for name, *values in found for v in values if v)
         self.hidden = bool(attrs) and bool(_HIDDEN.search(attrs))
         self.kids: list = []
         self.code = 0
-        self.holds = tag in ("article", "main") and not _NOT_TEXT.search(self.mark)  # it is, or holds, an article
+        self.holds = tag in ("article", "main") and name_level(self.mark) < 3  # it is, or holds, an article
         self.h1 = tag == "h1"  # it is, or holds, a title
         self.size = 0  # characters of text inside
 
@@ -140,35 +158,32 @@ def subtree_codes(root: Node) -> set[int]:
     return {x.code for x in _walk(root) if x.tag in BLOCK and x.tag not in ("html", "body") and any(isinstance(k, Node) or k.strip() for k in x.kids)}
 
 
-#: A repeated subtree with a title and so much text is a page that was published more than once.
-LONG = 400
-
-
-def _outside(x: Node, within: bool, articles: bool) -> bool:
-    """Whether an element is marked as something other than the article. What holds the article is not, whatever its
-    name says; a head is, unless it stands in the article, or has the title of a page without an article element."""
+def _outside(x: Node, within: bool, articles: bool, again: bool) -> bool:
+    """Whether an element is something other than the article, by its tag, its names, or both. What holds the article is
+    not, whatever its name says. Weak names count in an article only for what other pages repeat (again); a head counts
+    unless it stands in the article, or has the title of a page without an article element."""
     if x.hidden or x.tag in ("html", "body", "main"):
         return x.hidden
     if x.holds and not within:
         return False
-    if x.tag in DROP or (x.mark and _NOT_TEXT.search(x.mark)):
+    level = name_level(x.mark) if x.mark else 0
+    if x.tag in DROP or level == 3 or (level == 1 and (again or not within)):
         return True
-    head = x.tag == "header" or (x.mark and _HEAD.search(x.mark))
-    return bool(head) and not within and not (x.h1 and not articles)
+    return (x.tag == "header" or level == 2) and not within and not (x.h1 and not articles)
 
 
-def _prune(x: Node, templates: set[int], inside: bool) -> None:
-    """Takes out what is not the article: marked elements, and subtrees that the host repeats. Inside the article a
-    repeated heading or paragraph is text that several pages quote, so there only other containers count as template."""
-    todo = [(x, inside)]
+def _prune(x: Node, templates: set[int], repeats: set[int]) -> None:
+    """Takes out subtrees that the host repeats over different pages, whatever they are called, and then what is marked as
+    something else. Inside the article a repeated heading or paragraph is text that several pages quote, so there only
+    other containers count as template."""
+    todo = [(x, False)]
     while todo:
         node, within = todo.pop()
         kept = []
         for k in node.kids:
             if isinstance(k, Node):
-                whole = k.holds or (k.h1 and k.size >= LONG)
-                repeated = k.code in templates and not whole and not (within and k.tag in TEXTUAL)
-                if repeated or _outside(k, within, x.holds):
+                repeated = k.code in templates and not k.holds and not (within and k.tag in TEXTUAL)
+                if repeated or _outside(k, within, x.holds, k.code in repeats):
                     kept.append(" ") if k.tag in INLINE else kept.append(Node("hr"))
                     continue
                 todo.append((k, within or k.tag in ("article", "main")))
@@ -176,12 +191,8 @@ def _prune(x: Node, templates: set[int], inside: bool) -> None:
         node.kids = kept
 
 
-def _length(x: Node) -> int:
-    return sum(len(k) for y in _walk(x) for k in y.kids if isinstance(k, str))
-
-
-def _top(root: Node) -> Node:
-    """The article: the longest outermost article, else the main element, else the page."""
+def _top(root: Node) -> list[Node]:
+    """The article: all outermost articles in page order, else the main elements, else the page."""
     for test in (lambda y: y.tag == "article", lambda y: y.tag == "main" or "main" in y.mark.split()):
         found, todo = [], [root]
         while todo:
@@ -191,8 +202,26 @@ def _top(root: Node) -> Node:
             else:
                 todo += [k for k in reversed(y.kids) if isinstance(k, Node)]
         if found:
-            return max(found, key=_length)
-    return root
+            return found
+    return [root]
+
+
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
+
+
+def identity(root: Node, page: str) -> int:
+    """What tells a page from another: its title and h1 texts, and its longest text. An article that is published again
+    under other menus has the same one, so its own parts do not count as repeated."""
+    title = _TITLE.search(page)
+    longest, heads = "", []
+    for x in _walk(root):
+        own = " ".join(" ".join(k for k in x.kids if isinstance(k, str)).split())
+        if len(own) > len(longest):
+            longest = own
+        if x.tag == "h1":
+            heads.append(own)
+    parts = [" ".join(title[1].split()) if title else "", *sorted(heads), longest]
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def blocks(x: Node) -> list[str]:
@@ -226,14 +255,14 @@ def blocks(x: Node) -> list[str]:
     return out
 
 
-def main_text(page: str | None, site: str, templates: set[int]) -> str:
-    """A page's article without what is marked as something else and without the site's repeated subtrees."""
+def main_text(page: str | None, site: str, templates: set[int], repeats: set[int] = frozenset()) -> str:
+    """A page's article without the site's repeated subtrees and what is marked as something else."""
     if not page:
         return ""
     root = parse(page)
     hash_subtrees(root, site)
-    _prune(root, templates, False)
-    return "\n\n".join(blocks(_top(root)))
+    _prune(root, templates, repeats)
+    return "\n\n".join(b for x in _top(root) for b in blocks(x))
 
 
 def host(url: Column) -> Column:
@@ -243,55 +272,60 @@ def host(url: Column) -> Column:
 
 def _codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sites, codes = [], []
-        for site, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            root = parse(page)
-            hash_subtrees(root, site)
-            mine = [0, *(subtree_codes(root) - {0})]  # 0 counts the host's pages
-            sites += [site] * len(mine)
-            codes += mine
-        yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(codes, pa.int64())], ["site", "code"])
+        for start, n in pieces([batch.column(3)], 256, 4 << 20):
+            part = batch.slice(start, n)
+            idents, codes = [], []
+            for site, page in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                root = parse(page)
+                hash_subtrees(root, site)
+                idents.append(identity(root, page))
+                codes.append(list(subtree_codes(root)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(idents, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], ["k1", "k2", "ident", "codes"])
+
+
+def _keys(html_col: str, url_col: str) -> list[Column]:
+    """Two hashes that name a page by its host and html."""
+    return [F.xxhash64(F.lit(i), host(F.col(url_col)), F.col(html_col)) for i in (1, 2)]
 
 
-def site_templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 4, min_share: float = 0.1) -> DataFrame:
-    """(site, codes): the subtrees that stand on min_pages pages of a host or more, and on min_share of them.
+def page_templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 4) -> DataFrame:
+    """(k1, k2, templates, repeats): for each page, by its hashes, the codes of its subtrees that stand on min_pages
+    different pages of its host or more, and of those that stand on two or more.
 
-    Pages give distinct codes, which Spark counts per host with partial sums; a host's template holds at most
-    (elements of a page) / min_share codes.
+    Codes hold their host, and are counted over distinct identities with partial sums: a count does not depend on the
+    host's size, nor on how often an article is published again. Only a page's own codes come back to it.
     """
-    counts = pages.filter(F.col(html_col).isNotNull()).select(host(F.col(url_col)).alias("site"), F.col(html_col).alias("html")).mapInArrow(_codes, "site string, code long").groupBy("site", "code").count().filter(F.col("count") >= min_pages)
-    counts = written(counts)
-    total = counts.filter("code = 0").select("site", F.col("count").alias("pages"))
-    often = counts.filter("code <> 0").join(total, "site").filter(F.col("count") >= min_share * F.col("pages"))
-    return written(often.groupBy("site").agg(F.collect_list("code").alias("codes")))
+    html = pages.filter(F.length(html_col) > 0).select(*[k.alias(f"k{i}") for i, k in enumerate(_keys(html_col, url_col), 1)], host(F.col(url_col)).alias("site"), F.col(html_col).alias("html"))
+    found = written(html.mapInArrow(_codes, "k1 long, k2 long, ident long, codes array<long>"))
+    counts = found.select("ident", F.explode("codes").alias("code")).distinct().groupBy("code").count().filter("count >= 2")
+    counts = written(counts.select("code", (F.col("count") >= min_pages).alias("often")))
+    own = found.select("k1", "k2", F.explode("codes").alias("code")).join(counts, "code")
+    return written(own.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("often"), F.col("code"))).alias("templates"), F.collect_set("code").alias("repeats")))
 
 
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", min_pages: int = 4, min_share: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", min_pages: int = 4) -> DataFrame:
     """pages with the article's text in column out.
 
-    A first pass counts hashed element subtrees per host (site_templates); a second deletes those that recur from each
-    page, with elements that are marked as navigation, notices, adverts, forms or comments, and joins the text of the
-    article's blocks. The templates are a written table with a row a host: Spark broadcasts it where its size allows
-    and otherwise splits a hot host's pages.
+    A first pass counts hashed element subtrees per host (page_templates); a second deletes those that recur from each
+    page, then elements whose tag or whole name marks them as navigation, notices, adverts, forms or comments, and joins
+    the text of the article's blocks. Each page meets only its own codes, by two hashes of its content: Spark broadcasts
+    that table where its size allows and else splits pages of which there are many copies.
 
     Null or empty html: ''. Null url, or one without a host: the pages without a host are a site of their own. Broken
-    markup is read as far as it goes. Repeated pages count as pages. Other columns pass unchanged; one named as out is
-    replaced.
+    markup is read as far as it goes; very long pages are parsed whole, one at a time. Repeated pages get equal texts and
+    count once. Ties: several outermost articles are all kept, in page order. Empty table: empty result. Other columns
+    pass unchanged; one named as out is replaced, in its place.
     """
-    site, codes, s = fresh(pages, "_site", "_codes", "_s")
-    known = site_templates(pages, html_col, url_col, min_pages, min_share).withColumnsRenamed({"site": s, "codes": codes})
-    joined = pages.withColumn(site, host(F.col(url_col))).join(known, F.col(site) == F.col(s), "left")
+    k = fresh(pages, "_k1", "_k2", "_p1", "_p2", "_templates", "_repeats")
+    known = page_templates(pages, html_col, url_col, min_pages).toDF(k[2], k[3], k[4], k[5])
+    keyed = pages.withColumns(dict(zip(k, _keys(html_col, url_col), strict=False)))
+    joined = keyed.join(known, (F.col(k[0]) == F.col(k[2])) & (F.col(k[1]) == F.col(k[3])), "left")
 
     @F.pandas_udf("string")
-    def run(page, at, found):
+    def run(page, at, templates, repeats):
         import pandas as pd
 
-        sets: dict[str, set[int]] = {}
-        texts = []
-        for p, a, f in zip(page, at, found, strict=True):
-            if a not in sets:
-                sets[a] = set() if f is None else set(f.tolist())
-            texts.append(main_text(p, a, sets[a]))
-        return pd.Series(texts, dtype=object)
+        some = lambda x: frozenset() if x is None else frozenset(x.tolist())
+        return pd.Series([main_text(p, a, some(t), some(r)) for p, a, t, r in zip(page, at, templates, repeats, strict=True)], dtype=object)
 
-    return joined.withColumn(out, run(F.col(html_col), F.col(site), F.col(codes))).drop(site, codes, s)
+    return joined.withColumn(out, run(F.col(html_col), host(F.col(url_col)), F.col(k[4]), F.col(k[5]))).drop(*k)
