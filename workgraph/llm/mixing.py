@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ._shared import fresh, n_words, written
 
 
+#: Block draws of a mix: fewer than the generator's limit for exact hypergeometric draws.
+MOST_DRAWS = 900_000_000
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """(source, source_size, n_docs) with weight and target: the words the mix should take of each source.
 
@@ -47,30 +51,22 @@ def _split(ranges: pd.DataFrame, node: int, depth: int, down: int, seed: int) ->
         total = int(have.sum())
         rng = np.random.Generator(np.random.Philox(key=[seed & (2**63 - 1), (depth + level) << 48 | at]))
         left, want, rest = np.zeros_like(have), (total + 1) // 2, total
-        for i in np.nonzero(have)[0]:  # one conditional draw a source: exact for any size, unlike the library's 10**9 limit on totals
+        for i in np.nonzero(have)[0]:  # one conditional draw a source; draw_plan() keeps the sum under the generator's limit
             rest -= int(have[i])
             if want <= 0:
                 break
-            k = int(have[i]) if rest == 0 else _hypergeometric(rng, int(have[i]), rest, want)
+            k = int(have[i]) if rest == 0 else int(rng.hypergeometric(int(have[i]), rest, want))
             k = min(k, want)
             left[i] = k
             want -= k
         stack += [(2 * at, lo, lo + left, level + 1), (2 * at + 1, lo + left, hi, level + 1)]
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
-    n, p = good + bad, good / (good + bad)
-    k = rng.normal(draws * p, math.sqrt(draws * p * (1 - p) * (n - draws) / (n - 1)))
-    return int(min(max(round(k), draws - bad, 0), good, draws))
-
-
 def splitting_tree(quotas: DataFrame, depth: int, seed: int = 17) -> DataFrame:
     """(rank, quota) -> (shard, rank, lo, hi): which positions of a source's permuted block draws each of 2**depth shards gets.
 
     The upper half of the levels is split in one task, the lower half below each of its nodes in tasks of their own.
-    A task holds one row a source.
+    A task holds one row a source. Every split is an exact draw; quotas may sum to MOST_DRAWS.
     """
     upper = depth // 2
 
@@ -111,14 +107,20 @@ def draw_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     Documents of a source are dealt into blocks by a keyed hash, and blocks stand in the order of a keyed hash. The
     source's target is so many whole epochs of all blocks, and then the first blocks of one more, the last of them as
     far as its documents fit best. A quota is thus an exact number of block draws; the splitting tree deals the quotas
-    out to shards. The number of blocks follows the source's documents, so a hot source has many and no key is hot.
-
-    Null text: size 0, never drawn in part. Null source: a source of its own, last. Repeated rows are documents of
-    their own. Empty table: empty result. Reruns give the same draws: every choice is a hash of id, text and seed.
+    out to shards. The number of blocks follows the source's documents up to most_blocks, so a hot source has many and no
+    key is hot; beyond that its blocks grow (a third of 50 billion documents: 250,000 a block), of which only the last one
+    drawn is looked at by document, in one task. block_docs grows where there would be over MOST_DRAWS draws.
+
+    Null text: size 0, never drawn in part. Null source: a source of its own, last. Very long texts: only their size is
+    kept. Ties in the hashed order go by id, then text hash. Repeated rows are documents of their own. Empty table:
+    empty result. Other columns are left out, whatever their names. Reruns give the same draws: every choice is a hash of
+    id, text and seed.
     """
     doc = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     doc = written(doc.withColumn("hash", F.xxhash64(F.lit(seed), "id", "mark")))
     sizes = doc.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    n_docs = sizes.agg(F.sum("n_docs")).first()[0] or 0
+    block_docs = max(block_docs, -(-n_docs * (most + 1) // MOST_DRAWS))
     sources = written(
         source_targets(sizes, weights, most)
         .withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -160,23 +162,31 @@ def draw_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     return out.select("id", "mark", "source", "size", "source_size", "target", F.transform("draws", lambda s: F.struct(s["shard"].alias("shard"), s["epoch"].alias("epoch"))).alias("draws"))
 
 
-def mix(docs: DataFrame, shard: str | None = None, order: str | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, **how) -> DataFrame:
+def mix(docs: DataFrame, shard: str | None = None, order: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **how) -> DataFrame:
     """The mixed documents: each row of docs as often as draw_plan() draws it, in shards, shuffled within each.
 
-    shard and order name columns for the output shard and the place in it. Rows of null text have size 0 and follow
-    their block's draws. Columns of docs pass unchanged. Texts are shuffled once.
+    Rows come arranged by the splitting tree's shards and in the hashed order inside each; shard and order name columns
+    for both. Rows of null text have size 0 and follow their block's draws. Rows of equal id, text and source are told
+    apart by a hash of their other columns, so reruns agree; only such rows are numbered in a window. Null ids and sources
+    are values like others. Columns of docs pass unchanged, whatever their names. Empty table: empty result.
     """
-    plan = draw_plan(docs, id_col=id_col, text_col=text_col, seed=seed, **how)
-    i, m, n, draw = fresh(docs, "_id", "_mark", "_nth", "_draw")
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))  # noqa: E731  equal rows are drawn one by one
-    plan = plan.filter(F.size("draws") > 0).select(F.col("id").alias(i), F.col("mark").alias(m), nth("id", "mark").alias(n), F.col("draws").alias(draw))
-    marked = docs.withColumn(m + "d", F.xxhash64(text_col))
-    marked = marked.withColumn(n + "d", nth(id_col, m + "d"))
-    out = marked.join(plan, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(m + "d") == F.col(m)) & (F.col(n + "d") == F.col(n)))
-    out = out.withColumn(draw, F.explode(draw))
-    extra = [F.col(f"{draw}.shard").alias(shard)] if shard else []
-    extra += [F.xxhash64(F.lit(seed + 4), f"{draw}.shard", f"{draw}.epoch", i, m, n).alias(order)] if order else []
-    return out.select(*[F.col(c) for c in docs.columns], *extra)
+    plan = draw_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **how)
+    i, m, s, n, draw, mark, src, nth, at, place = fresh(docs, "_id", "_mark", "_source", "_nth", "_draw", "_markd", "_sourced", "_nthd", "_shard", "_place")
+    number = lambda keys, by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))
+    plan = plan.select(F.col("id").alias(i), F.col("mark").alias(m), F.col("source").alias(s), F.col("draws").alias(draw))
+    twice = written(plan.groupBy(i, m, s).count().filter("count > 1").drop("count"))
+    plan = written(plan.withColumn(n, number((i, m, s), draw)).filter(F.size(draw) > 0))
+    marked = docs.withColumn(mark, F.xxhash64(text_col)).withColumn(src, F.col(source_col).cast("string"))
+    same = lambda d: F.col(id_col).eqNullSafe(d[i]) & (F.col(mark) == d[m]) & F.col(src).eqNullSafe(d[s])
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    rest = marked.join(twice, same(twice), "left_semi")
+    rows = marked.join(twice, same(twice), "left_anti").withColumn(nth, F.lit(1)).unionByName(rest.withColumn(nth, number((id_col, mark, src), F.xxhash64(*plain))))
+    out = rows.join(plan, same(plan) & (F.col(nth) == F.col(n))).withColumn(draw, F.explode(draw))
+    out = out.withColumn(at, F.col(f"{draw}.shard")).withColumn(place, F.xxhash64(F.lit(seed + 4), at, f"{draw}.epoch", i, m, s, n))
+    out = out.repartition(F.col(at)).sortWithinPartitions(at, place)
+    extra = [F.col(at).alias(shard)] if shard else []
+    extra += [F.col(place).alias(order)] if order else []
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 
 
 def mix_column(draws: Column, size: Column) -> Column:
