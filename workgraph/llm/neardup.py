@@ -17,6 +17,7 @@ VALUES = 128  # MinHash values of a signature, 16 bits each
 TREES = 16  # sorted orders of the signature
 DEPTH = 12  # values of an order that are sorted by
 SHALLOW = 4  # values that two neighbours must share at least
+SKETCH = 48  # values that neighbours are compared on
 _rng = np.random.Generator(np.random.Philox(key=[5, 85]))
 _A = _rng.integers(0, 2**32, VALUES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, VALUES, dtype=np.uint32)
@@ -51,17 +52,32 @@ def _binary(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(len(column), width // 2)
 
 
+#: What a task of _neighbours() tells: edges, or (where a is null) the rows at its ends.
+TOLD = "a long, b long, tree int, key binary, id long, sketch binary"
+
+
 def _neighbours(window: int, least: float, shallow: int):
     """Sorted rows (tree, key, id, sketch) -> edges between rows at most window apart that share shallow values of the
-    order and so much of the sketch. How deep the shared prefix is follows the region: in a dense one the nearest rows
-    share many values, in a thin one few."""
+    order and so much of the sketch, and the first and last window rows, whose neighbours other tasks may have. How deep
+    the shared prefix is follows the region: in a dense one the nearest rows share many values, in a thin one few."""
+
+    def told(edges: list[tuple[int, int]], rows: pa.RecordBatch | None) -> pa.RecordBatch:
+        n, m = len(edges), 0 if rows is None else len(rows)
+        ends = [pa.array([e[k] for e in edges] + [None] * m, pa.int64()) for k in (0, 1)]
+        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([*ends, *[pa.concat_arrays([pa.nulls(n, t), *([] if rows is None else [rows.column(k).cast(t)])]) for k, t in enumerate(kinds)]], ["a", "b", "tree", "key", "id", "sketch"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        first, last = 0, None
         for batch in batches:
             if not len(batch):
                 continue
-            rows = [batch.column(0).to_numpy(zero_copy_only=False), _binary(batch.column(1), 2 * DEPTH)[:, :shallow], batch.column(2).to_numpy(zero_copy_only=False), _binary(batch.column(3), 48)]
+            if first < window:
+                yield told([], batch.slice(0, window - first))
+                first += min(len(batch), window - first)
+            last = batch.slice(max(0, len(batch) - window)) if last is None or len(batch) >= window else pa.Table.from_batches([last, batch]).slice(max(0, len(last) + len(batch) - window)).combine_chunks().to_batches()[0]
+            rows = [batch.column(0).to_numpy(zero_copy_only=False), _binary(batch.column(1), 2 * DEPTH)[:, :shallow], batch.column(2).to_numpy(zero_copy_only=False), _binary(batch.column(3), 2 * SKETCH)]
             if held is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
             tree, key, ids, sketch = rows
@@ -73,8 +89,10 @@ def _neighbours(window: int, least: float, shallow: int):
                 near = near[(sketch[near + lag] == sketch[near]).mean(axis=1) >= least]
                 for a, b in zip(ids[near + lag].tolist(), ids[near].tolist(), strict=True):
                     f.join(a, b)
-            yield edge_batch(f.edges())
+            yield told(f.edges(), None)
             held = [x[-window:] for x in rows]
+        if last is not None:
+            yield told([], last)
 
     return run
 
@@ -166,32 +184,42 @@ def _against(wide: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, wide: int = 5, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 128, block_shingles: int = 400_000, window: int = 3, orders: int = 3, shallow: int = SHALLOW, loose: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, wide: int = 5, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 128, block_shingles: int = 400_000, window: int = 3, orders: int = 3, shallow: int = SHALLOW) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs.
 
     Texts are linked when 100 * intersection >= percent * union of their sets of shingles of wide words.
     1. Rows of equal shingle sets are one class (by size and 128 bits of hash); its smallest id stands for it.
     2. Every class stands in TREES sorted orders of its MinHash signature. Neighbours by longest common prefix, with a
-       loose check of a sketch, make edges if they share shallow values and so much of the sketch; a lower percent needs
-       both to be lower; their components are regions, wider than any component of real links.
+       loose check of a sketch, make edges if they share shallow values and as much of SKETCH values as two linked
+       texts do but for four standard deviations; a lower percent needs a lower shallow. Rows at the ends of sorted
+       partitions meet again in a small table. The components are regions, wider than any component of real links.
     3. In a region of up to block_docs all pairs are compared on full sets in one task. A larger region is cut into
        blocks along some of the sorted orders; what they link is merged. Then the documents outside the region's
        largest component are the queries, compared on full sets with all its documents, in blocks: whatever the
        blocks missed is found, and no pair of the largest component is made.
     4. Links' components give component_id, the smallest id that can be reached.
 
-    Null or blank texts: n_shingles 0, linked with nothing. Null id: component_id null. Rows of one
-    id are one document: what links to either text links to both. Empty table: empty result.
+    Null or blank texts: n_shingles 0, linked with nothing. Null id: component_id null. Ids must be whole numbers; other
+    types are an error. Rows of one id are one document: what links to either text links to both. Very long texts: whole,
+    hashed in slices. Ties: the smallest id names a component. Other columns are left out, whatever their names. Empty
+    table: empty result.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col}: whole numbers are needed")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(base.mapInArrow(_sign(wide), "id long, n long, s1 long, s2 long, sig binary"))
     classes = written(signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id"), "s1", "s2", "n").join(signed, ["id", "s1", "s2", "n"]).dropDuplicates(["id", "s1", "s2", "n"]).select("id", "n", "sig")
     reps = written(reps)
     key = lambda order: F.concat(*[F.substring("sig", 2 * v + 1, 2) for v in order])
-    trees = reps.select("id", F.substring("sig", 1, 48).alias("sketch"), F.posexplode(F.array(*[key(o) for o in ORDERS])).alias("tree", "key")).select("tree", "key", "id", "sketch")
+    trees = reps.select("id", F.substring("sig", 1, 2 * SKETCH).alias("sketch"), F.posexplode(F.array(*[key(o) for o in ORDERS])).alias("tree", "key")).select("tree", "key", "id", "sketch")
     spread = trees.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    regions = components(spread.mapInArrow(_neighbours(window, loose, shallow), "a long, b long")).withColumnRenamed("component", "region")
+    share = percent / 100
+    near = _neighbours(window, share - 4 * (share * (1 - share) / SKETCH) ** 0.5, shallow)
+    told = written(spread.mapInArrow(near, TOLD))
+    seam = told.filter("a is null").select("tree", "key", "id", "sketch").coalesce(1).sortWithinPartitions("tree", "key", "id")  # a few rows a task
+    pairs = told.filter("a is not null").select("a", "b").unionByName(seam.mapInArrow(near, TOLD).filter("a is not null").select("a", "b"))
+    regions = components(pairs).withColumnRenamed("component", "region")
     regions = written(regions.join(reps, "id").select("id", "region", "n", *[key(o).alias(f"k{i}") for i, o in enumerate(ORDERS[:orders])]))
     sizes = written(regions.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")))
     big = (F.col("docs") > block_docs) | (F.col("shingles") > block_shingles)
