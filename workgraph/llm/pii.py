@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -124,65 +124,149 @@ def _candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int
     return [(i, j, features(text[tokens[i][0] : tokens[j - 1][1]], j - i)) for i in range(len(tokens)) for j in range(i + 1, min(i + MOST_TOKENS, len(tokens)) + 1) if 0 < tokens[j - 1][1] - tokens[i][0] <= MOST_CHARS]
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weights: np.ndarray, margin: float = 0.0) -> list[Span]:
-    """The best joint choice of boundaries and kinds: best[j] is the best score of the first j tokens; a token outside any entity scores 0."""
-    n = len(tokens)
-    best, back = np.full(n + 1, -np.inf), [None] * (n + 1)
-    best[0] = 0
-    by_end: dict[int, list] = {}
+#: The state after a token outside any entity, behind those of KINDS; also where a region begins.
+OUTSIDE = len(KINDS)
+Weights = tuple[np.ndarray, np.ndarray]  # [kind, feature], and [state before, kind]
+
+
+_FIRST = [OUTSIDE, *range(OUTSIDE)]  # states in the order in which ties are settled
+
+
+def _best(scores: np.ndarray) -> int:
+    return _FIRST[int(scores[_FIRST].argmax())]
+
+
+def held_tokens(tokens: list[tuple[int, int]], base: list[Span]) -> list[tuple[int, int, int]]:
+    """(first token, token after the last, kind) of what base spans cover, in order: base spans stand, and what overlaps
+    one before it goes with that one."""
+    out: list[tuple[int, int, int]] = []
+    starts = [a for a, _ in tokens]
+    for kind, a, b in base:
+        i = bisect_right(starts, a) - 1
+        if i < 0 or tokens[i][1] <= a:
+            i += 1
+        j = bisect_left(starts, b)
+        if i >= j:
+            continue
+        if out and i < out[-1][1]:
+            out[-1] = (out[-1][0], max(j, out[-1][1]), out[-1][2])
+        else:
+            out.append((i, j, KINDS.index(kind)))
+    return out
+
+
+def decode(text: str, tokens: list[tuple[int, int]], weights: Weights, margin: float = 0.0, base: list[Span] = ()) -> list[Span]:
+    """The best joint choice of boundaries and kinds over a region's tokens. A segmentation scores, for each entity, its
+    span's features and the step from the state before it, less margin; a token outside scores 0. Base spans are entities that every
+    segmentation has (without a score of their own), so no candidate runs into one. Ties: fewer entities, then the earlier kind."""
+    own, step = weights
+    n, held = len(tokens), held_tokens(tokens, base)
+    taken = [False] * (n + 1)
+    for i, j, _ in held:
+        taken[i:j] = [True] * (j - i)
+    best = np.full((n + 1, OUTSIDE + 1), -np.inf)
+    back: dict[tuple[int, int], tuple[int, int]] = {}
+    best[0, OUTSIDE] = 0
+    ends: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, j, f in _candidates(text, tokens):
-        s = weights @ f
-        by_end.setdefault(j, []).append((i, int(s.argmax()), float(s.max())))
+        if not any(taken[i:j]):
+            ends.setdefault(j, []).append((i, own @ f - margin))
+    fixed = {j: (i, k) for i, j, k in held}
     for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, k, s in by_end.get(j, ()):
-            if s > margin and best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (i, k)
-    out, j = [], n
+        if not taken[j - 1]:
+            k = _best(best[j - 1])
+            best[j, OUTSIDE], back[j, OUTSIDE] = best[j - 1, k], (j - 1, k)
+            for i, score in ends.get(j, ()):
+                through = best[i][:, None] + step
+                for kind in range(OUTSIDE):
+                    y = _best(through[:, kind])
+                    if through[y, kind] + score[kind] > best[j, kind]:
+                        best[j, kind], back[j, kind] = through[y, kind] + score[kind], (i, y)
+        elif j in fixed:
+            i, kind = fixed[j]
+            y = _best(best[i] + step[:, kind])
+            best[j, kind], back[j, kind] = best[i, y] + step[y, kind], (i, y)
+    out, j, state = [], n, _best(best[n])
     while j > 0:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, k = back[j]
-            out.append((KINDS[k], tokens[i][0], tokens[j - 1][1]))
-            j = i
+        i, y = back[j, state]
+        if state != OUTSIDE and j not in fixed:
+            out.append((KINDS[state], tokens[i][0], tokens[j - 1][1]))
+        j, state = i, y
     return out[::-1]
 
 
-def fit(examples: list[tuple[str, list[Span]]], epochs: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
-    """Weights [kind, feature] that make the spans of the examples likeliest, by gradient ascent on the conditional log-likelihood with forward and backward sums."""
-    data = []
+Region = tuple[int, list[tuple[int, int]], np.ndarray, list[int | None]]  # tokens, candidates, their features, their gold kinds
+
+
+def likelihood(region: Region, weights: Weights) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log-likelihood of a region's gold segmentation, its gradients by both kinds of weights), by forward and backward sums."""
+    n, where, f, gold = region
+    own, step = weights
+    s = f @ own.T
+    fore, aft = np.full((n + 1, OUTSIDE + 1), -np.inf), np.full((n + 1, OUTSIDE + 1), -np.inf)
+    fore[0, OUTSIDE] = 0
+    ends: list[list[int]] = [[] for _ in range(n + 1)]
+    begins: list[list[int]] = [[] for _ in range(n + 1)]
+    for x, (i, j) in enumerate(where):
+        ends[j].append(x)
+        begins[i].append(x)
+    into = np.full((n + 1, OUTSIDE), -np.inf)  # sums over the state before, by where an entity begins
+    into[0] = np.logaddexp.reduce(fore[0][:, None] + step, axis=0)
+    for j in range(1, n + 1):
+        fore[j, OUTSIDE] = np.logaddexp.reduce(fore[j - 1])
+        if ends[j]:
+            fore[j, :OUTSIDE] = np.logaddexp.reduce([into[where[x][0]] + s[x] for x in ends[j]], axis=0)
+        into[j] = np.logaddexp.reduce(fore[j][:, None] + step, axis=0)
+    aft[n] = 0
+    for i in range(n - 1, -1, -1):
+        aft[i] = aft[i + 1, OUTSIDE]
+        if begins[i]:
+            on = np.logaddexp.reduce([s[x] + aft[where[x][1], :OUTSIDE] for x in begins[i]], axis=0)
+            aft[i] = np.logaddexp(aft[i], np.logaddexp.reduce(step + on, axis=1))
+    total = np.logaddexp.reduce(fore[n])
+    p = np.exp(np.array([into[i] + s[x] + aft[j, :OUTSIDE] for x, (i, j) in enumerate(where)]) - total)
+    by_own, by_step, value = -(p.T @ f), np.zeros_like(step), -total
+    for i in range(n):
+        if begins[i]:
+            on = np.logaddexp.reduce([s[x] + aft[where[x][1], :OUTSIDE] for x in begins[i]], axis=0)
+            by_step -= np.exp(fore[i][:, None] + step + on - total)
+    last, state = 0, OUTSIDE
+    for (i, j), x, k in sorted((where[x], x, k) for x, k in enumerate(gold) if k is not None):
+        state = state if i == last and i else OUTSIDE
+        value += s[x, k] + step[state, k]
+        by_own[k] += f[x]
+        by_step[state, k] += 1
+        last, state = j, k
+    return float(value), by_own, by_step
+
+
+def fit(examples: list[tuple[str, list[Span]]], epochs: int = 40, rate: float = 0.5, ridge: float = 1e-3, most_region: int = 2 * MOST_TOKENS) -> Weights:
+    """Weights that make the spans of the examples likeliest, by gradient ascent on the conditional log-likelihood. Regions
+    of over most_region tokens are left out of the sample (not of what is decoded)."""
+    data: list[Region] = []
     for text, spans in examples:
         for tokens in regions(text):
-            if len(tokens) > 2 * MOST_TOKENS:
+            if len(tokens) > most_region:
                 continue
             want = {(s, e): KINDS.index(k) for k, s, e in spans}
             c = _candidates(text, tokens)
+            gold = [want.get((tokens[i][0], tokens[j - 1][1])) for i, j, _ in c]
             # an example's labels say nothing about other data near it
-            if c and (not spans or any((tokens[i][0], tokens[j - 1][1]) in want for i, j, _ in c)):
-                data.append((len(tokens), [(i, j) for i, j, _ in c], np.array([f for *_, f in c]), [want.get((tokens[i][0], tokens[j - 1][1])) for i, j, _ in c]))
-    w = np.zeros((len(KINDS), len(FEATURES)))
-    w[:, 0] = -2
-    speed = np.full_like(w, 1e-6)
+            if c and (not spans or any(k is not None for k in gold)):
+                data.append((len(tokens), [(i, j) for i, j, _ in c], np.array([f for *_, f in c]), gold))
+    own, step = np.zeros((len(KINDS), len(FEATURES))), np.zeros((OUTSIDE + 1, OUTSIDE))
+    own[:, 0] = -2
+    speed = [np.full_like(own, 1e-6), np.full_like(step, 1e-6)]
     for _ in range(epochs if data else 0):
-        grad = -ridge * w * len(data)
-        for n, where, f, gold in data:
-            s = f @ w.T
-            fore, aft = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-            fore[0] = aft[n] = 0
-            seg = np.logaddexp.reduce(s, axis=1)
-            for j in range(1, n + 1):
-                fore[j] = np.logaddexp.reduce([fore[j - 1], *(fore[i] + seg[x] for x, (i, k) in enumerate(where) if k == j)])
-            for i in range(n - 1, -1, -1):
-                aft[i] = np.logaddexp.reduce([aft[i + 1], *(aft[k] + seg[x] for x, (h, k) in enumerate(where) if h == i)])
-            p = np.exp(np.array([fore[i] + aft[j] for i, j in where])[:, None] + s - fore[n])
-            for x, k in enumerate(gold):
-                if k is not None:
-                    grad[k] += f[x]
-            grad -= p.T @ f
-        speed += grad**2
-        w += rate * grad / np.sqrt(speed)
-    return w
+        grads = [-ridge * own * len(data), -ridge * step * len(data)]
+        for region in data:
+            _, a, b = likelihood(region, (own, step))
+            grads[0] += a
+            grads[1] += b
+        for w, v, g in zip((own, step), speed, grads, strict=True):
+            v += g**2
+            w += rate * g / np.sqrt(v)
+    return own, step
 
 
 def varied(text: str, span: Span) -> Iterator[tuple[str, list[Span]]]:
@@ -194,58 +278,55 @@ def varied(text: str, span: Span) -> Iterator[tuple[str, list[Span]]]:
         yield around[0] + form + around[1], [(kind, len(around[0]), len(around[0]) + len(form))]
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = 400, seed: int = 29) -> np.ndarray:
+def train(docs: DataFrame, text_col: str = "text", sample: int = 400, seed: int = 29, spans_a_text: int = 3, digits_a_text: int = 2) -> Weights:
     """Weights learned from at most sample documents that hold a base span and as many that hold only a digit, taken in
-    the order of a hash, so that reruns agree. sample bounds what reaches the driver and the time to fit."""
-    have = docs.filter(F.col(text_col).rlike("[0-9]")).select(F.col(text_col).alias("t"))
+    the order of a hash, so that reruns agree; copies count once. Of a text, the first spans_a_text base spans and their
+    rewritten forms are examples, or else the surroundings of its first digits_a_text digits. These bounds are of the
+    training sample alone: they bound what reaches the driver and the time to fit."""
     datum = F.col("t").rlike("@|[0-9]{9}|[+][0-9]|[0-9][.][0-9]+[.][0-9]")
-    order = F.xxhash64(F.lit(seed), "t")
+    have = docs.filter(F.col(text_col).rlike("[0-9]")).select(F.col(text_col).alias("t")).select("t", datum.alias("datum"), F.xxhash64(F.lit(seed), "t").alias("h"))
 
     @F.pandas_udf("array<struct<text:string,kind:string,a:int,b:int>>")
     def snippets(column):
         import pandas as pd
 
-        return pd.Series([list(_examples(t)) for t in column])
+        return pd.Series([list(_examples(t, spans_a_text, digits_a_text)) for t in column])
 
-    examples: list[tuple[str, list[Span]]] = []
-    for part in (datum, ~datum):
-        some = have.filter(part).select(order.alias("h"), "t")
-        least = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-        few = some.filter(F.col("h") <= F.lit(least if least is not None else 0)).dropDuplicates(["h"])  # sample texts; copies count once
-        for r in few.select(F.explode(snippets("t")).alias("e")).select("e.*").collect():
-            examples.append((r["text"], [(r["kind"], r["a"], r["b"])] if r["kind"] else []))
-    return fit(examples)
+    # the sample-th least hash of either part: Spark keeps so many a task
+    rank = F.row_number().over(Window.partitionBy("datum").orderBy("h"))
+    most = {r["datum"]: r["m"] for r in have.select("datum", "h").distinct().withColumn("r", rank).filter(F.col("r") <= sample).groupBy("datum").agg(F.max("h").alias("m")).collect()}
+    few = have.filter(F.col("h") <= F.when(F.col("datum"), F.lit(most.get(True, 0))).otherwise(F.lit(most.get(False, 0)))).dropDuplicates(["h"])
+    rows = few.select("datum", "h", F.posexplode(snippets("t")).alias("n", "e")).orderBy(F.col("datum").desc(), "h", "n").select("e.*").collect()
+    return fit([(r["text"], [(r["kind"], r["a"], r["b"])] if r["kind"] else []) for r in rows])
 
 
-def _examples(text: str) -> Iterator[tuple[str, str | None, int, int]]:
-    """Short labelled examples of a text: the first few base spans, each also rewritten, or else the first few digits."""
+def _examples(text: str, most_spans: int = 3, most_digits: int = 2) -> Iterator[tuple[str, str | None, int, int]]:
+    """Short labelled examples of a text: the first base spans, each also rewritten, or else the first digits."""
     spans = base_spans(text)
-    for s in spans[:3]:
+    for s in spans[:most_spans]:
         for around, [(kind, a, b)] in varied(text, s):
             yield around, kind, a, b
     if not spans:
-        for m in list(_DIGIT.finditer(text))[:2]:
+        for m in islice(_DIGIT.finditer(text), most_digits):
             yield text[max(0, m.start() - 40) : m.end() + 40], None, 0, 0
 
 
-def find(text: str | None, weights: np.ndarray, margin: float) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans) of a text: the field's spans are added where they touch no base span."""
+def find(text: str | None, weights: Weights, margin: float) -> tuple[list[Span], list[Span]]:
+    """(base spans, all spans) of a text: the field decides around the base spans, which it takes as given."""
     if not text:
         return [], []
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
-    reach = list(accumulate((b for _, b in taken), max))  # the farthest end up to each base span
-    free = lambda a, b: (k := bisect_left(starts, b)) == 0 or reach[k - 1] <= a
+    by_start = sorted(base, key=lambda s: (s[1], s[2]))
+    starts = [s[1] for s in by_start]
+    reach = list(accumulate((s[2] for s in by_start), max))  # the farthest end up to each base span
     added: list[Span] = []
     for tokens in regions(text):
         lo, hi = tokens[0][0], tokens[-1][1]
         k = bisect_right(starts, lo)
         if k and reach[k - 1] >= hi:
             continue  # all of it lies in base spans
-        for s in decode(text, tokens, weights, margin):
-            if free(s[1], s[2]):
-                added.append(s)
+        near = by_start[bisect_right(reach, lo) : bisect_left(starts, hi)]
+        added += decode(text, tokens, weights, margin, near)
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -253,13 +334,15 @@ def written_spans(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_spans(docs: DataFrame, text_col: str = "text", weights: np.ndarray | None = None, margin: float = 1.0, out: str = "pii") -> DataFrame:
+def find_spans(docs: DataFrame, text_col: str = "text", weights: Weights | None = None, margin: float = 1.0, out: str = "pii") -> DataFrame:
     """docs with a struct column: n_email, n_ip, n_card, n_phone (of base spans), base and spans, written as kind:start:end
     by start, then kind, joined by commas; positions are code points, ends exclusive.
 
     Base spans always stay. The field decides boundaries and kinds together over regions of the whole text; its spans
-    count from margin of log-odds on. Null or empty text: no spans. Without weights, they are learned from docs.
-    Repeated rows get equal results. Columns of docs pass unchanged.
+    count from margin of log-odds on. Null or empty text: no spans. Without weights, they are learned from docs; where
+    docs has nothing to learn from, or no rows, only base spans come out. Very long texts: whole, region by region. Ties:
+    fewer spans, then the kind listed first. Repeated rows get equal results. Other columns of docs pass unchanged; one
+    named as out is replaced, in its place.
     """
     w = train(docs, text_col) if weights is None else weights
     shared = docs.sparkSession.sparkContext.broadcast(w)
