@@ -38,13 +38,18 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bin", "n"])
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5, most_langs: int = 500) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [language, bin]) from every row of docs with a text and a language.
 
     Tasks count into BINS bins a language and Spark sums them, so what reaches the driver is a model of languages x BINS
-    numbers, whatever the number of rows.
+    numbers (128 MB for most_langs), whatever the number of rows. More languages than that are an error, as the column then
+    holds something else than languages. Null text or language: left out. Repeated rows count each time. Very long
+    texts: whole. No rows: no languages.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    found = rows.select("lang").distinct().limit(most_langs + 1).count()
+    if found > most_langs:
+        raise ValueError(f"over {most_langs} languages")
     counts = rows.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((len(langs), BINS))
@@ -78,7 +83,7 @@ def infer(bins: np.ndarray, logp: np.ndarray, penalty: float, rounds: int = 30,
     part, like = _fit(p[live], c, rounds)
     while len(live) > 1:
         tries = [_fit(np.delete(p[live], i, axis=0), c, rounds) for i in range(len(live))]
-        best = max(range(len(live)), key=lambda i: tries[i][1])
+        best = max(range(len(live)), key=lambda i: (tries[i][1], i))  # of equals the last goes
         if like - tries[best][1] >= cost:
             break
         part, like = tries[best]
@@ -92,7 +97,9 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, text_col: str
     """docs with the predicted language, its share of the text (0 to 1), and the shares of all languages found.
 
     Null text, or one without a letter: 'und', 0.0 and no shares; so too every text where no language was learned. Ties
-    go to the first language by name. Repeated rows get equal results. Columns of docs pass unchanged.
+    go to the first language by name. Repeated rows get equal results. Very long texts: whole, as counts of BINS bins.
+    Empty table: empty result. Columns of docs pass unchanged, but for ones named as a new one, which are replaced and
+    stand last.
     """
     text, key = fresh(docs, "_t", "_found")
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))
@@ -112,5 +119,5 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, text_col: str
             out.append((names_[k], float(min(1.0, share[k])), {names_[i]: float(share[i]) for i in np.nonzero(share)[0]}))
         return pd.DataFrame(out, columns=["lang", "score", "shares"])
 
-    keep = [c for c in docs.columns if c not in names]
+    keep = [c for c in docs.columns if c.lower() not in [n.lower() for n in names]]
     return docs.withColumn(key, run(F.col(text_col))).select(*keep, F.col(f"{key}.lang").alias(names[0]), F.col(f"{key}.score").alias(names[1]), F.col(f"{key}.shares").alias(names[2]))
