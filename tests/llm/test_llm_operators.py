@@ -127,6 +127,59 @@ def test_quality_divergence(spark):
     assert not any(got[100 + i].kept for i in range(3)) and not got[200].kept
 
 
+def test_quality_verdict_by_hand(spark):
+    rng = random.Random(31)
+    vocabulary = {k: ["".join(rng.choice(c) for _ in range(rng.randint(1, 6))) for _ in range(60)] for k, c in (("xx", "abcdef"), ("yy", "ghéijk"))}
+    text = lambda k, n: " ".join(min(rng.choice(vocabulary[k]), rng.choice(vocabulary[k])) for _ in range(n))
+    rows = [(i, text(k, rng.choice([5, 30, 80, 200])), k) for i in range(120) for k in ("xx", "yy")]
+    rows += [(500 + i, t.replace(" ", m), k) for i, (t, k, m) in enumerate([(text("xx", 90), "xx", "%% "), (text("yy", 90), "xx", " "), (text("xx", 90), None, " "), (text("xx", 90), None, "%%% "), (text("yy", 90), "thin", " "), ("~ " * 120, "thin", " "), (None, "xx", " ")]) if t]
+    rows += [(600, None, "xx"), (601, "", None)]
+    sets = ["abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\f\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:'\"()!?-", "0123456789", "".join(map(chr, range(33, 127)))]
+
+    def classes(t):
+        at = [next((k for k, c in enumerate(sets) if x in c), 6) for x in t]
+        return [at.count(k) for k in range(7)]
+
+    def js(p, q):
+        kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x)
+        m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+        return math.sqrt(max(0.0, (kl(p, m) + kl(q, m)) / 2))
+
+    share = lambda c: [x / sum(c) for x in c]
+    fold = lambda c: [c[0] + c[2] + c[6], c[1], c[3], c[4], c[5]]
+    refs, every = {}, [0] * 7
+    for k in ("xx", "yy", "thin", None):
+        own = [t for _, t, lang in rows if lang == k and t is not None]
+        c = [sum(x) for x in zip(*map(classes, own), strict=True)]
+        every = [a + b for a, b in zip(every, c, strict=True)]
+        words = [w.lower() for t in own for w in WORD.findall(t)]
+        if k and len(words) >= 1000:
+            n = {w: words.count(w) for w in set(words)}
+            top = sorted((-m, w) for w, m in n.items() if m >= 0.002 * len(words))[:20]
+            refs[k] = share(c), [w for _, w in top], [-m / len(words) for m, _ in top]
+    assert set(refs) == {"xx", "yy"}
+    want = {}
+    for i, t, k in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        base = len(w) < 20 or len(set(zip(*[w[j:] for j in range(8)], strict=False))) < len(w) - 7
+        one = two = None
+        if not base and len(t) >= 200:
+            one = js(share(classes(t)), refs[k][0]) if k in refs else js(share(fold(classes(t))), share(fold(every)))
+        if not base and len(w) >= 40 and k in refs:
+            n = [[x.lower() for x in w].count(x) for x in refs[k][1]]
+            two = js(share([*n, len(w) - sum(n)]), [*refs[k][2], 1 - sum(refs[k][2])])
+        want[i, k] = (not base and (one or 0) <= 0.32 and (two or 0) <= 0.42, one, two)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.quality(d, references=quality.language_references(d, min_lang_words=1000)).collect()
+    for r in got:
+        kept, one, two = want[r.doc_id, r.lang]
+        assert r.kept == kept and (r.class_distance is None) == (one is None) and (r.common_distance is None) == (two is None)
+        assert r.class_distance == (None if one is None else pytest.approx(one, abs=1e-9)) and r.common_distance == (None if two is None else pytest.approx(two, abs=1e-9))
+    verdict = {r.doc_id: r.kept for r in got if r.doc_id >= 500}
+    assert not verdict[500] and not verdict[501] and verdict[502] and not verdict[503]
+
+
 def test_jensen_shannon(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
@@ -189,6 +242,26 @@ def test_large_region_of_near_copies(spark):
     assert {r.id: r.component_id for r in got} == want
 
 
+def test_neighbours_meet_across_partitions(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(150):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(80)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "end"]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")  # about as many seams as pairs in every tree
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.component_id for r in neardup.near_duplicates(d).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {i: i - i % 2 for i in range(300)}
+    with pytest.raises(ValueError, match="whole numbers"):
+        neardup.near_duplicates(d.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 # --- 8 mixing ---
 
 
@@ -226,6 +299,24 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_mix_draws_what_the_plan_draws(spark, parts):
+    rows = [(i, "word " * (i % 7 + 1), f"s{k}", 10 * i + k) for i in range(50) for k in (0, 1)] + [(7, "same text", "s0", n) for n in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _markd long").withColumn("_nthd", F.col("_markd")).repartition(parts, "_markd")
+    want = defaultdict(int)
+    for r in mixing.draw_plan(d, shard_words=40, block_docs=4).collect():
+        want[r.source] += len(r.draws)
+    out = mixing.mix(d, shard="shard", order="place", shard_words=40, block_docs=4)
+    got = out.collect()
+    assert {s: sum(r.source == s for r in got) for s in want} == dict(want)
+    assert all(r._markd == r._nthd for r in got) and {r._markd for r in got} <= {r[3] for r in rows}
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(d.repartition(2), shard="shard", order="place", shard_words=40, block_docs=4).collect()))
+    places = out.select("shard", "place", F.spark_partition_id().alias("at")).collect()
+    assert len({(r.shard, r.at) for r in places}) == len({r.shard for r in places}) > 3  # a shard is in one partition, in order
+    for a, b in zip(places, places[1:], strict=False):
+        assert a.at != b.at or (a.shard, a.place) <= (b.shard, b.place)
+
+
 def test_splitting_tree_is_exact(spark):
     quotas = spark.createDataFrame([(1, 1000), (2, 37), (3, 0), (4, 500)], "rank long, quota long")
     leaves = mixing.splitting_tree(quotas, 5).collect()
@@ -417,6 +508,79 @@ def test_field_learns_spans():
     assert pii.find("in 1999 there were 12 of them", w, 0.5)[1] == []
 
 
+def all_segmentations(n, where, kinds=4):
+    """Every way to lay candidates over n tokens, as lists of (candidate, kind)."""
+    def go(at):
+        if at == n:
+            yield []
+            return
+        for rest in go(at + 1):
+            yield rest
+        for x, (i, j) in enumerate(where):
+            if i == at:
+                for rest in go(j):
+                    for k in range(kinds):
+                        yield [(x, k), *rest]
+    return go(0)
+
+
+def score_of(segments, where, s, step):
+    total, last, state = 0.0, 0, pii.OUTSIDE
+    for x, k in segments:
+        i, j = where[x]
+        state = state if i == last and i else pii.OUTSIDE
+        total += s[x][k] + step[state, k]
+        last, state = j, k
+    return total
+
+
+@pytest.mark.parametrize("text", ["4539 1488", "12 34 56 78", "10.0.0.1", "+1 (415) 5550"])
+def test_field_against_all_segmentations(text):
+    rng = np.random.default_rng(len(text))
+    [tokens] = list(pii.regions(text))
+    own, step = rng.normal(size=(4, len(pii.FEATURES))), rng.normal(size=(5, 4))
+    c = pii._candidates(text, tokens)
+    where, f = [(i, j) for i, j, _ in c], np.array([x for *_, x in c])
+    every = list(all_segmentations(len(tokens), where))
+    scores = [score_of(s, where, f @ own.T, step) for s in every]
+    best = every[int(np.argmax(scores))]
+    spans = [(pii.KINDS[k], tokens[where[x][0]][0], tokens[where[x][1] - 1][1]) for x, k in best]
+    assert pii.decode(text, tokens, (own, step)) == spans
+    gold = [None] * len(c)
+    gold[0], gold[next((x for x, (i, _) in enumerate(where) if i == where[0][1]), 0)] = 1, 2
+    region = (len(tokens), where, f, gold)
+    value, by_own, by_step = pii.likelihood(region, (own, step))
+    segments = sorted(((x, k) for x, k in enumerate(gold) if k is not None), key=lambda s: where[s[0]])
+    assert value == pytest.approx(score_of(segments, where, f @ own.T, step) - np.logaddexp.reduce(scores))
+    for w, g in ((own, by_own), (step, by_step)):
+        for at in [tuple(rng.integers(n) for n in w.shape) for _ in range(12)]:
+            was, tiny = w[at], 1e-5
+            w[at] = was + tiny
+            up = pii.likelihood(region, (own, step))[0]
+            w[at] = was - tiny
+            down = pii.likelihood(region, (own, step))[0]
+            w[at] = was
+            assert g[at] == pytest.approx((up - down) / (2 * tiny), abs=1e-4)
+
+
+def test_base_spans_are_given_to_the_field():
+    text = "10.0.0.1 4539 1488 0343"
+    [tokens] = list(pii.regions(text))
+    base = pii.base_spans(text)
+    own, step = np.zeros((4, len(pii.FEATURES))), np.zeros((5, 4))
+    own[2, 0] = 1.0  # every segment is worth 1 as a card
+    assert pii.decode(text, tokens, (own, step), 0.0, base) == [("card", 9, 13), ("card", 14, 18), ("card", 19, 23)]
+    step[1, 2] = -9.0  # but never right after an ip
+    assert pii.decode(text, tokens, (own, step), 0.0, base) == [("card", 14, 18), ("card", 19, 23)]
+
+
+def test_personal_data_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "mail a@b.cd", "x", 5)], "doc_id long, text string, pii string, base int")
+    w = np.zeros((4, len(pii.FEATURES))) - 9, np.zeros((5, 4))
+    out = pii.find_spans(d, weights=w)
+    assert out.columns == d.columns and out.first().pii.spans == "email:5:11" and out.first().base == 5
+
+
 # --- 10 languages ---
 
 
@@ -435,6 +599,36 @@ def test_languages(spark, nothing):
     assert none == [] and langid.identify(spark.createDataFrame(asked, "doc_id long, text string, want string"), none, table).filter("lang_pred <> 'und' or score <> 0").count() == 0
 
 
+def test_mixture_by_hand(spark):
+    rng = np.random.default_rng(8)
+    logp = np.log(rng.dirichlet(np.ones(30) * 0.3, size=3) + 1e-9)
+    for shares in ([1, 0, 0], [0.5, 0.5, 0], [0.2, 0.3, 0.5]):
+        grams = rng.choice(30, 600, p=np.array(shares) @ np.exp(logp) / (np.array(shares) @ np.exp(logp)).sum())
+        n = np.bincount(grams, minlength=30)
+
+        def fitted(live, n=n):
+            share = np.ones(len(live)) / len(live)
+            for _ in range(500):
+                p = share[:, None] * np.exp(logp[live])
+                share = (p / p.sum(axis=0) * n).sum(axis=1) / n.sum()
+            return share, (n * np.log(share @ np.exp(logp[live]))).sum()
+
+        sets = [[k for k in range(3) if m >> k & 1] for m in range(1, 8)]
+        best = max(sets, key=lambda s: fitted(s)[1] - 6.0 * np.log(601) * (len(s) - 1))
+        got = langid.infer(grams, logp, 6.0, rounds=200)
+        assert np.nonzero(got)[0].tolist() == best and got[best] == pytest.approx(fitted(best)[0], abs=0.02)
+    with pytest.raises(ValueError, match="over 1 languages"):
+        langid.train(spark.createDataFrame([("a b", "x"), ("c d", "y")], "text string, lang string"), most_langs=1)
+
+
+def test_languages_odd_rows(spark):
+    langs, logp = ["aa", "bb"], np.log(np.full((2, langid.BINS), 1 / langid.BINS, np.float32))
+    d = spark.createDataFrame([(1, "tie of both", 1, "z"), (1, "tie of both", 1, "z"), (2, "long " * 100_000, 1, "z")], "doc_id long, text string, SCORE int, _t string")
+    out = langid.identify(d, langs, logp)
+    assert out.columns == ["doc_id", "text", "_t", "lang_pred", "score", "lang_shares"]
+    assert [r.lang_pred for r in out.collect()] == ["aa", "aa", "aa"]
+
+
 # --- 1 pages ---
 
 
@@ -450,6 +644,41 @@ def test_pages(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_decide(spark):
+    """Subtrees without a telling name or tag go where the host repeats them, and articles with telling name parts stay."""
+    page = lambda i, k=0: f"<title>Site</title><div class=x1><p>Read all of our fine offers</p></div><div class=x2><h1>Story {i}</h1><p>Own words of story {i} are here.</p><div class=x3>Join {k} us</div></div><div>Made by the site</div>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(5)] + [(50 + k, f"http://a.example/r{k}", page(9, k)) for k in range(6)] + [(60 + i, f"http://b.example/{i}", page(i)) for i in range(3)]
+    rows += [(70, "http://c.example", "<article><section id='popular-science'><p>one</p></section><div class='search-results-analysis'><p>two</p></div><p>so <math><mi>x</mi></math> is</p><div class=popular>three</div></article><p>no</p><article><p>short</article>")]
+    rows += [(80 + i, "http://d.example", f"<article><p>a longer text {i}</p><div class=share>Tell friends</div></article>") for i in range(2)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_k1", F.lit(1)).withColumn("text", F.lit("old"))
+    out = htmltext.extract(d)
+    assert out.columns == d.columns
+    got = {r.page_id: r.text for r in out.collect()}
+    whole = lambda i, k: f"Read all of our fine offers\n\nStory {i}\n\nOwn words of story {i} are here.\n\nJoin {k} us\n\nMade by the site"
+    assert [got[i] for i in range(5)] == [f"Story {i}\n\nOwn words of story {i} are here." for i in range(5)]
+    assert [got[50 + k] for k in range(6)] == ["Story 9\n\nOwn words of story 9 are here." + (f"\n\nJoin {k} us" if k else "") for k in range(6)]  # published again: stays
+    assert [got[60 + i] for i in range(3)] == [whole(i, 0) for i in range(3)]  # three pages are not four
+    assert got[70] == "one\n\ntwo\n\nso x is\n\nthree\n\nshort" and got[80] == "a longer text 0"
+    # brute force: count codes over identities in one place
+    pages, held = [], defaultdict(lambda: defaultdict(set))
+    for i, url, html in rows:
+        root, site = htmltext.parse(html), url.split("/")[2]
+        htmltext.hash_subtrees(root, site)
+        pages.append((i, site, html))
+        for c in htmltext.subtree_codes(root):
+            held[site][c].add(htmltext.identity(root, html))
+    for i, site, html in pages:
+        some = lambda n, site=site: {c for c, p in held[site].items() if len(p) >= n}
+        assert got[i] == htmltext.main_text(html, site, some(4), some(2))
+
+
+def test_odd_pages(spark):
+    deep, long = "<div>" * 3000 + "deep" + "</div>" * 3000, "<article>" + "<p>word &lt; more</p>" * 20_000 + "</article>"
+    rows = [(1, None, deep), (2, "http://x.example", long), (2, "http://x.example", long), (3, "", "<"), (None, "//", "<p>t")]
+    got = [(r.page_id, r.text) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "deep"), (2, "\n\n".join(["word < more"] * 20_000)), (2, "\n\n".join(["word < more"] * 20_000)), (3, "<"), (None, "t")], key=str)
+
+
 # --- 9 images ---
 
 

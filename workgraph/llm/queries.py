@@ -68,7 +68,7 @@ def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = mixing.draw_plan(docs)
-    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.mix_column(F.col("draws"), F.col("size")).alias("taken"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.mix_column(F.col("draws"), F.col("size")).alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
