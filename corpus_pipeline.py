@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, linked at a Jaccard of 0.8: the one of smallest id. Documents without
     an id stay."""
-    found = neardup.near_duplicates(docs, percent=80, shallow=3, loose=0.375)
+    found = neardup.near_duplicates(docs, percent=80, shallow=3)
     gone = found.filter("id <> component_id").select(F.col("id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
 
@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the piece ids, and the text that they decode to."""
-    out = subword.decode(subword.encode(docs), out="decoded")
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = subword.encode(docs, check="round_trip")
+    return out.select(*[c for c in ("doc_id", "lang", "source") if c in docs.columns], "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
 STAGES = [
