@@ -76,7 +76,8 @@ def is_c(path: Column) -> Column:
 
 
 def lint(source: DataFrame, rules: list[tuple[str, str, str]], path_filter: dict[str, str] | None = None) -> DataFrame:
-    """(path, line_no, rule, column_no, snippet): one row for each rule (id, pattern, 'raw' or 'code') and line that it matches.
+    """(path, line_no, rule_ord, rule, column_no, snippet, message): one row for each rule (id, pattern, 'raw' or 'code') and
+    line that it matches.
 
     All rules are columns of one projection; the lines are read once.
     """
@@ -86,7 +87,8 @@ def lint(source: DataFrame, rules: list[tuple[str, str, str]], path_filter: dict
         for i, (rule, pattern, on) in enumerate(rules)
     ]
     found = source.select("path", "line_no", F.explode(F.filter(F.array(*hits), lambda h: (h["column_no"] > 0) & h["text"].isNotNull())).alias("h"))
-    return found.select("path", "line_no", "h.rule_ord", "h.rule", "h.column_no", snippet(F.col("h.text")).alias("snippet"))
+    found = found.select("path", "line_no", "h.rule_ord", "h.rule", "h.column_no", snippet(F.col("h.text")).alias("snippet"))
+    return found.withColumn("message", F.concat_ws(": ", "rule", "snippet"))
 
 
 def built_in_rules() -> tuple[list[tuple[str, str, str]], dict[str, str]]:
@@ -95,11 +97,13 @@ def built_in_rules() -> tuple[list[tuple[str, str, str]], dict[str, str]]:
 
 
 def init_side_effects(files: DataFrame) -> DataFrame:
-    """(path, line_no) of assignments in casts, which may cross lines."""
-    hits = F.regexp_extract_all("text", F.lit(CAST_ASSIGN), 0)
-    each = files.select("path", "text", F.explode(hits).alias("hit"))
-    upto = F.expr("substring(text, 1, instr(text, hit) - 1)")
-    return each.select("path", (F.regexp_count(upto, F.lit(BREAK)) + 1).alias("line_no")).distinct()
+    """(path, line_no) of assignments in casts, which may cross lines. A hit's line is one more than the line breaks in the
+    pieces of text before it and in the hits among them: no text is carried along."""
+    breaks = lambda parts: F.transform(parts, lambda x: F.regexp_count(x, F.lit(BREAK)))
+    hits = files.select("path", breaks(F.regexp_extract_all("text", F.lit(CAST_ASSIGN), 0)).alias("in_hits"), breaks(F.split("text", CAST_ASSIGN)).alias("between"))
+    each = hits.filter(F.size("in_hits") > 0).select("path", F.posexplode("in_hits").alias("pos", "own"), "in_hits", "between")
+    upto = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda x, y: x + y)
+    return each.select("path", (1 + upto("between", F.col("pos") + 1) + upto("in_hits", F.col("pos"))).alias("line_no")).distinct()
 
 
 def lint_delta(added: DataFrame, angle: tuple[str, ...] = ANGLE_INCLUDES, unk_name: str = UNK_NAME, unk_generated: str = UNK_GENERATED) -> DataFrame:
@@ -115,7 +119,7 @@ def lint_delta(added: DataFrame, angle: tuple[str, ...] = ANGLE_INCLUDES, unk_na
     a = a.withColumn("_open", F.coalesce(F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, -1)) == 1, F.lit(False)) | opens)
     included = F.regexp_extract(raw, r"^\s*#\s*include\s*<([^>]+)>", 1)
     checks = [
-        ("non_sjis_char", raw.rlike(sjis_unsafe())),
+        ("non_sjis_char", raw.rlike(r"[^\x00-\x7F]") & raw.rlike(sjis_unsafe())),
         ("extern_c_in_c", is_c(path) & code.rlike(EXTERN_C)),
         ("no_pragmas", raw.rlike(r"^\s*#\s*pragma\b")),
         ("no_if0", raw.rlike(r"^\s*#\s*if\s+0\b")),
@@ -198,35 +202,44 @@ def _added(was: str | None, now: str) -> list[tuple[int, str]]:
 
 
 def _inserted(a: list[str], b: list[str]) -> list[int]:
-    """Places of b outside a longest common subsequence, by greedy furthest paths over diagonals."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return list(range(m))
-    far, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(far))
-        for k in range(-d, d + 1, 2):
-            x = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            far[k] = x
-            if x >= n and x - k >= m:
-                break
-        else:
+    """Places of b outside a longest common subsequence of both: the problem is halved where a shortest script's middle
+    lies, so that memory follows the lines and not their edits."""
+    out: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        while i < j and k < m and a[i] == b[k]:
+            i, k = i + 1, k + 1
+        while i < j and k < m and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+        if i == j or k == m:
+            out += range(k, m)
             continue
-        break
-    out, x, y = [], n, m
-    for d in range(len(trail) - 1, -1, -1):
-        v, k = trail[d], x - y
-        before = k + 1 if k == -d or (k != d and v.get(k - 1, -1) < v.get(k + 1, -1)) else k - 1
-        px = v.get(before, 0)
-        py = px - before
-        while x > px and y > py and x > 0 and y > 0:
-            x, y = x - 1, y - 1
-        if d and y > py:
-            out.append(py)
-        x, y = px, py
-    return out[::-1]
+        x, y = _middle(a[i:j], b[k:m])
+        todo += [(i + x, j, k + y, m), (i, i + x, k, k + y)]
+    return sorted(out)
+
+
+def _middle(a: list[str], b: list[str]) -> tuple[int, int]:
+    """A point (taken of a, taken of b) that a shortest edit script passes, neither at the start nor at the end: how far
+    d edits reach from either side is followed until both meet. Both lists differ in their first and in their last line."""
+    n, m = len(a), len(b)
+    reach = ({1: 0}, {1: 0})  # by diagonal: lines of a passed, from the front and from the back
+    sides = ((a, b), (a[::-1], b[::-1]))
+    for d in range((n + m + 1) // 2 + 1):
+        for side, (own, (p, q)) in enumerate(zip(reach, sides, strict=True)):
+            other = reach[1 - side]
+            for k in range(-d, d + 1, 2):
+                down = k == -d or (k != d and own.get(k - 1, -1) < own.get(k + 1, -1))
+                x = own[k + 1] if down else own[k - 1] + 1
+                while x < n and x - k < m and p[x] == q[x - k]:
+                    x += 1
+                own[k] = x
+                facing = other.get(n - m - k)
+                # after a front step the back has made d - 1 edits, and after a back step the front has made d
+                if facing is not None and (d + side - 1 - (n - m - k)) % 2 == 0 and abs(n - m - k) <= d + side - 1 and x + facing >= n:
+                    return (x, x - k) if side == 0 else (n - x, m - (x - k))
+    raise AssertionError("both sides meet")
 
 
 def finding_report(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -289,7 +302,7 @@ def clone_key(text: Column) -> Column:
 def clone_findings(units: DataFrame, scope: list[str], order: list[str], least: int = 12) -> DataFrame:
     """units with copies and the place of the first copy, for each but the first of a group of equal normalised text in the scope.
 
-    Groups are counted on hashes and then confirmed on text, and no group is gathered: counts and firsts are joined back.
+    Groups are counted on 256-bit hashes of the text, and no group is gathered: counts and firsts are joined back.
     """
     u = units.withColumn("_key", clone_key(F.col("text"))).filter(F.length("_key") >= least).withColumn("_hash", F.sha2("_key", 256))
     groups = u.groupBy(*scope, "_hash").agg(F.count("*").alias("copies"), F.min(F.struct(*order)).alias("first")).filter("copies > 1")
