@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import split_name, strip_comments
+from .registry import ACCEPTED, is_placeholder
 
 MOST_LINES = 8  # lines that one declaration may go on for
 _EXTERN = re.compile(r'extern\s+"C"\s*')
@@ -98,6 +99,47 @@ def extract_defs(files: DataFrame) -> DataFrame:
     return _rows(files, "path string, line_no int, name string, body string", each)
 
 
+def extract_heads(files: DataFrame) -> DataFrame:
+    """(path, line_no, name, sig) of function definitions: what stands before the body."""
+
+    def each(text: str):
+        for m in _HEAD.finditer(text):
+            if m["name"] not in _NOT_NAMES:
+                yield text.count("\n", 0, m.start()) + 1, m["name"], " ".join(m["sig"].split())
+
+    return _rows(files, "path string, line_no int, name string, sig string", each)
+
+
+def extern_c_findings(files: DataFrame) -> DataFrame:
+    """(path, line_no, rule, kind, message) of declarations of C linkage: a label's, a definition, a function's declaration, or
+    something else. file_metrics() reads the kind in the message."""
+    d = extract_decls(files)
+    kind = F.when(F.col("decl").rlike(r"\blbl_\w+"), "lbl").when(F.col("decl").contains("{"), "nonlbl-def").when(F.col("decl").contains("("), "nonlbl-decl").otherwise("other")
+    d = d.withColumn("rule", F.lit("smell.extern_c")).withColumn("kind", kind)
+    return d.select("path", "line_no", "rule", "kind", F.concat(F.lit('extern "C" '), "kind", F.lit(" '"), F.substring("decl", 1, 80), F.lit("' (kind="), "kind", F.lit(")")).alias("message"))
+
+
+_VOID_PARAM = re.compile(r"\bvoid\s*\*(?!\s*\*)")
+
+
+def void_ptr_params(files: DataFrame, items: DataFrame) -> DataFrame:
+    """(path, line_no, name, param, id) of void* parameters in definitions whose name is an accepted item's symbol or
+    function; the later item (by ord) has a name. Names count with and without their class."""
+
+    def each(text: str):
+        for m in _HEAD.finditer(text):
+            if m["name"] not in _NOT_NAMES:
+                inside = m["sig"][m["sig"].index("(") + 1 : m["sig"].rindex(")")]
+                for param in inside.split(","):
+                    if _VOID_PARAM.search(param):
+                        yield text.count("\n", 0, m.start()) + 1, m["name"], " ".join(param.split())[:100]
+
+    found = _rows(files, "path string, line_no int, name string, param string", each)
+    found = found.withColumn("key", F.explode(F.array_distinct(F.array("name", F.substring_index("name", "::", -1)))))
+    keys = items.filter(F.col("status").isin(*ACCEPTED)).select("id", "ord", F.explode(F.array_compact(F.array("symbol", "function"))).alias("key")).groupBy("key").agg(F.max_by("id", "ord").alias("id"))
+    return found.join(keys, "key").groupBy("path", "line_no", "name", "param").agg(F.min("id").alias("id"))
+
+
 def extract_units(files: DataFrame) -> DataFrame:
     """(path, line_no, kind, name, text) of functions and classes, the units that clones are looked for among."""
 
@@ -161,10 +203,39 @@ def conversion_plan(files: DataFrame, symbols: DataFrame) -> DataFrame:
     defs = extract_defs(files).withColumn("body", strip_comments(F.col("body")))
     cast = F.regexp_extract("body", r"\(\s*(\w+)\s*\*\s*\)\s*self\b", 1)
     own = defs.select("path", "line_no", "name", cast.alias("class")).filter("`class` <> ''").withColumn("kind", F.lit("def-selfcast"))
+    # a definition that takes self of the class, without a cast in its body
+    takes = extract_heads(files).select("path", "line_no", "name", F.regexp_extract("sig", r"\b(\w+)\s*\*\s*self\b", 1).alias("class")).filter("`class` <> ''").withColumn("kind", F.lit("def-param"))
+    takes = takes.join(own.select("path", "line_no", "name", "class"), ["path", "line_no", "name", "class"], "left_anti")
     decl = extract_decls(files).select("path", "line_no", "name", F.regexp_extract("decl", r"\b(\w+)\s*\*\s*self\b", 1).alias("class")).filter("`class` <> '' and name is not null").withColumn("kind", F.lit("decl"))
+    own = own.unionByName(takes)
     hits = own.unionByName(decl)
     named = own.select("name", "path", "line_no", F.col("class").alias("of")).withColumn("ord", F.xxhash64("path", "line_no", "name"))
     sites = plan_call_sites(lines(files), named.drop("of")).withColumnRenamed("line_no", "at").join(named.select("name", "of").distinct(), "name").groupBy(F.col("of").alias("class")).agg(F.array_sort(F.collect_list(F.struct("path", "at", "name"))).alias("call_sites"))
     per = hits.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("path", "line_no", "kind", "name"))).alias("hits"))
     members = class_members(symbols).select("class", F.transform("members", lambda m: m["name"]).alias("members"))
     return per.join(members, "class", "left").join(sites, "class", "left")
+
+
+def all_findings(files: DataFrame, items: DataFrame) -> DataFrame:
+    """(path, line_no, rule) of every rule family over a corpus: text and line rules, casts that assign, pointer patterns, C
+    linkage, indexed names, renaming defines, clones of functions and classes, and names of accepted items."""
+    from . import lint
+
+    src = lint.lines(files)
+    pack, gates = lint.built_in_rules()
+    row = lambda d, rule: d.select("path", "line_no", rule.alias("rule"))
+    before = F.substring(F.col("text"), F.lit(1), F.col("start"))
+    pointers = lint.pointer_findings(files).join(files.select("path", "text"), "path").withColumn("line_no", F.regexp_count(before, F.lit(lint.BREAK)) + 1)
+    units, place = extract_units(files), ["path", "line_no"]
+    parts = [
+        row(lint.lint(src, pack, gates), F.col("rule")), row(lint.init_side_effects(files), F.lit("smell.init_side_effect")), row(pointers, F.col("rule")), row(extern_c_findings(files), F.col("rule")),
+        row(lint.fake_array_access(src), F.lit("smell.fake_array_access")), row(lint.define_rename_alias(src), F.lit("smell.define_rename_alias")),
+        row(lint.class_clones(units.filter("kind = 'class'"), [], place), F.lit("clone.duplicate_class")), row(lint.clone_findings(units.filter("kind = 'function'"), [], place), F.lit("clone.repeated_code")),
+        row(void_ptr_params(files, items), F.lit("match.void_ptr_params")),
+    ]
+    named = lint.matched_name_findings(src, items)
+    parts += [row(named.filter(is_placeholder(F.col("name"), family)), F.lit(rule)) for family, rule in (("function", "match.func_placeholder"), ("class", "match.class_placeholder"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
