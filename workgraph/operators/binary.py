@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Mnemonics that only read r3, integer operations, and loads.
+#: Fixed values, as are the verdict texts below: mnemonics that only read r3, integer operations, and loads.
 READERS = ("cmp", "b", "bl", "blr", "bctrl", "st", "mtctr", "mtlr", "mfspr", "mftb", "bc", "bcctr")
 INTEGER_OPS = ("rlwinm", "slwi", "srwi", "srawi", "rlwimi", "or", "orc", "and", "andc", "xor", "add", "sub", "subf", "mulli", "mullw", "divw", "neg", "extsb", "extsh", "cntlzw", "clrlwi", "clrrwi", "rotlwi")
 LOADS = ("lwz", "lbz", "lhz", "lha", "lfs", "lfd")
@@ -119,8 +119,10 @@ def provenance_counts(provenance: DataFrame) -> DataFrame:
     return provenance.groupBy("callee", "kind").agg(F.count("*").alias("n"))
 
 
-def member_verdict(insns: DataFrame, class_size: int = 0) -> DataFrame:
-    """(symbol, kind, verdict) for every function and callee in one job: the chain of tests in order, the first that holds."""
+def member_verdict(insns: DataFrame, class_size: int = 0, pointers: DataFrame | None = None) -> DataFrame:
+    """(symbol, kind, verdict) for every function and callee in one job: the chain of tests in order, the first that holds.
+    With pointers (name, from scanned object words), also vtable_hints: how often the symbol's address is stored as data.
+    A hint never changes the verdict."""
     p = r3_provenance(insns)
     imm = F.regexp_extract("detail", r"^(?:li|lis)\s+r3\s*,\s*(0x[0-9A-Fa-f]+|\d+)", 1)
     value = F.when(imm.startswith("0x"), hex_value(imm)).otherwise(imm.cast("long"))
@@ -146,7 +148,36 @@ def member_verdict(insns: DataFrame, class_size: int = 0) -> DataFrame:
     for test, k, text in reversed(chain):
         hold = F.coalesce(test, F.lit(False))
         kind, verdict = F.when(hold, k).otherwise(kind), F.when(hold, text).otherwise(verdict)
-    return d.select("symbol", kind.alias("kind"), verdict.alias("verdict"))
+    out = d.select("symbol", kind.alias("kind"), verdict.alias("verdict"))
+    if pointers is None:
+        return out
+    hints = pointers.groupBy(F.col("name").alias("symbol")).agg(F.count("*").alias("vtable_hints"))
+    return out.join(hints, "symbol", "left").withColumn("vtable_hints", F.coalesce("vtable_hints", F.lit(0)).cast("long"))
+
+
+#: Fixed value: a declaration of a placeholder function in a header.
+HEADER_DECL = r"^\s*(static\s+)?[\w\s*&:<>]*?\b(func_[0-9A-Fa-f]{8})\w*\s*\("
+
+
+def header_drift(lines: DataFrame, symbols: DataFrame, insns: DataFrame) -> DataFrame:
+    """(path, line_no, retail, drift): declarations of placeholder functions (lines of path, line_no, raw) that the binary
+    contradicts, by the first symbol in file order that begins with the declared name: static or not, and the number of
+    parameters. Equi-joins on the 13 characters of a placeholder name."""
+    inside = F.regexp_extract("raw", r"\((.*)\)", 1)
+    d = lines.select("path", "line_no", F.regexp_extract("raw", HEADER_DECL, 1).alias("st"), F.regexp_extract("raw", HEADER_DECL, 2).alias("base"), inside.alias("inside")).filter("base <> ''")
+    d = d.withColumn("n_header", F.when(F.trim("inside") == "", 0).otherwise(F.size(F.split("inside", ","))))
+    retail = symbols.groupBy(F.substring("name", 1, 13).alias("base")).agg(F.min_by("name", F.struct("ordinal", "name")).alias("retail"))
+    n = callee_params(insns).groupBy(F.col("fn").alias("retail")).agg(F.count("*").alias("n_binary"))
+    v = member_verdict(insns).select(F.col("symbol").alias("retail"), "verdict")
+    out = d.join(retail, "base").join(n, "retail", "left").join(v, "retail", "left").withColumn("n_binary", F.coalesce("n_binary", F.lit(0)))
+    # a symbol that the listing has never seen is no object base anywhere
+    told = F.coalesce("verdict", F.lit("NOT non-static member (r3 never used as object base)"))
+    static, never, member = F.col("st") != "", told.startswith("NOT non-static member"), told.contains("possible member") | told.contains("possible virtual")
+    drift = F.array_compact(F.array(
+        F.when(static & member, "header declares static but binary shows this-taking"), F.when(~static & never, "header declares member but binary proves no-this"),
+        F.when((F.col("n_binary") > 0) & (F.col("n_binary") != F.col("n_header")), F.format_string("header %d params, binary %d", "n_header", "n_binary")),
+    ))
+    return out.select("path", "line_no", "retail", F.array_join(drift, "; ").alias("drift")).filter("drift <> ''")
 
 
 # --- symbols -----------------------------------------------------------------------------------------------------------
@@ -212,4 +243,4 @@ def plan_call_sites(lines: DataFrame, definitions: DataFrame) -> DataFrame:
     hit a line, of the first definition in order."""
     words = lines.select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"\w+"), 0))).alias("name"))
     hits = words.join(definitions.select("name", "ord"), "name").join(definitions.select("name", "path", "line_no"), ["name", "path", "line_no"], "left_anti")
-    return hits.groupBy("path", "line_no").agg(F.min_by("name", "ord").alias("name"))
+    return hits.groupBy("path", "line_no").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
