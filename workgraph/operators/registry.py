@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .telemetry import assign_seq
+
 #: Statuses after which an item counts as done, lifecycles, edge kinds.
 TERMINAL = ("FULL_MATCH", "EQUIVALENT_MATCH", "NOT_BUILDABLE", "NOT_FOUND")
 ACCEPTED = ("FULL_MATCH", "EQUIVALENT_MATCH")
@@ -149,9 +151,9 @@ def registry_violations(items: DataFrame, deps: DataFrame, caps: DataFrame | Non
     row = lambda d, rule, subject: d.select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
     ids = items.select("id").distinct()
     out = [row(items.filter(F.coalesce(F.col(c), F.lit("")) == ""), f"missing_{c}", "id") for c in ("id", "kind", "status")]
-    out.append(row(items.filter(~F.col("lifecycle").isin(*LIFECYCLES)), "lifecycle", "id"))
+    out.append(row(items.filter(~F.coalesce("lifecycle", F.lit("")).isin(*LIFECYCLES)), "lifecycle", "id"))
     out.append(row(items.groupBy("id").count().filter("count > 1"), "duplicate_id", "id"))
-    out.append(row(deps.filter(~F.col("kind").isin(*EDGE_KINDS)), "edge_kind", "kind"))
+    out.append(row(deps.filter(~F.coalesce("kind", F.lit("")).isin(*EDGE_KINDS)), "edge_kind", "kind"))
     for end in ("from_id", "to_id"):
         out.append(row(deps.join(ids, deps[end] == ids["id"], "left_anti"), f"dangling_{end}", end))
     if caps is not None:
@@ -169,7 +171,7 @@ def resume(df: DataFrame, done: DataFrame) -> DataFrame:
 def map_summary(targets: DataFrame, entries: DataFrame) -> DataFrame:
     """(pos, id) and (ord, target_id, status, accepted) -> each target's entry by id, else the unkeyed entry of its position."""
     keyed = entries.filter("target_id is not null").groupBy("target_id").agg(F.min_by(F.struct("status", "accepted"), "ord").alias("k"))
-    loose = entries.filter("target_id is null").select(F.struct("status", "accepted").alias("u"), (F.row_number().over(Window.orderBy("ord")) - 1).alias("upos"))
+    loose = assign_seq(entries.filter("target_id is null").select("ord", F.struct("status", "accepted").alias("u")), -1, ["ord"]).select("u", F.col("seq").alias("upos"))
     out = targets.join(keyed, targets["id"] == keyed["target_id"], "left").join(loose, targets["pos"] == loose["upos"], "left")
     got = F.coalesce("k", "u")
     return out.select("pos", "id", F.coalesce(got["status"], F.lit("")).alias("status"), F.coalesce(got["accepted"], F.lit(False)).alias("accepted"))
@@ -211,7 +213,7 @@ def complete_units(outcomes: DataFrame) -> DataFrame:
 def batches(df: DataFrame, n: int, key: str | None = "unit_id", order: str = "pos") -> DataFrame:
     """df with grp and batch: rows of one key in order, keys by first sight, chunks of n. Null key is ''."""
     if key is None:
-        return df.withColumn("grp", F.lit(1)).withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / n))
+        return assign_seq(df, -1, [order]).withColumn("grp", F.lit(1)).withColumn("batch", F.floor(F.col("seq") / n)).drop("seq")
     k = F.coalesce(F.col(key), F.lit(""))
     first = df.groupBy(k.alias("_k")).agg(F.min(order).alias("_first")).withColumn("grp", F.row_number().over(Window.orderBy("_first")))
     out = df.join(first.drop("_first"), k == F.col("_k")).drop("_k")
@@ -273,6 +275,23 @@ def finalize(items: DataFrame, actions: DataFrame) -> DataFrame:
     return out.withColumn("lifecycle", F.when(F.col("_p"), "accepted").otherwise(F.col("lifecycle"))).withColumn("status", F.coalesce("_s", "status")).drop("_p", "_s").select(*items.columns)
 
 
+def finalize_run(items: DataFrame, actions: DataFrame, status: DataFrame, workflow: str, now: Column, completion: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, status, events) after finished items' actions (id, unit_id, promote, new_status, actor, evidence).
+
+    Each gets a precise status: the action's, else the workflow's completion status, else DONE. A promotion accepts the item
+    and writes a status only if the action has one; a status alone is written; neither writes no item. An event tells of a
+    status that differs from the one resolved before, with both, the actor, the time and any evidence.
+    """
+    a = actions.withColumn("unit_id", F.coalesce("unit_id", F.lit(""))).withColumn("_to", F.coalesce("new_status", F.lit(completion), F.lit("DONE")))
+    before = resolve_status(a, status, workflow).withColumnRenamed("resolved", "_from")
+    data = F.to_json(F.struct(F.lit(workflow).alias("workflowId"), "actor", F.col("_from").alias("from"), now.cast("string").alias("updatedAt"), F.col("_to").alias("status"), "evidence"))
+    events = before.filter(~F.col("_from").eqNullSafe(F.col("_to"))).select(now.alias("ts"), F.col("id").alias("work_item_id"), F.lit("target-status").alias("type"), F.lit("info").alias("level"), data.alias("data"))
+    row = a.select(F.lit(workflow).alias("workflow_id"), "unit_id", F.col("id").alias("target_id"), F.col("_to").alias("status"))
+    kept = status.join(row.select(*SCOPE), list(SCOPE), "left_anti").select(*row.columns)
+    patch = a.filter(F.coalesce("promote", F.lit(False)) | F.col("new_status").isNotNull()).select("id", F.when(F.col("promote"), "accepted").alias("lifecycle"), F.col("new_status").alias("status"))
+    return patch_items(items, patch, now), kept.unionByName(row), events
+
+
 def leases_by(df: DataFrame, owner: str | None = None, run: str | None = None) -> DataFrame:
     """Leases with run and worker split from the owner at its last colon; owners of another form are left out."""
     out = df.withColumn("run", F.regexp_extract("owner", r"^([^:]+):(\d+)$", 1)).withColumn("worker", F.regexp_extract("owner", r"^([^:]+):(\d+)$", 2)).filter("run <> ''")

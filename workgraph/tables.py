@@ -12,7 +12,9 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the session's checkpoint folder, read back: lineage ends, and the size is known."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:  # tests: the session names no folder
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):  # a folder of one machine would lose rows
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="workgraph-"))
         where = spark.sparkContext.getCheckpointDir()
     path = f"{where}/{uuid.uuid4().hex}"
