@@ -201,6 +201,43 @@ def test_declarations(spark):
     assert [(r.line_no, r.name, r.body.count("}")) for r in declarations.extract_defs(f).collect()] == [(7, "Foo::bar", 2)]
 
 
+def test_repeated_casts_keep_their_lines(spark):
+    hit = "x = static_cast<int>(y = 1);"
+    text = f"{hit}\nint z;\n{hit} {hit}\nstatic_cast<int>(\n  a, b\n  = 2);\r\n{hit}"
+    f = spark.createDataFrame([("a.cpp", text), ("b.cpp", "int x;"), ("c.cpp", None)], "path string, text string")
+    assert sorted((r.path, r.line_no) for r in lint.init_side_effects(f).collect()) == [("a.cpp", n) for n in (1, 3, 4, 7)]
+
+
+def test_many_edits_take_little_memory():
+    a, b = [f"a{i}" for i in range(3000)], [f"b{i}" if i % 3 else f"a{i}" for i in range(3000)]
+    assert lint._inserted(a, b) == [i for i in range(3000) if i % 3]
+
+
+def test_extern_c_kinds(spark):
+    text = 'extern "C" int lbl_eu_1;\nextern "C" void f(int);\nextern "C" void g(int) { return; }\nextern "C" int x;\n'
+    got = declarations.extern_c_findings(spark.createDataFrame([("a.cpp", text)], "path string, text string"))
+    assert [(r.line_no, r.kind) for r in got.orderBy("line_no").collect()] == [(1, "lbl"), (2, "nonlbl-decl"), (3, "nonlbl-def"), (4, "other")]
+    m = lint.file_metrics(got, got.select("path")).first()
+    assert (m.extern_c_nonlbl_decl, m.extern_c_nonlbl_def) == (1, 1)
+
+
+def test_header_drift(spark):
+    insns = [("f", "func_80000010", 0, "lwz", "r4, 0x10(r3)"), ("f", "main", 1, "lwz", "r3, 0x4(r30)"), ("f", "main", 2, "lwz", "r31, 0x4(r30)"), ("f", "main", 3, "mr", "r3, r31"), ("f", "main", 4, "bl", "func_80000010__Fv"), ("f", "func_80000010__Fv", 5, "lwz", "r4, 0x8(r3)")]
+    d = spark.createDataFrame(insns, "file string, fn string, idx long, mnemonic string, operands string")
+    symbols = spark.createDataFrame([(1, "func_80000010__Fv"), (2, "func_80000020__Fi")], "ordinal long, name string")
+    raws = ["static void func_80000010(int a, int b);", "  int func_80000020();", "int func_80000030();", "int other();"]
+    lines = spark.createDataFrame([("h", i, r) for i, r in enumerate(raws, 1)], "path string, line_no int, raw string")
+    got = {r.line_no: (r.retail, r.drift) for r in binary.header_drift(lines, symbols, d).collect()}
+    assert got == {1: ("func_80000010__Fv", "header declares static but binary shows this-taking; header 2 params, binary 1"), 2: ("func_80000020__Fi", "header declares member but binary proves no-this")}
+
+
+def test_verifier_contract(items):
+    out = builtin.verify(items, lambda d: d.withColumn("accepted", F.col("size") > 5)).collect()
+    assert {r.id: r.accepted for r in out} == {"a": True, "b": False, "c": True}
+    with pytest.raises(ValueError, match="accepted"):
+        builtin.verify(items, lambda d: d.withColumn("accepted", F.lit("yes")))
+
+
 # --- listings ---
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
@@ -377,11 +378,6 @@ def _(t):
     return lint.regressions(_long(_metrics(t)), before)
 
 
-@_q("l07_is_fresh", "v_sources", "select true fresh")
-def _(t):
-    return lint.is_fresh(_metrics(t), _metrics(t))
-
-
 @_q("l08_clone_lines", "v_sources", f"""with {_LINES}, k as (select path, line_no, trim(regexp_replace(raw, '\\s+', ' ', 'g')) key from l),
  g as (select key, count(*) copies, min(path) p from k where length(key) >= 12 group by key having count(*) > 1), f as (select g.key, copies, g.p first_path, min(line_no) first_line from g join k on k.key = g.key and k.path = g.p group by g.key, copies, g.p)
 select k.path, line_no, copies, first_path, first_line from k join f on f.key = k.key where not (k.path = first_path and line_no = first_line)""")
@@ -391,46 +387,171 @@ def _(t):
     return out.select("path", "line_no", "copies", F.col("first.path").alias("first_path"), F.col("first.line_no").alias("first_line"))
 
 
-@_q("l11_delta_gate", "v_sources", None)
+@_q("l07_is_fresh", "v_sources v_sources_old", """select 'same' kind, true fresh union all select 'old', (select count(*) from v_sources) = (select count(*) from v_sources_old)""")
+def _(t):
+    now = _metrics(t)
+    return lint.is_fresh(now, _metrics(t)).withColumn("kind", F.lit("same")).unionByName(lint.is_fresh(now, _metrics(t, "v_sources_old")).withColumn("kind", F.lit("old")))
+
+
+def _text(pattern: str) -> str:
+    """A pattern as a DuckDB string: no look-ahead there, and other escapes for code points."""
+    out = pattern.replace("=(?!=)", "=([^=]|$)").replace("\\x85", "\\x{85}")
+    out = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", out)
+    return "'" + out.replace("'", "''") + "'"
+
+
+def _split_sql(name: str, of: str) -> str:
+    """(path, line_no, raw) of a view's lines by all line breaks, without a last empty one."""
+    return f"""{name} as (select path, line_no, raw from (select path, generate_subscripts(s, 1) line_no, unnest(s) raw, len(s) n from (select path, string_split_regex(text, {_text(lint.BREAK_ALL)}) s from {of}) x) y where not (line_no = n and raw = ''))"""
+
+
+def _added_sql(new: str, old: str) -> str:
+    """Lines of new that differ from old's of the same number, and all lines of new paths: between these views a line changes
+    in its place only, into one that old does not have."""
+    return f"""{_split_sql('ln', new)}, {_split_sql('lo', old)}, added as (select ln.path, ln.line_no, ln.raw from ln left join lo on lo.path = ln.path and lo.line_no = ln.line_no where lo.path is null or lo.raw <> ln.raw)"""
+
+
+def _gate_sql(new: str, old: str) -> str:
+    code, raw = "split_part(raw, '//', 1)", "raw"
+    m = lambda on, p: f"regexp_matches({on}, {_text(p)})"
+    cpp, c = m("path", r"\.(?:cpp|cc|cxx|hpp|hh)$"), m("path", r"\.(?:c|h)$")
+    included = f"regexp_extract(raw, {_text(chr(94) + '[[:space:]]*#[[:space:]]*include[[:space:]]*<([^>]+)>')}, 1)"
+    names = ", ".join(f"'{n}'" for n in lint.ANGLE_INCLUDES)
+    checks = [
+        ("non_sjis_char", m(raw, lint.sjis_unsafe())), ("extern_c_in_c", f"{c} and {m(code, lint.EXTERN_C)}"), ("no_pragmas", m(raw, r"^\s*#\s*pragma\b")), ("no_if0", m(raw, r"^\s*#\s*if\s+0\b")),
+        ("no_section_attr", m(raw, r"__declspec\s*\(\s*section|__attribute__\s*\(\s*\(\s*section")), ("no_codegen_macros", m(raw, "DECOMP_PPC_|DECOMP_FORCELITERAL|DECOMP_FORCEACTIVE")),
+        ("no_binary_patching", m(raw, "insn_patches|insert_insns|reloc_offset_moves|postprocess_reloc_names")), ("no_extern_c", f"{m(raw, lint.EXTERN_C)} and not contains(raw, 'lbl_')"),
+        ("cpp_free_ctor", f"{cpp} and {m(code, '__[cd]t__')} and not contains({code}, '::') and {m(code, chr(92) + '*' + chr(92) + 's*self' + chr(92) + 's*(?:[,)]|$)')}"),
+        ("no_angle_include", f"{included} <> '' and {included} not in ({names})"), ("no_asm", m(raw, r'#\s*include\s*[<"][^>"]+\.s[>"]')),
+        ("no_volatile_fake_stack", m(raw, r"\bvolatile\b[^;]*\b(?:char|u8)\b[^;]*\[|\b(?:u8|char)\s+(?:sp|stack)\d*\s*\[\s*(?:0x[0-9A-Fa-f]+|\d+)")), ("no_asm", m(code, r"\basm\b|__asm")),
+        ("no_asm_insn_shim", m(code, r"\bDECOMP_ASM_INSN_(?:BEGIN|END)\b")), ("no_init_side_effect", m(code, lint.CAST_ASSIGN)), ("no_init_side_effect", f"open and {m(code, lint.ASSIGN)}"),
+        ("no_register_keyword", m(code, r'\bregister\b|asm\s*\(\s*"r')), ("no_register_names", f"{m(code, r'\br(?:3[01]|[12][0-9]|[0-9])\b')} and {m(code, lint.DECLARATION)}"),
+        ("no_void_ptr", m(code, r"\(\s*void\s*\*\s*\)|void\s*\*\s*\w+")), ("no_unk_name", m(code, lint.UNK_NAME)), ("no_unk_generated", m(code, lint.UNK_GENERATED)),
+        ("no_offset_arithmetic", f"{m(code, r'\(\s*\w+\s*\*\s*\)')} and {m(code, r'\+\s*0x[0-9A-Fa-f]+')}"),
+    ]
+    opens = m(code, lint.CAST_OPEN)
+    state = f"""w as (select *, {opens} or coalesce(last_value(mark ignore nulls) over (partition by path order by line_no rows between unbounded preceding and 1 preceding), 0) = 1 open from (select *, case when contains({code}, ')') then 0 when {opens} then 1 end mark from added) z)"""
+    each = " union all ".join(f"""select path, line_no, {i} rule_ord, '{r}' "rule", substring(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 100) snippet from w where {test}""" for i, (r, test) in enumerate(checks, 1))
+    return f"with {_added_sql(new, old)}, {state} {each}"
+
+
+def _gate(t, new, old):
+    return lint.lint_delta(lint.added_lines(t(old), t(new))).select("path", "line_no", "rule_ord", "rule", "snippet")
+
+
+@_q("l11_delta_gate", "v_sources v_sources_old", _gate_sql("v_sources", "v_sources_old"))
 def _(t):
-    return lint.lint_delta(lint.added_lines(t("v_sources_old"), t("v_sources"))).select("path", "line_no", "rule_ord", "rule", "snippet")
+    return _gate(t, "v_sources", "v_sources_old")
 
 
-@_q("l13_added_lines", "v_sources", None)
+@_q("l11_code_gate", "v_code v_code_old", _gate_sql("v_code", "v_code_old"))
+def _(t):
+    return _gate(t, "v_code", "v_code_old")
+
+
+@_q("l13_added_lines", "v_sources v_sources_old", f"with {_added_sql('v_sources', 'v_sources_old')} select path, line_no, raw from added")
 def _(t):
     return lint.added_lines(t("v_sources_old"), t("v_sources"))
 
 
-@_q("l14_built_in_rules", "v_sources", None)
+_CODE = """cl as (select path, unit, doc_id, line_no, raw, split_part(raw, '//', 1) code from (select path, unit, doc_id, generate_subscripts(s, 1) line_no, unnest(s) raw from (select path, unit, doc_id, string_split(text, chr(10)) s from v_code) x) y)"""
+_PACK = " union all ".join(f"""select path, line_no, '{r}' "rule" from cl where regexp_matches(code, {_text(p)})""" + (r" and regexp_matches(path, '\.(?:cpp|cc|cxx)$')" if r in lint.CPP_ONLY else "") for r, p in (lint.TEXT_RULES | lint.LINE_RULES).items())
+#: What v_code plants, line by line.
+_INIT = "select path, unnest([8, 10]) line_no from v_code"
+_DEREF, _BYTE, _R1, _R2 = "concat('*(int*)((u8*)p + ', doc_id%6)", "concat('(u8*)p + 0x', doc_id%9+1)", "concat('reinterpret_cast<int>(y = ', doc_id%5, ') + 1')", "concat('reinterpret_cast<int>(y = ', doc_id%5+5, ') + 1')"
+_POINTERS = " union all ".join(f"""select path, {line} line_no, '{rule}' "rule", instr(text, {what}) - 1 "start", instr(text, {what}) - 1 + length({what}) "end" from v_code where {test}""" for line, rule, what, test in ((7, "ptr.cast_byte_offset_deref", _DEREF, "doc_id%2=0"), (6, "ptr.cast_byte_ptr_arith", _BYTE, "true"), (8, "ptr.reinterpret_arith", _R1, "true"), (10, "ptr.reinterpret_arith", _R2, "true")))
+
+
+@_q("l14_built_in_rules", "v_code", f"with {_CODE} {_PACK}")
 def _(t):
     pack, gates = lint.built_in_rules()
-    return lint.lint(lint.lines(t("v_sources")), pack, gates).select("path", "line_no", "rule", "column_no", "snippet")
+    return lint.lint(lint.lines(t("v_code")), pack, gates).select("path", "line_no", "rule")
+
+
+@_q("l15_init_side_effects", "v_code", _INIT)
+def _(t):
+    return lint.init_side_effects(t("v_code"))
+
+
+@_q("l12_pointer_findings", "v_code", f'select path, "rule", "start", "end" from ({_POINTERS}) x')
+def _(t):
+    return lint.pointer_findings(t("v_code"))
+
 
+_KEYS = """keys as (select name, arg_max(id, ord) id from (select symbol name, id, cast(substring(id, 2) as bigint) ord from v_items where status in ('FULL_MATCH','EQUIVALENT_MATCH')
+ union all select concat('func_80', lpad(cast(cast(substring(id, 2) as bigint) % 1000 as varchar), 6, '0')), id, cast(substring(id, 2) as bigint) from v_items where status in ('FULL_MATCH','EQUIVALENT_MATCH')
+ union all select concat('run', cast(substring(id, 2) as bigint) % 40), id, cast(substring(id, 2) as bigint) from v_items where status = 'FULL_MATCH' and cast(substring(id, 2) as bigint) % 2 = 0) k group by name)"""
 
-@_q("l15_init_side_effects", "v_sources", None)
+
+def _named_items(t):
+    ord_ = F.expr("cast(substring(id, 2) as bigint)")
+    i = t("v_items").select("id", "status", "symbol", F.concat(F.lit("func_80"), F.lpad((ord_ % 1000).cast("string"), 6, "0")).alias("function"), ord_.alias("ord"))
+    runs = i.filter("status = 'FULL_MATCH' and ord % 2 = 0").select("id", "status", F.concat(F.lit("run"), F.col("ord") % 40).alias("symbol"), F.lit(None).cast("string").alias("function"), "ord")
+    return i.unionByName(runs)
+
+
+_MATCHED = """select c.path, k.name, c.line_no, k.id from keys k join (select path, concat('sym_', doc_id%5000) name, 9 line_no from v_code union all select path, concat('func_80', lpad(cast(doc_id as varchar), 6, '0')), 2 from v_code union all select path, concat('run', doc_id%50), 5 from v_code) c on c.name = k.name"""
+_VOIDS = """select c.path, 5 line_no, concat('CGame::run', doc_id%50) name, 'void* p' param, k.id from v_code c join keys k on k.name = concat('run', doc_id%50)"""
+
+
+@_q("l01_matched_names", "v_items v_code", f"with {_KEYS} {_MATCHED}")
+def _(t):
+    return lint.matched_name_findings(lint.lines(t("v_code")), _named_items(t))
+
+
+@_q("l01_void_ptr_params", "v_items v_code", f"with {_KEYS} {_VOIDS}")
+def _(t):
+    return declarations.void_ptr_params(t("v_code"), _named_items(t))
+
+
+_EXTERN = """select path, 2 line_no, 'nonlbl-decl' kind from v_code union all select path, 3, 'lbl' from v_code where doc_id%4=0"""
+
+
+@_q("l14_extern_c", "v_code", _EXTERN)
+def _(t):
+    return declarations.extern_c_findings(t("v_code")).select("path", "line_no", "kind")
+
+
+@_q("l04_extern_c_metrics", "v_code", "select path, cast(1 as bigint) extern_c_nonlbl_decl, cast(0 as bigint) extern_c_nonlbl_def, cast(1 as bigint) severity from v_code")
+def _(t):
+    m = lint.file_metrics(declarations.extern_c_findings(t("v_code")), t("v_code"))
+    return m.join(lint.severity(m), "path").select("path", "extern_c_nonlbl_decl", "extern_c_nonlbl_def", "severity")
+
+
+_CLONES = " union all ".join(f"""select path, {line} line_no, '{kind}' kind, {name} name, (select count(*) from v_code where {test}) copies, (select min(path) from v_code where {test}) first_path, {line} first_line from v_code where {test} and path <> (select min(path) from v_code where {test})""" for line, kind, name, test in ((4, "class", "concat('S', doc_id)", "true"), (15, "function", "concat('self_', doc_id%20)", "true"), (18, "function", "concat('raw', doc_id)", "doc_id%5=0")))
+
+
+def _clones(t):
+    units = declarations.extract_units(t("v_code"))
+    out = lint.class_clones(units.filter("kind = 'class'"), [], ["path", "line_no"]).unionByName(lint.clone_findings(units.filter("kind = 'function'"), [], ["path", "line_no"]))
+    return out.select("path", "line_no", "kind", "name", "copies", F.col("first.path").alias("first_path"), F.col("first.line_no").alias("first_line"))
+
+
+@_q("l09_class_clones", "v_code", f"select * from ({_CLONES}) x where kind = 'class' or line_no <> 5")
 def _(t):
-    return lint.init_side_effects(t("v_sources"))
+    return _clones(t)
 
 
-@_q("l12_pointer_findings", "v_sources", None)
+@_q("l21_all_findings", "v_items v_code", f"""with {_KEYS}, {_CODE}, p as ({_PACK}), i as ({_INIT}), q as ({_POINTERS}), e as ({_EXTERN}), c as ({_CLONES}), mt as ({_MATCHED}), vp as ({_VOIDS}) select path, line_no, "rule" from p union all select path, line_no, 'smell.init_side_effect' from i
+ union all select path, line_no, "rule" from q union all select path, line_no, 'smell.extern_c' from e union all select path, line_no, case kind when 'class' then 'clone.duplicate_class' else 'clone.repeated_code' end from c
+ union all select path, line_no, 'match.func_placeholder' from mt where regexp_matches(name, '^func_[0-9A-Fa-f]{{7,8}}$') union all select path, line_no, 'match.void_ptr_params' from vp
+ union all select path, 16, 'smell.fake_array_access' from v_code union all select path, 14, 'smell.define_rename_alias' from v_code""")
 def _(t):
-    return lint.pointer_findings(t("v_sources"))
+    return declarations.all_findings(t("v_code"), _named_items(t)).select("path", "line_no", "rule")
 
 
-@_q("l01_matched_names", "v_sources v_items", None)
+@_q("l20_finding_order", "v_code", f"""with {_CODE}, p as ({_PACK}), d as (select path, line_no, "rule", row_number() over (partition by path order by line_no, case "rule" {' '.join(f"when '{r}' then {i}" for i, r in enumerate(lint.TEXT_RULES | lint.LINE_RULES))} end) place from p) select * from d""")
 def _(t):
-    items = t("v_items").select("id", "status", F.col("symbol"), F.lit("blend").alias("function"), F.expr("cast(substring(id, 2) as bigint)").alias("ord"))
-    return lint.matched_name_findings(lint.lines(t("v_sources")), items)
+    pack, gates = lint.built_in_rules()
+    found = lint.ordered_findings(lint.lint(lint.lines(t("v_code")), pack, gates))
+    # the order is read from the sorted rows themselves
+    w = Window.partitionBy("path").orderBy("at")
+    return found.withColumn("at", F.monotonically_increasing_id()).select("path", "line_no", "rule", F.row_number().over(w).alias("place"))
 
 
-@_q("l21_all_findings", "v_sources", f'with {_HITS} select path, line_no, "rule" from h')
+@_q("l19_outside_asm", "v_code", f"""with {_CODE} select path, line_no, 'digit' "rule" from cl where regexp_matches(code, '[0-9]') and not (doc_id%5=0 and line_no >= 18)""")
 def _(t):
-    src = lint.lines(t("v_sources"))
-    cols = ["path", "line_no", "rule"]
-    a = lint.lint(src, PROSE_RULES).select(*cols)
-    b = lint.fake_array_access(src).select("path", "line_no", F.lit("smell.fake_array_access").alias("rule"))
-    c = lint.define_rename_alias(src).select("path", "line_no", F.lit("smell.define_rename_alias").alias("rule"))
-    return a.unionByName(b).unionByName(c)
+    return declarations.drop_asm_findings(lint.lint(lint.lines(t("v_code")), [("digit", "[0-9]", "code")]).select("path", "line_no", "rule"), t("v_code"))
 
 
 # --- listings and symbols ----------------------------------------------------------------------------------------------
@@ -441,110 +562,174 @@ def _(t):
     return binary.call_edges(t("v_insns"))
 
 
-@_q("b09_call_graph", "v_insns", """with e as (select fn caller, operands callee from v_insns where mnemonic = 'bl'), a as (select caller fn, count(distinct callee) n_callees from e group by caller), b as (select callee fn, count(distinct caller) n_callers from e group by callee)
-select coalesce(a.fn, b.fn) fn, coalesce(n_callees, 0) n_callees, coalesce(n_callers, 0) n_callers from a full join b on a.fn = b.fn""")
+@_q("b09_call_graph", "v_insns", """with e as (select fn caller, operands callee, min({'f': file, 'i': idx}) seen from v_insns where mnemonic = 'bl' group by fn, operands), a as (select caller fn, string_agg(callee, '>' order by seen) callees from e group by caller),
+ b as (select callee fn, string_agg(caller, '>' order by seen) callers from e group by callee) select coalesce(a.fn, b.fn) fn, coalesce(callees, '') callees, coalesce(callers, '') callers from a full join b on a.fn = b.fn""")
 def _(t):
     g = binary.call_graph(binary.call_edges(t("v_insns")))
-    return g.select("fn", F.size("callees").cast("long").alias("n_callees"), F.size("callers").cast("long").alias("n_callers"))
+    return g.select("fn", F.array_join("callees", ">").alias("callees"), F.array_join("callers", ">").alias("callers"))
+
 
+_USE = """use_ as (select fn, bool_or(d) deref, coalesce(max(o), 0) max_offset, bool_or(mnemonic = 'stw') stores, false vtable_dispatch, sum(case when d then 1 else 0 end) = 0 and sum(r) > 0 and (bool_or(mnemonic = 'add') or not bool_or(mnemonic = 'mr')) integer_only, cast(sum(r) as bigint) r3_ops, cast(sum(case when d then 1 else 0 end) as bigint) derefs
+ from (select *, mnemonic in ('lwz','stw') d, case when contains(operands, 'r3') then 1 else 0 end r, case when mnemonic in ('lwz','stw') then (case when length(h) = 1 then cast(h as bigint) else 16 * cast(substring(h, 1, 1) as bigint) + cast(substring(h, 2, 1) as bigint) end) end o
+ from (select *, case when mnemonic in ('lwz','stw') then regexp_extract(operands, '0x([0-9]+)', 1) end h from v_insns) x) y group by fn)"""
+_PROV = """hit as (select file, idx, mnemonic, operands, max(case when mnemonic = 'bl' or (mnemonic <> 'stw' and regexp_matches(operands, '\\br3\\b')) then idx end) over (partition by file order by idx rows between 8 preceding and 1 preceding) near from v_insns),
+ prov as (select h.file, h.idx, h.operands callee, case when s.idx is null then 'UNKNOWN' when s.mnemonic = 'bl' then 'CALL_RESULT' when s.mnemonic = 'mr' then 'COPY' when s.mnemonic = 'li' then 'CONSTANT' when s.mnemonic = 'addi' then 'ADDR_STACK' else upper(s.mnemonic) end kind,
+ case when s.idx is null then '' when s.mnemonic = 'li' then concat('li ', s.operands) else s.operands end detail from hit h left join v_insns s on s.file = h.file and s.idx = h.near where h.mnemonic = 'bl')"""
 
-@_q("b10_callee_usage", "v_insns", None)
+
+@_q("b10_callee_usage", "v_insns", f"with {_USE} select * from use_")
 def _(t):
     return binary.callee_usage(t("v_insns"))
 
 
-@_q("b11_callee_params", "v_insns", None)
+@_q("b11_callee_params", "v_insns", """with r as (select unnest(['r3','r4','r5','f1','f2','f3','f4']) register), s as (select fn, file, idx, mnemonic, operands, register, [trim(x) for x in string_split(operands, ',')] ops from v_insns, r where regexp_matches(operands, concat('\\b', register, '\\b'))),
+ g as (select fn, register, arg_min(mnemonic in ('stw','bl') or ops[1] <> register or list_contains(ops[2:], register), {'f': file, 'i': idx}) is_read, bool_or(contains(operands, concat('(', register, ')'))) ptr from s group by fn, register)
+ select g.fn, register, case when starts_with(register, 'f') then 'float' when ptr then 'ptr' when i then 'int' else 'opaque' end "class" from g join (select fn, bool_or(mnemonic = 'add') i from v_insns group by fn) n on n.fn = g.fn where is_read""")
 def _(t):
     return binary.callee_params(t("v_insns"))
 
 
-@_q("b12_member_verdict", "v_insns", None)
+@_q("b12_member_verdict", "v_insns", f"""with {_USE}, {_PROV}, si as (select callee, count(*) sites, bool_or(kind = 'CONSTANT' and not regexp_matches(detail, '0x0$')) n1, sum(case when kind = 'ADDR_STACK' then 1 else 0 end) stack from prov group by callee),
+ v as (select coalesce(fn, callee) symbol, coalesce(n1, false) n1, coalesce(integer_only, false) integer_only, coalesce(deref, false) deref, coalesce(r3_ops, 0) r3_ops, coalesce(max_offset, 0) max_offset, sites, stack from use_ full join si on fn = callee)
+ select symbol, case when n1 then 'not_member' when integer_only then 'integer_only' when not deref and r3_ops > 0 then 'not_member' when max_offset >= 64 then 'not_member' when deref and sites > 0 and stack = sites then 'review' when deref then 'undecidable' else 'not_member' end kind,
+ case when n1 then 'NOT non-static member (N1: constant r3 at call site)' when integer_only then 'NOT non-static member (r3 used as integer, never deref''d)' when not deref and r3_ops > 0 then 'NOT non-static member (N2: r3 never deref''d/forwarded)'
+ when max_offset >= 64 then concat('NOT member of class (N3: r3 offset 0x', lower(to_hex(max_offset)), ' >= size 0x40)') when deref and sites > 0 and stack = sites then 'Tier B: flag for review (derefs r3 but all-stack provenance)'
+ when deref then 'Tier B: flag for review (derefs r3; no instance-anchored call sites)' else 'NOT non-static member (r3 never used as object base)' end verdict, cast(coalesce(n, 0) as bigint) vtable_hints from v left join (select concat('f', s_suppkey % 500) name, count(*) n from supplier group by 1) p on p.name = symbol""")
 def _(t):
-    return binary.member_verdict(t("v_insns"), class_size=0x40)
+    pointers = t("supplier").select(F.concat(F.lit("f"), F.col("s_suppkey") % 500).alias("name"))
+    return binary.member_verdict(t("v_insns"), class_size=0x40, pointers=pointers)
 
 
-@_q("b13_provenance_counts", "v_insns", None)
+@_q("b13_provenance_counts", "v_insns", f"with {_PROV} select callee, kind, count(*) n from prov group by callee, kind")
 def _(t):
     return binary.provenance_counts(binary.r3_provenance(t("v_insns")))
 
 
-@_q("b17_r3_provenance", "v_insns", None)
+@_q("b17_r3_provenance", "v_insns", f"with {_PROV} select * from prov")
 def _(t):
     return binary.r3_provenance(t("v_insns"))
 
 
-@_q("b15_symbol_index", "v_symbols", "select address_key, count(*) n_names, min(ordinal) first_ordinal from v_symbols group by address_key")
+#: Symbols named as v_code declares them; what a listing of nothing shows is that none takes an object.
+@_q("b06_header_drift", "v_symbols v_code", """select path, 2 line_no, retail, 'header declares member but binary proves no-this' drift from v_code join (select substring(name, 1, 13) base, arg_min(name, (ordinal, name)) retail from v_symbols group by 1) s on base = concat('func_80', lpad(cast(doc_id as varchar), 6, '0'))""")
 def _(t):
-    s = t("v_symbols")
-    i = binary.symbol_index(s)
-    first = s.groupBy("address_key").agg(F.min("ordinal").alias("first_ordinal"))
-    return i.join(first, "address_key").select("address_key", F.size("names").cast("long").alias("n_names"), "first_ordinal")
+    return binary.header_drift(lint.lines(t("v_code")).filter("line_no = 2").withColumn("raw", F.regexp_replace("raw", '^extern "C" ', "")), t("v_symbols"), t("v_insns"))
 
 
-@_q("b16_first_names", "v_symbols", "select name, min(ordinal) ordinal from v_symbols group by name")
+@_q("b21_classify_decls", "v_symbols v_decls", r"""with u as (select name, min(ordinal) ordinal from (select name, ordinal from v_symbols union all select n_name, (select max(ordinal) + 1 from v_symbols) from nation) x group by name),
+ h as (select ord, name, regexp_extract(name, '_?([0-9A-Fa-f]{8})\b', 1) hx from v_decls), a as (select ord, h.name, arg_min(s.name, s.ordinal) at_address, bool_or(s.name = h.name) home from h join v_symbols s on hx <> '' and s.address_key = cast(concat('0x', hx) as bigint) group by ord, h.name),
+ p as (select d.name, coalesce((select arg_min(u.name, (u.ordinal, u.name)) from u where length(u.name) > length(d.name) and starts_with(u.name, d.name)), (select arg_min(u.name, (u.ordinal, u.name)) from u where length(d.name) > length(u.name) and starts_with(d.name, u.name))) pre from (select distinct name from v_decls) d),
+ tl as (select regexp_extract(name, '^.*__(.*)$', 1) tail, arg_min(name, (ordinal, name)) by_tail from u where contains(name, '__') group by 1),
+ j as (select d.ord, d.name, u.name is not null exact, at_address, home, pre, by_tail from v_decls d left join u on u.name = d.name left join a on a.ord = d.ord left join p on p.name = d.name left join tl on contains(d.name, '__') and tail = regexp_extract(d.name, '^.*__(.*)$', 1) and tail <> ''),
+ k as (select *, case when name is null then 'unparsed' when exact and at_address is not null and not home then 'jp_stale' when exact then 'exact' when at_address is not null or pre is not null or by_tail is not null then 'drift' else 'invented' end "class" from j)
+select ord, name, "class", case "class" when 'jp_stale' then at_address when 'exact' then name when 'drift' then coalesce(at_address, pre, by_tail) end resolved, contains(name, '__') hint from k""")
 def _(t):
-    return binary.first_names(t("v_symbols")).select("name", "ordinal")
+    return binary.classify_decls(t("v_decls"), t("v_symbols"), t("nation").select(F.col("n_name").alias("name")))
 
 
-@_q("b18_name_universe", "v_symbols", "select name, min(ordinal) ordinal from v_symbols group by name union all select n_name, (select max(ordinal) + 1 from v_symbols) from nation where n_name not in (select name from v_symbols)")
+@_q("b07_plan_call_sites", "v_sources", f"""with {_LINES}, w as (select distinct path, line_no, unnest(regexp_extract_all(raw, '\\w+')) name from l), d as (select name, min(item_id) ord from (select item_id, unnest(regexp_extract_all(text, '[a-z]{{8,}}')) name from benchmark) x group by name)
+ select path, line_no, arg_min(w.name, (ord, w.name)) name from w join d on d.name = w.name group by path, line_no""")
 def _(t):
-    return binary.name_universe(t("v_symbols"), t("nation").select(F.col("n_name").alias("name")))
+    lines = lint.lines(t("v_sources"))
+    words = t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{8,}"), 0)).alias("name"), "item_id").groupBy("name").agg(F.min("item_id").alias("ord"))
+    return binary.plan_call_sites(lines, words.select("name", "ord", F.lit("").alias("path"), F.lit(0).alias("line_no")))
 
 
-@_q("b03_prefix_drift", "v_symbols v_decls", """select d.name, coalesce((select s.name from v_symbols s where length(s.name) > length(d.name) and substring(s.name, 1, length(d.name)) = d.name order by s.ordinal limit 1),
- (select s.name from v_symbols s where length(d.name) > length(s.name) and substring(d.name, 1, length(s.name)) = s.name order by s.ordinal limit 1)) drift from (select distinct name from v_decls) d
- where exists (select 1 from v_symbols s where (length(s.name) > length(d.name) and substring(s.name, 1, length(d.name)) = d.name) or (length(d.name) > length(s.name) and substring(d.name, 1, length(s.name)) = s.name))""")
+@_q("b14_class_members", "v_symbols", "select 'CGame' \"class\", ordinal, name, false ctor, cast(0 as integer) n_namespaces from v_symbols where name like '%\\_\\_5CGameFv' escape '\\'")
 def _(t):
-    return binary.prefix_drift(t("v_decls"), binary.name_universe(t("v_symbols"), t("v_symbols").limit(0)))
+    m = declarations.class_members(t("v_symbols"))
+    return m.select("class", F.explode("members").alias("m"), F.size("namespaces").alias("n_namespaces")).select("class", "m.ordinal", "m.name", "m.ctor", "n_namespaces")
 
 
-@_q("b21_classify_decls", "v_symbols v_decls", None)
+@_q("b19_declarations", "v_code", """select path, 2 line_no, concat('void func_80', lpad(cast(doc_id as varchar), 6, '0'), '(CGame* self, int b);') decl, concat('func_80', lpad(cast(doc_id as varchar), 6, '0')) name from v_code
+ union all select path, 3, concat('int lbl_80', lpad(cast(doc_id as varchar), 6, '0'), ';'), concat('lbl_80', lpad(cast(doc_id as varchar), 6, '0')) from v_code where doc_id%4=0""")
 def _(t):
-    return binary.classify_decls(t("v_decls"), t("v_symbols"), t("nation").select(F.col("n_name").alias("name")))
+    return declarations.extract_decls(t("v_code"))
 
 
-@_q("b07_plan_call_sites", "v_sources", None)
+@_q("b20_definitions", "v_code", """select path, 5 line_no, concat('CGame::run', doc_id%50) name, instr(text, concat(chr(10), '}', chr(10), '#define')) + 2 - instr(text, concat('{', chr(10), '  u8*')) n_chars from v_code
+ union all select path, 15, concat('self_', doc_id%20), length('{.  ((CGame*)self)->x = names[3];.}') from v_code union all select path, 18, concat('raw', doc_id), length('{.  li r3, 7.}') from v_code where doc_id%5=0""")
 def _(t):
-    lines = lint.lines(t("v_sources"))
-    words = t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[a-z]{8,}\b"), 0)).alias("name"), "item_id").groupBy("name").agg(F.min("item_id").alias("ord"))
-    return binary.plan_call_sites(lines, words.select("name", "ord", F.lit("").alias("path"), F.lit(0).alias("line_no")))
+    return declarations.extract_defs(t("v_code")).select("path", "line_no", "name", F.length("body").cast("long").alias("n_chars"))
 
 
-@_q("b14_class_members", "v_symbols", "select 'CGame' \"class\", count(*) n_members, min(ordinal) first_ordinal from v_symbols where name like '%\\_\\_5CGameFv' escape '\\'")
+@_q("b22_conversion_plan", "v_code v_symbols", """select 'CGame' "class", (select count(*) from v_code) n_casts, cast(0 as bigint) n_params, (select count(*) from v_code) n_decls, (select count(*) from v_symbols where name like '%\\_\\_5CGameFv' escape '\\') n_members, (select count(*) from v_code) n_sites""")
 def _(t):
-    m = declarations.class_members(t("v_symbols"))
-    return m.select("class", F.size("members").cast("long").alias("n_members"), F.get("members", 0)["ordinal"].alias("first_ordinal"))
+    p = declarations.conversion_plan(t("v_code"), t("v_symbols"))
+    n = lambda kind: F.size(F.filter("hits", lambda h: h["kind"] == kind)).cast("long")
+    return p.select("class", n("def-selfcast").alias("n_casts"), n("def-param").alias("n_params"), n("decl").alias("n_decls"), F.size("members").cast("long").alias("n_members"), F.size("call_sites").cast("long").alias("n_sites"))
+
+
+@_q("b23_fake_members", "v_code", "select path, unnest([2, 15, 16]) line_no from v_code")
+def _(t):
+    return declarations.fake_members(lint.lines(t("v_code")), "CGame").select("path", "line_no")
+
+
+@_q("s03_lease_outcomes", "v_leases", """with o as (select *, row_number() over (partition by work_item_id order by op_seq) rn, epoch_ms(ts) now from v_leases),
+ r as (select work_item_id, rn, op_seq, op, owner, op = 'claim' ok, case when op = 'claim' then owner end ho, case when op = 'claim' then epoch end he, case when op = 'claim' then now + ttl_ms end hx from o where rn = 1
+ union all select work_item_id, rn, op_seq, op, owner, ok, case when not ok then ho when op in ('claim','heartbeat') then owner end, case when not ok then he when op in ('claim','heartbeat') then epoch end, case when not ok then hx when op in ('claim','heartbeat') then now + ttl_ms end from
+ (select o.*, ho, he, hx, case o.op when 'claim' then ho is null or (ho = o.owner and he = o.epoch and hx > now) when 'sweep' then ho is not null and hx < now else ho is not null and ho = o.owner and he = o.epoch end ok from r join o on o.work_item_id = r.work_item_id and o.rn = r.rn + 1) x)
+select work_item_id, op_seq, op, owner, ok from r""")
+def _(t):
+    return jobs.lease_outcomes(t("v_leases"))
+
+
+SQL["s03_lease_outcomes"] = SQL["s03_lease_outcomes"].replace("with ", "with recursive ", 1)
 
 
-@_q("b19_declarations", "v_sources", None)
+@_q("u01_verified_items", "v_items", "select id, status, coalesce(size < 100000, false) accepted, cast(null as varchar) evidence from v_items")
 def _(t):
-    return declarations.extract_decls(t("v_sources"))
+    return builtin.verify(t("v_items"), lambda d: d.withColumn("accepted", F.col("size") < 100_000)).select("id", "status", "accepted", "evidence")
 
 
-@_q("b20_definitions", "v_sources", None)
+_ACT = "a as (select id, coalesce(unit_id, '') unit_id, attempts = 1 promote, case when attempts = 2 then 'EQUIVALENT_MATCH' end new_status from v_items where attempts in (1, 2, 3))"
+
+
+def _finalized(t):
+    actions = t("v_items").filter("attempts in (1, 2, 3)").select("id", "unit_id", (F.col("attempts") == 1).alias("promote"), F.when(F.col("attempts") == 2, "EQUIVALENT_MATCH").alias("new_status"), F.lit("me").alias("actor"), F.lit(None).cast("string").alias("evidence"))
+    items = t("v_items")
+    return registry.finalize_run(items, actions, t("v_status"), "wf", F.lit("2030-01-01 00:00:00").cast(items.schema["updated_at"].dataType), "LINTED")
+
+
+@_q("r32_finalized_items", "v_items", "select id, case when attempts = 1 then 'accepted' else lifecycle end lifecycle, case when attempts = 2 then 'EQUIVALENT_MATCH' else status end status, case when attempts in (1, 2) then timestamp '2030-01-01 00:00:00' else updated_at end updated_at from v_items")
+def _(t):
+    return _finalized(t)[0].select("id", "lifecycle", "status", "updated_at")
+
+
+@_q("r32_finalized_status", "v_status", f"with {_ACT} select workflow_id, unit_id, target_id, status from v_status s where not exists (select 1 from a where a.unit_id = s.unit_id and a.id = s.target_id) union all select 'wf', unit_id, id, coalesce(new_status, 'LINTED') from a")
 def _(t):
-    return declarations.extract_defs(t("v_sources"))
+    return _finalized(t)[1]
 
 
-@_q("b22_conversion_plan", "v_sources v_symbols", None)
+@_q("r32_change_events", "v_status", f"""with {_ACT}, b as (select a.*, coalesce(new_status, 'LINTED') to_status, coalesce(p.status, t.status, u.status) from_status from a left join v_status p on p.unit_id = a.unit_id and p.target_id = a.id and p.unit_id <> '' left join v_status t on t.unit_id = '' and t.target_id = a.id left join v_status u on u.unit_id = a.unit_id and u.target_id = '' and u.unit_id <> '')
+select id work_item_id, from_status, to_status from b where from_status is distinct from to_status""")
 def _(t):
-    return declarations.conversion_plan(t("v_sources"), t("v_symbols"))
+    return _finalized(t)[2].select("work_item_id", F.get_json_object("data", "$.from").alias("from_status"), F.get_json_object("data", "$.status").alias("to_status"))
+
+
+@_q("b15_symbol_index", "v_symbols", "select address_key, count(*) n_names, min(ordinal) first_ordinal from v_symbols group by address_key")
+def _(t):
+    s = t("v_symbols")
+    i = binary.symbol_index(s)
+    first = s.groupBy("address_key").agg(F.min("ordinal").alias("first_ordinal"))
+    return i.join(first, "address_key").select("address_key", F.size("names").cast("long").alias("n_names"), "first_ordinal")
 
 
-@_q("b23_fake_members", "v_sources", None)
+@_q("b16_first_names", "v_symbols", "select name, min(ordinal) ordinal from v_symbols group by name")
 def _(t):
-    return declarations.fake_members(lint.lines(t("v_sources")), "CGame")
+    return binary.first_names(t("v_symbols")).select("name", "ordinal")
 
 
-@_q("l09_class_clones", "v_sources", None)
+@_q("b18_name_universe", "v_symbols", "select name, min(ordinal) ordinal from v_symbols group by name union all select n_name, (select max(ordinal) + 1 from v_symbols) from nation where n_name not in (select name from v_symbols)")
 def _(t):
-    units = declarations.extract_units(t("v_sources"))
-    return lint.class_clones(units.filter("kind = 'class'"), [], ["path", "line_no"]).unionByName(lint.clone_findings(units.filter("kind = 'function'"), [], ["path", "line_no"]))
+    return binary.name_universe(t("v_symbols"), t("nation").select(F.col("n_name").alias("name")))
 
 
-@_q("l19_outside_asm", "v_sources", f'with {_HITS} select path, line_no, "rule" from h where "rule" = \'digit\'')
+@_q("b03_prefix_drift", "v_symbols v_decls", """select d.name, coalesce((select s.name from v_symbols s where length(s.name) > length(d.name) and substring(s.name, 1, length(d.name)) = d.name order by s.ordinal limit 1),
+ (select s.name from v_symbols s where length(d.name) > length(s.name) and substring(d.name, 1, length(s.name)) = s.name order by s.ordinal limit 1)) drift from (select distinct name from v_decls) d
+ where exists (select 1 from v_symbols s where (length(s.name) > length(d.name) and substring(s.name, 1, length(d.name)) = d.name) or (length(d.name) > length(s.name) and substring(d.name, 1, length(s.name)) = s.name))""")
 def _(t):
-    return declarations.drop_asm_findings(_hits(t).select("path", "line_no", "rule").filter("rule = 'digit'"), t("v_sources"))
+    return binary.prefix_drift(t("v_decls"), binary.name_universe(t("v_symbols"), t("v_symbols").limit(0)))
 
 
 @_q("r18_map_summary", "", """select o_orderkey pos, concat('o', o_orderkey) id, case when o_orderkey % 2 = 0 then o_orderpriority else '' end status, o_orderkey % 2 = 0 and o_orderstatus = 'F' accepted from orders""")
@@ -566,11 +751,6 @@ def _(t):
     return telemetry.latest_transcript(a).select("run_id", "worker", "id")
 
 
-@_q("s03_lease_outcomes", "v_leases", None)
-def _(t):
-    return jobs.lease_outcomes(t("v_leases"))
-
-
 @_q("f05_split_names", "v_symbols", "select ordinal, case when name like '%\\_\\_5CGameFv' escape '\\' then 'CGame' end \"class\" from v_symbols")
 def _(t):
     return t("v_symbols").select("ordinal", scalars.split_name(F.col("name"))["class"].alias("class"))

@@ -34,6 +34,29 @@ VIEWS: dict[str, str] = {
  concat('run',user_id%20) run_id, case when event_id%9=0 then null else cast(floor(value*100) as bigint) end cost_micro_usd from events where event_type in ('purchase','signup')""",
     "v_sources": "select concat('src/',source,'/',doc_id,case when doc_id%5=0 then '.h' when doc_id%3=0 then '.c' else '.cpp' end) path, source unit, doc_id, text from documents",
     "v_sources_old": "select path, unit, doc_id, case when doc_id%3=0 then replace(text,' the ',' teh ') else text end text from v_sources where doc_id%10<>9",
+    # C-like files, one a document, of twenty lines each; what stands on a line follows from the id alone
+    "v_code": """select concat('src/u',doc_id%97,'/',doc_id,case when doc_id%10=7 then '.h' when doc_id%10=3 then '.c' else '.cpp' end) path, concat('u',doc_id%97) unit, doc_id, concat_ws(chr(10),
+ case when doc_id%3=0 then '#include <vector>' else concat('#include "u',doc_id%7,'.h"') end,
+ concat('extern "C" void func_80',lpad(cast(doc_id as varchar(20)),6,'0'),'(CGame* self, int b);'),
+ case when doc_id%4=0 then concat('extern "C" int lbl_80',lpad(cast(doc_id as varchar(20)),6,'0'),';') else concat('int g',doc_id,';') end,
+ concat('struct S',doc_id,' { int a; int b; };'),
+ concat('int CGame::run',doc_id%50,'(void* p, int x) {'),
+ concat('  u8* q = (u8*)p + 0x',doc_id%9+1,';'),
+ case when doc_id%2=0 then concat('  *(int*)((u8*)p + ',doc_id%6,') = 1;') else '  if (x) { goto out; }' end,
+ concat('  x = reinterpret_cast<int>(y = ',doc_id%5,') + 1; z = static_cast<int>(w = 2);'),
+ concat('  sym_',doc_id%5000,'(x); // call'),
+ concat('  x = reinterpret_cast<int>(y = ',doc_id%5+5,') + 1;'),
+ 'out:',
+ concat('  return self_',doc_id%20,'(x);'),
+ '}',
+ concat('#define func_8000',lpad(cast(doc_id%10000 as varchar(20)),4,'0'),' realName',doc_id%3),
+ concat('void self_',doc_id%20,'(CGame* self) {'),
+ '  ((CGame*)self)->x = names[3];',
+ '}',
+ case when doc_id%5=0 then concat('asm void raw',doc_id,'(int r3) {') else concat('int tail',doc_id,';') end,
+ case when doc_id%5=0 then '  li r3, 7' else ' ' end,
+ case when doc_id%5=0 then '}' else ' ' end) text from documents""",
+    "v_code_old": """select path, unit, doc_id, case when doc_id%3=0 then replace(text,'  return self_','  return other_') when doc_id%3=1 then replace(text,' q = (u8*)',' r = (u8*)') else text end text from v_code where doc_id%10<>9""",
     "v_symbols": """select p_partkey ordinal, case when p_partkey%4=0 then concat('func_80',lpad(cast(p_partkey as varchar(20)),6,'0')) when p_partkey%4=1 then concat('lbl_80',lpad(cast(p_partkey-1 as varchar(20)),6,'0'))
  when p_partkey%4=2 then concat('m',p_partkey%300,'__5CGameFv') else replace(p_name,' ','_') end name,
  case when p_partkey%4=1 then p_partkey-1 else p_partkey end address_key from part""",
