@@ -777,6 +777,66 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == d.count()
 
 
+def test_pipeline_stages_on_odd_tables(spark, rows):
+    import corpus_pipeline
+
+    shape = "doc_id long, text string, lang string, source string, _text string, IDS int, kept boolean, _nth int, component long"
+    odd = spark.createDataFrame([(r[0], r[1], r[2], r[3], "t", 1, None, 2, 3) for r in rows], shape)
+    for d in (odd, odd.filter("false"), odd.drop("lang", "source").withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, d, "")
+            got = out.collect()
+            if k < 4:
+                assert out.columns == d.columns and all(r._text == "t" and r.IDS == 1 and r._nth == 2 and r.component == 3 for r in got)
+            else:
+                assert out.columns == ["doc_id", "lang", "source", "ids", "n_ids", "round_trip"] and len(got) == d.count() and all(r.round_trip for r in got)
+            if k in (1, 4):
+                assert len(got) == d.count()
+
+
+# --- the registered queries ---
+
+
+def test_registered_queries_keep_their_contracts(spark, rows, tmp_path):
+    from zlib import crc32
+
+    from workgraph.llm.queries import QUERIES
+
+    own = [r for r in rows if r[0] is not None and r[0] != 1007]
+    d = spark.createDataFrame(own, SCHEMA).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "http://a", "<article>x &amp; y</article>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rng = np.random.default_rng(2)
+    spark.createDataFrame([(i, rng.normal(size=64).tolist(), 0) for i in range(12)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path))
+    texts = {r[0]: r[1] for r in own}
+    words = {i: WORD.findall(t or "") for i, t in texts.items()}
+    one = run("op1_site_templates")
+    assert one.dtypes[:4] == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")] and {tuple(r)[:4] for r in one.collect()} == {(1, "http://a", "x & y", 5), (2, None, "", 0)}
+    want = brute_components(own)
+    three = run("op3_minhash_forest")
+    assert dict(three.dtypes).items() >= {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}.items()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in three.collect()} == {(i, len(shingles(t)), want[i], want[i] == i) for i, t in texts.items()}
+    five = run("op5_quality_rules")
+    assert five.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance"]
+    assert {(r.doc_id, r.n_words, r.word_chars) for r in five.collect()} == {(i, len(w), sum(map(len, w))) for i, w in words.items()} and five.filter("base_failed and kept").count() == 0
+    seven = {r.doc_id: r for r in run("op7_personal_data").collect()}
+    for i, t in texts.items():
+        base = brute_base(t or "")
+        assert seven[i].base_sha256 == hashlib.sha256(pii.written_spans(base).encode()).hexdigest() and seven[i].n_ip == sum(s[0] == "ip" for s in base)
+        assert not base or set(pii.written_spans(base).split(",")) <= set(seven[i].spans.split(","))
+    eight = run("op8_mix_sources").collect()
+    assert {r.doc_id: r.size for r in eight} == {i: len(w) for i, w in words.items()} and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) and len(r.shards) * r.size == r.taken for r in eight)
+    assert sum(r.taken for r in eight) == pytest.approx(sum(map(len, words.values())), rel=0.02)
+    ten = run("op10_language_mixture").collect()
+    assert {r.doc_id: r.held_out for r in ten} == {i: crc32(str(i).encode()) % 3 == 1 for i in texts}
+    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", texts[r.doc_id] or "")) and 0 <= r.score <= 1 and r.lang_pred in ("en", "fr", "und") for r in ten)
+    two = run("op2_edit_aware_counts").collect()
+    c = tokencount.counter(tokencount.RANKS)
+    assert {r.doc_id: r.n_tokens for r in two} == {i: len(c.bpe.encode_ordinary(t or "")) for i, t in texts.items()}
+    assert run("op4_merge_dropout").filter("round_trip").count() == len(own) and run("op9_image_copies").filter("kind = 'member'").count() == 12 + 9
+
+
 def test_sha_of_kept(docs):
     r = linedup.dedup_lines(docs).filter("doc_id = 1").select("text", F.sha2("text", 256).alias("h")).first()
     assert r.h == hashlib.sha256(r.text.encode()).hexdigest()
