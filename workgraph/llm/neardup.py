@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import Forest, components, edge_batch
-from ._shared import written
+from ._shared import with_columns, written
 from ._words import mix, shingle_set, texts
 
 VALUES = 128  # MinHash values of a signature, 16 bits each
@@ -98,19 +98,27 @@ def _neighbours(window: int, least: float, shallow: int):
 
 
 def _intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each of sets with each of others."""
-    both = sets + others
+    """Sizes of the intersections of each of sets with each of others; for a list with itself, of different ones only.
+    Shingles that one side lacks, or that a single text has, are in no intersection and take no column."""
+    itself = sets is others
+    both = sets if itself else sets + others
     doc = np.repeat(np.arange(len(both), dtype=np.int64), [len(s) for s in both])
     code = np.unique(np.concatenate(both) if both else np.zeros(0, np.uint64), return_inverse=True)[1].ravel()
+    n = int(code.max()) + 1 if len(code) else 0
+    if itself:
+        shared = np.bincount(code, minlength=n) > 1
+    else:
+        shared = (np.bincount(code[doc < len(sets)], minlength=n) > 0) & (np.bincount(code[doc >= len(sets)], minlength=n) > 0)
+    code, doc = (np.cumsum(shared) - 1)[code[shared[code]]], doc[shared[code]]
     out = np.zeros((len(sets), len(others)))
     by = np.argsort(code, kind="stable")
     code, doc = code[by], doc[by]
     step = max(256, 4_000_000 // max(1, len(both)))  # columns of the incidence matrix at a time
     for at in range(0, int(code[-1]) + 1 if len(code) else 0, step):
         i, j = np.searchsorted(code, [at, at + step])
-        m = np.zeros((len(both), step), np.float32)
+        m = np.zeros((len(both), min(step, int(code[-1]) + 1 - at)), np.float32)
         m[doc[i:j], code[i:j] - at] = 1
-        out += m[: len(sets)] @ m[len(sets) :].T
+        out += m @ m.T if itself else m[: len(sets)] @ m[len(sets) :].T
     return out
 
 
@@ -121,8 +129,13 @@ def _linked(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> n
     return (100 * both >= percent * union) & (both > 0)
 
 
-def _blocks(wide: int, percent: int, most_docs: int, most_shingles: int):
-    """Rows (region, id, text) sorted by region -> edges (id, root) among the rows of a region that stand together, at
+def _sets(wide: int):
+    """Texts -> their shingle sets as bytes, so that a text is cut and hashed once however many blocks it stands in."""
+    return lambda column: [pa.array([shingle_set(t, wide).tobytes() for t in texts(column)], pa.binary())]
+
+
+def _blocks(percent: int, most_docs: int, most_shingles: int):
+    """Rows (region, id, set) sorted by region -> edges (id, root) among the rows of a region that stand together, at
     most so many at a time; all pairs of a block are compared on full sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +153,11 @@ def _blocks(wide: int, percent: int, most_docs: int, most_shingles: int):
 
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            for r, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
+            for r, i, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if r != region or len(ids) >= most_docs or size >= most_shingles:
                     edges += done()
                     ids, sets, region, size = [], [], r, 0
-                s = shingle_set(t, wide)
+                s = np.frombuffer(t, np.uint64)
                 ids.append(i)
                 sets.append(s)
                 size += len(s)
@@ -154,8 +167,8 @@ def _blocks(wide: int, percent: int, most_docs: int, most_shingles: int):
     return run
 
 
-def _against(wide: int, percent: int):
-    """Rows (region, qb, mb, asks, id, component, text) of one block of queries and one of members -> edges."""
+def _against(percent: int):
+    """Rows (region, qb, mb, asks, id, set) of one block of queries and one of members -> edges."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -172,12 +185,11 @@ def _against(wide: int, percent: int):
 
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            head = zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)
-            for (r, q, m, asks, i), t in zip(head, texts(batch.column(5)), strict=True):
+            for r, q, m, asks, i, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (r, q, m) != at:
                     edges += done()
                     at, rows = (r, q, m), []
-                rows.append((asks, i, shingle_set(t, wide)))
+                rows.append((asks, i, np.frombuffer(t, np.uint64)))
             yield edge_batch(edges)
         yield edge_batch(done())
 
@@ -224,15 +236,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, wide: int = 5, id_col: s
     sizes = written(regions.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")))
     big = (F.col("docs") > block_docs) | (F.col("shingles") > block_shingles)
     placed = regions.join(sizes, "region").withColumn("big", big)
-    held = written(base.join(placed, "id").select("region", "id", "n", "text", "big", "docs", "shingles", *[f"k{i}" for i in range(orders)]))
-    compare = _blocks(wide, percent, block_docs, block_shingles)
-    small = held.filter("not big").select("region", "id", "text").repartition(F.col("region")).sortWithinPartitions("region", "id")
-    edges = [small.mapInArrow(_blocks(wide, percent, 1 << 30, 1 << 60), "a long, b long")]
+    held = base.join(placed, "id").select("region", "id", "n", "text", "big", "docs", "shingles", *[f"k{i}" for i in range(orders)])
+    held = written(with_columns(held, {"set": "binary"}, ["text"], _sets(wide)).drop("text"))
+    compare = _blocks(percent, block_docs, block_shingles)
+    small = held.filter("not big").select("region", "id", "set").repartition(F.col("region")).sortWithinPartitions("region", "id")
+    edges = [small.mapInArrow(_blocks(percent, 1 << 30, 1 << 60), "a long, b long")]
     large = held.filter("big")
     many = sizes.filter(big).count()
     if many:
         for i in range(orders):
-            edges.append(large.repartitionByRange("region", f"k{i}", "id").sortWithinPartitions("region", f"k{i}", "id").select("region", "id", "text").mapInArrow(compare, "a long, b long"))
+            edges.append(large.repartitionByRange("region", f"k{i}", "id").sortWithinPartitions("region", f"k{i}", "id").select("region", "id", "set").mapInArrow(compare, "a long, b long"))
     links = edges[0]
     for e in edges[1:]:
         links = links.unionByName(e)
@@ -247,10 +260,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, wide: int = 5, id_col: s
         blocks = lambda n, s: F.greatest(F.ceil(n / (4 * block_docs)), F.ceil(s / (2 * block_shingles)), F.lit(1)).cast("int")
         rows = rows.withColumn("nq", blocks(F.col("docs") - F.col("top_docs"), F.col("shingles") - F.col("top_shingles"))).withColumn("nm", blocks(F.col("docs"), F.col("shingles")))
         mine = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), n).cast("int")
-        asks = rows.filter("asks").select("region", mine(F.col("nq")).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.lit(True).alias("asks"), "id", "text")
-        members = rows.filter("docs > top_docs").select("region", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), mine(F.col("nm")).alias("mb"), F.lit(False).alias("asks"), "id", "text")
+        asks = rows.filter("asks").select("region", mine(F.col("nq")).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.lit(True).alias("asks"), "id", "set")
+        members = rows.filter("docs > top_docs").select("region", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), mine(F.col("nm")).alias("mb"), F.lit(False).alias("asks"), "id", "set")
         rest = asks.unionByName(members).repartition(F.col("region"), F.col("qb"), F.col("mb")).sortWithinPartitions("region", "qb", "mb")
-        late = rest.mapInArrow(_against(wide, percent), "a long, b long")
+        late = rest.mapInArrow(_against(percent), "a long, b long")
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late))
         found = written(found)
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
