@@ -288,6 +288,12 @@ def test_sinks(spark, items, tmp_path):
     sinks.export_registry(items, deps.withColumn("to_id", F.lit("zz")), caps, f"{tmp_path}/bad")
     with pytest.raises(ValueError, match="dangling_to_id"):
         sinks.import_registry(spark, f"{tmp_path}/bad")
+    with pytest.raises(ValueError, match="dangling_to_id"):
+        sinks.import_registry(spark, f"{tmp_path}/bad", f"{tmp_path}/to")
+    assert [d.count() for d in sinks.import_registry(spark, f"{tmp_path}/snap", f"{tmp_path}/to")] == [3, 1, 1]
+    with pytest.raises(ValueError, match="is there already"):
+        sinks.import_registry(spark, f"{tmp_path}/snap", f"{tmp_path}/to")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bad", "snap", "to"]
     m = spark.createDataFrame([("a", 0, 2, 0)], "path string, init_side_effect long, void_ptr long, goto_count long")
     sinks.write_baseline(m, f"{tmp_path}/base")
     assert {(r.metric, r.n) for r in sinks.read_baseline(spark, f"{tmp_path}/base").collect()} == {("init_side_effect", 0), ("void_ptr", 2)}
@@ -339,6 +345,28 @@ def test_streams(spark, tmp_path):
     assert [(r.pipeline, r.unit_id) for r in run_stream(jobs.unit_complete(done), "units").collect()] == [("p", "run0")]
 
 
+def test_idle_state_is_forgotten(spark, tmp_path):
+    def run(target, seq):
+        spark.createDataFrame([("w", "u", target, seq, "x")], shape).write.mode("append").parquet(f"{tmp_path}/log")
+        src = spark.readStream.schema(shape).parquet(f"{tmp_path}/log")
+        jobs.status_change_stream(src, idle_ms=1).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet", outputMode="append").awaitTermination()
+
+    shape = "workflow_id string, unit_id string, target_id string, seq long, status string"
+    for seq, target in enumerate(["a", "b", "a"]):
+        run(target, seq)
+    assert {(r.target_id, r.seq, r.from_status) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", 0, None), ("b", 1, None), ("a", 2, None)}
+
+
+def test_units_fire_once(spark, tmp_path):
+    shape = "pipeline string, unit_id string, work_item_id string, n_items int, accepted boolean"
+    batches = [[("p", "u", "i", 2, True), ("p", "v", "i", 1, None), ("p", "w", "i", 2, True)], [("p", "u", "i", 2, True), ("p", "w", "j", 2, False)], [("p", "u", "j", 2, True), ("p", "w", "j", 2, True)], [("p", "u", "j", 2, True), ("p", "v", "i", 1, True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, shape).write.mode("append").parquet(f"{tmp_path}/log")
+        src = spark.readStream.schema(shape).parquet(f"{tmp_path}/log")
+        jobs.unit_complete(src).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet", outputMode="append").awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("p", "u")]
+
+
 def test_append_numbers_batches(spark, tmp_path):
     spark.range(5).withColumn("k", F.col("id")).write.parquet(f"{tmp_path}/in")
     src = spark.readStream.schema("id long, k long").parquet(f"{tmp_path}/in")

@@ -47,8 +47,12 @@ def map_targets(df: DataFrame, default_region: str) -> DataFrame:
 def read_corpus(spark: SparkSession, roots: list[str], mode: str = "lint") -> DataFrame:
     """(path, text) of source files below the roots: names with a dot in front are skipped, and so is what cannot be read."""
     found = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(roots, wholetext=True)
-    path = F.col("_metadata.file_path")
-    return found.select(path.alias("path"), F.col("value").alias("text")).filter(F.col("path").rlike(LINT_FILES if mode == "lint" else REPORT_FILES) & ~F.col("path").rlike(r"/\.[^/]")).dropDuplicates(["path"])
+    return source_files(found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), mode)
+
+
+def source_files(files: DataFrame, mode: str = "lint") -> DataFrame:
+    """Files (path, text) that are sources by their names, each path once."""
+    return files.filter(F.col("path").rlike(LINT_FILES if mode == "lint" else REPORT_FILES) & ~F.col("path").rlike(r"/\.[^/]")).dropDuplicates(["path"])
 
 
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lint import SEEDED
 from ..operators.registry import registry_violations
 
+SNAPSHOT = ("items", "deps", "capabilities")
 FINDING = {"rule": "string", "line": "int", "column": "int", "snippet": "string", "message": "string", "path": "string"}
 
 
@@ -24,12 +27,27 @@ def export_registry(items: DataFrame, deps: DataFrame, caps: DataFrame, path: st
     caps.sort("work_item_id", "capability").write.mode("overwrite").parquet(f"{path}/capabilities")
 
 
-def import_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A snapshot's tables, or ValueError naming some violations: all or nothing."""
-    items, deps, caps = (spark.read.parquet(f"{path}/{t}") for t in ("items", "deps", "capabilities"))
+def import_registry(spark: SparkSession, path: str, to: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A snapshot's tables, or ValueError naming some violations: all or nothing.
+
+    With to, the tables are first written to a folder beside it, which takes the name to only when all are there; a folder
+    of that name is an error, and nothing is ever left half written under it.
+    """
+    items, deps, caps = tables = tuple(spark.read.parquet(f"{path}/{t}") for t in SNAPSHOT)
     if bad := registry_violations(items, deps, caps).limit(10).collect():
         raise ValueError("; ".join(f"{r['rule']}: {r['subject']}" for r in bad))
-    return items, deps, caps
+    if to is None:
+        return tables
+    staging = f"{to}.staging-{uuid.uuid4().hex}"
+    for name, df in zip(SNAPSHOT, tables, strict=True):
+        df.write.parquet(f"{staging}/{name}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # the file system that Spark itself writes by
+    target = hadoop.Path(to)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) or not fs.rename(hadoop.Path(staging), target):
+        fs.delete(hadoop.Path(staging), True)
+        raise ValueError(f"{to} is there already")
+    return tuple(spark.read.parquet(f"{to}/{t}") for t in SNAPSHOT)
 
 
 def write_baseline(metrics: DataFrame, path: str) -> None:

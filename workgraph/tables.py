@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the session's checkpoint folder, read back: lineage ends, and the size is known."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the session's checkpoint folder. Only a local session without one gets a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         if not spark.sparkContext.master.startswith("local"):  # a folder of one machine would lose rows
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="workgraph-"))
         where = spark.sparkContext.getCheckpointDir()
-    path = f"{where}/{uuid.uuid4().hex}"
+    return f"{where}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the session's checkpoint folder, read back: lineage ends, and the size is known."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
