@@ -349,7 +349,7 @@ def test_idle_state_is_forgotten(spark, tmp_path):
     def run(target, seq):
         spark.createDataFrame([("w", "u", target, seq, "x")], shape).write.mode("append").parquet(f"{tmp_path}/log")
         src = spark.readStream.schema(shape).parquet(f"{tmp_path}/log")
-        jobs.status_change_stream(src, idle_ms=1).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet", outputMode="append").awaitTermination()
+        jobs.status_change_stream(src, idle_ms=1).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(once=True).start(f"{tmp_path}/out", format="parquet", outputMode="append").awaitTermination()
 
     shape = "workflow_id string, unit_id string, target_id string, seq long, status string"
     for seq, target in enumerate(["a", "b", "a"]):
