@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, images, langid, linedup, mixing, neardup, pii, quality, subword, tokencount
+from . import decontamination, htmltext, images, langid, linedup, mixing, neardup, pii, quality, subword, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.mix_column(F.col("draws"), F.col("size")).alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "hit_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_edit_aware_counts": op2_edit_aware_counts,
@@ -82,11 +87,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_image_copies": op9_image_copies,
     "op10_language_mixture": op10_language_mixture,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 #: White space at line ends as DuckDB's trim() takes it.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _words13(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"list_filter(regexp_split_to_array({low}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '')"
+
+
 SQL: dict[str, str] = {
     "op6_line_dedup": f"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
@@ -97,4 +110,16 @@ with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from docum
 select doc_id, count(*) n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) n_dropped,
  sha256(coalesce(string_agg(case when gone then null else line end, chr(10) order by pos), '')) kept_sha256
 from m group by doc_id""",
+    "op13_benchmark_decontamination": f"""
+with d as materialized (select row_number() over () rid, doc_id, {_words13("text")} w from documents),
+ i as (select item_id, {_words13("text")} w from benchmark),
+ k as (select item_id, w, least(len(w), 10) n from i where len(w) > 0),
+ iw as materialized (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') win from (select *, unnest(range(1, len(w) - n + 2)) p from k)),
+ dw as (select rid, n, p, array_to_string(w[p:p + n - 1], ' ') win from (select rid, n, w, unnest(range(1, len(w) - n + 2)) p from d, (select distinct n from iw) where len(w) >= n)),
+ h as materialized (select rid, p, dw.n, item_id from dw join iw on dw.win = iw.win),
+ c as (select rid, count(distinct x) n_hit from (select rid, unnest(range(p, p + n)) x from (select distinct rid, p, n from h)) group by rid),
+ t as (select rid, count(*) n_items, sha256(string_agg(s, ',' order by s)) items from (select distinct rid, cast(item_id as varchar) s from h) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(items, sha256('')) items_sha256,
+ n_hit is not null contaminated
+from d left join c on d.rid = c.rid left join t on d.rid = t.rid""",
 }
