@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, htmltext, images, langid, linedup, mixing, neardup, pii, quality, subword, tokencount
+from . import decontamination, htmltext, images, langid, linedup, mixing, neardup, pii, quality, subword, tokencount, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.mix_column(F.col("draws"), F.col("size")).alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "hit_spans")
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_image_copies": op9_image_copies,
     "op10_language_mixture": op10_language_mixture,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
