@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, htmltext, images, langid, linedup, mixing, neardup, pii, quality, subword, tokencount, variants
+from . import alignment, decontamination, htmltext, images, langid, linedup, mixing, neardup, pii, quality, subword, tokencount, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "hit_spans")
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_image_copies": op9_image_copies,
     "op10_language_mixture": op10_language_mixture,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
