@@ -16,6 +16,8 @@ from ._shared import ascii_lower, fresh, written
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: A word before A-Z are lower-cased, which moves no edge.
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Bits of the filter that keeps texts without a common fingerprint out of the second pass (1 MB).
+BITMAP_BITS = 1 << 23
 NEW = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
 
 
@@ -68,6 +70,18 @@ def item_windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text
     return written(held.select("window", "n", "set", prints.alias("print"))), sets
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (long) may be one of the wanted: all that are, and a share of the others as large as the share of
+    BITMAP_BITS bits that the wanted ones set. The bitmap is broadcast: it has BITMAP_BITS bits, however many are wanted."""
+    held, bits = fresh(rows, "_bucket", "_bits")
+    slot = lambda c: F.pmod(c, F.lit(BITMAP_BITS)) + 1
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(slot(F.col(key))).alias(held)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(F.col(key)))).alias(bits))
+    at = F.bitmap_bit_position(slot(F.col(key)))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(slot(rows[key])) == bitmap[held])
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs with n_words; n_hit, the words inside an occurrence of a window of size item words; n_items, the items with
     occurring windows; items_sha256 of their ids, sorted as strings and joined by commas; contaminated (n_hit > 0); and
@@ -75,7 +89,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: s
 
     Fingerprints of documents and items are joined; a run of windows with a common fingerprint is then extended to its
     whole windows, which are compared word by word. Every shared window has its fingerprint in both, so none is missed.
-    Shorter items get fingerprints of their own length (at most size - 1 lengths). Results belong to texts: copies of a
+    Texts that may hold a hit are told by a bitmap of fixed size before they are shuffled. Shorter items get fingerprints of their own length (at most size - 1 lengths). Results belong to texts: copies of a
     text are extended once, and texts are found again by two 64-bit hashes. Ids of items are looked up once for each
     different combination of item sets, and no row is made for a document with an item.
 
@@ -94,7 +108,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: s
     every = let(words, lambda w: F.flatten(F.array(*[fingerprints(w, k) for k in sizes or [size]])))
     runs = texts.select(h1, h2, F.explode(every).alias("r")).select(h1, h2, "r.*")
     spots = written(runs.join(prints, ["n", "print"], "left_semi").groupBy(h1, h2).agg(F.collect_set(F.struct("n", "at", "to")).alias("spots")))
-    met = texts.join(spots, [h1, h2]).groupBy(h1, h2).agg(F.first("text").alias("text"), F.first("spots").alias("spots"))
+    met = among(texts, spots, h1).join(spots, [h1, h2]).groupBy(h1, h2).agg(F.first("text").alias("text"), F.first("spots").alias("spots"))
     window = lambda w, s, p: F.struct(p.alias("at"), (p + s["n"]).alias("to"), F.array_join(F.slice(w, p + 1, s["n"]), " ").alias("window"))
     extended = let(words, lambda w: F.flatten(F.transform("spots", lambda s: F.transform(F.sequence(s["at"], s["to"]), lambda p: window(w, s, p)))))
     hits = met.select(h1, h2, F.explode(extended).alias("x")).select(h1, h2, "x.*").join(windows.select("window", "set"), "window")
