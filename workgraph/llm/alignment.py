@@ -28,6 +28,10 @@ A, B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model
 #: A piece of a text that both tokenizers encode alone: it ends before a space or a newline after anything but white space,
 #: or after a single newline. Neither has a token across such an edge.
 UNIT = re.compile(r"\n(?= ?\S)|(?:[ \n]\s*)?\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
+#: White space that parts units in another way than single spaces and newlines between other characters do.
+ODD, ODD_RUNS = re.compile(r"[^\S \n]|\0"), ("  ", " \n", "\n ", "\n\n")
+# Fixed value: how the first tokenizer cuts a text before it merges bytes.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units without an effect on what stands before or behind them; they are encoded together, parted by newlines.
 PLAIN = re.compile(r" ?\S(?:[^\n]*\S)?\Z")
 #: Units that are encoded together; bytes of text whose units are counted before they are aligned; units that a second pass
@@ -63,37 +67,83 @@ class Pair:
         self.labels = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
         self.a_line, self.b_line = self.a.encode("\n", add_special_tokens=False).ids, self.b.encode("\n")[-1:]
         crossing = any(re.search(r"[^▁]▁|\n", t) for i, t in enumerate(names) if not self.b.is_control(i))
-        first = json.loads(self.a.to_str())["pre_tokenizer"] or {}
+        whole = json.loads(self.a.to_str())
+        first = whole["pre_tokenizer"] or {}
         own = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and len(self.a_line) == 1
-        self.cut = UNIT.findall if own and not crossing else lambda text: [text]  # other tokenizers: whole texts
+        self.split = own and not crossing  # other tokenizers: whole texts
+        self.a_fast = self._ranked(whole) if own else None
+
+    def _ranked(self, whole: dict):
+        """The same byte-level merges as ranks, whose encoder is several times faster; only where a token's id is its rank."""
+        import tiktoken
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in whole["model"]["merges"]]
+        singles = [i for i, t in enumerate(self.a_bytes) if len(t) == 1]
+        first = len(singles)
+        vocab = whole["model"]["vocab"]
+        if whole["normalizer"] or max(singles) != first - 1 or any(vocab.get("".join(m)) != first + i for i, m in enumerate(merges)):
+            return None
+        return tiktoken.Encoding("a", pat_str=PRETOKEN, mergeable_ranks={self.a_bytes[i]: i for i in range(first + len(merges))}, special_tokens={})
+
+    def _a(self, text: str) -> list[int]:
+        return self.a_fast.encode_ordinary(text) if self.a_fast else self.a.encode(text, add_special_tokens=False).ids
+
+    def _b(self, text: str) -> list[int]:
+        # a line in front keeps the space that this tokenizer adds away from the text
+        return self.b.encode("\n" + text, num_threads=1)[2:]
 
     def units(self, text: str | None) -> list[str]:
         """The units of space and text; null and empty texts have none."""
-        return self.cut(" " + text) if text else []
-
-    def _ids(self, units: list[str], together, alone, line: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all units in order, how many each has)."""
-        lists: list = [None] * len(units)
-        plain = [i for i, u in enumerate(units) if PLAIN.match(u)]
-        if plain:
-            ids = np.asarray(together("\n".join([units[i] for i in plain])), np.int64)
-            at = np.nonzero(ids == line[0])[0]
-            if len(at) == len(plain) - 1:
-                starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
-                for i, s, e in zip(plain, starts, ends, strict=True):
-                    lists[i] = ids[s:e]
-        rest = [i for i, x in enumerate(lists) if x is None]
-        for i, x in zip(rest, alone([units[i] for i in rest]), strict=True):
-            lists[i] = np.asarray(x, np.int64)
-        n = np.array([len(x) for x in lists], np.int64)
-        return np.concatenate(lists) if lists else np.zeros(0, np.int64), n
-
-    def align(self, units: list[str], strings: bool = False) -> Aligned:
+        if not text:
+            return []
+        text = " " + text
+        if not self.split:
+            return [text]
+        if text[-1] in " \n" or any(run in text for run in ODD_RUNS) or ODD.search(text):
+            return UNIT.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0")[1:].split("\0")  # the same, faster
+
+    @staticmethod
+    def sorted_out(units: Iterable[str]) -> Iterator[tuple[list[str], bool]]:
+        """Slices of units, and whether all in a slice are plain."""
+        plain, odd = [], []
+        for u in units:
+            (plain if PLAIN.match(u) else odd).append(u)
+        for some, kind in ((plain, True), (odd, False)):
+            for at in range(0, len(some), SLICE):
+                yield some[at : at + SLICE], kind
+
+    @staticmethod
+    def _together(units: list[str], encode, line: list[int], table: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of all plain units in order, how many each has), encoded in one text; None where that is not their bytes."""
+        text = "\n".join(units)
+        found = encode(text)
+        if b"".join(map(table.__getitem__, found)) != text.encode():
+            return None
+        ids = np.asarray(found, np.int64)
+        parts = ids == line[0]
+        ends = np.append(np.nonzero(parts)[0], len(ids))
+        return (ids[~parts], np.diff(ends, prepend=-1) - 1) if len(ends) == len(units) else None
+
+    @staticmethod
+    def _alone(units: list[str], encode, table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all units in order, how many each has, whether they are its bytes)."""
+        lists = [encode(u) for u in units]
+        good = np.array([b"".join([table[k] for k in x]) == u.encode() for u, x in zip(units, lists, strict=True)], bool)
+        return np.array(list(chain.from_iterable(lists)), np.int64), np.array([len(x) for x in lists], np.int64), good
+
+    def align(self, units: list[str], plain: bool, strings: bool = False) -> Aligned:
         """Different units, aligned. A unit whose bytes a tokenizer does not give back is not good, and has no link."""
-        a_ids, n_a = self._ids(units, lambda t: self.a.encode(t, add_special_tokens=False).ids, lambda x: [e.ids for e in self.a.encode_batch(x, add_special_tokens=False)], self.a_line)
-        # a line in front keeps the space that this tokenizer adds away from the unit
-        b_ids, n_b = self._ids(units, lambda t: self.b.encode("\n" + t, num_threads=1)[2:], lambda x: [self.b.encode("\n" + u, num_threads=1)[2:] for u in x], self.b_line)
-        good = self._same(units, a_ids, n_a, self.a_bytes, self.a_size) & self._same(units, b_ids, n_b, self.b_bytes, self.b_size)
+        together = lambda encode, line, table: plain and len(line) == 1 and self._together(units, encode, line, table) or None
+        good = np.ones(len(units), bool)
+        pairs = []
+        for encode, line, table in ((self._a, self.a_line, self.a_bytes), (self._b, self.b_line, self.b_bytes)):
+            found = together(encode, line, table)
+            if found is None:
+                *found, same = self._alone(units, encode, table)
+                good &= same
+            pairs.append(found)
+        (a_ids, n_a), (b_ids, n_b) = pairs
         if not good.all():
             a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
             n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
@@ -112,16 +162,6 @@ class Pair:
             out.strings = ["".join(words[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
-    @staticmethod
-    def _same(units: list[str], ids: np.ndarray, n: np.ndarray, table: list[bytes], size: np.ndarray) -> np.ndarray:
-        """Whether each unit's ids are its bytes."""
-        if b"".join(map(table.__getitem__, ids.tolist())) == "".join(units).encode():
-            long = np.array([len(u.encode()) for u in units], np.int64)
-            if (np.add.reduceat(np.append(size[ids], 0), np.cumsum(n) - n) * (n > 0) == long).all():
-                return np.ones(len(units), bool)
-        ends = np.cumsum(n).tolist()
-        return np.array([b"".join(table[k] for k in ids[s:e].tolist()) == u.encode() for u, s, e in zip(units, [0, *ends[:-1]], ends, strict=True)], bool)
-
 
 def _byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next one from U+0100."""
@@ -225,10 +265,9 @@ def partial_counts(docs: DataFrame, a: str, b: str, text_col: str) -> DataFrame:
             units.update(pair.units(t))
         bad: set[str] = set()
         for retry in (True, False):
-            names, keys, weights = list(units), [], []
-            for at in range(0, len(names), SLICE):
-                some = names[at : at + SLICE]
-                x = pair.align(some)
+            keys, weights = [], []
+            for some, plain in pair.sorted_out(units):
+                x = pair.align(some, plain)
                 bad.update(u for u, ok in zip(some, x.good.tolist(), strict=True) if not ok)
                 n = np.fromiter(map(units.__getitem__, some), np.int64, len(some))
                 keys.append(x.links)
@@ -340,16 +379,15 @@ class Memory:
         self.index: dict[str, int] = {}
         self.strings: list[str] = []
         self.links: list[np.ndarray] = []
-        self.sums = np.zeros((0, 6), np.int64)  # n_a, n_b, links, best links, counts, not good
+        self.sums = [np.zeros(0, np.int64)] * 6  # n_a, n_b, links, best links, counts, not good
 
     def learn(self, lists: list[list[str]]) -> None:
         if len(self.index) > MOST_UNITS:
             self.clear()
-        new = list({u for u in chain.from_iterable(lists) if u not in self.index})
-        sums = [self.sums]
-        for at in range(0, len(new), SLICE):
-            some = new[at : at + SLICE]
-            x = self.pair.align(some, strings=True)
+        new = set(chain.from_iterable(lists)).difference(self.index)
+        sums = [[x] for x in self.sums]
+        for some, plain in self.pair.sorted_out(new):
+            x = self.pair.align(some, plain, strings=True)
             best = count = np.zeros(len(some), np.int64)
             if self.table is not None:
                 slot = self.table.slots(x.links)
@@ -362,16 +400,20 @@ class Memory:
                 self.links += np.split(x.links, np.cumsum(x.n_links)[:-1])
             self.index.update(zip(some, range(len(self.strings), len(self.strings) + len(some)), strict=True))
             self.strings += x.strings
-            sums.append(np.stack([x.n_a, x.n_b, x.n_links, best, count, ~x.good], 1).astype(np.int64))
-        self.sums = np.concatenate(sums)
-
-    def add_up(self, units: list[str]) -> tuple[np.ndarray, str, list[np.ndarray]]:
-        """(sums, groups, links) of a document; zeros where some unit is not good."""
-        at = list(map(self.index.__getitem__, units))
-        total = self.sums[at].sum(0)
-        if not at or total[5]:
-            return np.zeros(6, np.int64), "", []
-        return total, "".join(map(self.strings.__getitem__, at))[:-1], [self.links[i] for i in at] if self.links else []
+            for held, now in zip(sums, (x.n_a, x.n_b, x.n_links, best, count, (~x.good).astype(np.int64)), strict=True):
+                held.append(now)
+        self.sums = [np.concatenate(x) for x in sums]
+
+    def add_up(self, lists: list[list[str]]) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
+        """(sums by name, groups, links) of documents; zeros where some unit is not good."""
+        at = [list(map(self.index.__getitem__, units)) for units in lists]
+        n = np.array([len(x) for x in at], np.int64)
+        flat = np.append(np.fromiter(chain.from_iterable(at), np.int64, n.sum()), len(self.strings))  # a zero, for documents without units at the end
+        sums = [np.add.reduceat(np.append(x, 0)[flat], np.cumsum(n) - n) * (n > 0) if len(n) else n for x in self.sums]
+        good = (sums[5] == 0).tolist()
+        groups = ["".join(map(self.strings.__getitem__, x))[:-1] if ok else "" for x, ok in zip(at, good, strict=True)]
+        links = [[self.links[i] for i in x] if ok else [] for x, ok in zip(at, good, strict=True)] if self.table is None else []
+        return [x * (sums[5] == 0) for x in sums], groups, links
 
 
 _memory: dict[str, Memory] = {}
@@ -411,12 +453,11 @@ def aligned(docs: DataFrame, a: str = A, b: str = B, text_col: str = "text", mos
         memory = _memory[run]
         lists = [memory.pair.units(t) for t in column.to_pylist()]
         memory.learn(lists)
-        rows = [memory.add_up(u) for u in lists]
-        sums = np.array([r[0] for r in rows], np.int64).reshape(-1, 6)
-        out = [pa.array(sums[:, i]) for i in (0, 1, 2, 2, 3, 4)] + [pa.array([hashlib.sha256(r[1].encode()).hexdigest() if r[1] else "" for r in rows], pa.string())]
-        out += [pa.array([r[1] for r in rows], pa.string())] if groups else []
+        sums, told, own = memory.add_up(lists)
+        out = [pa.array(sums[i]) for i in (0, 1, 2, 2, 3, 4)] + [pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in told], pa.string())]
+        out += [pa.array(told, pa.string())] if groups else []
         if not small:
-            each = [np.unique(np.concatenate(r[2]), return_counts=True) if r[2] else (np.zeros(0, np.int64),) * 2 for r in rows]
+            each = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.int64),) * 2 for x in own]
             out.append(pa.array([[{"key": k, "k": n} for k, n in zip(x.tolist(), y.tolist(), strict=True)] for x, y in each], pa.list_(pa.struct([("key", pa.int64()), ("k", pa.int64())]))))
         return out
 
