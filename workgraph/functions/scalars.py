@@ -12,7 +12,7 @@ from ..operators.binary import DEREF_LOAD, DEREF_STORE, hex_value
 from ..operators.lint import clone_key, code_of, snippet
 from ..operators.registry import json_path
 
-__all__ = ["build_name", "clone_key", "code_of", "deref_offset", "embedded_addresses", "json_or_empty", "json_path", "owner_parts", "snippet", "split_name", "strip_comments"]
+__all__ = ["build_name", "canonical_name", "class_code", "clone_key", "code_of", "deref_offset", "embedded_addresses", "json_or_empty", "json_path", "member_name", "owner_parts", "snippet", "split_name", "strip_comments"]
 
 
 def embedded_addresses(name: Column) -> Column:
@@ -48,49 +48,88 @@ def build_name(path: Column) -> Column:
     return F.when(F.size(path) == 1, each).otherwise(F.concat(F.lit("Q"), F.size(path).cast("string"), each))
 
 
-_HEAD = re.compile(r"(?P<member>.*?)__(?=Q\d|\d)")
+# What tools write around a mangled name, and where its class begins.
+BUCKET, LOCAL, ADDRESS = r"^(?:@[^@]*@)+", r"(?:@instance|@\d+)+$", r"^(?:func|lbl|data)_[0-9A-Fa-f]{8}"
+CLASS_MARK = r"__(?=Q\d|\d+[A-Za-z_@])"
+CONSTRUCTOR, DESTRUCTOR = "__ct__", "__dt__"
+
+_AROUND = re.compile(f"{BUCKET}|{LOCAL}")
+_MARK = re.compile(CLASS_MARK)
 
 
 def _tokens(text: str, count: int) -> tuple[list[str], str] | None:
-    """count length-prefixed names and the rest; a name that would run over the end stops at the F of its parameters."""
+    """count length-prefixed names and the rest. A name that would run over the end stops at the F of its parameters; one of
+    three digits that does is an address, and no name."""
     out = []
     for _ in range(count):
         m = re.match(r"\d+", text)
-        if not m:
+        if not m or not int(m[0]):
             return None
         n, text = int(m[0]), text[m.end() :]
         if n > len(text):
-            if len(m[0]) >= 3:
+            n = text.find("F") if n <= 99 else 0
+            if n <= 0:
                 return None
-            n = text.find("F") if "F" in text else len(text)
         out.append(text[:n])
         text = text[n:]
     return out, text
 
 
 def split_mangled(name: str | None) -> dict | None:
-    """member, class and namespaces, ctor, dtor and parameters of a mangled name; None where it is not one."""
-    m = _HEAD.match(name or "")
-    if not m:
+    """member, class, namespaces, scope, ctor, dtor and parameters of a mangled name; None where it is not one.
+
+    scope holds the names of a Q form, the class among them; params is null where no parameters follow the class. The last
+    class in a name counts; bucket prefixes, local suffixes and placeholder addresses around it do not.
+    """
+    if not name:
+        return None
+    bare = re.sub(ADDRESS, "", _AROUND.sub("", name))
+    ctor, dtor = bare.rfind(CONSTRUCTOR), bare.rfind(DESTRUCTOR)
+    special = max(ctor, dtor)
+    marks = [m.start() for m in _MARK.finditer(bare)]
+    if special < 0 and not marks:
         return None
-    rest = name[m.end() :]
+    rest = bare[special + len(CONSTRUCTOR) :] if special >= 0 else bare[marks[-1] + 2 :]
     count = 1
-    if rest[0] == "Q":
+    if scoped := rest[:1] == "Q":
+        if rest[1:2] not in tuple("123456789"):
+            return None
         count, rest = int(rest[1]), rest[2:]
     got = _tokens(rest, count)
-    if not got or not got[0][-1]:
+    if not got:
         return None
     path, tail = got
-    at = tail.find("F")
-    return {"member": m["member"], "class": path[-1], "namespaces": path[:-1], "ctor": m["member"] == "__ct", "dtor": m["member"] == "__dt", "params": tail[at + 1 :] if at >= 0 else ""}
+    own = [m.start() for m in _MARK.finditer(name)]
+    member = ("__ct" if ctor >= dtor else "__dt") if special >= 0 else name[: own[-1]] if own else name
+    return {"member": member, "class": path[-1], "namespaces": path[:-1], "scope": path if scoped else [], "ctor": special >= 0 and ctor >= dtor, "dtor": special >= 0 and dtor > ctor, "params": tail[1:] if tail[:1] == "F" else None}
 
 
 def split_name(name: Column) -> Column:
     """split_mangled() over a column, a batch at a time; fields are null where the name is not mangled."""
-    blank = {"member": None, "class": None, "namespaces": None, "ctor": None, "dtor": None, "params": None}
+    blank = {"member": None, "class": None, "namespaces": None, "scope": None, "ctor": None, "dtor": None, "params": None}
 
-    @F.pandas_udf("struct<member:string,`class`:string,namespaces:array<string>,ctor:boolean,dtor:boolean,params:string>")
+    @F.pandas_udf("struct<member:string,`class`:string,namespaces:array<string>,scope:array<string>,ctor:boolean,dtor:boolean,params:string>")
     def run(names: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([split_mangled(n) or blank for n in names], columns=list(blank))
 
     return run(name)
+
+
+def class_code(cls: Column, scope: Column) -> Column:
+    """How a mangled name writes its class: length and name, or Q and all names of its scope, the class last."""
+    path = F.when(F.try_element_at(scope, F.lit(-1)) == cls, scope).otherwise(F.concat(scope, F.array(cls)))
+    each = F.array_join(F.transform(path, lambda p: F.concat(F.length(p).cast("string"), p)), "")
+    return F.when(F.size(scope) > 0, F.concat(F.lit("Q"), F.size(path).cast("string"), each)).otherwise(F.concat(F.length(cls).cast("string"), cls))
+
+
+def member_name(member: Column, cls: Column, scope: Column, params: Column | None = None) -> Column:
+    """The mangled name of a class's member: its constructor's and destructor's members are __ct and __dt."""
+    return F.concat(member, F.lit("__"), class_code(cls, scope), F.lit("F"), F.coalesce(params, F.lit("v")) if params is not None else F.lit("v"))
+
+
+def canonical_name(name: Column, parts: Column) -> Column:
+    """The name that a compiler gives the member that name stands for, from the parts of split_name(); null where name is that
+    already, and where nothing is known to be wrong: no class, an @ in it, or a method with other parameters than none."""
+    right = member_name(parts["member"], parts["class"], parts["scope"], parts["params"])
+    known = parts["class"].isNotNull() & ~name.contains("@") & (parts["ctor"] | parts["dtor"] | name.contains("Fv"))
+    return F.when(known & (right != name), right)

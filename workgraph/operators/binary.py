@@ -68,7 +68,7 @@ def callee_params(insns: DataFrame) -> DataFrame:
     said = said.filter(F.regexp_like("operands", word))
     ops = F.transform(F.filter(F.split("operands", r"\s+"), lambda t: t != ""), lambda t: F.regexp_replace(t, ",$", ""))
     said = said.withColumn("_ops", ops)
-    read = F.col("mnemonic").isin(*READ_ONLY) | (F.get("_ops", 0) != F.col("register")) | F.array_contains(F.slice("_ops", 2, 1000), F.col("register"))
+    read = F.col("mnemonic").isin(*READ_ONLY) | (F.get("_ops", 0) != F.col("register")) | F.array_contains(F.slice("_ops", F.lit(2), F.size("_ops")), F.col("register"))
     compare = F.col("mnemonic").startswith("cmp")
     g = said.groupBy("fn", "register").agg(
         F.min_by(read, F.struct("file", "idx")).alias("_read"), F.bool_or(F.col("operands").contains(F.concat(F.lit("("), F.col("register"), F.lit(")")))).alias("_ptr"),
@@ -215,8 +215,13 @@ def prefix_drift(decls: DataFrame, names: DataFrame) -> DataFrame:
     return d.join(longer, "name", "left").join(shorter, "name", "left").select("name", F.coalesce("longer", "shorter").alias("drift")).filter("drift is not null")
 
 
+#: Fixed value: a first parameter that stands for an object.
+SELF_FIRST = r"\(\s*(?:[A-Za-z_:<>]+|void)\s*\*\s*(?:self|_this|p)\b|\(\s*void\s*\*\s*self"
+
+
 def classify_decls(decls: DataFrame, symbols: DataFrame, reloc: DataFrame) -> DataFrame:
-    """(ord, name, class, resolved, hint): unparsed, exact, jp_stale, drift or invented, with the name it resolves to.
+    """(ord, name, class, resolved, hint): unparsed, exact, jp_stale, drift or invented, with the name it resolves to. hint
+    tells of members: a __ in the name, or, where decls has the text (decl), a first parameter that stands for an object.
 
     An embedded address (8 hex digits in the name) resolves to the first occupant of that address: stale where the name is a
     retail name elsewhere, drift where another name lives there. Then prefixes, then equal text after the last __.
@@ -235,7 +240,10 @@ def classify_decls(decls: DataFrame, symbols: DataFrame, reloc: DataFrame) -> Da
     away = F.col("_exact").isNull() & F.col("at_address").isNotNull() & (F.col("at_address") != F.col("name"))
     kind = F.when(F.col("name").isNull(), "unparsed").when(stale, "jp_stale").when(F.col("_exact"), "exact").when(away | F.col("drift").isNotNull() | F.col("by_tail").isNotNull(), "drift").otherwise("invented")
     resolved = F.when(kind == "jp_stale", F.col("at_address")).when(kind == "drift", F.coalesce(F.when(away, F.col("at_address")), "drift", "by_tail")).when(kind == "exact", F.col("name"))
-    return out.select("ord", "name", kind.alias("class"), resolved.alias("resolved"), F.coalesce(F.col("name").contains("__"), F.lit(False)).alias("hint"))
+    hint = F.coalesce(F.col("name").contains("__"), F.lit(False))
+    if "decl" in decls.columns:
+        hint = hint | F.coalesce(F.col("decl").rlike(SELF_FIRST), F.lit(False))
+    return out.select("ord", "name", kind.alias("class"), resolved.alias("resolved"), hint.alias("hint"))
 
 
 def plan_call_sites(lines: DataFrame, definitions: DataFrame) -> DataFrame:

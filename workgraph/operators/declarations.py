@@ -9,68 +9,157 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import split_name, strip_comments
+from ..functions.scalars import canonical_name, member_name, split_name, strip_comments
 from .registry import ACCEPTED, is_placeholder
 
 MOST_LINES = 8  # lines that one declaration may go on for
-_EXTERN = re.compile(r'extern\s+"C"\s*')
-_NAMES = (re.compile(r"\(\s*\*+\s*(\w+)\s*\)\s*\("), re.compile(r"(\w+)\s*\("), re.compile(r"(\w+)\s*(?:\[[^\]]*\]\s*)*(?:=[^;]*)?;?\s*$"))
+
+# The marks of C linkage, what may stand around a declared name, and the names of an object's own parameter.
+EXTERN = r'extern\s+"C"'
+DECLSPEC, GCC_ATTRIBUTE, LAST_MACRO = r"__declspec\s*\([^)]*\)", r"__attribute__\s*\(\([^)]*\)\)", r"\s+[A-Z_][A-Z0-9_]*$"
+NO_DECLARATION = r"(?:typedef|using)\b"
+POINTER_NAME = r"[^(\n]*\(\s*(?:[A-Za-z_]\w*\s*::\s*)?\*\s*(?:[A-Za-z_]\w*\s+)*([A-Za-z_]\w*)\s*\)"
+CALL_NAME, LAST_NAME = r"([A-Za-z_]\w*)\s*\(", r"([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?$"
+SELF = "(?:self|_this)"
+
+_EXTERN = re.compile(EXTERN)
 _HEAD = re.compile(r"^(?P<sig>[A-Za-z_][\w\s*&:<>,~]*?\b(?P<name>~?\w+(?:::~?\w+)*)\s*\([^;{}]*\)\s*(?:const\s*)?(?::[^{;]*)?)\{", re.M)
 _UNIT = re.compile(r"^(?P<head>(?:class|struct)\s+(?P<cls>\w+)[^;{}()]*|[A-Za-z_][\w\s*&:<>,~]*?\b(?P<name>~?\w+(?:::~?\w+)*)\s*\([^;{}]*\)\s*(?:const\s*)?(?::[^{;]*)?)\{", re.M)
 _NOT_NAMES = frozenset("if for while switch return sizeof do else catch".split())
 
 
+#: Comments, and literals, in which nothing else begins.
+_ASIDE = re.compile(r"""/\*.*?(?:\*/|\Z)|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+_INK = re.compile(r"[^\n]")
+
+
+def code_only(text: str, literals: bool = True) -> str:
+    """text of the same length and lines with blanks for comments, whatever lines they cross; without literals, for them too."""
+    return _ASIDE.sub(lambda m: m[0] if literals and m[0][0] in "\"'" else _INK.sub(" ", m[0]), text)
+
+
 def declared_name(text: str) -> str | None:
-    """The name a declaration gives: a function pointer's, else the one before the first bracket, else the last word."""
-    for pattern in _NAMES:
-        m = pattern.search(text)
-        if m and m[1] not in _NOT_NAMES:
-            return m[1]
-    return None
-
-
-def _declarations(text: str) -> Iterator[tuple[int, str, str | None]]:
-    """(line, declaration, name) of extern "C" declarations, alone or in a block."""
-    rows = text.split("\n")
-    i, inside = 0, False
+    """The name a declaration gives: that of a pointer to a function or member, else the one before the first bracket where a
+    bracket ends it, else the last word. Attributes do not count."""
+    text = re.sub(DECLSPEC, "", text, count=1).strip().removesuffix(";").strip()
+    text = re.sub(GCC_ATTRIBUTE, "", re.sub(LAST_MACRO, "", text).strip(), count=1).strip()
+    m = re.match(POINTER_NAME, text) or re.search(CALL_NAME if text.endswith(")") else LAST_NAME, text)
+    return m[1] if m else None
+
+
+class _Statement:
+    """Lines of one statement as they are joined."""
+
+    def __init__(self, line: int) -> None:
+        self.line, self.parts, self.depth, self.end = line, [], 0, line
+
+    def add(self, code: str, at: int) -> None:
+        self.parts.append(code.strip())
+        self.depth += code.count("{") - code.count("}")
+        self.end = at
+
+    @property
+    def text(self) -> str:
+        return " ".join(self.parts)
+
+    def ended(self) -> bool:
+        return self.parts[-1].endswith(";") or self.depth > 0
+
+    def goes_on(self, code: str) -> bool:
+        """Whether a line that is not blank goes on with the statement: one at the margin only after a comma or backslash."""
+        return code[:1] in (" ", "\t") or self.parts[-1][-1:] in (",", "\\")
+
+
+def statements(text: str) -> Iterator[tuple[int, str, str, str | None, str]]:
+    """(line, kind, head, name, body) of what has C linkage, in one pass over text without comments.
+
+    kind decl: a declaration, alone or in a linkage block, joined over its lines; body is empty. A null name is one that
+    could not be read. kind def: a definition whose body opens on the line of its linkage; head is what stands before the
+    body, and body what stands in its braces. Bodies, types, typedefs and initialised variables of a block are left out.
+    """
+    rows, shape = code_only(text).split("\n"), code_only(text, literals=False).split("\n")
+    i = 0
     while i < len(rows):
-        raw = rows[i].split("//", 1)[0]
-        m = _EXTERN.search(raw)
-        rest = raw[m.end() :] if m else raw
-        if m and rest.lstrip().startswith("{"):
-            inside, rest = True, rest.lstrip()[1:]
-        elif inside and rest.strip().startswith("}"):
-            inside = False
+        m = _EXTERN.search(rows[i])
+        if not m:
             i += 1
             continue
-        if not (m or inside) or not rest.strip() or rest.lstrip().startswith("#"):
-            i += 1
-            continue
-        decl, at = rest, i
-        while ";" not in decl and "{" not in decl and i + 1 < len(rows) and i - at < MOST_LINES - 1:
-            following = rows[i + 1].split("//", 1)[0]
-            if following[:1] not in (" ", "\t", ")", ""):  # what starts at the margin is something new
-                break
-            i += 1
-            decl += " " + following.strip()
-        decl = " ".join(decl.split())
-        yield at + 1, decl, declared_name(decl.split("{", 1)[0].rstrip("; "))
-        if "{" in decl:  # a body: on to its end
-            depth = decl.count("{") - decl.count("}")
-            while depth > 0 and i + 1 < len(rows):
-                i += 1
-                depth += rows[i].count("{") - rows[i].count("}")
+        rest = (rows[i][: m.start()] + rows[i][m.end() :]).strip()
+        if rest == "{":
+            i = yield from _block(rows, shape, i + 1)
+        elif "{" in rest:
+            head = rest[: rest.index("{")].strip()
+            body, i_end = _body(rows, shape, i)
+            if "(" in head and (name := declared_name(head)) is not None:
+                yield i + 1, "def", head, name, body
+            i = i_end + 1
+        else:
+            s = _Statement(i)
+            s.add(rest, i)
+            j = i
+            while not s.ended() and j - i < MOST_LINES and j + 1 < len(rows):
+                j += 1
+                code = rows[j]
+                if not code.strip() or code.lstrip().startswith("#"):
+                    continue
+                if not s.goes_on(code):
+                    j -= 1
+                    break
+                s.add(code, j)
+            if "{" not in s.text and s.text.endswith(";"):
+                yield i + 1, "decl", s.text, declared_name(s.text), ""
+            i = max(j, i) + 1
+
+
+def _block(rows: list[str], shape: list[str], i: int) -> Iterator[tuple]:
+    """The declarations of a linkage block whose lines begin at i; returns the line after it."""
+    depth, held = 0, None
+    while i < len(rows):
+        core = _EXTERN.sub("", rows[i], count=1).strip()
+        depth += shape[i].count("{") - shape[i].count("}")
+        if depth < 0:
+            return i + 1
+        if depth == 0 and core and (held or not (core.startswith(("}", "#")) or "{" in core or "=" in core or re.match(NO_DECLARATION, core))):
+            held = held or _Statement(i)
+            held.add(core, i)
+            if held.parts[-1].endswith(";"):
+                yield held.line + 1, "decl", held.text, declared_name(held.text), ""
+                held = None
         i += 1
-
-
-def _balanced(text: str, at: int) -> int:
-    """The place after the brace that closes the one at at; the text's end where none does."""
+    return i
+
+
+def _body(rows: list[str], shape: list[str], i: int) -> tuple[str, int]:
+    """(text in the braces that open first on line i, the line that closes them)."""
+    depth, parts, at = 0, [], i
+    while at < len(rows):
+        first = None if at > i else shape[i].index("{") + 1 if "{" in shape[i] else 0
+        start = first or 0
+        depth += first is not None
+        for m in re.finditer(r"[{}]", shape[at][start:]):
+            depth += 1 if m[0] == "{" else -1
+            if depth == 0:
+                return " ".join([*parts, rows[at][start : start + m.start()]]), at
+        parts.append(rows[at][start:])
+        at += 1
+    return " ".join(parts), len(rows) - 1
+
+
+def _balanced(shape: str, at: int) -> int:
+    """The place after the brace that closes the one at at, in text without comments and literals; its end where none does."""
     depth = 0
-    for m in re.finditer(r"[{}]", text[at:]):
+    for m in re.compile(r"[{}]").finditer(shape, at):
         depth += 1 if m[0] == "{" else -1
         if depth == 0:
-            return at + m.end()
-    return len(text)
+            return m.end()
+    return len(shape)
+
+
+def _definitions(text: str, pattern: re.Pattern) -> Iterator[tuple[re.Match, int]]:
+    """(match, end) of what pattern finds before a body, outside comments."""
+    shape = code_only(text, literals=False)
+    for m in pattern.finditer(shape):
+        yield m, _balanced(shape, m.end() - 1)
 
 
 def _rows(files: DataFrame, schema: str, each) -> DataFrame:
@@ -83,18 +172,23 @@ def _rows(files: DataFrame, schema: str, each) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, schema)
 
 
+def extract_linkage(files: DataFrame) -> DataFrame:
+    """(path, line_no, kind, head, name, body) of declarations and definitions of C linkage, as statements() reads them."""
+    return _rows(files, "path string, line_no int, kind string, head string, name string, body string", statements)
+
+
 def extract_decls(files: DataFrame) -> DataFrame:
     """(path, line_no, decl, name) of extern "C" declarations; a null name is one that could not be read."""
-    return _rows(files, "path string, line_no int, decl string, name string", _declarations)
+    return extract_linkage(files).filter("kind = 'decl'").select("path", "line_no", F.col("head").alias("decl"), "name")
 
 
 def extract_defs(files: DataFrame) -> DataFrame:
     """(path, line_no, name, body) of function definitions, with balanced bodies."""
 
     def each(text: str):
-        for m in _HEAD.finditer(text):
+        for m, end in _definitions(text, _HEAD):
             if m["name"] not in _NOT_NAMES:
-                yield text.count("\n", 0, m.start()) + 1, m["name"], text[m.end() - 1 : _balanced(text, m.end() - 1)]
+                yield text.count("\n", 0, m.start()) + 1, m["name"], text[m.end() - 1 : end]
 
     return _rows(files, "path string, line_no int, name string, body string", each)
 
@@ -103,7 +197,7 @@ def extract_heads(files: DataFrame) -> DataFrame:
     """(path, line_no, name, sig) of function definitions: what stands before the body."""
 
     def each(text: str):
-        for m in _HEAD.finditer(text):
+        for m in _HEAD.finditer(code_only(text, literals=False)):
             if m["name"] not in _NOT_NAMES:
                 yield text.count("\n", 0, m.start()) + 1, m["name"], " ".join(m["sig"].split())
 
@@ -113,8 +207,8 @@ def extract_heads(files: DataFrame) -> DataFrame:
 def extern_c_findings(files: DataFrame) -> DataFrame:
     """(path, line_no, rule, kind, message) of declarations of C linkage: a label's, a definition, a function's declaration, or
     something else. file_metrics() reads the kind in the message."""
-    d = extract_decls(files)
-    kind = F.when(F.col("decl").rlike(r"\blbl_\w+"), "lbl").when(F.col("decl").contains("{"), "nonlbl-def").when(F.col("decl").contains("("), "nonlbl-decl").otherwise("other")
+    d = extract_linkage(files).select("path", "line_no", F.col("kind").alias("is"), F.col("head").alias("decl"))
+    kind = F.when(F.col("decl").rlike(r"\blbl_\w+"), "lbl").when(F.col("is") == "def", "nonlbl-def").when(F.col("decl").contains("("), "nonlbl-decl").otherwise("other")
     d = d.withColumn("rule", F.lit("smell.extern_c")).withColumn("kind", kind)
     return d.select("path", "line_no", "rule", "kind", F.concat(F.lit('extern "C" '), "kind", F.lit(" '"), F.substring("decl", 1, 80), F.lit("' (kind="), "kind", F.lit(")")).alias("message"))
 
@@ -127,7 +221,7 @@ def void_ptr_params(files: DataFrame, items: DataFrame) -> DataFrame:
     function; the later item (by ord) has a name. Names count with and without their class."""
 
     def each(text: str):
-        for m in _HEAD.finditer(text):
+        for m in _HEAD.finditer(code_only(text, literals=False)):
             if m["name"] not in _NOT_NAMES:
                 inside = m["sig"][m["sig"].index("(") + 1 : m["sig"].rindex(")")]
                 for param in inside.split(","):
@@ -144,10 +238,9 @@ def extract_units(files: DataFrame) -> DataFrame:
     """(path, line_no, kind, name, text) of functions and classes, the units that clones are looked for among."""
 
     def each(text: str):
-        for m in _UNIT.finditer(text):
+        for m, end in _definitions(text, _UNIT):
             name = m["cls"] or m["name"]
             if name not in _NOT_NAMES:
-                end = _balanced(text, m.end() - 1)
                 yield text.count("\n", 0, m.start()) + 1, "class" if m["cls"] else "function", name, text[m.start() : end] if m["cls"] else text[m.end() - 1 : end]
 
     return _rows(files, "path string, line_no int, kind string, name string, text string", each)
@@ -180,12 +273,24 @@ def drop_asm_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def class_members(symbols: DataFrame) -> DataFrame:
-    """(class, namespaces, members): the retail names of each class in file order with constructor and destructor flags; the
-    namespace path is that of its first scoped member."""
-    s = symbols.withColumn("m", split_name(F.col("name"))).filter("m.class is not null")
-    scoped = F.when(F.size("m.namespaces") > 0, F.struct("ordinal", F.col("m.namespaces").alias("ns")))
-    g = s.groupBy(F.col("m.class").alias("class")).agg(F.min(scoped).alias("first"), F.array_sort(F.collect_list(F.struct("ordinal", "name", F.col("m.ctor").alias("ctor"), F.col("m.dtor").alias("dtor")))).alias("members"))
-    return g.select("class", F.coalesce("first.ns", F.array().cast("array<string>")).alias("namespaces"), "members")
+    """(class, namespaces, scope, members): the retail names of each class in file order with constructor and destructor flags
+    and target, the canonical name of one that deviates (else null). The namespace path, and the scope that holds the class
+    too, are those of its first scoped member."""
+    s = symbols.withColumn("m", split_name(F.col("name"))).filter("m.class is not null").withColumn("target", canonical_name(F.col("name"), F.col("m")))
+    scoped = F.when(F.size("m.scope") > 0, F.struct("ordinal", F.col("m.namespaces").alias("ns"), F.col("m.scope").alias("scope")))
+    g = s.groupBy(F.col("m.class").alias("class")).agg(F.min(scoped).alias("first"), F.array_sort(F.collect_list(F.struct("ordinal", "name", F.col("m.ctor").alias("ctor"), F.col("m.dtor").alias("dtor"), "target"))).alias("members"))
+    none = F.array().cast("array<string>")
+    return g.select("class", F.coalesce("first.ns", none).alias("namespaces"), F.coalesce("first.scope", none).alias("scope"), "members")
+
+
+def rename_targets(defs: DataFrame, members: DataFrame) -> DataFrame:
+    """defs (class, name, ...) with naive_target, the name as a method without parameters or scope, and target, the canonical
+    name in the scope of class_members(): a constructor's or destructor's where the name says so, else a method's."""
+    of = members.select(F.col("class").alias("_class"), F.col("scope").alias("_scope"))
+    d = defs.join(of, defs["class"] == F.col("_class"), "left").withColumn("_scope", F.coalesce("_scope", F.array().cast("array<string>")))
+    member = F.when(F.col("name").startswith("__ct__"), "__ct").when(F.col("name").startswith("__dt__"), "__dt").otherwise(F.col("name"))
+    naive = member_name(F.col("name"), F.col("class"), F.array().cast("array<string>"))
+    return d.withColumn("naive_target", naive).withColumn("target", member_name(member, F.col("class"), F.col("_scope"))).drop("_class", "_scope")
 
 
 def fake_members(lines: DataFrame, name: str) -> DataFrame:
@@ -195,25 +300,29 @@ def fake_members(lines: DataFrame, name: str) -> DataFrame:
 
 
 def conversion_plan(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(class, hits, members, call_sites) for all classes at once: where a definition casts or takes self of the class, or a
-    declaration names it; the class's retail names; and the lines that call those definitions."""
+    """(class, hits, members, renames, targets, call_sites) for all classes at once: where a definition casts or takes self of
+    the class, or a declaration names it; the class's retail names, and those to rename with their canonical names; the
+    mangled names of its definitions; and the lines that call them."""
     from .binary import plan_call_sites
     from .lint import lines
 
     defs = extract_defs(files).withColumn("body", strip_comments(F.col("body")))
-    cast = F.regexp_extract("body", r"\(\s*(\w+)\s*\*\s*\)\s*self\b", 1)
+    cast = F.regexp_extract("body", rf"\(\s*(\w+)\s*\*+\s*\)\s*{SELF}\b", 1)
     own = defs.select("path", "line_no", "name", cast.alias("class")).filter("`class` <> ''").withColumn("kind", F.lit("def-selfcast"))
     # a definition that takes self of the class, without a cast in its body
-    takes = extract_heads(files).select("path", "line_no", "name", F.regexp_extract("sig", r"\b(\w+)\s*\*\s*self\b", 1).alias("class")).filter("`class` <> ''").withColumn("kind", F.lit("def-param"))
+    takes = extract_heads(files).select("path", "line_no", "name", F.regexp_extract("sig", rf"\b(\w+)\s*\*\s*{SELF}\b", 1).alias("class")).filter("`class` <> ''").withColumn("kind", F.lit("def-param"))
     takes = takes.join(own.select("path", "line_no", "name", "class"), ["path", "line_no", "name", "class"], "left_anti")
-    decl = extract_decls(files).select("path", "line_no", "name", F.regexp_extract("decl", r"\b(\w+)\s*\*\s*self\b", 1).alias("class")).filter("`class` <> '' and name is not null").withColumn("kind", F.lit("decl"))
+    decl = extract_decls(files).select("path", "line_no", "name", F.regexp_extract("decl", rf"\b(\w+)\s*\*\s*{SELF}\b", 1).alias("class")).filter("`class` <> '' and name is not null").withColumn("kind", F.lit("decl"))
     own = own.unionByName(takes)
     hits = own.unionByName(decl)
     named = own.select("name", "path", "line_no", F.col("class").alias("of")).withColumn("ord", F.xxhash64("path", "line_no", "name"))
     sites = plan_call_sites(lines(files), named.drop("of")).withColumnRenamed("line_no", "at").join(named.select("name", "of").distinct(), "name").groupBy(F.col("of").alias("class")).agg(F.array_sort(F.collect_list(F.struct("path", "at", "name"))).alias("call_sites"))
     per = hits.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("path", "line_no", "kind", "name"))).alias("hits"))
-    members = class_members(symbols).select("class", F.transform("members", lambda m: m["name"]).alias("members"))
-    return per.join(members, "class", "left").join(sites, "class", "left")
+    members = class_members(symbols)
+    free = rename_targets(own.filter("not name like '%::%'"), members).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("path", "line_no", "name", "naive_target", "target"))).alias("targets"))
+    renames = F.transform(F.filter("members", lambda m: m["target"].isNotNull()), lambda m: F.struct(m["name"].alias("name"), m["target"].alias("target")))
+    members = members.select("class", F.transform("members", lambda m: m["name"]).alias("members"), renames.alias("renames"))
+    return per.join(members, "class", "left").join(free, "class", "left").join(sites, "class", "left")
 
 
 def all_findings(files: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .registry import ACCEPTED
@@ -48,6 +48,33 @@ POINTER_RULES = {
 }
 
 
+# What a finding of each check of the gate says, in the order of the checks.
+GATE_MESSAGES = (
+    "character(s) with no Shift-JIS encoding (will fail the build): {characters} — replace with ASCII or valid SJIS",
+    '`extern "C"` is C++-only syntax and does not compile in C files — remove it',
+    "new preprocessor pragmas are forbidden (codegen steering)",
+    "#if 0 wrapping is forbidden (can hide symbols from diffs)",
+    "section attributes are forbidden",
+    "DECOMP_* codegen-steering macros are forbidden",
+    "binary-patching escapes (insn_patches / insert_insns / reloc_offset_moves / postprocess_reloc_names) are forbidden — chase EQUIVALENT_MATCH, not byte-identity patches",
+    'extern "C" is only allowed for lbl_* reloc names',
+    "constructor/destructor written as a C-style free function taking `* self` — use a member constructor/destructor (Class::Class / Class::~Class) instead",
+    "angle include <{included}> is not whitelisted",
+    ".s includes are forbidden",
+    "volatile/fake stack buffers are forbidden",
+    "assembly is forbidden, including single-instruction asm",
+    "DECOMP_ASM_INSN single-instruction asm shims are forbidden in new code — write high-level C++ and chase a natural match",
+    "assignment inside a cast (init-list store-ordering trick) is forbidden — write the plain value",
+    "assignment inside a multi-line cast / member-initializer is forbidden — write the plain value",
+    "register keyword / register bindings are forbidden",
+    "identifiers named after GPRs (r0-r31) are forbidden",
+    "void* is forbidden; use a proper struct/class type",
+    "unknown-name placeholder `unkN` is forbidden in new code; name the variable/field from the retail symbol or struct layout",
+    "generated unknown type/member (`UnkClass_*`, `UnkVirtualFunc*`, `UnkStruct*`) is forbidden in new code; use a real struct/class name from the headers or declare it properly",
+    "raw pointer offset arithmetic is forbidden; use struct fields",
+)
+
+
 def code_of(raw: Column) -> Column:
     """A line before its first //."""
     return F.substring_index(raw, "//", 1)
@@ -91,6 +118,64 @@ def lint(source: DataFrame, rules: list[tuple[str, str, str]], path_filter: dict
     return found.withColumn("message", F.concat_ws(": ", "rule", "snippet"))
 
 
+# --- rules as data -----------------------------------------------------------------------------------------------------
+
+
+def bad_patterns(spark: SparkSession, patterns: list[str]) -> set[str]:
+    """Those of the patterns that Spark cannot compile. All are tried at once; a half that fails is halved again."""
+    distinct = sorted(set(patterns))
+    if not distinct:
+        return set()
+    try:
+        spark.sql("select " + ", ".join(f"'' rlike :p{i}" for i in range(len(distinct))), args={f"p{i}": p for i, p in enumerate(distinct)}).collect()
+        return set()
+    except Exception as e:
+        if "REGEX" not in str(e).upper() and "PATTERN" not in str(e).upper():
+            raise
+    if len(distinct) == 1:
+        return set(distinct)
+    half = len(distinct) // 2
+    return bad_patterns(spark, distinct[:half]) | bad_patterns(spark, distinct[half:])
+
+
+def rule_problems(rules: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(id, problem) of a rule table: unknown-rule for ids of only that it has not, bad-pattern and bad-path-filter for
+    patterns that do not compile. Such a rule has no findings."""
+    spark = rules.sparkSession
+    told = [(r.id, kind, p) for r in rules.select("id", "pattern", "path_filter").toLocalIterator() for kind, p in (("bad-pattern", r.pattern), ("bad-path-filter", r.path_filter)) if p is not None]
+    bad = bad_patterns(spark, [p for *_, p in told])
+    known = {r.id for r in rules.select("id").toLocalIterator()}
+    rows = [(i, kind) for i, kind, p in told if p in bad and (not only or i in only)] + [(i, "unknown-rule") for i in only or [] if i not in known]
+    return spark.createDataFrame(rows, "id string, problem string")
+
+
+def rule_findings(source: DataFrame, rules: DataFrame, only: list[str] | None = None, at_once: int = 200) -> DataFrame:
+    """lint() with rules from a table (ord, id, pattern, on, path_filter, message): what on names ('raw' or 'code') must match
+    pattern, on paths that match path_filter (null: all). {rule}, {path}, {line}, {column} and {snippet} of a message are
+    filled in; a null message is '{rule}: {snippet}'. only keeps some ids. A pattern that does not compile matches nothing.
+
+    Patterns must be constants to be compiled once a task, so the rules come to the driver, one at a time, and become columns
+    of one projection, at_once of them in each: however many there are, no rule is joined to a line.
+    """
+    if only is not None:
+        rules = rules.filter(F.col("id").isin(only))
+    rows = list(rules.select("ord", "id", "pattern", "on", "path_filter", "message").orderBy("ord", "id").toLocalIterator())
+    bad = bad_patterns(source.sparkSession, [p for r in rows for p in (r.pattern, r.path_filter) if p is not None])
+    good = [r for r in rows if r.pattern is not None and r.pattern not in bad and r.path_filter not in bad]
+    out = None
+    for k in range(0, max(1, len(good)), at_once):
+        part = good[k : k + at_once]
+        hit = lambda r: F.struct(F.lit(r.ord).cast("long").alias("rule_ord"), F.lit(r.id).alias("rule"), F.regexp_instr(r.on, F.lit(r.pattern)).alias("column_no"), (F.col("path").rlike(r.path_filter) if r.path_filter is not None else F.lit(True)).alias("in_path"), F.col(r.on).alias("text"), F.lit(r.message or "{rule}: {snippet}").alias("told"))
+        none = F.array().cast("array<struct<rule_ord:bigint,rule:string,column_no:int,in_path:boolean,text:string,told:string>>")
+        found = F.filter(F.array(*map(hit, part)), lambda h: (h["column_no"] > 0) & h["in_path"]) if part else none
+        some = source.select("path", "line_no", F.explode(found).alias("h")).select("path", "line_no", "h.rule_ord", "h.rule", "h.column_no", snippet(F.col("h.text")).alias("snippet"), "h.told")
+        out = some if out is None else out.unionByName(some)
+    message = F.col("told")
+    for name, value in (("rule", F.col("rule")), ("path", F.col("path")), ("line", F.col("line_no").cast("string")), ("column", F.col("column_no").cast("string")), ("snippet", F.col("snippet"))):
+        message = F.replace(message, F.lit(f"{{{name}}}"), value)
+    return out.withColumn("message", message).drop("told")
+
+
 def built_in_rules() -> tuple[list[tuple[str, str, str]], dict[str, str]]:
     pack = [(r, p, "code") for d in (TEXT_RULES, LINE_RULES) for r, p in d.items()]
     return pack, dict.fromkeys(CPP_ONLY, r"\.(?:cpp|cc|cxx)$")
@@ -107,7 +192,8 @@ def init_side_effects(files: DataFrame) -> DataFrame:
 
 
 def lint_delta(added: DataFrame, angle: tuple[str, ...] = ANGLE_INCLUDES, unk_name: str = UNK_NAME, unk_generated: str = UNK_GENERATED) -> DataFrame:
-    """(path, line_no, rule_ord, rule, snippet) over added lines (path, line_no, raw): the gate's checks, in its order.
+    """(path, line_no, rule_ord, rule, snippet, message) over added lines (path, line_no, raw): the gate's checks, in its order.
+    A message about characters without an encoding names each once, in the order they appear.
 
     A cast that stays open over added lines is followed by a window: a line with ) closes it, one that ends in a cast opens it.
     """
@@ -143,7 +229,11 @@ def lint_delta(added: DataFrame, angle: tuple[str, ...] = ANGLE_INCLUDES, unk_na
         ("no_offset_arithmetic", code.rlike(r"\(\s*\w+\s*\*\s*\)") & code.rlike(r"\+\s*0x[0-9A-Fa-f]+")),
     ]
     hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i + 1).alias("rule_ord"), F.lit(r).alias("rule"))) for i, (r, c) in enumerate(checks)]))
-    return a.select("path", "line_no", snippet(raw, False).alias("snippet"), F.explode(hits).alias("h")).select("path", "line_no", "h.rule_ord", "h.rule", "snippet")
+    found = a.select("path", "line_no", "raw", snippet(raw, False).alias("snippet"), F.explode(hits).alias("h")).select("path", "line_no", "raw", "h.rule_ord", "h.rule", "snippet")
+    message = F.get(F.array(*map(F.lit, GATE_MESSAGES)), F.col("rule_ord") - 1)
+    characters = F.array_join(F.array_distinct(F.regexp_extract_all(raw, F.lit(sjis_unsafe()), F.lit(0))), "")
+    message = F.when(F.col("rule_ord") == 1, F.replace(message, F.lit("{characters}"), characters)).otherwise(F.replace(message, F.lit("{included}"), included))
+    return found.select("path", "line_no", "rule_ord", "rule", "snippet", message.alias("message"))
 
 
 def sjis_unsafe() -> str:

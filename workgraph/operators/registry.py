@@ -112,13 +112,15 @@ def select_items(df: DataFrame, selector: dict) -> DataFrame:
 
 
 def apply_scope(df: DataFrame, scope: dict) -> DataFrame:
-    """Items inside a scope of targets and units; a scope that meets nothing gives no rows."""
-    keep = F.lit(True)
-    if "targets" in scope:
-        keep = keep & F.col("id").isin(scope["targets"])
-    if "units" in scope:
-        keep = keep & F.col("unit_id").isin(scope["units"])
-    return df.filter(keep)
+    """Items inside a scope of targets and units, lists or tables of one column; a scope that meets nothing gives no rows.
+    Tables are semi-joined, so a scope may be as large as the registry."""
+    for name, column in (("targets", "id"), ("units", "unit_id")):
+        held = scope.get(name)
+        if isinstance(held, DataFrame):
+            df = df.join(held.toDF(column), column, "left_semi").select(*df.columns)
+        elif held is not None:
+            df = df.filter(F.col(column).isin(held))
+    return df
 
 
 def patch_items(df: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
@@ -185,9 +187,28 @@ def dependents_of(df: DataFrame, item: str) -> DataFrame:
     return df.filter(F.col("to_id") == item).orderBy("from_id", "kind")
 
 
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    """Rows that are equal in every column of left, nulls too."""
+    same = F.lit(True)
+    for c in left.columns:
+        same = same & left[c].eqNullSafe(right[c])
+    return same
+
+
 def merge_edges(current: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
-    """The edges after add and remove; doing it twice changes nothing."""
-    return current.unionByName(add).dropDuplicates().join(remove, current.columns, "left_anti")
+    """The edges after add and remove; doing it twice changes nothing. Nulls are equal."""
+    every = current.unionByName(add).dropDuplicates()
+    gone = remove.select(*[F.col(c).alias(c) for c in current.columns])
+    return every.join(gone, _same(every, gone), "left_anti")
+
+
+def edge_changes(current: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
+    """(added, removed): how many edges merge_edges() adds to current and takes from it, each edge once."""
+    was, now = current.dropDuplicates().withColumn("_was", F.lit(1)), merge_edges(current, add, remove).withColumn("_now", F.lit(1))
+    both = was.select(*current.columns, "_was", F.lit(0).alias("_now")).unionByName(now.select(*current.columns, F.lit(0).alias("_was"), "_now"))
+    each = both.groupBy(*current.columns).agg(F.max("_was").alias("was"), F.max("_now").alias("now"))
+    n = lambda c: F.coalesce(F.sum(F.expr(c).cast("long")), F.lit(0))
+    return each.agg(n("now > was").alias("added"), n("was > now").alias("removed"))
 
 
 def unit_status(df: DataFrame) -> DataFrame:
@@ -205,6 +226,11 @@ def completeness(df: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("unit", "total", "accepted", label.alias("completeness"))
 
 
+def complete_count(df: DataFrame, files: DataFrame) -> DataFrame:
+    """(units, complete): how many units there are, and how many of them are COMPLETE."""
+    return completeness(df, files).agg(F.count("*").alias("units"), F.coalesce(F.sum((F.col("completeness") == "COMPLETE").cast("long")), F.lit(0)).alias("complete"))
+
+
 def complete_units(outcomes: DataFrame) -> DataFrame:
     """Units all of whose seen items (unit_id, accepted) were accepted."""
     return outcomes.filter("unit_id is not null").groupBy("unit_id").agg(F.bool_and("accepted").alias("complete")).filter("complete").select("unit_id")
@@ -242,10 +268,39 @@ def route(rejects: DataFrame, routes: list[dict], attempts: DataFrame) -> DataFr
 SCOPE = ("workflow_id", "unit_id", "target_id")
 
 
-def status_changes(log: DataFrame) -> DataFrame:
-    """(scope, seq, from_status, to_status) of the rows of a status log whose status differs from the one before in its scope."""
+def status_changes(log: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(scope, seq, from_status, to_status and the other columns of log) of every change of an item's resolved status, where
+    log has rows of three scopes: a unit's target, a target of any unit (unit_id '') and a unit (target_id '').
+
+    An item resolves to its most specific row, so a row speaks for an item unless a more specific one has spoken before.
+    Items are the log's own and those of items (id, unit_id); a row of a unit may change many. Rows of a target or unit
+    meet their items in equi-joins, after those that repeat a status are dropped, and only up to the item's first row
+    of its own; then each item's rows are compared with the one before. A seq is one row's; a null unit is ''.
+    """
+    rest = [c for c in log.columns if c not in (*SCOPE, "seq", "status")]
+    rows = log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("unit_id", "target_id")})
+    precise = rows.filter("unit_id <> '' and target_id <> ''")
+    firsts = precise.groupBy(*SCOPE).agg(F.min("seq").alias("_own"))
+
+    def changed(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.withColumn("_was", F.lag("status").over(Window.partitionBy(*by).orderBy("seq"))).filter(~F.col("status").eqNullSafe(F.col("_was"))).drop("_was")
+
+    def met(df: DataFrame, by: str, other: str) -> DataFrame:
+        """The rows of a wider scope, once for each item they name by one column; the other column comes from the item."""
+        own = df.drop(other).join(firsts.select(*SCOPE), ["workflow_id", by])
+        if items is not None:
+            given = items.select(F.coalesce("unit_id", F.lit("")).alias("unit_id"), F.col("id").alias("target_id")).distinct()
+            own = own.unionByName(df.drop(other).join(given, by)).dropDuplicates([*SCOPE, "seq"])
+        return own.join(firsts, list(SCOPE), "left").filter(F.col("_own").isNull() | (F.col("seq") < F.col("_own"))).drop("_own")
+
+    targets = changed(rows.filter("unit_id = '' and target_id <> ''"), ["workflow_id", "target_id"])
+    units = met(changed(rows.filter("unit_id <> '' and target_id = ''"), ["workflow_id", "unit_id"]), "unit_id", "target_id")
+    since = targets.groupBy("workflow_id", "target_id").agg(F.min("seq").alias("_since"))
+    units = units.join(since, ["workflow_id", "target_id"], "left").filter(F.col("_since").isNull() | (F.col("seq") < F.col("_since"))).drop("_since")
+    spoken = precise.unionByName(met(targets, "target_id", "unit_id")).unionByName(units)
     before = F.lag("status").over(Window.partitionBy(*SCOPE).orderBy("seq"))
-    return log.withColumn("from_status", before).filter(~F.col("status").eqNullSafe(F.col("from_status"))).withColumnRenamed("status", "to_status")
+    out = spoken.withColumn("from_status", before).filter(~F.col("status").eqNullSafe(F.col("from_status")))
+    return out.select(*SCOPE, "seq", "from_status", F.col("status").alias("to_status"), *rest)
 
 
 def latest_status(log: DataFrame) -> DataFrame:

@@ -154,6 +154,14 @@ def _(t):
     return registry.merge_edges(d, add, d.filter("kind = 'depends_on'"))
 
 
+@_q("r20_edge_changes", "v_deps", """with a as (select from_id, to_id, kind from v_deps), n as ((select * from a union select to_id, from_id, 'calls' from a where kind = 'calls') except select * from a where kind = 'depends_on')
+ select (select count(*) from (select * from n except select * from a)) added, (select count(*) from (select * from a except select * from n)) removed""")
+def _(t):
+    d = t("v_deps")
+    add = d.filter("kind = 'calls'").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "kind")
+    return registry.edge_changes(d, add, d.filter("kind = 'depends_on'"))
+
+
 @_q("r21_unit_status", "v_items", """select coalesce(unit_id,'(none)') unit, count(*) total, cast(sum(case when coalesce(status,'(unknown)') in ('FULL_MATCH','EQUIVALENT_MATCH','NOT_BUILDABLE','NOT_FOUND') then 0 else 1 end) as bigint) remaining,
  cast(sum(case when status = 'FULL_MATCH' then 1 else 0 end) as bigint) full_match, cast(sum(case when status = 'CODE_MATCH' then 1 else 0 end) as bigint) code_match from v_items group by 1""")
 def _(t):
@@ -169,6 +177,18 @@ def _(t):
     return registry.completeness(t("v_items"), files)
 
 
+@_q("r22_complete_count", "v_items", """select count(*) units, cast(sum(case when accepted = total then 1 else 0 end) as bigint) complete from (select coalesce(unit_id,'(none)') unit, count(*) total, sum(case when status in ('FULL_MATCH','EQUIVALENT_MATCH') then 1 else 0 end) accepted from v_items where size < 20000 group by 1) x""")
+def _(t):
+    return registry.complete_count(t("v_items").filter("size < 20000"), t("v_sources").select("path"))
+
+
+@_q("r09_scope_table", "v_items", "select id, unit_id from v_items where id in (select concat('o', l_orderkey) from lineitem where l_quantity > 45) and unit_id in (select concat('u', s_suppkey%97) from supplier where s_suppkey%97 < 40)")
+def _(t):
+    targets = t("lineitem").filter("l_quantity > 45").select(F.expr("concat('o', l_orderkey)").alias("id"))
+    units = t("supplier").filter("s_suppkey%97 < 40").select(F.expr("concat('u', s_suppkey%97)").alias("u"))
+    return registry.apply_scope(t("v_items"), {"targets": targets, "units": units}).select("id", "unit_id")
+
+
 @_q("r23_complete_units", "v_items", "select unit_id from v_items where unit_id is not null and size is not null group by unit_id having min(case when attempts < 5 then 1 else 0 end) = 1")
 def _(t):
     return registry.complete_units(t("v_items").filter("size is not null").select("unit_id", (F.col("attempts") < 5).alias("accepted")))
@@ -200,6 +220,20 @@ def _(t):
     return registry.status_changes(_status_log(t)).select("unit_id", "target_id", "seq", "from_status", "to_status")
 
 
+@_q("r28_resolved_changes", "v_log", """with recs as materialized (select *, case when unit_id <> '' and target_id <> '' then 'p' when unit_id = '' then 't' else 'u' end k from v_log),
+ i as materialized (select distinct unit_id, target_id from recs where k = 'p' union select distinct concat('u', c_custkey%40), concat('o', c_custkey) from customer),
+ g as materialized (select i.unit_id, i.target_id, r.seq, r.actor from i join recs r on k = 'p' and r.unit_id = i.unit_id and r.target_id = i.target_id union all select i.unit_id, i.target_id, r.seq, r.actor from i join recs r on k = 't' and r.target_id = i.target_id
+  union all select i.unit_id, i.target_id, r.seq, r.actor from i join recs r on k = 'u' and r.unit_id = i.unit_id),
+ p as (select * from recs where k = 'p'), t as (select * from recs where k = 't'), u as (select * from recs where k = 'u'),
+ a as (select g.*, p.status ps from g asof left join p on g.unit_id = p.unit_id and g.target_id = p.target_id and g.seq >= p.seq), b as (select a.*, t.status ts from a asof left join t on a.target_id = t.target_id and a.seq >= t.seq),
+ c as (select b.*, u.status us from b asof left join u on b.unit_id = u.unit_id and b.seq >= u.seq), d as (select c.*, p.status pb from c asof left join p on c.unit_id = p.unit_id and c.target_id = p.target_id and c.seq > p.seq),
+ e as (select d.*, t.status tb from d asof left join t on d.target_id = t.target_id and d.seq > t.seq), f as (select e.*, u.status ub from e asof left join u on e.unit_id = u.unit_id and e.seq > u.seq)
+select unit_id, target_id, seq, coalesce(pb, tb, ub) from_status, coalesce(ps, ts, us) to_status, actor from f where coalesce(ps, ts, us) is distinct from coalesce(pb, tb, ub)""")
+def _(t):
+    items = t("customer").select(F.expr("concat('o', c_custkey)").alias("id"), F.expr("concat('u', c_custkey%40)").alias("unit_id"))
+    return registry.status_changes(t("v_log"), items).drop("workflow_id")
+
+
 @_q("r29_latest_status", "v_events", f"with {_LOG} select unit_id, target_id, status from (select *, row_number() over (partition by workflow_id, unit_id, target_id order by seq desc) r from l) x where r = 1")
 def _(t):
     return registry.latest_status(_status_log(t)).select("unit_id", "target_id", "status")
@@ -314,8 +348,8 @@ def _(t):
 
 #: User rules with hits in prose.
 PROSE_RULES = [("non_ascii", r"[^\x00-\x7F]", "code"), ("digit", "[0-9]", "code"), ("pipe", r"\|", "code"), ("capitals", "[A-Z]{2,}", "code")]
-_LINES = """l as (select path, unit, generate_subscripts(s, 1) line_no, unnest(s) raw from (select path, unit, string_split(text, chr(10)) s from v_sources) x)"""
-_HITS = f"""{_LINES}, h as (select path, unit, line_no, 'non_ascii' "rule" from l where regexp_matches(raw, '[^\\x00-\\x7F]') union all select path, unit, line_no, 'digit' from l where regexp_matches(raw, '[0-9]')
+_LINES = """l as materialized (select path, unit, generate_subscripts(s, 1) line_no, unnest(s) raw from (select path, unit, string_split(text, chr(10)) s from v_sources) x)"""
+_HITS = f"""{_LINES}, h as materialized (select path, unit, line_no, 'non_ascii' "rule" from l where regexp_matches(raw, '[^\\x00-\\x7F]') union all select path, unit, line_no, 'digit' from l where regexp_matches(raw, '[0-9]')
  union all select path, unit, line_no, 'pipe' from l where regexp_matches(raw, '\\|') union all select path, unit, line_no, 'capitals' from l where regexp_matches(raw, '[A-Z]{{2,}}'))"""
 
 
@@ -328,12 +362,49 @@ def _(t):
     return _hits(t).select("path", "line_no", "rule")
 
 
+#: Rules as a table, a nation each; some patterns do not compile.
+_RULES = r"""ru as (select n_nationkey ord, concat('has_', lower(n_name)) id, case when n_nationkey%5=0 then concat('(', n_name) else concat(' ', substring('abcdefghijklmnopqrstuvwxyz', n_nationkey + 1, 1), '[a-z]{5,}') end pattern,
+ case when n_nationkey%3=0 then '\.c$' end path_filter, case when n_nationkey%2=0 then '{path}:{line}:{column}: {rule}' end message from nation)"""
+_CODE_OF = r"split_part(raw, '//', 1)"
+_SNIPPET = rf"substring(regexp_replace(regexp_replace({_CODE_OF}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 1, 100)"
+
+
+def _rule_table(t):
+    letter = F.expr("substring('abcdefghijklmnopqrstuvwxyz', n_nationkey + 1, 1)")
+    pattern = F.when(F.expr("n_nationkey%5=0"), F.expr("concat('(', n_name)")).otherwise(F.concat(F.lit(" "), letter, F.lit("[a-z]{5,}")))
+    gate, message = F.when(F.expr("n_nationkey%3=0"), F.lit(r"\.c$")), F.when(F.expr("n_nationkey%2=0"), F.lit("{path}:{line}:{column}: {rule}"))
+    return t("nation").select(F.col("n_nationkey").alias("ord"), F.expr("concat('has_', lower(n_name))").alias("id"), pattern.alias("pattern"), F.lit("code").alias("on"), gate.alias("path_filter"), message.alias("message"))
+
+
+def _rule_sql(key: int) -> str:
+    """What the rule of a nation finds, with its pattern as a constant."""
+    pattern, name = f" {chr(97 + key)}[a-z]{{5,}}", f"has_nation_{key}"
+    column = f"cast(length(regexp_extract({_CODE_OF}, '^(.*?){pattern}', 1)) + 1 as integer)"
+    told = f"concat(path, ':', line_no, ':', {column}, ': {name}')" if key % 2 == 0 else f"concat('{name}: ', {_SNIPPET})"
+    return f"""select path, line_no, cast({key} as bigint) rule_ord, '{name}' "rule", {column} column_no, {_SNIPPET} snippet, {told} message from l where regexp_matches({_CODE_OF}, '{pattern}')""" + (r" and regexp_matches(path, '\.c$')" if key % 3 == 0 else "")
+
+
+@_q("l16_rule_table", "v_sources", f"with {_LINES} " + " union all ".join(_rule_sql(k) for k in range(25) if k % 5))
+def _(t):
+    return lint.rule_findings(lint.lines(t("v_sources")), _rule_table(t))
+
+
+@_q("l16_rule_problems", "", f"with {_RULES} select id, 'bad-pattern' problem from ru where ord%5=0 union all select 'has_nothing', 'unknown-rule'")
+def _(t):
+    return lint.rule_problems(_rule_table(t), [f"has_{r.n_name.lower()}" for r in t("nation").select("n_name").collect()] + ["has_nothing"])
+
+
+@_q("l16_one_rule", "v_sources", rf"""with {_LINES} select path, line_no, 'has_nation_19' "rule", concat('has_nation_19: ', {_SNIPPET}) message from l where regexp_matches({_CODE_OF}, ' t[a-z]{{5,}}')""")
+def _(t):
+    return lint.rule_findings(lint.lines(t("v_sources")), _rule_table(t), ["has_nation_19"]).select("path", "line_no", "rule", "message")
+
+
 @_q("l03_finding_report", "v_sources", f"""with {_HITS} select "rule", cast(null as varchar) path, count(*) n from h group by "rule" union all select null, v.path, count(h."rule") from v_sources v left join h on h.path = v.path group by v.path union all select null, null, count(*) from h""")
 def _(t):
     return lint.finding_report(_hits(t), t("v_sources"))
 
 
-_METRIC = f"""{_HITS}, m as (select v.path, cast(sum(case when "rule" = 'non_ascii' then 1 else 0 end) as bigint) void_ptr, cast(sum(case when "rule" = 'digit' then 1 else 0 end) as bigint) asm_code, cast(sum(case when "rule" = 'pipe' then 1 else 0 end) as bigint) goto_count,
+_METRIC = f"""{_HITS}, m as materialized (select v.path, cast(sum(case when "rule" = 'non_ascii' then 1 else 0 end) as bigint) void_ptr, cast(sum(case when "rule" = 'digit' then 1 else 0 end) as bigint) asm_code, cast(sum(case when "rule" = 'pipe' then 1 else 0 end) as bigint) goto_count,
  cast(sum(case when "rule" = 'capitals' then 1 else 0 end) as bigint) init_side_effect from v_sources v left join h on h.path = v.path group by v.path)"""
 _AS = {"non_ascii": "smell.void_ptr", "digit": "smell.asm_code", "pipe": "smell.goto_count", "capitals": "smell.init_side_effect"}
 
@@ -411,7 +482,7 @@ def _added_sql(new: str, old: str) -> str:
     return f"""{_split_sql('ln', new)}, {_split_sql('lo', old)}, added as (select ln.path, ln.line_no, ln.raw from ln left join lo on lo.path = ln.path and lo.line_no = ln.line_no where lo.path is null or lo.raw <> ln.raw)"""
 
 
-def _gate_sql(new: str, old: str) -> str:
+def _gate_sql(new: str, old: str, messages: bool = False) -> str:
     code, raw = "split_part(raw, '//', 1)", "raw"
     m = lambda on, p: f"regexp_matches({on}, {_text(p)})"
     cpp, c = m("path", r"\.(?:cpp|cc|cxx|hpp|hh)$"), m("path", r"\.(?:c|h)$")
@@ -431,7 +502,10 @@ def _gate_sql(new: str, old: str) -> str:
     ]
     opens = m(code, lint.CAST_OPEN)
     state = f"""w as (select *, {opens} or coalesce(last_value(mark ignore nulls) over (partition by path order by line_no rows between unbounded preceding and 1 preceding), 0) = 1 open from (select *, case when contains({code}, ')') then 0 when {opens} then 1 end mark from added) z)"""
-    each = " union all ".join(f"""select path, line_no, {i} rule_ord, '{r}' "rule", substring(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 100) snippet from w where {test}""" for i, (r, test) in enumerate(checks, 1))
+    chars = f"regexp_extract_all(raw, {_text(lint.sjis_unsafe())})"
+    first = f"array_to_string(list_filter({chars}, lambda c, i: list_position({chars}, c) = i), '')"
+    told = [(", " + f"replace(replace('{x.replace(chr(39), chr(39) * 2)}', '{{characters}}', {first if k == 0 else chr(39) * 2}), '{{included}}', {included}) message") if messages else "" for k, x in enumerate(lint.GATE_MESSAGES)]
+    each = " union all ".join(f"""select path, line_no, {i} rule_ord, '{r}' "rule", substring(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 100) snippet{told[i - 1]} from w where {test}""" for i, (r, test) in enumerate(checks, 1))
     return f"with {_added_sql(new, old)}, {state} {each}"
 
 
@@ -449,6 +523,13 @@ def _(t):
     return _gate(t, "v_code", "v_code_old")
 
 
+for _name, _new, _old in (("l11_delta_messages", "v_sources", "v_sources_old"), ("l11_code_messages", "v_code", "v_code_old")):
+
+    @_q(_name, f"{_new} {_old}", _gate_sql(_new, _old, True))
+    def _(t, new=_new, old=_old):
+        return lint.lint_delta(lint.added_lines(t(old), t(new)))
+
+
 @_q("l13_added_lines", "v_sources v_sources_old", f"with {_added_sql('v_sources', 'v_sources_old')} select path, line_no, raw from added")
 def _(t):
     return lint.added_lines(t("v_sources_old"), t("v_sources"))
@@ -572,7 +653,7 @@ def _(t):
 _USE = """use_ as (select fn, bool_or(d) deref, coalesce(max(o), 0) max_offset, bool_or(mnemonic = 'stw') stores, false vtable_dispatch, sum(case when d then 1 else 0 end) = 0 and sum(r) > 0 and (bool_or(mnemonic = 'add') or not bool_or(mnemonic = 'mr')) integer_only, cast(sum(r) as bigint) r3_ops, cast(sum(case when d then 1 else 0 end) as bigint) derefs
  from (select *, mnemonic in ('lwz','stw') d, case when contains(operands, 'r3') then 1 else 0 end r, case when mnemonic in ('lwz','stw') then (case when length(h) = 1 then cast(h as bigint) else 16 * cast(substring(h, 1, 1) as bigint) + cast(substring(h, 2, 1) as bigint) end) end o
  from (select *, case when mnemonic in ('lwz','stw') then regexp_extract(operands, '0x([0-9]+)', 1) end h from v_insns) x) y group by fn)"""
-_PROV = """hit as (select file, idx, mnemonic, operands, max(case when mnemonic = 'bl' or (mnemonic <> 'stw' and regexp_matches(operands, '\\br3\\b')) then idx end) over (partition by file order by idx rows between 8 preceding and 1 preceding) near from v_insns),
+_PROV = """hit as materialized (select file, idx, mnemonic, operands, max(case when mnemonic = 'bl' or (mnemonic <> 'stw' and regexp_matches(operands, '\\br3\\b')) then idx end) over (partition by file order by idx rows between 8 preceding and 1 preceding) near from v_insns),
  prov as (select h.file, h.idx, h.operands callee, case when s.idx is null then 'UNKNOWN' when s.mnemonic = 'bl' then 'CALL_RESULT' when s.mnemonic = 'mr' then 'COPY' when s.mnemonic = 'li' then 'CONSTANT' when s.mnemonic = 'addi' then 'ADDR_STACK' else upper(s.mnemonic) end kind,
  case when s.idx is null then '' when s.mnemonic = 'li' then concat('li ', s.operands) else s.operands end detail from hit h left join v_insns s on s.file = h.file and s.idx = h.near where h.mnemonic = 'bl')"""
 
@@ -660,6 +741,59 @@ def _(t):
     return p.select("class", n("def-selfcast").alias("n_casts"), n("def-param").alias("n_params"), n("decl").alias("n_decls"), F.size("members").cast("long").alias("n_members"), F.size("call_sites").cast("long").alias("n_sites"))
 
 
+_MANGLED = r"""k as (select ordinal, name, regexp_matches(name, '^__ct__') ct, regexp_matches(name, '^__dt__') dt, contains(name, 'Q24game') sc, regexp_extract(name, '(CGame|CPlayer)F', 1) cls, regexp_extract(name, 'F([^F]*)$', 1) params, regexp_extract(name, '^(.*)__(?:Q24game)?[0-9]+(?:CGame|CPlayer)F', 1) member from v_members),
+ c as (select *, concat(case when ct then '__ct' when dt then '__dt' else member end, '__', case when sc then 'Q24game' else '' end, length(cls), cls, 'F', params) canonical from k where cls <> ''),
+ r as (select *, case when contains(name, '@') or not (ct or dt or contains(name, 'Fv')) or canonical = name then null else canonical end target from c)"""
+
+
+@_q("b14_canonical_names", "v_members", f'with {_MANGLED} select cls "class", ordinal, name, ct ctor, dt dtor, target from r')
+def _(t):
+    m = declarations.class_members(t("v_members")).select("class", F.explode("members").alias("m"))
+    return m.select("class", "m.ordinal", "m.name", "m.ctor", "m.dtor", "m.target")
+
+
+@_q("b14_scopes", "v_members", """select 'CGame' "class", 'game::CGame' scope, 'game' namespaces union all select 'CPlayer', '', ''""")
+def _(t):
+    return declarations.class_members(t("v_members")).select("class", F.array_join("scope", "::").alias("scope"), F.array_join("namespaces", "::").alias("namespaces"))
+
+
+@_q("b19_linkage", "v_headers", """select path, 1 line_no, 'decl' kind, concat('__declspec(section ".init") void f1_', doc_id, '(int a);') head, concat('f1_', doc_id) name, '' body from v_headers
+ union all select path, 2, 'decl', concat('void f2_', doc_id, '(int a, int b);'), concat('f2_', doc_id), '' from v_headers
+ union all select path, 6, 'def', concat('int f3_', doc_id, '(CGame* _this)'), concat('f3_', doc_id), 'return ((CGame*)_this)->x;' from v_headers
+ union all select path, 10, 'decl', concat('int lbl_80', lpad(cast(doc_id as varchar), 6, '0'), ';'), concat('lbl_80', lpad(cast(doc_id as varchar), 6, '0')), '' from v_headers
+ union all select path, 11, 'decl', concat('void f4_', doc_id, '(int a, int b);'), concat('f4_', doc_id), '' from v_headers
+ union all select path, 17, 'decl', concat('void (*cb_', doc_id, ')(int);'), concat('cb_', doc_id), '' from v_headers
+ union all select path, 18, 'def', concat('void* __ct__', doc_id, '(CGame* self)'), concat('__ct__', doc_id), '((CGame*)self)->x = 1;' from v_headers""")
+def _(t):
+    return declarations.extract_linkage(t("v_headers")).withColumn("body", F.trim(F.regexp_replace("body", r"\s+", " ")))
+
+
+@_q("b20_headers", "v_headers", """select path, line_no, name, n_chars from (select path, 6 line_no, concat('f3_', doc_id) name, instr(text, concat(chr(10), '}', chr(10), 'extern "C" {')) + 2 - instr(text, '{ // }') n_chars from v_headers
+ union all select path, 18, concat('__ct__', doc_id), length('{ ((CGame*)self)->x = 1; }') from v_headers) x""")
+def _(t):
+    return declarations.extract_defs(t("v_headers")).select("path", "line_no", "name", F.length("body").cast("long").alias("n_chars"))
+
+
+@_q("b21_member_hints", "v_headers v_symbols", """select path, line_no, hint from (select path, unnest([1, 2, 6, 10, 11, 17, 18]) line_no, unnest([false, false, true, false, false, false, true]) hint from v_headers) x""")
+def _(t):
+    d = declarations.extract_linkage(t("v_headers")).withColumn("ord", F.concat_ws(":", "path", "line_no"))
+    found = binary.classify_decls(d.select("ord", "name", F.col("head").alias("decl")), t("v_symbols"), t("nation").select(F.col("n_name").alias("name")))
+    return d.select("ord", "path", "line_no").join(found, "ord").select("path", "line_no", "hint")
+
+
+@_q("b22_rename_targets", "v_headers v_members", """select path, line_no, name, naive_target, target from (select path, 6 line_no, concat('f3_', doc_id) name, concat('f3_', doc_id, '__5CGameFv') naive_target, concat('f3_', doc_id, '__Q24game5CGameFv') target from v_headers
+ union all select path, 18, concat('__ct__', doc_id), concat('__ct__', doc_id, '__5CGameFv'), '__ct__Q24game5CGameFv' from v_headers) x""")
+def _(t):
+    p = declarations.conversion_plan(t("v_headers"), t("v_members"))
+    return p.select(F.explode("targets").alias("x")).select("x.*")
+
+
+@_q("b22_renames", "v_headers v_members", f"""with {_MANGLED} select 'CGame' "class", name, target, (select count(*) from v_headers) n_sites from r where cls = 'CGame' and target is not null""")
+def _(t):
+    p = declarations.conversion_plan(t("v_headers"), t("v_members"))
+    return p.select("class", F.explode("renames").alias("x"), F.size("call_sites").cast("long").alias("n_sites")).select("class", "x.name", "x.target", "n_sites")
+
+
 @_q("b23_fake_members", "v_code", "select path, unnest([2, 15, 16]) line_no from v_code")
 def _(t):
     return declarations.fake_members(lint.lines(t("v_code")), "CGame").select("path", "line_no")

@@ -56,6 +56,34 @@ VIEWS: dict[str, str] = {
  case when doc_id%5=0 then concat('asm void raw',doc_id,'(int r3) {') else concat('int tail',doc_id,';') end,
  case when doc_id%5=0 then '  li r3, 7' else ' ' end,
  case when doc_id%5=0 then '}' else ' ' end) text from documents""",
+    # C++ files of declarations and definitions of C linkage, with comments across lines, joined lines and a linkage block
+    "v_headers": """select concat('src/h',doc_id%97,'/',doc_id,'.cpp') path, doc_id, concat_ws(chr(10),
+ concat('extern "C" __declspec(section ".init") void f1_',doc_id,'(int a);'),
+ concat('extern "C" void f2_',doc_id,'(int a,'),
+ 'int b); /* tail',
+ 'extern "C" int hidden; */ int open;',
+ 'extern "C" struct T { int x; };',
+ concat('extern "C" int f3_',doc_id,'(CGame* _this) { // }'),
+ '  return ((CGame*)_this)->x; /* } */',
+ '}',
+ 'extern "C" {',
+ concat('  int lbl_80',lpad(cast(doc_id as varchar(20)),6,'0'),';'),
+ concat('  void f4_',doc_id,'(int a,'),
+ '    int b);',
+ '  int f5(void) { return 1; }',
+ '  typedef int U;',
+ '  int e = 3;',
+ '}',
+ concat('extern "C" void (*cb_',doc_id,')(int);'),
+ concat('extern "C" void* __ct__',doc_id,'(CGame* self) { ((CGame*)self)->x = 1; }'),
+ concat('int use',doc_id,' = f3_',doc_id,'(0);')) text from documents""",
+    # symbols of two classes, some with names that no compiler would give
+    "v_members": """select p_partkey ordinal, case p_partkey%12 when 0 then concat('m',p_partkey%300,'__5CGameFv') when 1 then concat('m',p_partkey%300,'__11CGameFv') when 2 then '__ct__5CGameFv' when 3 then concat('__ct__11CGameFP',p_partkey%9,'A')
+ when 4 then '__dt__Q24game5CGameFv' when 5 then concat('m',p_partkey%300,'__Q24game9CGameFv') when 6 then concat('m',p_partkey%300,'__11CGameFi') when 7 then concat('m',p_partkey%300,'__11CGameFv@',p_partkey) when 8 then concat('__800B',lpad(cast(p_partkey%10000 as varchar(20)),4,'0'))
+ when 9 then concat('func_80',lpad(cast(p_partkey as varchar(20)),6,'0')) when 10 then concat('m',p_partkey%300,'__7CPlayerFv') else concat('a__1b',p_partkey%300,'__44CPlayerFv') end name, p_partkey address_key from part""",
+    # a status log of three scopes: a unit's target, a target of any unit, a unit
+    "v_log": """select 'wf' workflow_id, case when event_id%5=0 then '' else concat('u',user_id%40) end unit_id, case when event_id%7=0 and event_id%5<>0 then '' else concat('o',user_id) end target_id,
+ event_id+1 seq, event_type as status, concat('a',event_id%3) actor from events where event_id%5=0 or event_id%7=0 or event_id%3=0""",
     "v_code_old": """select path, unit, doc_id, case when doc_id%3=0 then replace(text,'  return self_','  return other_') when doc_id%3=1 then replace(text,' q = (u8*)',' r = (u8*)') else text end text from v_code where doc_id%10<>9""",
     "v_symbols": """select p_partkey ordinal, case when p_partkey%4=0 then concat('func_80',lpad(cast(p_partkey as varchar(20)),6,'0')) when p_partkey%4=1 then concat('lbl_80',lpad(cast(p_partkey-1 as varchar(20)),6,'0'))
  when p_partkey%4=2 then concat('m',p_partkey%300,'__5CGameFv') else replace(p_name,' ','_') end name,
