@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import scan, spread
 from .telemetry import assign_seq
 
 #: Statuses after which an item counts as done, lifecycles, edge kinds.
@@ -236,14 +237,15 @@ def complete_units(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter("unit_id is not null").groupBy("unit_id").agg(F.bool_and("accepted").alias("complete")).filter("complete").select("unit_id")
 
 
-def batches(df: DataFrame, n: int, key: str | None = "unit_id", order: str = "pos") -> DataFrame:
-    """df with grp and batch: rows of one key in order, keys by first sight, chunks of n. Null key is ''."""
+def batches(df: DataFrame, n: int, key: str | None = "unit_id", order: str = "pos", parts: int | None = None) -> DataFrame:
+    """df with grp and batch: rows of one key in order, keys by first sight, chunks of n. Null key is ''. Rows are counted in
+    parts of a key, and keys are numbered in ranges: no task meets all rows of a key, or all keys."""
     if key is None:
         return assign_seq(df, -1, [order]).withColumn("grp", F.lit(1)).withColumn("batch", F.floor(F.col("seq") / n)).drop("seq")
-    k = F.coalesce(F.col(key), F.lit(""))
-    first = df.groupBy(k.alias("_k")).agg(F.min(order).alias("_first")).withColumn("grp", F.row_number().over(Window.orderBy("_first")))
-    out = df.join(first.drop("_first"), k == F.col("_k")).drop("_k")
-    return out.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("grp").orderBy(order)) - 1) / n))
+    rows = spread(df.withColumn("_k", F.coalesce(F.col(key), F.lit(""))), ["_k"], [order], parts)
+    counted = scan(rows, ["_k"], {"_n": ("sum", F.lit(1))})
+    first = assign_seq(rows.groupBy("_k").agg(F.min(order).alias("_first")), 0, ["_first"]).select("_k", F.col("seq").alias("grp"))
+    return counted.join(first, "_k").select(*df.columns, "grp", F.floor((F.col("_n") - 1) / n).alias("batch"))
 
 
 def route(rejects: DataFrame, routes: list[dict], attempts: DataFrame) -> DataFrame:

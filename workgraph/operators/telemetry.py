@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import written
+from .scans import scan, spread
 
 
 def list_runs(runs: DataFrame, status: list[str] | None = None, pipeline: str | None = None, model: str | None = None) -> DataFrame:
@@ -96,22 +97,25 @@ def event_head(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("events"), F.coalesce(F.max("seq"), F.lit(0)).alias("head"))
 
 
-def budget_crossing(costs: DataFrame, caps: DataFrame) -> DataFrame:
-    """The first turn of each run whose running spend is strictly over the run's cap, with that spend."""
-    running = F.sum("cost_micro_usd").over(Window.partitionBy("run_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    over = costs.withColumn("spent", running).join(caps.select("run_id", "cap"), "run_id").filter(F.col("spent") > F.col("cap"))
-    return over.withColumn("_r", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "id"))).filter("_r = 1").select("run_id", "id", "spent", "cap")
+def budget_crossing(costs: DataFrame, caps: DataFrame, parts: int | None = None) -> DataFrame:
+    """The first turn of each run whose running spend is strictly over the run's cap, with that spend. A run's turns may fill
+    many tasks: spends are scanned in parts, and the first turn is a partial minimum."""
+    spent = scan(spread(costs, ["run_id"], ["ts", "id"], parts), ["run_id"], {"spent": ("sum", F.col("cost_micro_usd"))})
+    over = spent.join(caps.select("run_id", "cap"), "run_id").filter(F.col("spent") > F.col("cap"))
+    first = over.groupBy("run_id").agg(F.min_by(F.struct("id", "spent", "cap"), F.struct("ts", "id")).alias("x"))
+    return first.select("run_id", "x.id", "x.spent", "x.cap")
 
 
-def pacing(log: DataFrame, models: DataFrame) -> DataFrame:
+def pacing(log: DataFrame, models: DataFrame, parts: int | None = None) -> DataFrame:
     """log (id, model, t in ms) with release_ms, the earliest time at one request per 60000 / rpm ms and model, and
     too_soon: closer to the one before than that. rpm of 0 or less is unlimited. With rows counted from 0,
-    release(i) = max over j <= i of (t(j) - j * gap) + i * gap: a running maximum."""
+    release(i) = max over j <= i of (t(j) - j * gap) + i * gap: a running count, and then a running maximum, each scanned
+    in parts of a model's log."""
     m = models.select(F.col("name").alias("_name"), F.when(F.col("rpm") > 0, 60000.0 / F.col("rpm")).otherwise(0.0).alias("gap"))
-    w = Window.partitionBy("model").orderBy("t", "id")
-    out = log.join(m, log["model"] == F.col("_name")).drop("_name").withColumn("_i", F.row_number().over(w) - 1)
-    out = out.withColumn("release_ms", F.max(F.col("t") - F.col("_i") * F.col("gap")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_i") * F.col("gap"))
-    return out.withColumn("too_soon", F.coalesce(F.col("t") - F.lag("t").over(w) < F.col("gap"), F.lit(False))).drop("_i")
+    rows = spread(log.join(m, log["model"] == F.col("_name")).drop("_name"), ["model"], ["t", "id"], parts)
+    out = scan(rows, ["model"], {"_n": ("sum", F.lit(1)), "_was": ("before", F.col("t"))}).withColumn("_i", F.col("_n") - 1)
+    out = scan(out, ["model"], {"_most": ("max", F.col("t") - F.col("_i") * F.col("gap"))})
+    return out.select(*log.columns, "gap", (F.col("_most") + F.col("_i") * F.col("gap")).alias("release_ms"), F.coalesce(F.col("t") - F.col("_was") < F.col("gap"), F.lit(False)).alias("too_soon"))
 
 
 def assign_seq(df: DataFrame, base: int, order: list[str]) -> DataFrame:
