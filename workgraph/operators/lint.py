@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -420,20 +421,36 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("path", "line_no", "rule_ord")
 
 
+class Spans:
+    """Spans that do not meet, in order: a new one is held against its two neighbours."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Keeps a span that meets no kept one; whether it did."""
+        i = bisect_right(self.starts, start)
+        while i < len(self.starts) and self.ends[i] <= start:  # empty spans at one place
+            i += 1
+        if (i and self.ends[i - 1] > start) or (i < len(self.starts) and self.starts[i] < end):
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
 def pointer_findings(files: DataFrame) -> DataFrame:
-    """(path, rule, start, end) of pointer patterns, greedily in the order of the rules: a match is kept if it meets no kept one."""
+    """(path, rule, start, end) of pointer patterns, greedily in the order of the rules: a match is kept if it meets no kept
+    one. A match costs the logarithm of how many are kept in its file."""
     rules = [(r, re.compile(p)) for r, p in POINTER_RULES.items()]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for path, text in zip(f["path"], f["text"], strict=True):
-                kept: list[tuple[int, int]] = []
-                for rule, pattern in rules:
-                    for m in pattern.finditer(text or ""):
-                        if all(m.end() <= a or b <= m.start() for a, b in kept):
-                            kept.append(m.span())
-                            out.append((path, rule, *m.span()))
+                kept = Spans()
+                out += [(path, rule, *m.span()) for rule, pattern in rules for m in pattern.finditer(text or "") if kept.add(*m.span())]
             yield pd.DataFrame(out, columns=["path", "rule", "start", "end"])
 
     return files.select("path", "text").mapInPandas(run, "path string, rule string, start int, end int")

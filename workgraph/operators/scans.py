@@ -25,7 +25,8 @@ def spread(df: DataFrame, keys: list[str], order: list[str], parts: int | None =
 
 def scan(rows: DataFrame, keys: list[str], new: dict[str, tuple[str, Column]]) -> DataFrame:
     """Spread rows with new columns, each a running sum or max ('sum', 'max') of a column up to and with its row, or the value
-    of the row before ('before'), in order within its keys; null keys are a key. Sums of no number are null.
+    of the row before ('before'), or the last value so far that is not null ('last'), in order within its keys; null keys are a
+    key. Sums of no number are null.
 
     The window and the join stand on (part, keys), so a key has as many tasks as parts. A summary row stands for all rows
     of a key in a part; only the summaries of one key meet in a task.
@@ -33,12 +34,12 @@ def scan(rows: DataFrame, keys: list[str], new: dict[str, tuple[str, Column]]) -
     place = Window.partitionBy(PART, *keys).orderBy(AT)
     upto = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    local = {"sum": lambda c: F.sum(c).over(upto), "max": lambda c: F.max(c).over(upto), "before": lambda c: F.lag(c).over(place)}
-    total = {"sum": F.sum, "max": F.max, "before": lambda c: F.max_by(c, AT)}
-    prior = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "before": lambda c: F.lag(c).over(Window.partitionBy(*keys).orderBy(PART))}
+    local = {"sum": lambda c: F.sum(c).over(upto), "max": lambda c: F.max(c).over(upto), "before": lambda c: F.lag(c).over(place), "last": lambda c: F.last(c, True).over(upto)}
+    total = {"sum": F.sum, "max": F.max, "before": lambda c: F.max_by(c, AT), "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.col(AT)))}
+    prior = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "before": lambda c: F.lag(c).over(Window.partitionBy(*keys).orderBy(PART)), "last": lambda c: F.last(c, True).over(before)}
     joined = {
         "sum": lambda a, b: F.coalesce(a + F.coalesce(b, F.lit(0)), a, b), "max": lambda a, b: F.greatest(a, b),
-        "before": lambda a, b: F.when(F.col("_first"), b).otherwise(a),
+        "before": lambda a, b: F.when(F.col("_first"), b).otherwise(a), "last": lambda a, b: F.coalesce(a, b),
     }
     own = {f"_l{i}": local[how](c) for i, (how, c) in enumerate(new.values())}
     scanned = rows.withColumns(own | {"_first": F.row_number().over(place) == 1})

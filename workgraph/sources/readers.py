@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scans import scan, spread
+from ..tables import written
+
 REGISTRY = "id string, kind string, status string, unit string, lifecycle string, region string, symbol string, address string, size long, attempts long, exhausted boolean, ready boolean, meta string"
 #: What a foreign workflow status means as a lifecycle; all else is pending.
 LIFECYCLE_OF = {"DISCOVERY": "pending", "QUEUED": "pending", "CLAIMED": "pending", "ACTIVE": "pending", "BACKLOG": "blocked", "BLOCKED": "blocked", "ACCEPTED": "accepted", "REVALIDATION_REQUIRED": "revalidation_required", "NOT_REQUIRED": "not_required"}
@@ -55,31 +58,47 @@ def source_files(files: DataFrame, mode: str = "lint") -> DataFrame:
     return files.filter(F.col("path").rlike(LINT_FILES if mode == "lint" else REPORT_FILES) & ~F.col("path").rlike(r"/\.[^/]")).dropDuplicates(["path"])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, ordinal, line) of text files, however long: pos counts a file's lines from 0, ordinal those of all files, in
+    the order of their paths. Files are read in splits: a first pass counts each split's lines, sums over the splits (a row
+    each) are the numbers at which they start, and a second pass numbers lines in their splits."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line")).withColumn("_at", F.monotonically_increasing_id())
+    splits = raw.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(splits.select("file", "_block", "_first", upto(Window.partitionBy("file").orderBy("_block")).alias("_pos"), upto(Window.orderBy("file", "_block")).alias("_ordinal")))
+    at = F.col("_at") - F.col("_first")
+    return raw.join(starts, ["file", "_block"]).select("file", (F.col("_pos") + at).alias("pos"), (F.col("_ordinal") + at).alias("ordinal"), "line")
+
+
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, name, address_key) of lines `name = [section:]0xADDR; ...`; other lines are left out."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("ordinal", "line"))
-    name = F.regexp_extract("line", r"^\s*([^\s=#/][^\s=]*)\s*=\s*(?:[\w.]+:)?0[xX]([0-9A-Fa-f]+)\s*;", 1)
-    addr = F.regexp_extract("line", r"^\s*([^\s=#/][^\s=]*)\s*=\s*(?:[\w.]+:)?0[xX]([0-9A-Fa-f]+)\s*;", 2)
-    return text.select("ordinal", name.alias("name"), F.conv(addr, 16, 10).cast("long").alias("address_key")).filter("name <> ''")
+    """(ordinal, name, address_key) of lines `name = [section:]0xADDR; ...`; other lines are left out. ordinal goes on from file
+    to file; a file of any size is read in splits."""
+    form = r"^\s*([^\s=#/][^\s=]*)\s*=\s*(?:[\w.]+:)?0[xX]([0-9A-Fa-f]+)\s*;"
+    name, addr = F.regexp_extract("line", form, 1), F.regexp_extract("line", form, 2)
+    return numbered_lines(spark, path).select("ordinal", name.alias("name"), F.conv(addr, 16, 10).cast("long").alias("address_key")).filter("name <> ''")
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(file, fn, idx, address, bytes, mnemonic, operands) of instructions inside functions; idx counts through the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "line"))
-    return parse_listing(lines)
+    """(file, fn, idx, address, bytes, mnemonic, operands) of instructions inside functions; idx counts through the file, which
+    may be of any size: it is read in splits."""
+    return parse_listing(numbered_lines(spark, path).select("file", "pos", "line"))
 
 
-def parse_listing(lines: DataFrame) -> DataFrame:
-    """read_listing() for lines (file, pos, line): the open function is the last mark before a line; an end mark closes it."""
+def parse_listing(lines: DataFrame, parts: int | None = None) -> DataFrame:
+    """read_listing() for lines (file, pos, line): the open function is the last mark before a line; an end mark closes it. Both
+    the mark and the count are scanned in parts of a file."""
     ins = r"^/\* ([0-9A-F]+) ([0-9A-F]+)  ([0-9A-F]{2}(?: [0-9A-F]{2}){3}) \*/\s*(.+)"
-    w = Window.partitionBy("file").orderBy("pos")
     line = F.trim("line")
     mark = F.when(line.startswith(".fn "), F.trim(F.regexp_extract(line, r"^\.fn\s+([^,]+)", 1))).when(line.startswith(".endfn"), "")
     body = F.trim(F.regexp_replace(F.regexp_extract("line", ins, 4), r"\s*//.*$|  .*$", ""))
-    out = lines.withColumn("fn", F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = out.withColumn("address", F.regexp_extract("line", ins, 1)).filter("address <> '' and fn <> ''").withColumn("body", body)
-    out = out.withColumn("idx", F.row_number().over(w) - 1)
-    return out.select("file", "fn", "idx", F.conv("address", 16, 10).cast("long").alias("address"), F.regexp_extract("line", ins, 3).alias("bytes"), F.regexp_extract("body", r"^([a-z0-9_.]+)", 1).alias("mnemonic"), F.trim(F.regexp_replace("body", r"^[a-z0-9_.]+", "")).alias("operands"))
+    rows = spread(lines.withColumn("_mark", mark), ["file"], ["pos"], parts)
+    out = scan(rows, ["file"], {"fn": ("last", F.col("_mark"))})
+    inside = (F.regexp_extract("line", ins, 1) != "") & (F.coalesce("fn", F.lit("")) != "")
+    out = scan(out.withColumn("_in", inside), ["file"], {"_n": ("sum", F.col("_in").cast("long"))}).filter("_in").withColumn("body", body)
+    return out.select(
+        "file", "fn", (F.col("_n") - 1).cast("int").alias("idx"), F.conv(F.regexp_extract("line", ins, 1), 16, 10).cast("long").alias("address"), F.regexp_extract("line", ins, 3).alias("bytes"),
+        F.regexp_extract("body", r"^([a-z0-9_.]+)", 1).alias("mnemonic"), F.trim(F.regexp_replace("body", r"^[a-z0-9_.]+", "")).alias("operands"),
+    )
 
 
 def read_reloc_names(spark: SparkSession, path: str) -> DataFrame:
