@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
+from ._words import mix
 
 SCALES = (1.0, 0.75, 0.5)
 BITS, POINTS, RADIUS, TURNS = 128, 16, 12, 32
 #: Side of the cells whose own strongest corners are kept besides the POINTS strongest of the image, and how many a cell.
 CELL, CELL_POINTS = 32, 4
-TABLES, TABLE_BITS = 4, 40
+TABLES, TABLE_BITS = 24, 30
+#: Bits of the filter of query keys that all other corners' keys are held against before they are shuffled (32 MB).
+FILTER_BITS = 1 << 28
 #: Pixels of a bin of shifts.
 SHIFT = 16
 #: A described corner: descriptor bits, place in pixels of its scale, step of SCALES and orientation.
@@ -111,21 +114,79 @@ def places(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (c["x"] + 0.5) / scale, (c["y"] + 0.5) / scale, scale
 
 
+_UPPER = TABLE_BITS // 2
+_WEIGHTS = np.zeros((2, BITS, TABLES), np.float32)  # of the lower and upper half of each table's bits: sums stay exact
+for _t, _k in enumerate(_KEYS):
+    _WEIGHTS[0, _k[:_UPPER], _t], _WEIGHTS[1, _k[_UPPER:], _t] = 2.0 ** np.arange(_UPPER), 2.0 ** np.arange(TABLE_BITS - _UPPER)
+
+
 def table_keys(c: np.ndarray) -> np.ndarray:
     """Each corner's key [corner, table]: the table's number above the bits it looks at."""
     words = np.stack([c["hi"], c["lo"]], 1).astype(">i8")
-    bits = np.unpackbits(words.view(np.uint8).reshape(len(c), BITS // 8), axis=1).astype(np.int64)
-    return np.stack([bits[:, k] @ (1 << np.arange(TABLE_BITS)) + (t << TABLE_BITS) for t, k in enumerate(_KEYS)], 1)
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(c), BITS // 8), axis=1).astype(np.float32)
+    low, high = ((bits @ w).astype(np.int64) for w in _WEIGHTS)
+    return low + (high << _UPPER) + (np.arange(TABLES) << TABLE_BITS)
 
 
-def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class_id, corners) -> a row for each corner and table."""
-    for batch in batches:
-        for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(blob or b"", CORNER)
-            if len(c):
-                keys = table_keys(c)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.full(keys.size, i, np.int64)), pa.array(np.repeat(np.arange(len(c), dtype=np.int32), TABLES))], ["key", "class_id", "k"])
+def _spots(c: np.ndarray) -> np.ndarray:
+    """Where each corner stands, as one number: place, scale step and turn."""
+    return (c["x"].astype(np.int64) << 32) | (c["y"].astype(np.int64) << 16) | (c["level"].astype(np.int64) << 8) | c["turn"]
+
+
+def _standing(spots: np.ndarray) -> np.ndarray:
+    """Corners of spots, without descriptors."""
+    out = np.zeros(len(spots), CORNER)
+    for name, shift, mask in (("x", 32, 0xFFFF), ("y", 16, 0xFFFF), ("level", 8, 0xFF), ("turn", 0, 0xFF)):
+        out[name] = (spots >> shift) & mask
+    return out
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _index(wanted=None):
+    """(class_id, corners) -> (key, class_id, spot): a row for each corner and table; where wanted, a broadcast filter, is
+    given, only for keys that it may hold."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c = np.frombuffer(blob or b"", CORNER)
+                if not len(c):
+                    continue
+                keys, spots = table_keys(c).ravel(), np.repeat(_spots(c), TABLES)
+                if wanted is not None:
+                    at = _slot(keys)
+                    held = (wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    keys, spots = keys[held], spots[held]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(keys.size, i, np.int64)), pa.array(spots)], ["key", "class_id", "spot"])
+
+    return run
+
+
+def key_filter(asking: DataFrame, part: int = 1 << 20) -> np.ndarray:
+    """FILTER_BITS bits, with those set that the keys of asking (class_id, corners) fall on. Parts of the filter, a row each,
+    are put together in tasks; the driver gets FILTER_BITS bits at most, however many keys there are."""
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                c = np.frombuffer(blob or b"", CORNER)
+                at = np.unique(_slot(table_keys(c).ravel())) if len(c) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((at // part).astype(np.int32)), pa.array((at % part).astype(np.int32))], ["part", "at"])
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(part // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in asking.select("corners").mapInArrow(place, "part int, at int").groupBy("part").applyInArrow(join, "part int, bits binary").toLocalIterator():
+        out[r.part * (part // 8) : (r.part + 1) * (part // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 def consensus(q: np.ndarray, m: np.ndarray, pairs: np.ndarray, most_distance: int) -> int:
@@ -150,13 +211,39 @@ def consensus(q: np.ndarray, m: np.ndarray, pairs: np.ndarray, most_distance: in
     return max((min(len(x), len(y)) for x, y in seen.values()), default=0)
 
 
+def near_corners(q: np.ndarray, m: np.ndarray, most_distance: int) -> np.ndarray:
+    """All pairs (place in q, place in m) of corners that differ in at most so many bits, compared in blocks."""
+    out, step = [np.zeros((0, 2), np.int64)], max(1, (1 << 22) // max(1, len(m)))
+    for at in range(0, len(q), step):
+        a = q[at : at + step]
+        apart = np.bitwise_count(a["hi"][:, None] ^ m["hi"]).astype(np.uint8) + np.bitwise_count(a["lo"][:, None] ^ m["lo"])
+        out.append(np.argwhere(apart <= most_distance) + (at, 0))
+    return np.concatenate(out)
+
+
+def _agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class_id_q, class_id_m, spots that met) -> the pairs of classes of which two different corners met in one place."""
+    for batch in batches:
+        met = batch.column(2)
+        ends, flat = met.offsets.to_numpy(), met.values
+        left, right = (flat.field(i).to_numpy() for i in (0, 1))
+        good = np.zeros(len(batch), bool)
+        for i, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if e - s > 1:
+                (a, x), (b, y) = (np.unique(v[s:e], return_inverse=True) for v in (left, right))
+                good[i] = consensus(_standing(a), _standing(b), np.stack([x, y], 1), BITS) > 1
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], ["class_id_q", "class_id_m"])
+
+
 def _votes(most_distance: int, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, m, ks, left, right = (c.to_pylist() for c in batch.columns)
-            n = [consensus(np.frombuffer(a, CORNER), np.frombuffer(b, CORNER), np.array([(k >> 32, k & 0xFFFFFFFF) for k in sorted(k)]), most_distance) for k, a, b in zip(ks, left, right, strict=True)]
-            good = [i for i, x in enumerate(n) if x >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.int64()) for v in (q, m, n)], ["class_id_q", "class_id_m", "agreeing"])
+            rows = []
+            for q, m, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = np.frombuffer(left, CORNER), np.frombuffer(right, CORNER)
+                rows.append((q, m, consensus(a, b, near_corners(a, b, most_distance), most_distance)))
+            rows = [r for r in rows if r[2] >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["class_id_q", "class_id_m", "agreeing"])
 
     return run
 
@@ -193,10 +280,11 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     cropped copy in class class_id, with so many corners that agree on one turn, scale and shift.
 
     Queries are the images whose id query_every divides; they are held against all classes. Corners meet in TABLES hash
-    tables of TABLE_BITS bits of their descriptors: equi-joins of small rows. Two classes where least different corners
-    of either have met go on; their descriptors are fetched, and corners within most_distance differing bits vote for a
-    turn, scale and shift of the query. least corners or more must agree. No image meets every other; a key that many
-    classes share is split by Spark's skew join.
+    tables of TABLE_BITS bits of their descriptors: equi-joins of small rows, before which a broadcast filter of fixed size
+    drops the keys that no query has. Two classes of which two different corners met in places that agree go on: their
+    descriptors are fetched, and all their corners within most_distance differing bits vote for a turn, scale and shift of
+    the query. least corners or more must agree. No image meets every other; a key that many classes share is split by
+    Spark's skew join.
 
     Null id: left out. No pixels: a class of its own without matches. Rows of one id and pixels count once; an id with two
     different pixels is in two classes. Very large images: corners follow the area, CELL by CELL pixels; widths up to
@@ -207,18 +295,17 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     reps = written(found.agg(F.min("image_id").alias("class_id"), F.bool_or(F.col("image_id") % query_every == 0).alias("asks"), F.first("corners").alias("corners")))
     ids = _hashed(media, *names).select("image_id", "h1", "h2").distinct()
     members = ids.join(reps.select("h1", "h2", "class_id"), ["h1", "h2"], "left").select("image_id", F.coalesce("class_id", "image_id").alias("class_id"))
-    shape = "key long, class_id long, k int"
-    side = lambda d, s: d.select("class_id", "corners").mapInArrow(_index, shape).select("key", F.col("class_id").alias("class_id" + s), F.col("k").alias("k" + s))
-    met = side(reps.filter("asks"), "_q").join(side(reps, "_m"), "key").filter("class_id_q <> class_id_m")
-    met = met.groupBy("class_id_q", "class_id_m").agg(F.collect_set((F.shiftleft(F.col("k_q").cast("long"), 32) + F.col("k_m"))).alias("ks"))
-    # two classes with fewer than least different corners that met cannot have least that agree
-    left, right = lambda k: F.shiftright(k, 32), lambda k: k.bitwiseAND((1 << 32) - 1)
-    met = written(met.filter(F.least(*[F.size(F.array_distinct(F.transform("ks", f))) for f in (left, right)]) >= least))
+    asking = reps.filter("asks").select("class_id", "corners")
+    wanted = media.sparkSession.sparkContext.broadcast(key_filter(asking))
+    side = lambda d, s, f: d.select("class_id", "corners").mapInArrow(_index(f), "key long, class_id long, spot long").select("key", F.col("class_id").alias("class_id" + s), F.col("spot").alias("spot" + s))
+    met = side(asking, "_q", None).join(side(reps, "_m", wanted), "key").filter("class_id_q <> class_id_m")
+    met = met.groupBy("class_id_q", "class_id_m").agg(F.collect_set(F.struct("spot_q", "spot_m")).alias("spots")).filter(F.size("spots") > 1)
+    met = written(met.mapInArrow(_agreeing, "class_id_q long, class_id_m long"))
     named = written(met.select(F.explode(F.array("class_id_q", "class_id_m")).alias("class_id")).distinct())
     few = written(reps.select("class_id", "corners").join(named, "class_id"))
     for s in ("_q", "_m"):
         met = met.join(few.select(F.col("class_id").alias("class_id" + s), F.col("corners").alias("corners" + s)), "class_id" + s)
-    match = met.select("class_id_q", "class_id_m", "ks", "corners_q", "corners_m").mapInArrow(_votes(most_distance, least), "class_id_q long, class_id_m long, agreeing long")
+    match = met.select("class_id_q", "class_id_m", "corners_q", "corners_m").mapInArrow(_votes(most_distance, least), "class_id_q long, class_id_m long, agreeing long")
     match = match.select(F.lit("match").alias("kind"), F.col("class_id_q").alias("image_id"), F.col("class_id_m").alias("class_id"), "agreeing")
     return members.select(F.lit("member").alias("kind"), "image_id", "class_id", F.lit(None).cast("long").alias("agreeing")).unionByName(match)
 
