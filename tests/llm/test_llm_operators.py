@@ -830,7 +830,7 @@ def test_registered_queries_keep_their_contracts(spark, rows, tmp_path):
     assert sum(r.taken for r in eight) == pytest.approx(sum(map(len, words.values())), rel=0.02)
     ten = run("op10_language_mixture").collect()
     assert {r.doc_id: r.held_out for r in ten} == {i: crc32(str(i).encode()) % 3 == 1 for i in texts}
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", texts[r.doc_id] or "")) and 0 <= r.score <= 1 and r.lang_pred in ("en", "fr", "und") for r in ten)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or "")) and 0 <= r.score <= 1 and r.lang_pred in ("en", "fr", "und") for r in ten)
     two = run("op2_edit_aware_counts").collect()
     c = tokencount.counter(tokencount.RANKS)
     assert {r.doc_id: r.n_tokens for r in two} == {i: len(c.bpe.encode_ordinary(t or "")) for i, t in texts.items()}

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import fresh
 
 BINS = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -38,11 +38,19 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bin", "n"])
 
 
+def _pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A language's counts (lang, bin, n) as one row, a number for each bin."""
+    n = np.zeros(BINS, np.int64)
+    for batch in batches:
+        n[batch.column(1).to_numpy()] = batch.column(2).to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([n.tobytes()], pa.binary())], ["lang", "n"])
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5, most_langs: int = 500) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [language, bin]) from every row of docs with a text and a language.
 
     Tasks count into BINS bins a language and Spark sums them, so what reaches the driver is a model of languages x BINS
-    numbers (128 MB for most_langs), whatever the number of rows. More languages than that are an error, as the column then
+    numbers, a packed row for each language (256 MB for most_langs), whatever the number of rows. More languages than that are an error, as the column then
     holds something else than languages. Null text or language: left out. Repeated rows count each time. Very long
     texts: whole. No rows: no languages.
     """
@@ -50,10 +58,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     found = rows.select("lang").distinct().limit(most_langs + 1).count()
     if found > most_langs:
         raise ValueError(f"over {most_langs} languages")
-    counts = rows.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    langs = sorted(counts["lang"].unique())
-    table = np.zeros((len(langs), BINS))
-    table[np.searchsorted(langs, counts["lang"]), counts["bin"]] = counts["n"]
+    counts = rows.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    models = sorted(counts.groupBy("lang").applyInArrow(_pack, "lang string, n binary").collect(), key=lambda r: r["lang"])
+    langs = [r["lang"] for r in models]
+    table = np.stack([np.frombuffer(r["n"], np.int64) for r in models]).astype(float) if models else np.zeros((0, BINS))
     return langs, np.log((table + smooth) / (table.sum(axis=1, keepdims=True) + smooth * BINS)).astype(np.float32)
 
 
