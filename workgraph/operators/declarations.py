@@ -119,7 +119,9 @@ def _block(rows: list[str], shape: list[str], i: int) -> Iterator[tuple]:
         depth += shape[i].count("{") - shape[i].count("}")
         if depth < 0:
             return i + 1
-        if depth == 0 and core and (held or not (core.startswith(("}", "#")) or "{" in core or "=" in core or re.match(NO_DECLARATION, core))):
+        if depth > 0:  # what was held has a body
+            held = None
+        elif core and (held or not (core.startswith(("}", "#")) or "{" in core or "=" in core or re.match(NO_DECLARATION, core))):
             held = held or _Statement(i)
             held.add(core, i)
             if held.parts[-1].endswith(";"):

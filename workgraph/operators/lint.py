@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -430,7 +430,7 @@ class Spans:
 
     def add(self, start: int, end: int) -> bool:
         """Keeps a span that meets no kept one; whether it did."""
-        i = bisect_right(self.starts, start)
+        i = bisect_left(self.starts, start)
         while i < len(self.starts) and self.ends[i] <= start:  # empty spans at one place
             i += 1
         if (i and self.ends[i - 1] > start) or (i < len(self.starts) and self.starts[i] < end):
