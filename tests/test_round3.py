@@ -243,3 +243,88 @@ def test_append_goes_on_after_a_failed_write(spark, tmp_path):
     got = spark.read.parquet(log)
     assert sorted((r.event, r.seq) for r in got.collect()) == [(i, i + 1) for i in range(9)]
     assert [spark.read.parquet(f"{log}/_heads/{k:010d}").first().head for k in range(3)] == [5, 8, 9]
+
+
+# --- keyed streams ---
+
+
+class Blocks(dict):
+    """A map state in memory."""
+
+    updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__  # noqa: N815
+
+
+def test_pieces_of_a_key_are_merged():
+    import pandas as pd
+
+    from workgraph.streaming.keyed import Sorter
+
+    rng = random.Random(1)
+    for sizes in ((5,), (7, 3), (40, 1, 33, 90), (10, 10, 10)):
+        seqs = rng.sample(range(10_000), sum(sizes))
+        frames, at = [], 0
+        for n in sizes:
+            frames.append(pd.DataFrame({"seq": seqs[at : at + n], "v": [str(x) for x in seqs[at : at + n]]}))
+            at += n
+        blocks = Blocks()
+        out = list(Sorter(blocks, "seq", 8).sorted(iter(frames)))
+        assert [x for f in out for x in f["seq"].tolist()] == sorted(seqs) and all(str(a) == b for f in out for a, b in zip(f["seq"], f["v"], strict=True))
+        assert not blocks and (len(sizes) == 1 or max(map(len, out)) <= 8 * len(sizes))
+    assert list(Sorter(Blocks(), "seq").sorted(iter([]))) == []
+
+
+def test_stream_of_a_hot_key_equals_its_twin(spark, tmp_path):
+    rng = random.Random(33)
+    rows = [("w", "u", rng.choice("aaaab"), seq, rng.choice("xyz")) for seq in range(3000)]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "workflow_id string, unit_id string, target_id string, seq long, status string")
+    log.coalesce(1).write.parquet(f"{tmp_path}/log")
+    costs = log.select("seq", F.col("target_id").alias("run_id"), F.lit(3).cast("long").alias("cost_micro_usd")).withColumnRenamed("seq", "id")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        src = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
+        got = drain(spark, jobs.status_change_stream(src), tmp_path / "changes")
+        spent = drain(spark, jobs.spend_stream(src.select(F.col("seq").alias("id"), F.col("target_id").alias("run_id"), F.lit(3).cast("long").alias("cost_micro_usd")), 700), tmp_path / "spent")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert sorted(map(str, got.collect())) == sorted(map(str, registry.status_changes(log).collect()))
+    caps = costs.select("run_id").distinct().withColumn("cap", F.lit(700).cast("long"))
+    assert sorted((r.run_id, r.id, r.spent) for r in spent.collect()) == sorted((r.run_id, r.id, r.spent) for r in telemetry.budget_crossing(costs.withColumn("ts", F.col("id")), caps).collect())
+
+
+def drain(spark, stream, folder):
+    stream.writeStream.option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start(str(folder), format="parquet", outputMode="append").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(str(folder))
+
+
+def test_status_stream_follows_three_scopes(spark, tmp_path):
+    shape = "workflow_id string, unit_id string, target_id string, seq long, status string"
+    items = spark.createDataFrame([("a", "u"), ("b", "u"), ("c", None)], "id string, unit_id string")
+    batches = [[("w", "u", "", 1, "S")], [("w", "", "a", 2, "S"), ("w", "u", "", 3, "T")], [("w", "u", "a", 4, "V"), ("w", "", "a", 5, "X"), ("w", "", "c", 6, "Y"), ("w", "u", "b", 7, "T")]]
+    every = []
+    for rows in batches:
+        every += rows
+        spark.createDataFrame(rows, shape).write.mode("append").parquet(f"{tmp_path}/log")
+        got = drain(spark, jobs.status_change_stream(spark.readStream.schema(shape).parquet(f"{tmp_path}/log"), items=items), tmp_path / "out")
+    want = registry.status_changes(spark.createDataFrame(every, shape), items)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
+
+
+def test_a_timer_sweeps_leases(spark, tmp_path):
+    import time
+
+    shape = "op_seq long, work_item_id string, owner string, epoch string, op string, ttl_ms long"
+    rows = spark.createDataFrame([(1, "i", "r:1", "e", "claim", 1500), (2, "j", "r:1", "e", "claim", 10**9)], shape).withColumn("ts", F.current_timestamp())
+    rows.write.parquet(f"{tmp_path}/ops")
+    src = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/ops")
+    q = jobs.lease_stream(src, sweep=True).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start(f"{tmp_path}/out", format="parquet", outputMode="append")
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            found = [(r.work_item_id, r.op, r.owner, r.ok) for r in spark.read.schema("work_item_id string, op_seq long, op string, owner string, ok boolean").parquet(f"{tmp_path}/out").collect()] if list(tmp_path.glob("out/*.parquet")) else []
+            if any(op == "sweep" for _, op, *_ in found):
+                break
+    finally:
+        q.stop()
+    assert sorted(found) == [("i", "claim", "r:1", True), ("i", "sweep", "r:1", True), ("j", "claim", "r:1", True)]

@@ -234,6 +234,9 @@ def _(t):
     return registry.status_changes(t("v_log"), items).drop("workflow_id")
 
 
+RESOLVED_SQL = SQL["r28_resolved_changes"]
+
+
 @_q("r29_latest_status", "v_events", f"with {_LOG} select unit_id, target_id, status from (select *, row_number() over (partition by workflow_id, unit_id, target_id order by seq desc) r from l) x where r = 1")
 def _(t):
     return registry.latest_status(_status_log(t)).select("unit_id", "target_id", "status")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import registry
-from .queries import _HITS, _LOG, _METRIC, SQL, _hits, _metrics, _q, _status_log
+from .queries import RESOLVED_SQL, _HITS, _LOG, _METRIC, SQL, _hits, _metrics, _q, _status_log
 from .sources import readers, sinks
 from .streaming import jobs
 from .tables import new_folder
@@ -289,6 +289,13 @@ def _(t):
     return _drained(jobs.status_change_stream(_source(_status_log(t)))).select("unit_id", "target_id", "seq", "from_status", "to_status")
 
 
+@_q("s05_resolved_stream", "", RESOLVED_SQL.replace(", actor from f", " from f"))
+def _(t):
+    log, own = t("v_log"), t("customer").select(F.expr("concat('o', c_custkey)").alias("id"), F.expr("concat('u', c_custkey%40)").alias("unit_id"))
+    items = own.unionByName(log.filter("unit_id <> '' and target_id <> ''").select(F.col("target_id").alias("id"), "unit_id")).distinct()
+    return _drained(jobs.status_change_stream(_source(log), items=items)).drop("workflow_id")
+
+
 @_q("s06_spend_stream", "", """select run_id, id, spent from (select *, row_number() over (partition by run_id order by id) r from (select concat('run', o_custkey) run_id, o_orderkey id, cast(sum(cast(floor(o_totalprice) as bigint)) over (partition by o_custkey order by o_orderkey rows unbounded preceding) as bigint) spent from orders) a where spent > 500000) b where r = 1""")
 def _(t):
     d = t("orders").select(F.concat(F.lit("run"), "o_custkey").alias("run_id"), F.col("o_orderkey").alias("id"), F.floor("o_totalprice").cast("long").alias("cost_micro_usd"))
