@@ -896,3 +896,75 @@ def _(t):
 @_q("u03_match_plan", "v_items", "select id, cast(floor((row_number() over (order by size nulls first, id) - 1) / 5) as bigint) batch from (select id, size from v_items where status = 'NOT_STARTED' order by size nulls first, id limit 100) x")
 def _(t):
     return builtin.match_plan(t("v_items")).select("id", F.col("batch").cast("long").alias("batch"))
+
+
+# --- every rule of an operator met, where a query above meets only some ------------------------------------------------
+
+_FAULTY = """fi as (select case when n_nationkey = 7 then null when n_nationkey = 9 then 'n8' else concat('n', n_nationkey) end id, case when n_nationkey = 3 then '' else 'function' end kind, case when n_nationkey = 4 then null else 'NOT_STARTED' end status, case when n_nationkey = 5 then 'lost' when n_nationkey = 6 then null else 'pending' end lifecycle from nation),
+ fd as (select concat('n', s_nationkey) from_id, concat('n', s_suppkey%30) to_id, case s_suppkey%7 when 0 then 'likes' when 1 then null when 2 then 'abi_helper' else 'calls' end kind from supplier), fc as (select concat('n', p_partkey%40) work_item_id, 'c' capability from part)"""
+
+
+def _faulty(t):
+    n = F.col("n_nationkey")
+    items = t("nation").select(F.when(n != 7, F.when(n == 9, "n8").otherwise(F.concat(F.lit("n"), n))).alias("id"), F.when(n == 3, "").otherwise("function").alias("kind"), F.when(n != 4, "NOT_STARTED").alias("status"), F.when(n == 5, "lost").when(n != 6, "pending").alias("lifecycle"))
+    k = F.col("s_suppkey") % 7
+    deps = t("supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("from_id"), F.expr("concat('n', s_suppkey%30)").alias("to_id"), F.when(k == 0, "likes").when(k == 2, "abi_helper").when(k > 2, "calls").alias("kind"))
+    return items, deps, t("part").select(F.expr("concat('n', p_partkey%40)").alias("work_item_id"), F.lit("c").alias("capability"))
+
+
+@_q("r16_all_violations", "", f"""with {_FAULTY}, x as (select 'missing_id' "rule", id subject from fi where coalesce(id, '') = '' union all select 'missing_kind', id from fi where coalesce(kind, '') = '' union all select 'missing_status', id from fi where coalesce(status, '') = ''
+ union all select 'lifecycle', id from fi where lifecycle is null or lifecycle = 'lost' union all select 'duplicate_id', id from fi group by id having count(*) > 1 union all select 'edge_kind', kind from fd where kind is null or kind = 'likes'
+ union all select 'dangling_from_id', from_id from fd where from_id not in (select id from fi where id is not null) union all select 'dangling_to_id', to_id from fd where to_id not in (select id from fi where id is not null)
+ union all select 'dangling_capability', work_item_id from fc where work_item_id not in (select id from fi where id is not null)) select "rule", subject, count(*) n from x group by 1, 2""")
+def _(t):
+    return registry.registry_violations(*_faulty(t)).groupBy("rule", "subject").count().withColumnRenamed("count", "n")
+
+
+@_q("r18_positions", "", """with tg as (select row_number() over (order by o_orderkey) - 1 pos, concat('o', o_orderkey) id from orders where o_orderkey % 3 = 0), e as (select o_orderkey ord, case when o_orderkey % 4 = 0 then concat('o', o_orderkey) end target_id, o_orderpriority status, o_orderstatus = 'F' accepted from orders where o_orderkey % 2 = 0),
+ k as (select target_id, arg_min(status, ord) status, arg_min(accepted, ord) accepted from e where target_id is not null group by 1), u as (select row_number() over (order by ord) - 1 upos, status, accepted from e where target_id is null)
+select tg.pos, tg.id, coalesce(k.status, u.status, '') status, coalesce(k.accepted, u.accepted, false) accepted from tg left join k on k.target_id = tg.id left join u on u.upos = tg.pos""")
+def _(t):
+    o = t("orders")
+    name = F.concat(F.lit("o"), "o_orderkey")
+    targets = telemetry.assign_seq(o.filter("o_orderkey % 3 = 0").select("o_orderkey", name.alias("id")), -1, ["o_orderkey"]).select(F.col("seq").alias("pos"), "id")
+    entries = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("ord"), F.when(F.expr("o_orderkey % 4 = 0"), name).alias("target_id"), F.col("o_orderpriority").alias("status"), (F.col("o_orderstatus") == "F").alias("accepted"))
+    return registry.map_summary(targets, entries)
+
+
+@_q("t03_span_rows", "v_events", """select seq id, cast(seq%90 as bigint) "seconds", case when seq%5 = 0 then null else cast(seq%7 as varchar) end k from v_events where run_id = 'run4'""")
+def _(t):
+    e = t("v_events")
+    attrs = F.when(F.expr("seq%5 = 0"), "{broken").otherwise(F.concat(F.lit('{"k": "'), F.expr("seq%7"), F.lit('"}')))
+    spans = e.select(F.col("seq").alias("id"), "run_id", F.col("ts").alias("started_at"), (F.col("ts") + F.expr("make_dt_interval(0, 0, 0, seq%90)")).alias("ended_at"), attrs.alias("attrs"))
+    return telemetry.run_spans(spans, "run4").select("id", F.col("seconds").cast("long").alias("seconds"), F.try_variant_get("attrs", "$.k", "string").alias("k"))
+
+
+@_q("l07_changed_rows", "v_sources v_sources_old", """select 'one more' kind, false fresh union all select 'same' , true union all select 'one other', false""")
+def _(t):
+    now = t("v_sources").groupBy("unit").agg(F.count("*").alias("n"))
+    last = now.agg(F.max("unit").alias("last"))
+    other = now.join(last).withColumn("n", F.when(F.col("unit") == F.col("last"), F.col("n") + 1).otherwise(F.col("n"))).drop("last")
+    more = now.unionByName(now.join(last, F.col("unit") == F.col("last")).drop("last"))
+    kinds = (("same", now), ("one other", other), ("one more", more))
+    parts = [lint.is_fresh(now, d).withColumn("kind", F.lit(k)) for k, d in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_q("b15_occupants", "v_symbols", "select address_key, string_agg(name, '|' order by ordinal) names from v_symbols group by address_key")
+def _(t):
+    return binary.symbol_index(t("v_symbols")).select("address_key", F.array_join("names", "|").alias("names"))
+
+
+@_q("f05_split_all", "v_members", r"""with c as (select ordinal, name, regexp_replace(name, '@[0-9]+$', '') bare from v_members), m as (select *, regexp_extract(bare, '(CGame|CPlayer)F', 1) cls from c)
+select ordinal, case when cls <> '' then cls end "class", case when cls = '' then null when starts_with(bare, '__ct__') then '__ct' when starts_with(bare, '__dt__') then '__dt' else regexp_extract(bare, '^(.*)__(?:Q24game)?[0-9]+(?:CGame|CPlayer)F', 1) end member,
+ case when cls <> '' then case when contains(bare, 'Q24game') then concat('game::', cls) else '' end end scope, case when cls <> '' then regexp_extract(bare, 'F([^F]*)$', 1) end params from m""")
+def _(t):
+    m = t("v_members").withColumn("m", scalars.split_name(F.col("name")))
+    return m.select("ordinal", "m.class", "m.member", F.array_join("m.scope", "::").alias("scope"), "m.params")
+
+
+@_q("u04_soft_flags", "", r"""select conv_id, turn, array_to_string(regexp_extract_all(concat(text, case turn%4 when 0 then ' TODO: fix the stub' when 1 then ' unk12 (FIXME)' else ' fine' end), '\b(stub|TODO|FIXME|unk\w*)\b', 1), ',') flags from conversations""")
+def _(t):
+    k = F.col("turn") % 4
+    reply = F.concat("text", F.when(k == 0, " TODO: fix the stub").when(k == 1, " unk12 (FIXME)").otherwise(" fine"))
+    return t("conversations").select("conv_id", "turn", F.array_join(builtin.soft_flags(reply), ",").alias("flags"))
