@@ -155,6 +155,8 @@ def member_verdict(insns: DataFrame, class_size: int = 0, pointers: DataFrame |
     return out.join(hints, "symbol", "left").withColumn("vtable_hints", F.coalesce("vtable_hints", F.lit(0)).cast("long"))
 
 
+# What a header's drift is called.
+STATIC_DRIFT, MEMBER_DRIFT, COUNT_DRIFT = "header declares static but binary shows this-taking", "header declares member but binary proves no-this", "header %d params, binary %d"
 #: Fixed value: a declaration of a placeholder function in a header.
 HEADER_DECL = r"^\s*(static\s+)?[\w\s*&:<>]*?\b(func_[0-9A-Fa-f]{8})\w*\s*\("
 
@@ -173,10 +175,7 @@ def header_drift(lines: DataFrame, symbols: DataFrame, insns: DataFrame) -> Data
     # a symbol that the listing has never seen is no object base anywhere
     told = F.coalesce("verdict", F.lit("NOT non-static member (r3 never used as object base)"))
     static, never, member = F.col("st") != "", told.startswith("NOT non-static member"), told.contains("possible member") | told.contains("possible virtual")
-    drift = F.array_compact(F.array(
-        F.when(static & member, "header declares static but binary shows this-taking"), F.when(~static & never, "header declares member but binary proves no-this"),
-        F.when((F.col("n_binary") > 0) & (F.col("n_binary") != F.col("n_header")), F.format_string("header %d params, binary %d", "n_header", "n_binary")),
-    ))
+    drift = F.array_compact(F.array(F.when(static & member, STATIC_DRIFT), F.when(~static & never, MEMBER_DRIFT), F.when((F.col("n_binary") > 0) & (F.col("n_binary") != F.col("n_header")), F.format_string(COUNT_DRIFT, "n_header", "n_binary"))))
     return out.select("path", "line_no", "retail", F.array_join(drift, "; ").alias("drift")).filter("drift <> ''")
 
 

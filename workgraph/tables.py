@@ -12,7 +12,7 @@ def new_folder(spark: SparkSession) -> str:
     """A path of its own in the session's checkpoint folder. Only a local session without one gets a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):  # a folder of one machine would lose rows
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):  # a folder of one machine would lose rows
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="workgraph-"))
         where = spark.sparkContext.getCheckpointDir()
