@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster is an error: a folder of one machine would lose rows there."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="workgraph-"))
         where = spark.sparkContext.getCheckpointDir()
