@@ -63,8 +63,8 @@ def test_canonical_names(spark, name, want):
 
 
 def test_split_mangled():
-    assert scalars.split_mangled("@a@m__5CGameFv@instance") | {"scope": 0} == {"member": "@a@m", "class": "CGame", "namespaces": [], "scope": 0, "ctor": False, "dtor": False, "params": "v"}
-    assert scalars.split_mangled("__ct__Q34game2ui5CMenuFi")["scope"] == ["game", "ui", "CMenu"]
+    assert scalars.mangled_parts("@a@m__5CGameFv@instance") | {"scope": 0} == {"member": "@a@m", "class": "CGame", "namespaces": [], "scope": 0, "ctor": False, "dtor": False, "params": "v"}
+    assert scalars.mangled_parts("__ct__Q34game2ui5CMenuFi")["scope"] == ["game", "ui", "CMenu"]
     assert scalars.split_mangled("m__5CGame")["params"] is None and scalars.split_mangled("m__9CGame") is None
 
 

@@ -76,6 +76,12 @@ def _tokens(text: str, count: int) -> tuple[list[str], str] | None:
 
 
 def split_mangled(name: str | None) -> dict | None:
+    """mangled_parts() without the scope: member, class, namespaces, ctor, dtor and params."""
+    parts = mangled_parts(name)
+    return parts and {k: v for k, v in parts.items() if k != "scope"}
+
+
+def mangled_parts(name: str | None) -> dict | None:
     """member, class, namespaces, scope, ctor, dtor and parameters of a mangled name; None where it is not one.
 
     scope holds the names of a Q form, the class among them; params is null where no parameters follow the class. The last
@@ -105,12 +111,12 @@ def split_mangled(name: str | None) -> dict | None:
 
 
 def split_name(name: Column) -> Column:
-    """split_mangled() over a column, a batch at a time; fields are null where the name is not mangled."""
+    """mangled_parts() over a column, a batch at a time; fields are null where the name is not mangled."""
     blank = {"member": None, "class": None, "namespaces": None, "scope": None, "ctor": None, "dtor": None, "params": None}
 
     @F.pandas_udf("struct<member:string,`class`:string,namespaces:array<string>,scope:array<string>,ctor:boolean,dtor:boolean,params:string>")
     def run(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([split_mangled(n) or blank for n in names], columns=list(blank))
+        return pd.DataFrame([mangled_parts(n) or blank for n in names], columns=list(blank))
 
     return run(name)
 
