@@ -968,3 +968,20 @@ def _(t):
     k = F.col("turn") % 4
     reply = F.concat("text", F.when(k == 0, " TODO: fix the stub").when(k == 1, " unk12 (FIXME)").otherwise(" fine"))
     return t("conversations").select("conv_id", "turn", F.array_join(builtin.soft_flags(reply), ",").alias("flags"))
+
+
+_DRIFT_NAME = "concat('func_80', lpad(cast(s_suppkey as varchar), 6, '0'), '__5CGameFv')"
+
+
+@_q("b06_all_drifts", "", f"""select concat('src/s', s_suppkey, '.h') path, 3 line_no, {_DRIFT_NAME} retail, case s_suppkey%4 when 0 then '{binary.STATIC_DRIFT}' when 1 then '{binary.MEMBER_DRIFT}' else 'header 1 params, binary 2' end drift from supplier where s_suppkey%4 < 3""")
+def _(t):
+    s = t("supplier").select("s_suppkey", F.concat(F.lit("func_80"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("base"), (F.col("s_suppkey") % 4).alias("k"))
+    s = s.withColumn("fn", F.concat("base", F.lit("__5CGameFv")))
+    head = F.when(F.col("k") % 4 == 0, "static void ").when(F.col("k") == 3, "static int ").otherwise("void ")
+    files = s.select(F.concat(F.lit("src/s"), "s_suppkey", F.lit(".h")).alias("path"), F.concat(F.lit("// void func_80000000(int);\nint other(int a, int b);\n"), head, "base", F.when(F.col("k") == 3, "()").otherwise("(CGame* self)"), F.lit(";\n")).alias("text"))
+    row = lambda fn, idx, mnemonic, operands: F.struct(fn.alias("fn"), F.lit(idx).alias("idx"), F.lit(mnemonic).alias("mnemonic"), operands.alias("operands"))
+    uses, fn, caller = F.col("k").isin(0, 2), F.col("fn"), F.concat(F.lit("call"), "s_suppkey")
+    body = F.array(row(fn, 0, "lwz", F.when(uses, "r4, 0x8(r3)").otherwise("r4, 0x8(r31)")), row(fn, 1, "add", F.when(F.col("k") == 2, "r4, r4, r5").otherwise("r4, r4, r4")), row(caller, 2, "addi", F.lit("r3, r4, lbl_1@l")), row(caller, 3, "bl", fn))
+    insns = s.select(F.concat(F.lit("f"), "s_suppkey").alias("file"), F.explode(body).alias("i")).select("file", "i.*")
+    symbols = s.select(F.col("s_suppkey").alias("ordinal"), F.col("fn").alias("name"), F.col("s_suppkey").alias("address_key"))
+    return binary.header_drift(lint.lines(files), symbols, insns)
