@@ -170,21 +170,31 @@ def key_filter(asking: DataFrame, part: int = 1 << 20) -> np.ndarray:
     are put together in tasks; the driver gets FILTER_BITS bits at most, however many keys there are."""
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part and batch: the steps between its bits, two bytes each, longer ones in several."""
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                c = np.frombuffer(blob or b"", CORNER)
-                at = np.unique(_slot(table_keys(c).ravel())) if len(c) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((at // part).astype(np.int32)), pa.array((at % part).astype(np.int32))], ["part", "at"])
+            corners = [np.frombuffer(blob or b"", CORNER) for blob in batch.column(0).to_pylist()]
+            at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_slot(table_keys(c).ravel()) for c in corners if len(c))]))
+            parts, starts = np.unique(at // part, return_index=True)
+            steps = []
+            for x in np.split(at % part, starts[1:]) if len(at) else []:
+                far = np.diff(x, prepend=0)
+                longer = far // 0xFFFF
+                row = np.full(len(x) + longer.sum(), 0xFFFF, "<u2")
+                row[np.cumsum(longer + 1) - 1] = far - longer * 0xFFFF
+                steps.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(steps, pa.binary())], ["part", "steps"])
 
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(part // 8, np.uint8)
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            for row in batch.column(1).to_pylist():
+                steps = np.frombuffer(row, "<u2")
+                at = np.cumsum(steps, dtype=np.int64)[steps != 0xFFFF]
+                np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
 
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in asking.select("corners").mapInArrow(place, "part int, at int").groupBy("part").applyInArrow(join, "part int, bits binary").toLocalIterator():
+    for r in asking.select("corners").mapInArrow(place, "part int, steps binary").groupBy("part").applyInArrow(join, "part int, bits binary").toLocalIterator():
         out[r.part * (part // 8) : (r.part + 1) * (part // 8)] = np.frombuffer(r.bits, np.uint8)
     return out
 

@@ -355,7 +355,7 @@ def encode(docs: DataFrame, rate: float = 0.1, seed: int = 41, id_col: str = "do
     agree. rate 0 is the model's own segmentation. decode() gives the text back whatever was skipped: characters without
     a piece, and U+2581, are written as bytes.
 
-    Null text: null ids, and check is true. Empty text: no ids. Null id: hashed as 0. Very long texts and words: encoded
+    Null text: null ids, and check is true. Empty text: no ids. Null id: drawn as one id of its own. Very long texts and words: encoded
     whole, in slices of words; a word's agenda takes memory as its length. Ties of equal rank go to the first place.
     Repeated rows get equal ids. Empty table: empty result. Other columns pass unchanged; ones named as out or check
     are replaced, and these stand last.
