@@ -328,3 +328,28 @@ def test_a_timer_sweeps_leases(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(found) == [("i", "claim", "r:1", True), ("i", "sweep", "r:1", True), ("j", "claim", "r:1", True)]
+
+
+# --- large JSON files ---
+
+
+def test_json_files_are_split_between_entries(spark, tmp_path):
+    import json
+
+    items = [{"id": f"i{k}", "kind": "f", "status": "S", "meta": 'a \\" } ] {', "x": {"y": [1, {"z": 2}]}} for k in range(4)]
+    a, b, c, d = map(json.dumps, items)
+    texts = {
+        "pretty": (json.dumps({"version": 1, "workItems": items, "other": [{"id": "no"}]}, indent=1), 4, 4), "bare": (json.dumps(items, indent=2), 4, 4), "a line each": (f"[\n{a},\n{b},\n\n{c}\n]\n", 3, 3), "commas in front": (f"[\n{a}\n, {b}\n,\n{c}\n]", 3, None),
+        "one line": (json.dumps({"workItems": items}), 4, 1), "shared lines": (f'{{"workItems": [\n{a}, {b}\n, {c}]}}', 3, 1), "last shares": (f"[\n{a},\n{b}]", 2, 1), "first shares": (f"[{a},\n{b}\n]", 2, 1), "key below": (f'{{\n"workItems": [\n{a}\n],\n"more": {{"workItems": [\n{d}\n]}}\n}}', 1, 1),
+        "broken": (f"[\n{a},\n", 0, 1), "closed twice": (f"[\n{a}\n]]", None, 1), "none": (json.dumps({"workItems": []}, indent=1), 0, 1), "empty": ("", 0, None),
+    }
+    for name, (text, want, entries) in texts.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+        path = str(tmp_path / f"{name}.json")
+        if want is not None:
+            assert sorted(r.id for r in readers.read_registry(spark, path).collect()) == [f"i{k}" for k in range(want)], name
+        if entries is not None:
+            assert readers.json_entries(spark, path, None if text.startswith("[") else "workItems").count() == entries, name
+    (tmp_path / "map.json").write_text(json.dumps({"entries": {f"u{k}": {"s": {"retail_symbol": f"n{k % 3}"}} for k in range(6)}}, indent=1), encoding="utf-8")
+    assert readers.json_entries(spark, str(tmp_path / "map.json"), "entries").count() == 6
+    assert sorted(r.name for r in readers.read_reloc_names(spark, str(tmp_path / "map.json")).collect()) == ["n0", "n1", "n2"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +17,55 @@ PROMOTED = ("id", "kind", "unit", "status", "workflow_status", "region", "symbol
 LINT_FILES, REPORT_FILES = r"\.(?:cpp|cc|cxx|c|hpp|hh|hxx|h)$", r"(?<!\.ctx)\.c$|\.cpp$"
 
 
+def json_entries(spark: SparkSession, path: str, under: str | None = None) -> DataFrame:
+    """(file, entry) of JSON files of any size: the text of each entry of a file's root, or of what its root holds under a key.
+
+    A JSON string holds no line break, so each line's brackets can be counted alone, and a scan in parts of a file gives the
+    depth at which a line begins. Lines that begin between entries start an entry (or several, if they hold them whole). A
+    file whose lines do not keep entries apart, or whose brackets do not close, has one null entry: it must be read whole.
+    """
+    lines = numbered_lines(spark, path).select("file", "pos", "line")
+    bare = F.regexp_replace("line", r'"(?:\\.|[^"\\])*"', '""')
+    step = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
+    closers = F.regexp_count(F.regexp_extract(bare, r"^[\s\]}]*", 0), F.lit(r"[\]}]"))  # before anything else on the line
+    rows = spread(lines.filter(F.trim("line") != "").withColumns({"_step": step.cast("long"), "_closers": closers.cast("long"), "_opens": bare.rlike(r"[\[{]\s*$")}), ["file"], ["pos"])
+    deep = scan(rows, ["file"], {"_end": ("sum", F.col("_step"))}).withColumn("_depth", F.col("_end") - F.col("_step"))
+    at = 1 if under is None else 2
+    key = F.when(F.col("_depth") == 1, F.regexp_extract("line", r'^\s*"([^"]*)"\s*:\s*[\[{]\s*$', 1))
+    if under is not None:
+        deep = scan(deep.withColumn("_key", F.when(key != "", key)), ["file"], {"_under": ("last", F.col("_key"))})
+    inside = F.coalesce(F.col("_under") == under, F.lit(False)) if under is not None else F.lit(True)
+    depth, end = F.col("_depth"), F.col("_end")
+    entry = inside & (depth - F.col("_closers") >= at)
+    # an entry may not share a line with what opens or closes its holder, and what closes it may not open it again
+    shared = entry & (end < at) | (depth < at) & ((end > at) | (end == at) & ~F.col("_opens")) | inside & ~entry & (depth >= at) & (end >= at)
+    found = F.coalesce(F.bool_or(inside & (depth < at) & (end == at)), F.lit(False))
+    files = deep.groupBy("file").agg(((F.sum("_step") != 0) | (F.min("_end") < 0) | F.bool_or(shared) | ~found).alias("_whole"))
+    layout = written(files)
+    starts = scan(deep.withColumn("_starts", (entry & (depth == at)).cast("long")), ["file"], {"_entry": ("sum", F.col("_starts"))})
+    held = starts.filter(entry).join(layout.filter("not _whole").select("file"), "file", "left_semi")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    split = held.groupBy("file", "_entry").agg(F.regexp_replace(text, r"^\s*,|,\s*$", "").alias("entry"))
+    return split.select("file", "entry").unionByName(layout.filter("_whole").select("file", F.lit(None).cast("string").alias("entry")))
+
+
+def _json_rows(spark: SparkSession, path: str, under: str | None, brackets: str, kind: str, whole) -> DataFrame:
+    """(v): what a schema makes of each entry in brackets, and of files that must be read whole; malformed ones are null."""
+    entries = json_entries(spark, path, under)
+    split = entries.filter("entry is not null").select(F.from_json(F.concat(F.lit(brackets[0]), "entry", F.lit(brackets[1])), kind).alias("v"))
+    names = [unquote(r.file) for r in entries.filter("entry is null").select("file").toLocalIterator()]  # only these are read whole
+    return split.unionByName(spark.read.text(names, wholetext=True).select(whole.alias("v"))) if names else split
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Work items of a JSON file: {"workItems": [...]} or a bare array; defaults filled in; rows without id, kind or status raise.
 
-    One JSON document is one row; large registries should come as Parquet or JSON lines.
+    A file with items on lines of their own is split between them, however large; another is one row.
     """
-    whole = spark.read.text(path, wholetext=True)
-    items = F.coalesce(F.from_json(F.get_json_object("value", "$.workItems"), f"array<struct<{_struct(REGISTRY)}>>"), F.from_json("value", f"array<struct<{_struct(REGISTRY)}>>"))
-    out = whole.select(F.explode(items).alias("i")).select("i.*")
+    kind = f"array<struct<{_struct(REGISTRY)}>>"
+    whole = F.coalesce(F.from_json(F.get_json_object("value", "$.workItems"), kind), F.from_json("value", kind))
+    bare = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value")).first()
+    out = _json_rows(spark, path, None if bare and bare[0].startswith("[") else "workItems", "[]", kind, whole).select(F.explode("v").alias("i")).select("i.*")
     out = out.fillna({"lifecycle": "pending", "attempts": 0}).withColumns({"exhausted": F.coalesce("exhausted", F.lit(False)), "ready": F.coalesce("ready", F.lit(False)), "meta": F.coalesce("meta", F.lit("{}"))})
     bad = F.coalesce("id", F.lit("")).eqNullSafe("") | F.coalesce("kind", F.lit("")).eqNullSafe("") | F.coalesce("status", F.lit("")).eqNullSafe("")
     return out.withColumn("id", F.when(bad, F.raise_error(F.lit("a work item lacks id, kind or status"))).otherwise(F.col("id"))).withColumnRenamed("unit", "unit_id")
@@ -102,9 +145,10 @@ def parse_listing(lines: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def read_reloc_names(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct retail names of a reloc map; a malformed file has none."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json(F.get_json_object("value", "$.entries"), "map<string,map<string,struct<retail_symbol:string>>>").alias("e"))
-    return whole.select(F.explode(F.map_values("e")).alias("m")).select(F.explode(F.map_values("m")).alias("s")).select(F.col("s.retail_symbol").alias("name")).filter("name <> ''").distinct()
+    """Distinct retail names of a reloc map; a malformed file has none. A map with units on lines of their own is split."""
+    kind = "map<string,map<string,struct<retail_symbol:string>>>"
+    entries = _json_rows(spark, path, "entries", "{}", kind, F.from_json(F.get_json_object("value", "$.entries"), kind))
+    return entries.select(F.explode(F.map_values("v")).alias("m")).select(F.explode(F.map_values("m")).alias("s")).select(F.col("s.retail_symbol").alias("name")).filter("name <> ''").distinct()
 
 
 def scan_words(objects: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -117,7 +161,8 @@ def scan_words(objects: DataFrame, symbols: DataFrame) -> DataFrame:
 def read_models(spark: SparkSession, path: str) -> DataFrame:
     """(name, provider, model, rpm, p_in, p_out, p_cr, p_cw, hash) of a price table; negative or missing prices raise."""
     spec = "struct<provider:string,model:string,thinkingLevel:string,maxTokens:long,rpm:double,cost:struct<inputPerM:double,outputPerM:double,cacheReadPerM:double,cacheWritePerM:double>>"
-    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{spec}>")).alias("name", "s"))
+    kind = f"map<string,{spec}>"
+    m = _json_rows(spark, path, None, "{}", kind, F.from_json("value", kind)).select(F.explode("v").alias("name", "s"))
     prices = [F.col(f"s.cost.{c}") for c in ("inputPerM", "outputPerM", "cacheReadPerM", "cacheWritePerM")]
     ok = F.col("s.provider").isNotNull() & F.col("s.model").isNotNull()
     for p in prices:
