@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: Fixed values, as are the verdict texts below: mnemonics that only read r3, integer operations, and loads.
 READERS = ("cmp", "b", "bl", "blr", "bctrl", "st", "mtctr", "mtlr", "mfspr", "mftb", "bc", "bcctr")
 INTEGER_OPS = ("rlwinm", "slwi", "srwi", "srawi", "rlwimi", "or", "orc", "and", "andc", "xor", "add", "sub", "subf", "mulli", "mullw", "divw", "neg", "extsb", "extsh", "cntlzw", "clrlwi", "clrrwi", "rotlwi")
@@ -247,7 +249,8 @@ def classify_decls(decls: DataFrame, symbols: DataFrame, reloc: DataFrame) -> Da
 
 def plan_call_sites(lines: DataFrame, definitions: DataFrame) -> DataFrame:
     """(path, line_no, name): lines that name a definition (name, ord, path, line_no) as a whole word, but for its own line; one
-    hit a line, of the first definition in order."""
+    hit a line, of the first definition in order. A name meets a word once, however often it is defined."""
     words = lines.select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"\w+"), 0))).alias("name"))
-    hits = words.join(definitions.select("name", "ord"), "name").join(definitions.select("name", "path", "line_no"), ["name", "path", "line_no"], "left_anti")
+    first = written(definitions.groupBy("name").agg(F.min("ord").alias("ord")))
+    hits = words.join(first, "name").join(definitions.select("name", "path", "line_no"), ["name", "path", "line_no"], "left_anti")
     return hits.groupBy("path", "line_no").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
