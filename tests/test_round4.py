@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workgraph.operators import binary
+from workgraph.operators import binary, declarations
 
 
 def most_rows(df) -> int:
@@ -30,3 +30,17 @@ def test_a_name_of_many_definitions_meets_a_word_once(spark):
     hits = binary.plan_call_sites(lines, defs)
     assert sorted(map(tuple, hits.collect())) == sorted((f"p{k}", 2, "g") for k in range(n))
     assert most_rows(hits) <= 5 * n
+
+
+def test_a_conversion_plan_gathers_no_class(spark):
+    files = spark.createDataFrame([(f"p{k}", 'extern "C" void f(CGame* self);\nvoid f(CGame* self) {\n  ((CGame*)self)->x = 1;\n}\nint a = f(0);') for k in range(3)], "path string, text string")
+    symbols = spark.createDataFrame([(2, "m__11CGameFv"), (1, "b__Q24game5CGameFv"), (3, "x__5OtherFv")], "ordinal int, name string")
+    plan = declarations.conversion_plan(files, symbols)
+    rows = lambda d, *c: sorted(map(tuple, d.select(*c).collect()))
+    assert not [c for d in plan for c, kind in d.dtypes if kind.startswith(("array", "map"))]
+    assert rows(plan.hits, "class", "path", "line_no", "kind") == sorted(("CGame", f"p{k}", n, kind) for k in range(3) for n, kind in ((1, "decl"), (2, "def-selfcast")))
+    assert rows(plan.members, "class", "ordinal", "name") == [("CGame", 1, "b__Q24game5CGameFv"), ("CGame", 2, "m__11CGameFv")]
+    assert rows(plan.renames, "name", "target") == [("m__11CGameFv", "m__5CGameFv")]
+    assert rows(plan.targets, "path", "target") == [(f"p{k}", "f__Q24game5CGameFv") for k in range(3)]
+    assert rows(plan.call_sites, "path", "line_no", "name") == sorted((f"p{k}", n, "f") for k in range(3) for n in (1, 5))
+    assert rows(plan.sites(), "class", "n_sites") == [("CGame", 6)]
