@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from workgraph.operators import binary, declarations
+from workgraph.operators import binary, declarations, registry
 
 
-def most_rows(df) -> int:
-    """The most rows that any step of df's plan gives when it is run."""
+def most_rows(df, metric: str = "numOutputRows") -> int:
+    """The most that a metric of any step of df's plan counts when it is run."""
     df.collect()
 
     def walk(node) -> int:
@@ -16,7 +16,7 @@ def most_rows(df) -> int:
         if name.endswith("QueryStageExec"):
             return walk(node.plan())
         m = node.metrics()
-        own = m.apply("numOutputRows").value() if m.contains("numOutputRows") else 0
+        own = m.apply(metric).value() if m.contains(metric) else 0
         kids = node.children()
         return max([own, *(walk(kids.apply(i)) for i in range(kids.size()))])
 
@@ -44,3 +44,11 @@ def test_a_conversion_plan_gathers_no_class(spark):
     assert rows(plan.targets, "path", "target") == [(f"p{k}", "f__Q24game5CGameFv") for k in range(3)]
     assert rows(plan.call_sites, "path", "line_no", "name") == sorted((f"p{k}", n, "f") for k in range(3) for n in (1, 5))
     assert rows(plan.sites(), "class", "n_sites") == [("CGame", 6)]
+
+
+def test_changes_of_a_unit_are_not_shuffled_with_its_items(spark):
+    log = spark.createDataFrame([("w", "u", "", seq, "ab"[seq % 2]) for seq in range(1, 101)], "workflow_id string, unit_id string, target_id string, seq long, status string")
+    items = spark.createDataFrame([(f"i{k}", "u") for k in range(200)], "id string, unit_id string")
+    got = registry.status_changes(log, items)
+    assert got.count() == 100 * 200
+    assert most_rows(got.filter("seq < 101"), "shuffleRecordsWritten") <= 5000
