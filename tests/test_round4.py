@@ -52,3 +52,10 @@ def test_changes_of_a_unit_are_not_shuffled_with_its_items(spark):
     got = registry.status_changes(log, items)
     assert got.count() == 100 * 200
     assert most_rows(got.filter("seq < 101"), "shuffleRecordsWritten") <= 5000
+
+
+def test_edges_are_merged_without_a_join(spark):
+    e = lambda rows: spark.createDataFrame(rows, "from_id string, to_id string, kind string")
+    got = registry.merge_edges(e([("a", "b", None), ("a", "c", "calls"), ("a", "c", "calls")]), e([("d", None, "calls"), ("x", "y", "calls")]), e([("a", "b", None), ("x", "y", "calls")]))
+    assert sorted(map(str, got.collect())) == sorted(map(str, e([("a", "c", "calls"), ("d", None, "calls")]).collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

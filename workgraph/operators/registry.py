@@ -199,9 +199,8 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
 
 def merge_edges(current: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
     """The edges after add and remove; doing it twice changes nothing. Nulls are equal."""
-    every = current.unionByName(add).dropDuplicates()
-    gone = remove.select(*[F.col(c).alias(c) for c in current.columns])
-    return every.join(gone, _same(every, gone), "left_anti")
+    every = current.unionByName(add).withColumn("_gone", F.lit(False)).unionByName(remove.select(*current.columns, F.lit(True).alias("_gone")))
+    return every.groupBy(*current.columns).agg(F.bool_or("_gone").alias("_gone")).filter("not _gone").drop("_gone")
 
 
 def edge_changes(current: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
