@@ -59,3 +59,12 @@ def test_edges_are_merged_without_a_join(spark):
     got = registry.merge_edges(e([("a", "b", None), ("a", "c", "calls"), ("a", "c", "calls")]), e([("d", None, "calls"), ("x", "y", "calls")]), e([("a", "b", None), ("x", "y", "calls")]))
     assert sorted(map(str, got.collect())) == sorted(map(str, e([("a", "c", "calls"), ("d", None, "calls")]).collect()))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_drift_examines_only_files_that_name_a_symbol(spark):
+    insns = spark.createDataFrame([(f"g{k}", "other", k, "li", "r3, 2") for k in range(500)] + [("f", "func_80000010", 0, "lwz", "r4, 0x10(r3)")], "file string, fn string, idx long, mnemonic string, operands string")
+    symbols = spark.createDataFrame([(1, "func_80000010")], "ordinal long, name string")
+    lines = spark.createDataFrame([("h", 1, "static void func_80000010(int a, int b);")], "path string, line_no int, raw string")
+    got = binary.header_drift(lines, symbols, insns)
+    assert [r.drift for r in got.collect()] == ["header 2 params, binary 1"]
+    assert most_rows(got, "shuffleRecordsWritten") < 100

@@ -166,14 +166,20 @@ HEADER_DECL = r"^\s*(static\s+)?[\w\s*&:<>]*?\b(func_[0-9A-Fa-f]{8})\w*\s*\("
 def header_drift(lines: DataFrame, symbols: DataFrame, insns: DataFrame) -> DataFrame:
     """(path, line_no, retail, drift): declarations of placeholder functions (lines of path, line_no, raw) that the binary
     contradicts, by the first symbol in file order that begins with the declared name: static or not, and the number of
-    parameters. Equi-joins on the 13 characters of a placeholder name."""
+    parameters. Equi-joins on the 13 characters of a placeholder name. Of the listing, only files that define or call one of
+    these symbols are examined: what they show of it, no other file can add to."""
     inside = F.regexp_extract("raw", r"\((.*)\)", 1)
     d = lines.select("path", "line_no", F.regexp_extract("raw", HEADER_DECL, 1).alias("st"), F.regexp_extract("raw", HEADER_DECL, 2).alias("base"), inside.alias("inside")).filter("base <> ''")
     d = d.withColumn("n_header", F.when(F.trim("inside") == "", 0).otherwise(F.size(F.split("inside", ","))))
     retail = symbols.groupBy(F.substring("name", 1, 13).alias("base")).agg(F.min_by("name", F.struct("ordinal", "name")).alias("retail"))
+    d = written(d.join(retail, "base"))
+    named = F.array_compact(F.array("fn", F.when(F.col("mnemonic") == "bl", F.trim(F.substring_index("operands", ",", 1)))))
+    files = insns.select("file", F.explode(named).alias("retail")).distinct().join(written(d.select("retail").distinct()), "retail", "left_semi")
+    files = written(files.select("file").distinct())
+    insns = insns.limit(0) if files.isEmpty() else insns.join(files, insns["file"].eqNullSafe(files["file"]), "left_semi")
     n = callee_params(insns).groupBy(F.col("fn").alias("retail")).agg(F.count("*").alias("n_binary"))
     v = member_verdict(insns).select(F.col("symbol").alias("retail"), "verdict")
-    out = d.join(retail, "base").join(n, "retail", "left").join(v, "retail", "left").withColumn("n_binary", F.coalesce("n_binary", F.lit(0)))
+    out = d.join(n, "retail", "left").join(v, "retail", "left").withColumn("n_binary", F.coalesce("n_binary", F.lit(0)))
     # a symbol that the listing has never seen is no object base anywhere
     told = F.coalesce("verdict", F.lit("NOT non-static member (r3 never used as object base)"))
     static, never, member = F.col("st") != "", told.startswith("NOT non-static member"), told.contains("possible member") | told.contains("possible virtual")
