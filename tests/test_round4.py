@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from workgraph.operators import binary, declarations, registry
+from workgraph.streaming import jobs, keyed
 
 
 def most_rows(df, metric: str = "numOutputRows") -> int:
@@ -68,3 +73,16 @@ def test_drift_examines_only_files_that_name_a_symbol(spark):
     got = binary.header_drift(lines, symbols, insns)
     assert [r.drift for r in got.collect()] == ["header 2 params, binary 1"]
     assert most_rows(got, "shuffleRecordsWritten") < 100
+
+
+# --- streams whose keys share buckets ---
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    rows = spark.range(6000).select(F.concat(F.lit("run"), F.col("id") % 3000).alias("run_id"), "id", F.lit(3).cast("long").alias("cost_micro_usd"))
+    rows.write.parquet(f"{tmp_path}/costs")
+    stream = jobs.spend_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/costs"), 5)
+    q = stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet", outputMode="append")
+    q.awaitTermination()
+    assert max(sum(o.numRowsTotal for o in p.stateOperators) for p in q.recentProgress) <= keyed.BUCKETS
+    assert sorted((r.run_id, r.id, r.spent) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted((f"run{i}", i + 3000, 6) for i in range(3000))
