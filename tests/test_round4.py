@@ -86,3 +86,21 @@ def test_many_keys_share_few_states(spark, tmp_path):
     q.awaitTermination()
     assert max(sum(o.numRowsTotal for o in p.stateOperators) for p in q.recentProgress) <= keyed.BUCKETS
     assert sorted((r.run_id, r.id, r.spent) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted((f"run{i}", i + 3000, 6) for i in range(3000))
+
+
+def test_a_unit_of_many_items_fires_once_and_not_if_one_is_rejected_in_the_batch(spark, tmp_path):
+    shape = "pipeline string, unit_id string, work_item_id string, n_items int, accepted boolean"
+    more = jobs.HELD_ITEMS + 200
+    batches = [[("p", "u", f"i{k}", more, True) for k in range(more - 1)] + [("p", "v", "i", 1, True)] + [("p", "w", f"i{k}", 300, True) for k in range(300)] + [("p", "v", "i", 1, False), ("p", "w", None, 300, False)], [("p", "u", "i7", more, True), ("p", "u", "i8", more, True)], [("p", "u", "last", more, True), ("p", "w", "i", 300, True)], [("p", "u", "last", more, True)]]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = []
+        for rows in batches:
+            spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+            src = spark.readStream.schema(shape).parquet(f"{tmp_path}/log")
+            jobs.unit_complete(src).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet", outputMode="append").awaitTermination()
+            found.append([tuple(r) for r in spark.read.schema("pipeline string, unit_id string").parquet(f"{tmp_path}/out").collect()])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert found == [[], [], [("p", "u")], [("p", "u")]]
