@@ -104,3 +104,19 @@ def test_a_unit_of_many_items_fires_once_and_not_if_one_is_rejected_in_the_batch
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert found == [[], [], [("p", "u")], [("p", "u")]]
+
+
+def test_resolved_changes_come_from_a_stream_of_scope_changes(spark, tmp_path):
+    shape = "workflow_id string, unit_id string, target_id string, seq long, status string"
+    rng = random.Random(9)
+    scopes = [("u", ""), ("u", ""), ("", "a"), ("u", "a"), ("v", "b"), ("v", ""), ("", "b"), (None, "c")]
+    rows = [("w", *rng.choice(scopes), seq, rng.choice(["S", "T", None])) for seq in range(200)]
+    items = spark.createDataFrame([("a", "u"), ("d", "u"), ("b", "v"), ("c", None)], "id string, unit_id string")
+    for some in (rows[:90], rows[90:]):
+        spark.createDataFrame(some, shape).write.mode("append").parquet(f"{tmp_path}/log")
+        stream = jobs.scope_change_stream(spark.readStream.schema(shape).parquet(f"{tmp_path}/log"))
+        stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet", outputMode="append").awaitTermination()
+    kept = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+    log = spark.createDataFrame(rows, shape)
+    assert kept.count() < len(rows)
+    assert sorted(map(str, registry.status_changes(kept, items).collect())) == sorted(map(str, registry.status_changes(log, items).collect()))
