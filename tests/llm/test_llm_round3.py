@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from workgraph.llm import alignment, decontamination, images, langid, variants
+from workgraph.llm import alignment, decontamination, images, langid, subword, variants
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -258,3 +258,17 @@ def test_no_letters_no_language(spark):
     langs, logp = langid.train(spark.createDataFrame([("en", "the words of the text"), ("fr", "les mots du texte")], "lang string, text string"))
     d = spark.createDataFrame([(1, "½ ² 12"), (2, "²x"), (3, None), (4, "日")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred == "und" for r in langid.identify(d, langs, logp).collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_remembered_merges_are_bounded_and_change_nothing(spark):
+    words = [f"{a}{b}ation" for a in ("inter", "trans", "multi", "under") for b in ("nation", "form", "plic", "stand", "port")]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * k) % 20] for k in range(40))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    few, many = (sorted(map(str, subword.encode(docs, nodes=n).select("doc_id", "ids").collect())) for n in (50, subword.MOST_NODES))
+    assert few == many
+    v = subword.Vocabulary(subword.MODEL)
+    v.paths.most = 50
+    sizes = []
+    for i in range(60):
+        v.encode(" ".join(words), i, 0.1, 41)
+        sizes.append(len(v.paths.step))
+    assert max(sizes) <= 50 + 20 * 32

@@ -29,8 +29,8 @@ _STEP, _DRAW = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 LONG_UNIT, KEPT_UNIT, SLICE, ROWS = 48, 32, 40_000, 2048
 #: Bits of the filter that tells a word's first sight from its second.
 SIGHTS = 1 << 23
-#: What is remembered at most: nodes (16 bytes each), piece ids (4 bytes each) and words (about 150 bytes each).
-MOST_NODES, MOST_IDS, MOST_WORDS = 10_000_000, 12_000_000, 1_000_000
+#: Nodes (16 bytes each) that are remembered at most; with them go 1.2 piece ids (4 bytes) and 0.1 words (about 150 bytes) a node.
+MOST_NODES = 10_000_000
 
 
 class Paths:
@@ -39,6 +39,7 @@ class Paths:
     Any occurrence of a word follows its own draws down the trie; the agenda runs only where nobody has been."""
 
     def __init__(self) -> None:
+        self.most = MOST_NODES
         self.clear()
 
     def clear(self) -> None:
@@ -59,7 +60,7 @@ class Paths:
         return True
 
     def full(self) -> bool:
-        return len(self.step) > MOST_NODES or len(self.ids) > MOST_IDS or len(self.root) > MOST_WORDS
+        return len(self.step) > self.most or 5 * len(self.ids) > 6 * self.most or 10 * len(self.root) > self.most
 
     def add(self, unit: str, trail: list[tuple[int, bool]], ids: list[int], keep: bool) -> int:
         """The value of a new end with these ids, which the trail of decisions leads to."""
@@ -346,7 +347,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, rate: float = 0.1, seed: int = 41, id_col: str = "doc_id", text_col: str = "text", out: str = "ids", check: str | None = None, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, rate: float = 0.1, seed: int = 41, id_col: str = "doc_id", text_col: str = "text", out: str = "ids", check: str | None = None, model: str = MODEL, nodes: int = MOST_NODES) -> DataFrame:
     """docs with the piece ids of each text in column out (array<int>), and, if check names a column, whether decoding them
     gives the text back (boolean, in the same pass).
 
@@ -358,12 +359,14 @@ def encode(docs: DataFrame, rate: float = 0.1, seed: int = 41, id_col: str = "do
     Null text: null ids, and check is true. Empty text: no ids. Null id: drawn as one id of its own. Very long texts and words: encoded
     whole, in slices of words; a word's agenda takes memory as its length. Ties of equal rank go to the first place.
     Repeated rows get equal ids. Empty table: empty result. Other columns pass unchanged; ones named as out or check
-    are replaced, and these stand last.
+    are replaced, and these stand last. A worker remembers merge decisions in up to so many nodes (beside the vocabulary about
+    40 bytes each), which costs time where they are few, and changes no result.
     """
     key = fresh(docs, "_key")[0]
 
     def run(keys: pa.Array, texts: pa.Array) -> list[pa.Array]:
         v = vocabulary(model)
+        v.paths.most = nodes
         rows = texts.to_pylist()
         ids = list(v.encode_all(rows, keys.to_pylist(), rate, seed))
         found = [int_lists(ids)]
