@@ -150,18 +150,20 @@ def open_items(items: DataFrame, status: DataFrame, workflow: str, done: list[st
     return resolve_status(chosen, status, workflow).filter(F.col("resolved").isNull() | ~F.col("resolved").isin(done))
 
 
-def registry_violations(items: DataFrame, deps: DataFrame, caps: DataFrame | None = None) -> DataFrame:
-    """(rule, subject): missing fields, unknown vocabulary, duplicate ids and dangling ends."""
+def registry_violations(items: DataFrame, deps: DataFrame, caps: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """(rule, subject): missing fields, unknown vocabulary, duplicate ids and dangling ends. With parts, ids meet in so many
+    tasks; else in as many as the session's shuffles have."""
     row = lambda d, rule, subject: d.select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
-    ids = items.select("id").distinct()
+    dealt = lambda d, c: d.repartition(parts, c) if parts else d
+    ids = dealt(items.select("id"), "id").groupBy("id").count()
     out = [row(items.filter(F.coalesce(F.col(c), F.lit("")) == ""), f"missing_{c}", "id") for c in ("id", "kind", "status")]
     out.append(row(items.filter(~F.coalesce("lifecycle", F.lit("")).isin(*LIFECYCLES)), "lifecycle", "id"))
-    out.append(row(items.groupBy("id").count().filter("count > 1"), "duplicate_id", "id"))
+    out.append(row(ids.filter("count > 1"), "duplicate_id", "id"))
     out.append(row(deps.filter(~F.coalesce("kind", F.lit("")).isin(*EDGE_KINDS)), "edge_kind", "kind"))
-    for end in ("from_id", "to_id"):
-        out.append(row(deps.join(ids, deps[end] == ids["id"], "left_anti"), f"dangling_{end}", end))
+    ends = row(deps, "dangling_from_id", "from_id").unionByName(row(deps, "dangling_to_id", "to_id"))
     if caps is not None:
-        out.append(row(caps.join(ids, caps["work_item_id"] == ids["id"], "left_anti"), "dangling_capability", "work_item_id"))
+        ends = ends.unionByName(row(caps, "dangling_capability", "work_item_id"))
+    out.append(dealt(ends, "subject").join(ids, ends["subject"] == ids["id"], "left_anti"))
     every = out[0]
     for o in out[1:]:
         every = every.unionByName(o)

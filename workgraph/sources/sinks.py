@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lint import SEEDED
 from ..operators.registry import registry_violations
+from ..tables import in_order, parts_of, small_tasks
 
 SNAPSHOT = ("items", "deps", "capabilities")
 FINDING = {"rule": "string", "line": "int", "column": "int", "snippet": "string", "message": "string", "path": "string"}
@@ -22,9 +23,10 @@ def write_findings(df: DataFrame, path: str) -> None:
 
 def export_registry(items: DataFrame, deps: DataFrame, caps: DataFrame, path: str) -> None:
     """A snapshot in a fixed order: items, edges and capabilities; leases never."""
-    items.sort("id").write.mode("overwrite").parquet(f"{path}/items")
-    deps.sort("from_id", "to_id", "kind").write.mode("overwrite").parquet(f"{path}/deps")
-    caps.sort("work_item_id", "capability").write.mode("overwrite").parquet(f"{path}/capabilities")
+    with small_tasks(items.sparkSession):
+        in_order(items, "id").write.mode("overwrite").parquet(f"{path}/items")
+        in_order(deps, "from_id", "to_id", "kind").write.mode("overwrite").parquet(f"{path}/deps")
+        in_order(caps, "work_item_id", "capability").write.mode("overwrite").parquet(f"{path}/capabilities")
 
 
 def import_registry(spark: SparkSession, path: str, to: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -34,7 +36,7 @@ def import_registry(spark: SparkSession, path: str, to: str | None = None) -> tu
     of that name is an error, and nothing is ever left half written under it.
     """
     items, deps, caps = tables = tuple(spark.read.parquet(f"{path}/{t}") for t in SNAPSHOT)
-    if bad := registry_violations(items, deps, caps).limit(10).collect():
+    if bad := registry_violations(items, deps, caps, parts_of(items, deps, deps, caps)).limit(10).collect():
         raise ValueError("; ".join(f"{r['rule']}: {r['subject']}" for r in bad))
     if to is None:
         return tables

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+TASK_ROWS = 1_000_000  # rows a task sorts or joins at once
+
 
 def new_folder(spark: SparkSession) -> str:
     """A path of its own in the session's checkpoint folder. Only a local session without one gets a temporary folder."""
@@ -24,3 +28,29 @@ def written(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """df sorted by keys, with TASK_ROWS a task: written first, so that its rows are counted without being made twice."""
+    df = written(df)
+    return df.repartitionByRange(parts_of(df), *keys).sortWithinPartitions(*keys)
+
+
+def parts_of(*dfs: DataFrame) -> int:
+    """How many tasks of TASK_ROWS the tables make together, by their files' row counts."""
+    return 1 + sum(df.count() for df in dfs) // TASK_ROWS
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, parts: int = 1000, size: str = "32m") -> Iterator[None]:
+    """While it lasts, Spark reads files in splits of so many bytes, deals shuffles to so many parts and puts small ones
+    together again up to that size: what a task holds does not grow with the tables."""
+    new = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts), "spark.sql.adaptive.advisoryPartitionSizeInBytes": size, "spark.sql.files.maxPartitionBytes": size}
+    old = {name: spark.conf.get(name, None) for name in new}
+    try:
+        for name, value in new.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
