@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.scans import scan, spread
-from ..tables import written
+from ..tables import small_tasks, written
 
 REGISTRY = "id string, kind string, status string, unit string, lifecycle string, region string, symbol string, address string, size long, attempts long, exhausted boolean, ready boolean, meta string"
 #: What a foreign workflow status means as a lifecycle; all else is pending.
 LIFECYCLE_OF = {"DISCOVERY": "pending", "QUEUED": "pending", "CLAIMED": "pending", "ACTIVE": "pending", "BACKLOG": "blocked", "BLOCKED": "blocked", "ACCEPTED": "accepted", "REVALIDATION_REQUIRED": "revalidation_required", "NOT_REQUIRED": "not_required"}
+BLOCK = 1 << 16  # places of a listing that are scanned in one task
 PROMOTED = ("id", "kind", "unit", "status", "workflow_status", "region", "symbol", "address", "milestone", "required_level", "size", "source", "attempts", "exhausted", "ready")
 LINT_FILES, REPORT_FILES = r"\.(?:cpp|cc|cxx|c|hpp|hh|hxx|h)$", r"(?<!\.ctx)\.c$|\.cpp$"
 
@@ -127,19 +128,38 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
     return parse_listing(numbered_lines(spark, path).select("file", "pos", "line"))
 
 
-def parse_listing(lines: DataFrame, parts: int | None = None) -> DataFrame:
-    """read_listing() for lines (file, pos, line): the open function is the last mark before a line; an end mark closes it. Both
-    the mark and the count are scanned in parts of a file."""
+def parse_listing(lines: DataFrame, parts: int | None = None, block: int = BLOCK) -> DataFrame:
+    """read_listing() for lines (file, pos, line): the open function is the last mark before a line; an end mark closes it.
+
+    A file is dealt in blocks of so many places, over parts tasks. Each is scanned alone: an instruction before a block's first
+    mark is open or not by the blocks before it, and what a block ends with stands on its last row, so rows are dealt once and
+    the summaries, a row a block, are added where they are read.
+    """
     ins = r"^/\* ([0-9A-F]+) ([0-9A-F]+)  ([0-9A-F]{2}(?: [0-9A-F]{2}){3}) \*/\s*(.+)"
     line = F.trim("line")
     mark = F.when(line.startswith(".fn "), F.trim(F.regexp_extract(line, r"^\.fn\s+([^,]+)", 1))).when(line.startswith(".endfn"), "")
+    rows = lines.select("file", "pos", F.floor(F.col("pos") / block).alias("_block"), mark.alias("_mark"), F.when(F.col("line").rlike(ins), F.col("line")).alias("line"))
+    rows = rows.filter("_mark is not null or line is not null")
+    rows = rows.repartition(parts, "file", "_block") if parts else rows.repartition("file", "_block")
+    place = Window.partitionBy("file", "_block").orderBy("pos")
+    upto = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", F.last("_mark", True).over(upto).alias("_fn"), F.lead(F.lit(True)).over(place).isNull().alias("_last"))
+    found = F.col("line").isNotNull()
+    count = lambda c: F.sum(c.cast("long")).over(upto)
+    rows = rows.withColumns({"_before": count(found & F.col("_fn").isNull()), "_inside": count(found & F.coalesce(F.col("_fn") != "", F.lit(False)))})
+    with small_tasks(lines.sparkSession):
+        rows = written(rows.filter(F.col("_last") | found & F.coalesce(F.col("_fn") != "", F.lit(True))).drop("_mark", "pos"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.filter("_last").select("file", "_block", "_before", "_inside", F.last("_fn", True).over(earlier).alias("_open"))
+    is_open = F.coalesce(F.col("_open") != "", F.lit(False))
+    own = F.col("_inside") + F.when(is_open, F.col("_before")).otherwise(0)
+    offsets = written(ends.select(F.col("file").alias("_file"), F.col("_block").alias("_b"), "_open", F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias("_n")))
+    out = rows.join(offsets, rows["file"].eqNullSafe(offsets["_file"]) & rows["_block"].eqNullSafe(offsets["_b"]))
+    fn = F.coalesce("_fn", "_open")
+    idx = F.col("_n") + F.col("_inside") + F.when(is_open, F.col("_before")).otherwise(0) - 1
     body = F.trim(F.regexp_replace(F.regexp_extract("line", ins, 4), r"\s*//.*$|  .*$", ""))
-    rows = spread(lines.withColumn("_mark", mark), ["file"], ["pos"], parts)
-    out = scan(rows, ["file"], {"fn": ("last", F.col("_mark"))})
-    inside = (F.regexp_extract("line", ins, 1) != "") & (F.coalesce("fn", F.lit("")) != "")
-    out = scan(out.withColumn("_in", inside), ["file"], {"_n": ("sum", F.col("_in").cast("long"))}).filter("_in").withColumn("body", body)
-    return out.select(
-        "file", "fn", (F.col("_n") - 1).cast("int").alias("idx"), F.conv(F.regexp_extract("line", ins, 1), 16, 10).cast("long").alias("address"), F.regexp_extract("line", ins, 3).alias("bytes"),
+    return out.filter(F.col("line").isNotNull() & F.coalesce(fn != "", F.lit(False))).withColumn("body", body).select(
+        "file", fn.alias("fn"), idx.cast("int").alias("idx"), F.conv(F.regexp_extract("line", ins, 1), 16, 10).cast("long").alias("address"), F.regexp_extract("line", ins, 3).alias("bytes"),
         F.regexp_extract("body", r"^([a-z0-9_.]+)", 1).alias("mnemonic"), F.trim(F.regexp_replace("body", r"^[a-z0-9_.]+", "")).alias("operands"),
     )
 

@@ -43,9 +43,9 @@ def parts_of(*dfs: DataFrame) -> int:
 
 @contextmanager
 def small_tasks(spark: SparkSession, parts: int = 1000, size: str = "32m") -> Iterator[None]:
-    """While it lasts, Spark reads files in splits of so many bytes, deals shuffles to so many parts and puts small ones
-    together again up to that size: what a task holds does not grow with the tables."""
-    new = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts), "spark.sql.adaptive.advisoryPartitionSizeInBytes": size, "spark.sql.files.maxPartitionBytes": size}
+    """While it lasts, Spark deals shuffles to so many parts and puts small ones together again up to a size: what a task gets
+    does not grow with the tables. Splits of files stay as they are, since places in files are told by them."""
+    new = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts), "spark.sql.adaptive.advisoryPartitionSizeInBytes": size}
     old = {name: spark.conf.get(name, None) for name in new}
     try:
         for name, value in new.items():
