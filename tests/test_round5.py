@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from workgraph import tables
-from workgraph.operators import registry
+from workgraph.operators import lint, registry
 from workgraph.sources import readers, sinks
 
 ITEMS = "id string, kind string, status string, lifecycle string"
@@ -63,3 +63,10 @@ def test_a_listing_is_dealt_once(spark):
         seen.value = 0
         got = [tuple(r) for r in readers.parse_listing(lines, parts, block).collect()]
         assert sorted(got, key=str) == sorted(want, key=str) and seen.value == len(rows)
+
+
+def test_ascii_is_not_shown_to_the_class_of_unsafe_characters(spark):
+    lines = spark.createDataFrame([("a.c", 1, "plain"), ("a.c", 2, "x é y é z \U0001f600 ß"), ("a.c", 3, "表 ok"), ("a.c", 4, None)], "path string, line_no int, raw string")
+    found = lint.lint_delta(lines)
+    assert [(r.line_no, r.rule, r.message.count("é"), r.message.count("\U0001f600"), r.message.count("ß")) for r in found.collect()] == [(2, "non_sjis_char", 1, 1, 1)]
+    assert "[\\x00-\\x7F]+" in found._jdf.queryExecution().toString()  # stripped before the class is tried
