@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from workgraph import tables
+from workgraph import queries, tables
 from workgraph.operators import lint, registry
 from workgraph.sources import readers, sinks
 
@@ -70,3 +70,15 @@ def test_ascii_is_not_shown_to_the_class_of_unsafe_characters(spark):
     found = lint.lint_delta(lines)
     assert [(r.line_no, r.rule, r.message.count("é"), r.message.count("\U0001f600"), r.message.count("ß")) for r in found.collect()] == [(2, "non_sjis_char", 1, 1, 1)]
     assert "[\\x00-\\x7F]+" in found._jdf.queryExecution().toString()  # stripped before the class is tried
+
+
+def test_rules_of_a_table_spread_a_scan_of_one_task(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("words and backed letters "), F.col("id").cast("string")), 40).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "ARGENTINA", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert queries.QUERIES["l16_rule_table"](spark, str(tmp_path)).rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
