@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +23,19 @@ def json_entries(spark: SparkSession, path: str, under: str | None = None) -> Da
     depth at which a line begins. Lines that begin between entries start an entry (or several, if they hold them whole). A
     file whose lines do not keep entries apart, or whose brackets do not close, has one null entry: it must be read whole.
     """
-    lines = numbered_lines(spark, path).select("file", "pos", "line")
+    split, whole = _json_texts(spark, path, under)
+    whole = whole.select("file", F.lit(None).cast("string").alias("entry"))
+    return whole if split is None else split.unionByName(whole)
+
+
+def _json_texts(spark: SparkSession, path: str, under: str | None) -> tuple[DataFrame | None, DataFrame]:
+    """json_entries() of the files that are split (file, entry; None if no file can be), and the others (file, text). A file on
+    one line cannot be split, so its line is its text, and its brackets are not counted."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).filter(F.trim("text") != "")
+    long = written(raw.groupBy("file").agg(F.count("*").alias("_n")).filter("_n > 1").select("file"))
+    if long.isEmpty():
+        return None, raw
+    lines = numbered_lines(spark, path).select("file", "pos", "line").join(long, "file", "left_semi")
     bare = F.regexp_replace("line", r'"(?:\\.|[^"\\])*"', '""')
     step = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
     closers = F.regexp_count(F.regexp_extract(bare, r"^[\s\]}]*", 0), F.lit(r"[\]}]"))  # before anything else on the line
@@ -46,16 +56,16 @@ def json_entries(spark: SparkSession, path: str, under: str | None = None) -> Da
     starts = scan(deep.withColumn("_starts", (entry & (depth == at)).cast("long")), ["file"], {"_entry": ("sum", F.col("_starts"))})
     held = starts.filter(entry).join(layout.filter("not _whole").select("file"), "file", "left_semi")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    split = held.groupBy("file", "_entry").agg(F.regexp_replace(text, r"^\s*,|,\s*$", "").alias("entry"))
-    return split.select("file", "entry").unionByName(layout.filter("_whole").select("file", F.lit(None).cast("string").alias("entry")))
+    split = held.groupBy("file", "_entry").agg(F.regexp_replace(text, r"^\s*,|,\s*$", "").alias("entry")).select("file", "entry")
+    whole = deep.join(layout.filter("_whole").select("file"), "file", "left_semi").groupBy("file").agg(text.alias("text"))
+    return split, raw.join(long, "file", "left_anti").unionByName(whole)
 
 
 def _json_rows(spark: SparkSession, path: str, under: str | None, brackets: str, kind: str, whole) -> DataFrame:
     """(v): what a schema makes of each entry in brackets, and of files that must be read whole; malformed ones are null."""
-    entries = json_entries(spark, path, under)
-    split = entries.filter("entry is not null").select(F.from_json(F.concat(F.lit(brackets[0]), "entry", F.lit(brackets[1])), kind).alias("v"))
-    names = [unquote(r.file) for r in entries.filter("entry is null").select("file").toLocalIterator()]  # only these are read whole
-    return split.unionByName(spark.read.text(names, wholetext=True).select(whole.alias("v"))) if names else split
+    split, texts = _json_texts(spark, path, under)
+    out = texts.select(F.col("text").alias("value")).select(whole.alias("v"))
+    return out if split is None else split.select(F.from_json(F.concat(F.lit(brackets[0]), "entry", F.lit(brackets[1])), kind).alias("v")).unionByName(out)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -64,9 +74,11 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     A file with items on lines of their own is split between them, however large; another is one row.
     """
     kind = f"array<struct<{_struct(REGISTRY)}>>"
-    whole = F.coalesce(F.from_json(F.get_json_object("value", "$.workItems"), kind), F.from_json("value", kind))
-    bare = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value")).first()
-    out = _json_rows(spark, path, None if bare and bare[0].startswith("[") else "workItems", "[]", kind, whole).select(F.explode("v").alias("i")).select("i.*")
+    array = F.from_json("value", kind)
+    whole = F.when(F.ltrim("value").startswith("["), array).otherwise(F.coalesce(F.from_json(F.get_json_object("value", "$.workItems"), kind), array))
+    bare = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
+    # not explode(), before which Spark would parse each text once more to see whether it holds anything
+    out = _json_rows(spark, path, None if bare and bare[0] == "[" else "workItems", "[]", kind, whole).select(F.posexplode_outer("v").alias("_at", "i")).filter("_at is not null").select("i.*")
     out = out.fillna({"lifecycle": "pending", "attempts": 0}).withColumns({"exhausted": F.coalesce("exhausted", F.lit(False)), "ready": F.coalesce("ready", F.lit(False)), "meta": F.coalesce("meta", F.lit("{}"))})
     bad = F.coalesce("id", F.lit("")).eqNullSafe("") | F.coalesce("kind", F.lit("")).eqNullSafe("") | F.coalesce("status", F.lit("")).eqNullSafe("")
     return out.withColumn("id", F.when(bad, F.raise_error(F.lit("a work item lacks id, kind or status"))).otherwise(F.col("id"))).withColumnRenamed("unit", "unit_id")
