@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ BITS, POINTS, RADIUS, TURNS = 128, 16, 12, 32
 #: Side of the cells whose own strongest corners are kept besides the POINTS strongest of the image, and how many a cell.
 CELL, CELL_POINTS = 32, 4
 TABLES, TABLE_BITS = 24, 30
-#: Bits of the filter of query keys that all other corners' keys are held against before they are shuffled (32 MB).
+#: Bits of a filter that corners' keys are held against before they are shuffled (32 MB).
 FILTER_BITS = 1 << 28
+#: Images of one task whose pixels are known again there, so that equal ones are described once a task.
+REMEMBERED = 200_000
 #: Pixels of a bin of shifts.
 SHIFT = 16
 #: A described corner: descriptor bits, place in pixels of its scale, step of SCALES and orientation.
@@ -141,61 +144,93 @@ def _standing(spots: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _slot(keys: np.ndarray, salt: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64) ^ np.uint64(salt << 48)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _index(wanted=None):
-    """(class_id, corners) -> (key, class_id, spot): a row for each corner and table; where wanted, a broadcast filter, is
-    given, only for keys that it may hold."""
+def _shared(sc, salt: int, filters: tuple[np.ndarray, np.ndarray]):
+    """(salt, broadcast) of key_filter()'s filters, compressed: workers read them from files."""
+    return salt, sc.broadcast(tuple(zlib.compress(f, 1) for f in filters))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _keyed(filters: list) -> Callable[[Iterable[pa.RecordBatch]], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """(class_id, asks, corners) -> (class_id, keys, spots) of each image: a key for each corner and table that may stand in
+    all filters. Where an image's own keys were put in a filter that tells so, only keys that others put there too pass."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        opened = [(salt, [np.frombuffer(zlib.decompress(f), np.uint8) for f in shared.value]) for salt, shared in filters]
         for batch in batches:
-            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, asks, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 c = np.frombuffer(blob or b"", CORNER)
-                if not len(c):
-                    continue
                 keys, spots = table_keys(c).ravel(), np.repeat(_spots(c), TABLES)
-                if wanted is not None:
-                    at = _slot(keys)
-                    held = (wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                for salt, (any_, twice) in opened:
+                    at = _slot(keys, salt)
+                    held = ((twice if asks and len(twice) else any_)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                     keys, spots = keys[held], spots[held]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(keys.size, i, np.int64)), pa.array(spots)], ["key", "class_id", "spot"])
+                if len(keys):
+                    yield i, keys, spots
 
     return run
 
 
-def key_filter(asking: DataFrame, part: int = 1 << 20) -> np.ndarray:
-    """FILTER_BITS bits, with those set that the keys of asking (class_id, corners) fall on. Parts of the filter, a row each,
-    are put together in tasks; the driver gets FILTER_BITS bits at most, however many keys there are."""
+def _index(filters: list):
+    """(class_id, asks, corners) -> (key, class_id, spot): a row for each corner and table that pass the filters."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, keys, spots in _keyed(filters)(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(keys.size, i, np.int64)), pa.array(spots)], ["key", "class_id", "spot"])
+
+    return run
+
+
+def key_filter(images: DataFrame, filters: list, salt: int, twice: bool = False, part: int = 1 << 20, wide: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """FILTER_BITS bits, with those set that keys of images (class_id, asks, corners) fall on, of keys that pass filters; and, if
+    asked for, as many with those set that keys of two images or more fall on. Parts, a row each, are put together in tasks; the
+    driver gets so many bits at most, however many keys there are."""
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each part and batch: the steps between its bits, two bytes each, longer ones in several."""
-        for batch in batches:
-            corners = [np.frombuffer(blob or b"", CORNER) for blob in batch.column(0).to_pylist()]
-            at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_slot(table_keys(c).ravel()) for c in corners if len(c))]))
-            parts, starts = np.unique(at // part, return_index=True)
-            steps = []
-            for x in np.split(at % part, starts[1:]) if len(at) else []:
-                far = np.diff(x, prepend=0)
-                longer = far // 0xFFFF
-                row = np.full(len(x) + longer.sum(), 0xFFFF, "<u2")
-                row[np.cumsum(longer + 1) - 1] = far - longer * 0xFFFF
-                steps.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(steps, pa.binary())], ["part", "steps"])
+        """A row for each part and wide keys: the steps between its bits, two bytes each, longer ones in several; and one
+        for bits that come twice."""
+
+        def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            for at in (at, at[n > 1]) if twice else (at,):
+                parts, starts = np.unique(at // part, return_index=True)
+                steps = []
+                for x in np.split(at % part, starts[1:]) if len(at) else []:
+                    far = np.diff(x, prepend=0)
+                    longer = far // 0xFFFF
+                    row = np.full(len(x) + longer.sum(), 0xFFFF, "<u2")
+                    row[np.cumsum(longer + 1) - 1] = far - longer * 0xFFFF
+                    steps.append(row.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(steps, pa.binary())], ["part", "steps"])
+
+        held: list[np.ndarray] = []
+        for _, keys, _ in _keyed(filters)(batches):
+            held.append(np.unique(_slot(keys, salt)))
+            if sum(map(len, held)) >= wide:
+                yield from rows(held)
+                held = []
+        yield from rows(held)
 
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(part // 8, np.uint8)
+        bits, more = np.zeros(part // 8, np.uint8), np.zeros(part // 8, np.uint8)
         for batch in batches:
             for row in batch.column(1).to_pylist():
                 steps = np.frombuffer(row, "<u2")
                 at = np.cumsum(steps, dtype=np.int64)[steps != 0xFFFF]
-                np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in asking.select("corners").mapInArrow(place, "part int, steps binary").groupBy("part").applyInArrow(join, "part int, bits binary").toLocalIterator():
-        out[r.part * (part // 8) : (r.part + 1) * (part // 8)] = np.frombuffer(r.bits, np.uint8)
+                new = np.zeros(part // 8, np.uint8)
+                np.bitwise_or.at(new, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+                more |= bits & new
+                bits |= new
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in (bits.tobytes(), more.tobytes() if twice else b""))], ["part", "bits", "more"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(FILTER_BITS // 8 if twice else 0, np.uint8)
+    placed = images.select("class_id", "asks", "corners").mapInArrow(place, "part int, steps binary")
+    for r in placed.groupBy("part").applyInArrow(join, "part int, bits binary, more binary").toLocalIterator():
+        for bits, x in zip(out, (r.bits, r.more), strict=True):
+            if len(bits):
+                bits[r.part * (part // 8) : (r.part + 1) * (part // 8)] = np.frombuffer(x, np.uint8)
     return out
 
 
@@ -258,6 +293,11 @@ def _votes(most_distance: int, least: int):
     return run
 
 
+def _corners(p: bytes | None, w: float | None) -> bytes:
+    good = p is not None and len(p) and w == w and w and len(p) % int(w) == 0
+    return packed(np.frombuffer(p, np.uint8).reshape(-1, int(w))).tobytes() if good else b""
+
+
 def describe(media: DataFrame, id_col: str = "image_id", pixels_col: str = "pixels", width_col: str = "width") -> DataFrame:
     """(image_id, h1, h2, corners): two hashes of the pixels, and the described corners (CORNER) of each grey image of one
     byte a pixel.
@@ -271,8 +311,7 @@ def describe(media: DataFrame, id_col: str = "image_id", pixels_col: str = "pixe
 
         rows = []
         for p, w in zip(pixels, widths, strict=True):
-            good = p is not None and len(p) and w == w and w and len(p) % int(w) == 0
-            rows.append(packed(np.frombuffer(p, np.uint8).reshape(-1, int(w))).tobytes() if good else b"")
+            rows.append(_corners(p, w))
         return pd.Series(rows, dtype=object)
 
     return _hashed(media, id_col, pixels_col, width_col).select("image_id", "h1", "h2", run(F.col(pixels_col), F.col(width_col)).alias("corners"))
@@ -284,14 +323,27 @@ def _hashed(media: DataFrame, id_col: str, pixels_col: str, width_col: str) -> D
     return media.select(F.col(id_col).cast("long").alias("image_id"), *h, F.col(pixels_col), F.col(width_col)).filter("image_id is not null")
 
 
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(image_id, h1, h2, pixels, width) -> (image_id, h1, h2, corners); null where the task has described these pixels before."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        out = []
+        for h1, h2, p, w in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            out.append(None if h1 is None or (h1, h2) in seen else _corners(p, w))
+            if len(seen) < REMEMBERED:
+                seen.add((h1, h2))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["image_id", "h1", "h2", "corners"])
+
+
 def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22, least: int = 5, id_col: str = "image_id", pixels_col: str = "pixels", width_col: str = "width") -> DataFrame:
     """(kind, image_id, class_id, agreeing). A 'member' row says which class an image is in: images of equal pixels are one
     class, named by its smallest id. A 'match' row says that the class image_id, which holds a query, has an edited or
     cropped copy in class class_id, with so many corners that agree on one turn, scale and shift.
 
     Queries are the images whose id query_every divides; they are held against all classes. Corners meet in TABLES hash
-    tables of TABLE_BITS bits of their descriptors: equi-joins of small rows, before which a broadcast filter of fixed size
-    drops the keys that no query has. Two classes of which two different corners met in places that agree go on: their
+    tables of TABLE_BITS bits of their descriptors: equi-joins of small rows, before which broadcast filters of fixed size
+    drop the keys that no query has, the queries' keys that no other image has, and the keys that the first let through by
+    chance. They drop no key that two classes share, one of them a query. Two classes of which two different corners met in places that agree go on: their
     descriptors are fetched, and all their corners within most_distance differing bits vote for a turn, scale and shift of
     the query. least corners or more must agree. No image meets every other; a key that many classes share is split by
     Spark's skew join.
@@ -300,19 +352,25 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     different pixels is in two classes. Very large images: corners follow the area, CELL by CELL pixels; widths up to
     65,535. Ties: the strongest corner first in row order. Empty table: empty result. Other columns are left out.
     """
-    names = (id_col, pixels_col, width_col)
-    found = describe(media, *names).filter("h1 is not null").groupBy("h1", "h2")
-    reps = written(found.agg(F.min("image_id").alias("class_id"), F.bool_or(F.col("image_id") % query_every == 0).alias("asks"), F.first("corners").alias("corners")))
-    ids = _hashed(media, *names).select("image_id", "h1", "h2").distinct()
-    members = ids.join(reps.select("h1", "h2", "class_id"), ["h1", "h2"], "left").select("image_id", F.coalesce("class_id", "image_id").alias("class_id"))
-    asking = reps.filter("asks").select("class_id", "corners")
-    wanted = media.sparkSession.sparkContext.broadcast(key_filter(asking))
-    side = lambda d, s, f: d.select("class_id", "corners").mapInArrow(_index(f), "key long, class_id long, spot long").select("key", F.col("class_id").alias("class_id" + s), F.col("spot").alias("spot" + s))
-    met = side(asking, "_q", None).join(side(reps, "_m", wanted), "key").filter("class_id_q <> class_id_m")
+    found = _hashed(media, id_col, pixels_col, width_col).mapInArrow(_once, "image_id long, h1 long, h2 long, corners binary")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()))
+    asks = F.col("image_id") % query_every == 0
+    same = found.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("image_id").alias("class_id"), F.bool_or(asks).alias("asks"), F.min(F.when(F.col("corners").isNotNull(), F.col("row"))).alias("holder"), F.count("*").alias("n")).filter("n > 1")
+    same = written(found.select("row", "h1", "h2").join(same, ["h1", "h2"]).select("row", "class_id", "asks", (F.col("row") == F.col("holder")).alias("holds")))
+    named = found.join(same.withColumnRenamed("asks", "class_asks"), "row", "left")
+    members = named.select("image_id", "h1", "h2", F.coalesce("class_id", "image_id").alias("class_id")).distinct().select("image_id", "class_id")
+    reps = named.filter(F.col("corners").isNotNull() & F.coalesce("holds", F.lit(True))).select(F.coalesce("class_id", "image_id").alias("class_id"), F.coalesce("class_asks", asks).alias("asks"), "corners")
+    asking, sc = reps.filter("asks"), media.sparkSession.sparkContext
+    wanted = _shared(sc, 1, key_filter(asking, [], 1, twice=True))
+    answered = _shared(sc, 2, key_filter(reps, [wanted], 2))
+    common = _shared(sc, 3, key_filter(asking, [answered], 3))
+    side = lambda d, s, f: d.mapInArrow(_index(f), "key long, class_id long, spot long").select("key", F.col("class_id").alias("class_id" + s), F.col("spot").alias("spot" + s))
+    met = side(asking, "_q", [answered]).join(side(reps, "_m", [wanted, common]), "key").filter("class_id_q <> class_id_m")
     met = met.groupBy("class_id_q", "class_id_m").agg(F.collect_set(F.struct("spot_q", "spot_m")).alias("spots")).filter(F.size("spots") > 1)
     met = written(met.mapInArrow(_agreeing, "class_id_q long, class_id_m long"))
-    named = written(met.select(F.explode(F.array("class_id_q", "class_id_m")).alias("class_id")).distinct())
-    few = written(reps.select("class_id", "corners").join(named, "class_id"))
+    for _, shared in (wanted, answered, common):
+        shared.destroy()
+    few = written(reps.select("class_id", "corners").join(met.select(F.explode(F.array("class_id_q", "class_id_m")).alias("class_id")).distinct(), "class_id"))
     for s in ("_q", "_m"):
         met = met.join(few.select(F.col("class_id").alias("class_id" + s), F.col("corners").alias("corners" + s)), "class_id" + s)
     match = met.select("class_id_q", "class_id_m", "corners_q", "corners_m").mapInArrow(_votes(most_distance, least), "class_id_q long, class_id_m long, agreeing long")
