@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 
+from workgraph.llm import images
 from workgraph.sources import readers
 
 
@@ -41,3 +43,34 @@ def test_a_null_item_still_raises(spark, tmp_path):
         assert "lacks id" in str(e)
     else:
         raise AssertionError("a null item was dropped")
+
+
+def test_image_rows_are_made_for_shared_keys_only(spark, monkeypatch):
+    """Query images' keys that no other class has are not shuffled, and no shared key is lost; equal images are one class."""
+    rng = np.random.default_rng(2)
+    drawn = [images.draw(rng.normal(size=64)) for _ in range(12)]
+    rows = [(20 * k, m) for k, m in enumerate(drawn)] + [(1, drawn[0][10:90, 6:86]), (7, drawn[1]), (45, drawn[1]), (45, drawn[1]), (46, drawn[2][10:90, 6:86])]
+    media = spark.createDataFrame([(i, np.ascontiguousarray(m).tobytes(), m.shape[1]) for i, m in rows], "image_id long, pixels binary, width int")
+    members, reps = images._classes(media, 20, "image_id", "pixels", "width")
+    assert sorted(tuple(r) for r in members.collect()) == sorted([(20 * k, 20 * k) for k in range(12) if k != 1] + [(20, 7), (1, 1), (7, 7), (45, 7), (46, 46)])
+    reps = reps.collect()
+    corners = [(r.class_id, r.asks, np.frombuffer(r.corners, images.CORNER)) for r in reps]
+    assert sorted((i, asks) for i, asks, _ in corners) == sorted([(20 * k, True) for k in range(12) if k != 1] + [(7, True), (1, False), (46, False)])
+    held: dict[int, set[int]] = {}
+    for at, (_, _, c) in enumerate(corners):
+        for key in images.table_keys(c).ravel().tolist():
+            held.setdefault(key, set()).add(at)
+    shared = {k for k, at in held.items() if len(at) > 1 and any(corners[i][1] for i in at)}
+    made = []
+    index = images._index
+    monkeypatch.setattr(images, "_index", lambda tables, filters: made.append((tables, len(filters))) or index(tables, filters))
+    d = spark.createDataFrame(reps)
+    wanted = images._shared(spark.sparkContext, 1, images.key_filter(d.filter("asks"), slice(0, 24), [], 1, twice=True))
+    answered = images._shared(spark.sparkContext, 2, images.key_filter(d, slice(0, 24), [wanted], 2))
+    for side, f in ((d, wanted), (d.filter("asks"), answered)):
+        keys = [r.key for r in side.mapInArrow(index(slice(0, 24), [f]), "key long, class_id long, spot long").collect()]
+        assert shared <= set(keys) and len(set(keys) - shared) < 0.01 * len(held)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    found = {(r.image_id, r.class_id) for r in images.find_copies(media).filter("kind = 'match'").collect()}
+    assert (0, 1) in found and [n for _, n in made] == [1, 1] * (images.TABLES // images.AT_ONCE)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before

@@ -5,13 +5,14 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import shuffles_removed, written
 from ._words import mix
 
 SCALES = (1.0, 0.75, 0.5)
@@ -19,6 +20,8 @@ BITS, POINTS, RADIUS, TURNS = 128, 16, 12, 32
 #: Side of the cells whose own strongest corners are kept besides the POINTS strongest of the image, and how many a cell.
 CELL, CELL_POINTS = 32, 4
 TABLES, TABLE_BITS = 24, 30
+#: Tables that meet in one join; their rows are gone before the next is made.
+AT_ONCE = 12
 #: Bits of a filter that corners' keys are held against before they are shuffled (32 MB).
 FILTER_BITS = 1 << 28
 #: Images of one task whose pixels are known again there, so that equal ones are described once a task.
@@ -123,12 +126,12 @@ for _t, _k in enumerate(_KEYS):
     _WEIGHTS[0, _k[:_UPPER], _t], _WEIGHTS[1, _k[_UPPER:], _t] = 2.0 ** np.arange(_UPPER), 2.0 ** np.arange(TABLE_BITS - _UPPER)
 
 
-def table_keys(c: np.ndarray) -> np.ndarray:
+def table_keys(c: np.ndarray, tables: slice = slice(None)) -> np.ndarray:
     """Each corner's key [corner, table]: the table's number above the bits it looks at."""
     words = np.stack([c["hi"], c["lo"]], 1).astype(">i8")
     bits = np.unpackbits(words.view(np.uint8).reshape(len(c), BITS // 8), axis=1).astype(np.float32)
-    low, high = ((bits @ w).astype(np.int64) for w in _WEIGHTS)
-    return low + (high << _UPPER) + (np.arange(TABLES) << TABLE_BITS)
+    low, high = ((bits @ w[:, tables]).astype(np.int64) for w in _WEIGHTS)
+    return low + (high << _UPPER) + (np.arange(TABLES)[tables] << TABLE_BITS)
 
 
 def _spots(c: np.ndarray) -> np.ndarray:
@@ -153,16 +156,17 @@ def _shared(sc, salt: int, filters: tuple[np.ndarray, np.ndarray]):
     return salt, sc.broadcast(tuple(zlib.compress(f, 1) for f in filters))
 
 
-def _keyed(filters: list) -> Callable[[Iterable[pa.RecordBatch]], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
-    """(class_id, asks, corners) -> (class_id, keys, spots) of each image: a key for each corner and table that may stand in
-    all filters. Where an image's own keys were put in a filter that tells so, only keys that others put there too pass."""
+def _keyed(tables: slice, filters: list) -> Callable[[Iterable[pa.RecordBatch]], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """(class_id, asks, corners) -> (class_id, keys, spots) of each image: a key for each corner and each of tables that may
+    stand in all filters. Where an image's own keys were put in a filter that tells so, only keys that others put there too pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         opened = [(salt, [np.frombuffer(zlib.decompress(f), np.uint8) for f in shared.value]) for salt, shared in filters]
         for batch in batches:
             for i, asks, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 c = np.frombuffer(blob or b"", CORNER)
-                keys, spots = table_keys(c).ravel(), np.repeat(_spots(c), TABLES)
+                keys = table_keys(c, tables)
+                keys, spots = keys.ravel(), np.repeat(_spots(c), keys.shape[1])
                 for salt, (any_, twice) in opened:
                     at = _slot(keys, salt)
                     held = ((twice if asks and len(twice) else any_)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -173,18 +177,18 @@ def _keyed(filters: list) -> Callable[[Iterable[pa.RecordBatch]], Iterator[tuple
     return run
 
 
-def _index(filters: list):
+def _index(tables: slice, filters: list):
     """(class_id, asks, corners) -> (key, class_id, spot): a row for each corner and table that pass the filters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, keys, spots in _keyed(filters)(batches):
+        for i, keys, spots in _keyed(tables, filters)(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(keys.size, i, np.int64)), pa.array(spots)], ["key", "class_id", "spot"])
 
     return run
 
 
-def key_filter(images: DataFrame, filters: list, salt: int, twice: bool = False, part: int = 1 << 20, wide: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """FILTER_BITS bits, with those set that keys of images (class_id, asks, corners) fall on, of keys that pass filters; and, if
+def key_filter(images: DataFrame, tables: slice, filters: list, salt: int, twice: bool = False, part: int = 1 << 20, wide: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """FILTER_BITS bits, with those set that keys of images (class_id, asks, corners) in tables fall on, of keys that pass filters; and, if
     asked for, as many with those set that keys of two images or more fall on. Parts, a row each, are put together in tasks; the
     driver gets so many bits at most, however many keys there are."""
 
@@ -206,7 +210,7 @@ def key_filter(images: DataFrame, filters: list, salt: int, twice: bool = False,
                 yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(steps, pa.binary())], ["part", "steps"])
 
         held: list[np.ndarray] = []
-        for _, keys, _ in _keyed(filters)(batches):
+        for _, keys, _ in _keyed(tables, filters)(batches):
             held.append(np.unique(_slot(keys, salt)))
             if sum(map(len, held)) >= wide:
                 yield from rows(held)
@@ -227,7 +231,7 @@ def key_filter(images: DataFrame, filters: list, salt: int, twice: bool = False,
 
     out = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(FILTER_BITS // 8 if twice else 0, np.uint8)
     placed = images.select("class_id", "asks", "corners").mapInArrow(place, "part int, steps binary")
-    for r in placed.groupBy("part").applyInArrow(join, "part int, bits binary, more binary").toLocalIterator():
+    for r in written(placed.groupBy("part").applyInArrow(join, "part int, bits binary, more binary"), "zstd").toLocalIterator():
         for bits, x in zip(out, (r.bits, r.more), strict=True):
             if len(bits):
                 bits[r.part * (part // 8) : (r.part + 1) * (part // 8)] = np.frombuffer(x, np.uint8)
@@ -335,6 +339,34 @@ def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["image_id", "h1", "h2", "corners"])
 
 
+def _classes(media: DataFrame, query_every: int, *names: str) -> tuple[DataFrame, DataFrame]:
+    """Each image's class (image_id, class_id), and the classes (class_id, asks, corners)."""
+    found = _hashed(media, *names).mapInArrow(_once, "image_id long, h1 long, h2 long, corners binary")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "zstd")
+    asks = F.col("image_id") % query_every == 0
+    same = found.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("image_id").alias("class_id"), F.bool_or(asks).alias("class_asks"), F.min(F.when(F.col("corners").isNotNull(), F.col("row"))).alias("holder"), F.count("*").alias("n")).filter("n > 1")
+    same = written(found.select("row", "h1", "h2").join(same, ["h1", "h2"]).select("row", "class_id", "class_asks", (F.col("row") == F.col("holder")).alias("holds")))
+    named = found.join(same, "row", "left")
+    class_id = F.coalesce("class_id", "image_id").alias("class_id")
+    members = named.select("image_id", "h1", "h2", class_id).distinct().select("image_id", "class_id")
+    holds = F.col("corners").isNotNull() & F.coalesce("holds", F.lit(True))
+    return members, named.filter(holds).select(class_id, F.coalesce("class_asks", asks).alias("asks"), "corners")
+
+
+def _met(reps: DataFrame, tables: slice) -> DataFrame:
+    """(class_id_q, spot_q, class_id_m, spot_m): corners of two classes, the first of which asks, that meet in one of tables.
+    Before rows are made, filters drop keys that no query has, or that no other class has."""
+    asking, sc = reps.filter("asks"), reps.sparkSession.sparkContext
+    wanted = _shared(sc, 1, key_filter(asking, tables, [], 1, twice=True))
+    answered = _shared(sc, 2, key_filter(reps, tables, [wanted], 2))
+    side = lambda d, s, f: d.mapInArrow(_index(tables, [f]), "key long, class_id long, spot long").select("key", F.col("class_id").alias("class_id" + s), F.col("spot").alias("spot" + s))
+    met = side(asking, "_q", answered).join(side(reps, "_m", wanted), "key").filter("class_id_q <> class_id_m")
+    met = written(met.select("class_id_q", "spot_q", "class_id_m", "spot_m"), "zstd")
+    for _, shared in (wanted, answered):
+        shared.destroy()
+    return met
+
+
 def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22, least: int = 5, id_col: str = "image_id", pixels_col: str = "pixels", width_col: str = "width") -> DataFrame:
     """(kind, image_id, class_id, agreeing). A 'member' row says which class an image is in: images of equal pixels are one
     class, named by its smallest id. A 'match' row says that the class image_id, which holds a query, has an edited or
@@ -342,35 +374,25 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
 
     Queries are the images whose id query_every divides; they are held against all classes. Corners meet in TABLES hash
     tables of TABLE_BITS bits of their descriptors: equi-joins of small rows, before which broadcast filters of fixed size
-    drop the keys that no query has, the queries' keys that no other image has, and the keys that the first let through by
-    chance. They drop no key that two classes share, one of them a query. Two classes of which two different corners met in places that agree go on: their
-    descriptors are fetched, and all their corners within most_distance differing bits vote for a turn, scale and shift of
-    the query. least corners or more must agree. No image meets every other; a key that many classes share is split by
-    Spark's skew join.
+    drop the keys that no query has and the queries' keys that no other image has. They drop no key that two classes share,
+    one of them a query. AT_ONCE tables are joined at a time, and what was shuffled is removed before the next are. Two
+    classes of which two different corners met in places that agree go on: their descriptors are fetched, and all their
+    corners within most_distance differing bits vote for a turn, scale and shift of the query. least corners or more must
+    agree. No image meets every other; a key that many classes share is split by Spark's skew join.
 
     Null id: left out. No pixels: a class of its own without matches. Rows of one id and pixels count once; an id with two
     different pixels is in two classes. Very large images: corners follow the area, CELL by CELL pixels; widths up to
     65,535. Ties: the strongest corner first in row order. Empty table: empty result. Other columns are left out.
     """
-    found = _hashed(media, id_col, pixels_col, width_col).mapInArrow(_once, "image_id long, h1 long, h2 long, corners binary")
-    found = written(found.withColumn("row", F.monotonically_increasing_id()))
-    asks = F.col("image_id") % query_every == 0
-    same = found.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("image_id").alias("class_id"), F.bool_or(asks).alias("asks"), F.min(F.when(F.col("corners").isNotNull(), F.col("row"))).alias("holder"), F.count("*").alias("n")).filter("n > 1")
-    same = written(found.select("row", "h1", "h2").join(same, ["h1", "h2"]).select("row", "class_id", "asks", (F.col("row") == F.col("holder")).alias("holds")))
-    named = found.join(same.withColumnRenamed("asks", "class_asks"), "row", "left")
-    members = named.select("image_id", "h1", "h2", F.coalesce("class_id", "image_id").alias("class_id")).distinct().select("image_id", "class_id")
-    reps = named.filter(F.col("corners").isNotNull() & F.coalesce("holds", F.lit(True))).select(F.coalesce("class_id", "image_id").alias("class_id"), F.coalesce("class_asks", asks).alias("asks"), "corners")
-    asking, sc = reps.filter("asks"), media.sparkSession.sparkContext
-    wanted = _shared(sc, 1, key_filter(asking, [], 1, twice=True))
-    answered = _shared(sc, 2, key_filter(reps, [wanted], 2))
-    common = _shared(sc, 3, key_filter(asking, [answered], 3))
-    side = lambda d, s, f: d.mapInArrow(_index(f), "key long, class_id long, spot long").select("key", F.col("class_id").alias("class_id" + s), F.col("spot").alias("spot" + s))
-    met = side(asking, "_q", [answered]).join(side(reps, "_m", [wanted, common]), "key").filter("class_id_q <> class_id_m")
-    met = met.groupBy("class_id_q", "class_id_m").agg(F.collect_set(F.struct("spot_q", "spot_m")).alias("spots")).filter(F.size("spots") > 1)
-    met = written(met.mapInArrow(_agreeing, "class_id_q long, class_id_m long"))
-    for _, shared in (wanted, answered, common):
-        shared.destroy()
-    few = written(reps.select("class_id", "corners").join(met.select(F.explode(F.array("class_id_q", "class_id_m")).alias("class_id")).distinct(), "class_id"))
+    with shuffles_removed(media.sparkSession):
+        members, reps = _classes(media, query_every, id_col, pixels_col, width_col)
+        rows = [_met(reps, slice(at, at + AT_ONCE)) for at in range(0, TABLES, AT_ONCE)]
+        met, pair = reduce(DataFrame.unionByName, rows), ["class_id_q", "class_id_m"]
+        # most pairs of unrelated classes met once: they are told by their counts, before places are gathered
+        often = written(met.groupBy(*pair).agg(F.count("*").alias("n")).filter("n > 1").select(*pair), "zstd")
+        met = met.join(often, pair, "left_semi").groupBy(*pair).agg(F.collect_set(F.struct("spot_q", "spot_m")).alias("spots")).filter(F.size("spots") > 1)
+        met = written(met.mapInArrow(_agreeing, "class_id_q long, class_id_m long"))
+        few = written(reps.select("class_id", "corners").join(met.select(F.explode(F.array("class_id_q", "class_id_m")).alias("class_id")).distinct(), "class_id"), "zstd")
     for s in ("_q", "_m"):
         met = met.join(few.select(F.col("class_id").alias("class_id" + s), F.col("corners").alias("corners" + s)), "class_id" + s)
     match = met.select("class_id_q", "class_id_m", "corners_q", "corners_m").mapInArrow(_votes(most_distance, least), "class_id_q long, class_id_m long, agreeing long")
