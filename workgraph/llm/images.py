@@ -21,7 +21,9 @@ BITS, POINTS, RADIUS, TURNS = 128, 16, 12, 32
 CELL, CELL_POINTS = 32, 4
 TABLES, TABLE_BITS = 24, 30
 #: Tables that meet in one join; their rows are gone before the next is made.
-AT_ONCE = 12
+AT_ONCE = 8
+#: Parts of the pairs of classes whose places are gathered one after another, as most pairs are unrelated and met once.
+PARTS = 4
 #: Bits of a filter that corners' keys are held against before they are shuffled (32 MB).
 FILTER_BITS = 1 << 28
 #: Images of one task whose pixels are known again there, so that equal ones are described once a task.
@@ -367,6 +369,12 @@ def _met(reps: DataFrame, tables: slice) -> DataFrame:
     return met
 
 
+def _paired(met: DataFrame) -> DataFrame:
+    """The pairs of classes (class_id_q, class_id_m) of which two different corners met in places that agree."""
+    pairs = met.groupBy("class_id_q", "class_id_m").agg(F.collect_set(F.struct("spot_q", "spot_m")).alias("spots")).filter(F.size("spots") > 1)
+    return written(pairs.mapInArrow(_agreeing, "class_id_q long, class_id_m long"), "zstd")
+
+
 def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22, least: int = 5, id_col: str = "image_id", pixels_col: str = "pixels", width_col: str = "width") -> DataFrame:
     """(kind, image_id, class_id, agreeing). A 'member' row says which class an image is in: images of equal pixels are one
     class, named by its smallest id. A 'match' row says that the class image_id, which holds a query, has an edited or
@@ -387,11 +395,8 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     with shuffles_removed(media.sparkSession):
         members, reps = _classes(media, query_every, id_col, pixels_col, width_col)
         rows = [_met(reps, slice(at, at + AT_ONCE)) for at in range(0, TABLES, AT_ONCE)]
-        met, pair = reduce(DataFrame.unionByName, rows), ["class_id_q", "class_id_m"]
-        # most pairs of unrelated classes met once: they are told by their counts, before places are gathered
-        often = written(met.groupBy(*pair).agg(F.count("*").alias("n")).filter("n > 1").select(*pair), "zstd")
-        met = met.join(often, pair, "left_semi").groupBy(*pair).agg(F.collect_set(F.struct("spot_q", "spot_m")).alias("spots")).filter(F.size("spots") > 1)
-        met = written(met.mapInArrow(_agreeing, "class_id_q long, class_id_m long"))
+        met = reduce(DataFrame.unionByName, rows)
+        met = reduce(DataFrame.unionByName, [_paired(met.filter(F.pmod(F.xxhash64("class_id_q"), F.lit(PARTS)) == part)) for part in range(PARTS)])
         few = written(reps.select("class_id", "corners").join(met.select(F.explode(F.array("class_id_q", "class_id_m")).alias("class_id")).distinct(), "class_id"), "zstd")
     for s in ("_q", "_m"):
         met = met.join(few.select(F.col("class_id").alias("class_id" + s), F.col("corners").alias("corners" + s)), "class_id" + s)
