@@ -28,6 +28,8 @@ PARTS = 4
 FILTER_BITS = 1 << 28
 #: Images of one task whose pixels are known again there, so that equal ones are described once a task.
 REMEMBERED = 200_000
+#: Rows whose pixels a task holds at once, in Python.
+AT_A_TIME = 128
 #: Pixels of a bin of shifts.
 SHIFT = 16
 #: A described corner: descriptor bits, place in pixels of its scale, step of SCALES and orientation.
@@ -50,14 +52,25 @@ _disc = [(dy, dx) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS,
 _DY, _DX = np.array(_disc).T
 
 
+def _edged(a: np.ndarray, r: int) -> np.ndarray:
+    """Images on the last two axes with their edges repeated r times."""
+    out = np.empty((*a.shape[:-2], a.shape[-2] + 2 * r, a.shape[-1] + 2 * r), a.dtype)
+    out[..., r:-r, r:-r] = a
+    out[..., :r, r:-r], out[..., -r:, r:-r] = a[..., :1, :], a[..., -1:, :]
+    out[..., :r], out[..., -r:] = out[..., r : r + 1], out[..., -r - 1 : -r]
+    return out
+
+
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Means over squares of side 2r + 1, edges repeated."""
+    """Means over squares of side 2r + 1 of images on the last two axes, edges repeated."""
     k = 2 * r + 1
-    p = np.pad(np.pad(a, r, mode="edge").cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    return (p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]) / (k * k)
+    p = np.zeros((*a.shape[:-2], a.shape[-2] + k, a.shape[-1] + k))
+    np.cumsum(np.cumsum(_edged(a, r), axis=-2), axis=-1, out=p[..., 1:, 1:])
+    return (p[..., k:, k:] - p[..., :-k, k:] - p[..., k:, :-k] + p[..., :-k, :-k]) / (k * k)
 
 
-def _resized(a: np.ndarray, scale: float) -> np.ndarray:
+def _resized(a: np.ndarray, scale: float, b: np.ndarray | None = None) -> np.ndarray:
+    """An image at a scale, from its means b over squares of side 3."""
     if scale == 1:
         return a
     h, w = (max(1, int(round(n * scale))) for n in a.shape)
@@ -65,30 +78,38 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     y0, x0 = np.clip(np.floor(y).astype(int), 0, a.shape[0] - 1), np.clip(np.floor(x).astype(int), 0, a.shape[1] - 1)
     y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
     fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None, :]
-    b = _box(a, 1)
+    b = _box(a, 1) if b is None else b
     return (b[y0][:, x0] * (1 - fx) + b[y0][:, x1] * fx) * (1 - fy) + (b[y1][:, x0] * (1 - fx) + b[y1][:, x1] * fx) * fy
 
 
 def describe_image(pixels: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """(first and last 64 descriptor bits, x, y, scale step, turn) of corners of a grey image: at each scale the POINTS
-    strongest, and the CELL_POINTS strongest of every cell, so that a small part of a large image has its own."""
-    out = []
+    """(first and last 64 descriptor bits, x, y, scale step, turn) of corners of a grey image, as packed() finds them."""
+    return packed(pixels).tolist()
+
+
+def packed(pixels: np.ndarray) -> np.ndarray:
+    """The corners of a grey image as rows of CORNER: at each scale the POINTS strongest, and the CELL_POINTS strongest of
+    every cell, so that a small part of a large image has its own."""
+    out, whole = [np.zeros(0, CORNER)], pixels.astype(float)
+    means = _box(whole, 1)
     for level, scale in enumerate(SCALES):
-        a = _resized(pixels.astype(float), scale)
+        a = _resized(whole, scale, means)
         if min(a.shape) < 2 * RADIUS + 3:
             continue
-        gy, gx = np.gradient(_box(a, 1))
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+        smooth = means if scale == 1 else _box(a, 1)
+        gy, gx = np.gradient(smooth)
+        xx, yy, xy = _box(np.stack([gx * gx, gy * gy, gx * gy]), 2)
         strong = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2  # Harris
-        edge = np.pad(strong, 1, constant_values=-np.inf)
-        top = np.ones_like(strong, bool)
-        for dy in (0, 1, 2):
+        top = np.nonzero(strong > max(1.0, 0.001 * float(strong.max())))
+        edge = np.full((strong.shape[0] + 2, strong.shape[1] + 2), -np.inf)
+        edge[1:-1, 1:-1] = strong
+        for dy in (0, 1, 2):  # of those that may be corners, those above all neighbours stay
             for dx in (0, 1, 2):
                 if (dy, dx) != (1, 1):
-                    n = edge[dy : dy + strong.shape[0], dx : dx + strong.shape[1]]
-                    top &= strong > n if (dy, dx) < (1, 1) else strong >= n
-        top &= strong > max(1.0, 0.001 * float(strong.max()))
-        y, x = np.nonzero(top)
+                    here, n = strong[top], edge[top[0] + dy, top[1] + dx]
+                    held = here > n if (dy, dx) < (1, 1) else here >= n
+                    top = top[0][held], top[1][held]
+        y, x = top
         best = np.argsort(-strong[y, x], kind="stable")
         y, x = y[best], x[best]
         cell = (y // CELL) * (strong.shape[1] // CELL + 1) + x // CELL
@@ -99,21 +120,19 @@ def describe_image(pixels: np.ndarray) -> list[tuple[int, int, int, int, int, in
         y, x = y[keep], x[keep]
         if not len(y):
             continue
-        s = np.pad(_box(a, 1), 2 * RADIUS, mode="edge")
-        py, px = y + 2 * RADIUS, x + 2 * RADIUS
-        patch = s[py[:, None] + _DY, px[:, None] + _DX]
+        s = _edged(smooth, 2 * RADIUS)
+        at, wide = (y + 2 * RADIUS) * s.shape[1] + x + 2 * RADIUS, s.shape[1]
+        s = s.ravel()
+        patch = s[at[:, None] + (_DY * wide + _DX)]
         patch = patch - patch.mean(axis=1, keepdims=True)
         turn = np.rint(np.arctan2(patch @ _DY, patch @ _DX) / (2 * np.pi / TURNS)).astype(int) % TURNS
-        f, g = _FIRST[turn], _SECOND[turn]
-        bits = s[py[:, None] + f[..., 0], px[:, None] + f[..., 1]] < s[py[:, None] + g[..., 0], px[:, None] + g[..., 1]]
+        f, g = _FIRST @ (wide, 1), _SECOND @ (wide, 1)
+        bits = s[at[:, None] + f[turn]] < s[at[:, None] + g[turn]]
+        corners = np.zeros(len(y), CORNER)
         words = np.packbits(bits, axis=1).view(">i8")
-        out += [(int(w[0]), int(w[1]), xx_, yy_, level, int(t)) for xx_, yy_, t, w in zip(x.tolist(), y.tolist(), turn.tolist(), words, strict=True)]
-    return out
-
-
-def packed(pixels: np.ndarray) -> np.ndarray:
-    """The corners of describe_image() as rows of CORNER."""
-    return np.array(describe_image(pixels), CORNER)
+        corners["hi"], corners["lo"], corners["x"], corners["y"], corners["level"], corners["turn"] = words[:, 0], words[:, 1], x, y, level, turn
+        out.append(corners)
+    return np.concatenate(out)
 
 
 def places(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,8 +178,8 @@ def _shared(sc, salt: int, filters: tuple[np.ndarray, np.ndarray]):
 
 
 def _keyed(tables: slice, filters: list) -> Callable[[Iterable[pa.RecordBatch]], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
-    """(class_id, asks, corners) -> (class_id, keys, spots) of each image: a key for each corner and each of tables that may
-    stand in all filters. Where an image's own keys were put in a filter that tells so, only keys that others put there too pass."""
+    """(class_id, asks, corners) -> (class_id, keys, their corners) of each image: a key for each corner and each of tables that
+    may stand in all filters. Where an image's own keys were put in a filter that tells so, only keys that others put there too pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         opened = [(salt, [np.frombuffer(zlib.decompress(f), np.uint8) for f in shared.value]) for salt, shared in filters]
@@ -168,23 +187,24 @@ def _keyed(tables: slice, filters: list) -> Callable[[Iterable[pa.RecordBatch]],
             for i, asks, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 c = np.frombuffer(blob or b"", CORNER)
                 keys = table_keys(c, tables)
-                keys, spots = keys.ravel(), np.repeat(_spots(c), keys.shape[1])
+                keys, of = keys.ravel(), np.repeat(np.arange(len(c)), keys.shape[1])
                 for salt, (any_, twice) in opened:
                     at = _slot(keys, salt)
                     held = ((twice if asks and len(twice) else any_)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                    keys, spots = keys[held], spots[held]
+                    keys, of = keys[held], of[held]
                 if len(keys):
-                    yield i, keys, spots
+                    yield i, keys, c[of]
 
     return run
 
 
 def _index(tables: slice, filters: list):
-    """(class_id, asks, corners) -> (key, class_id, spot): a row for each corner and table that pass the filters."""
+    """(class_id, asks, corners) -> (key, class_id, spot, hi, lo): a row for each corner and table that pass the filters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, keys, spots in _keyed(tables, filters)(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(keys.size, i, np.int64)), pa.array(spots)], ["key", "class_id", "spot"])
+        for i, keys, c in _keyed(tables, filters)(batches):
+            columns = keys, np.full(keys.size, i, np.int64), _spots(c), np.ascontiguousarray(c["hi"]), np.ascontiguousarray(c["lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "class_id", "spot", "hi", "lo"])
 
     return run
 
@@ -240,11 +260,17 @@ def key_filter(images: DataFrame, tables: slice, filters: list, salt: int, twice
     return out
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits descriptors differ; numpy counts a negative number's bits without its sign."""
+    hi, lo = (np.bitwise_count(a[n].view("<u8") ^ b[n].view("<u8")) for n in ("hi", "lo"))
+    return hi + lo
+
+
 def consensus(q: np.ndarray, m: np.ndarray, pairs: np.ndarray, most_distance: int) -> int:
     """How many corners agree at most on one turn, scale and shift of q, among pairs (place in q, place in m) that differ in
     at most most_distance bits. Bins overlap by half."""
     a, b = q[pairs[:, 0]], m[pairs[:, 1]]
-    near = np.bitwise_count(a["hi"] ^ b["hi"]).astype(int) + np.bitwise_count(a["lo"] ^ b["lo"]) <= most_distance
+    near = _apart(a, b) <= most_distance
     a, b, pairs = a[near], b[near], pairs[near]
     turn = (b["turn"].astype(int) - a["turn"]) % TURNS
     (xq, yq, sq), (xm, ym, sm) = places(a), places(b)
@@ -267,8 +293,7 @@ def near_corners(q: np.ndarray, m: np.ndarray, most_distance: int) -> np.ndarray
     out, step = [np.zeros((0, 2), np.int64)], max(1, (1 << 22) // max(1, len(m)))
     for at in range(0, len(q), step):
         a = q[at : at + step]
-        apart = np.bitwise_count(a["hi"][:, None] ^ m["hi"]).astype(np.uint8) + np.bitwise_count(a["lo"][:, None] ^ m["lo"])
-        out.append(np.argwhere(apart <= most_distance) + (at, 0))
+        out.append(np.argwhere(_apart(a[:, None], m) <= most_distance) + (at, 0))
     return np.concatenate(out)
 
 
@@ -329,10 +354,15 @@ def _hashed(media: DataFrame, id_col: str, pixels_col: str, width_col: str) -> D
     return media.select(F.col(id_col).cast("long").alias("image_id"), *h, F.col(pixels_col), F.col(width_col)).filter("image_id is not null")
 
 
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of AT_A_TIME rows, so that memory follows these."""
+    return (batch.slice(at, AT_A_TIME) for batch in batches for at in range(0, len(batch), AT_A_TIME))
+
+
 def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(image_id, h1, h2, pixels, width) -> (image_id, h1, h2, corners); null where the task has described these pixels before."""
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for batch in _sliced(batches):
         out = []
         for h1, h2, p, w in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
             out.append(None if h1 is None or (h1, h2) in seen else _corners(p, w))
@@ -355,14 +385,15 @@ def _classes(media: DataFrame, query_every: int, *names: str) -> tuple[DataFrame
     return members, named.filter(holds).select(class_id, F.coalesce("class_asks", asks).alias("asks"), "corners")
 
 
-def _met(reps: DataFrame, tables: slice) -> DataFrame:
-    """(class_id_q, spot_q, class_id_m, spot_m): corners of two classes, the first of which asks, that meet in one of tables.
-    Before rows are made, filters drop keys that no query has, or that no other class has."""
+def _met(reps: DataFrame, tables: slice, most_distance: int) -> DataFrame:
+    """(class_id_q, spot_q, class_id_m, spot_m): corners of two classes, the first of which asks, that meet in one of tables and
+    differ in at most most_distance bits. Before rows are made, filters drop keys that no query has, or that no other class has."""
     asking, sc = reps.filter("asks"), reps.sparkSession.sparkContext
     wanted = _shared(sc, 1, key_filter(asking, tables, [], 1, twice=True))
     answered = _shared(sc, 2, key_filter(reps, tables, [wanted], 2))
-    side = lambda d, s, f: d.mapInArrow(_index(tables, [f]), "key long, class_id long, spot long").select("key", F.col("class_id").alias("class_id" + s), F.col("spot").alias("spot" + s))
-    met = side(asking, "_q", answered).join(side(reps, "_m", wanted), "key").filter("class_id_q <> class_id_m")
+    side = lambda d, s, f: d.mapInArrow(_index(tables, [f]), "key long, class_id long, spot long, hi long, lo long").select("key", *[F.col(c).alias(c + s) for c in ("class_id", "spot", "hi", "lo")])
+    near = F.expr("bit_count(hi_q ^ hi_m) + bit_count(lo_q ^ lo_m)") <= most_distance
+    met = side(asking, "_q", answered).join(side(reps, "_m", wanted), "key").filter((F.col("class_id_q") != F.col("class_id_m")) & near)
     met = written(met.select("class_id_q", "spot_q", "class_id_m", "spot_m"), "zstd")
     for _, shared in (wanted, answered):
         shared.destroy()
@@ -383,8 +414,9 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     Queries are the images whose id query_every divides; they are held against all classes. Corners meet in TABLES hash
     tables of TABLE_BITS bits of their descriptors: equi-joins of small rows, before which broadcast filters of fixed size
     drop the keys that no query has and the queries' keys that no other image has. They drop no key that two classes share,
-    one of them a query. AT_ONCE tables are joined at a time, and what was shuffled is removed before the next are. Two
-    classes of which two different corners met in places that agree go on: their descriptors are fetched, and all their
+    one of them a query. AT_ONCE tables are joined at a time, and what was shuffled is removed before the next are. The join
+    itself holds corners of one key against each other and keeps those within most_distance, which alone may vote: most that
+    share a key by chance differ in more. Two classes of which two different corners met in places that agree go on: their descriptors are fetched, and all their
     corners within most_distance differing bits vote for a turn, scale and shift of the query. least corners or more must
     agree. No image meets every other; a key that many classes share is split by Spark's skew join.
 
@@ -394,7 +426,7 @@ def find_copies(media: DataFrame, query_every: int = 20, most_distance: int = 22
     """
     with shuffles_removed(media.sparkSession):
         members, reps = _classes(media, query_every, id_col, pixels_col, width_col)
-        rows = [_met(reps, slice(at, at + AT_ONCE)) for at in range(0, TABLES, AT_ONCE)]
+        rows = [_met(reps, slice(at, at + AT_ONCE), most_distance) for at in range(0, TABLES, AT_ONCE)]
         met = reduce(DataFrame.unionByName, rows)
         met = reduce(DataFrame.unionByName, [_paired(met.filter(F.pmod(F.xxhash64("class_id_q"), F.lit(PARTS)) == part)) for part in range(PARTS)])
         few = written(reps.select("class_id", "corners").join(met.select(F.explode(F.array("class_id_q", "class_id_m")).alias("class_id")).distinct(), "class_id"), "zstd")
@@ -434,7 +466,7 @@ def media_of_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(image_id, pixels, width): each vector's image at id * 4, and at id * 4 + id % 4, unless that is 0, an edited copy."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if i is None or not v:
